@@ -350,8 +350,8 @@ def topo_epoch(spark, d):
 
 
 @register(
-    f"WITH RECURSIVE {BONDS}, path(frame, start, at, atoms) AS (SELECT frame, c, e, [c, e] FROM adj WHERE e > c UNION ALL SELECT p.frame, p.start, a.e, list_append(p.atoms, a.e) FROM path p JOIN adj a ON a.frame = p.frame AND a.c = p.at WHERE a.e > p.start AND NOT list_contains(p.atoms, a.e) AND len(p.atoms) < 6) "
-    "SELECT p.frame, array_to_string(p.atoms, '-') AS ring FROM path p JOIN adj a ON a.frame = p.frame AND a.c = p.at AND a.e = p.start WHERE len(p.atoms) > 2 AND p.atoms[2] < p.at"
+    f"WITH RECURSIVE {BONDS}, path(frame, start, tip, ring) AS (SELECT frame, c, e, [c, e] FROM adj WHERE e > c UNION ALL SELECT p.frame, p.start, a.e, list_append(p.ring, a.e) FROM path p JOIN adj a ON a.frame = p.frame AND a.c = p.tip WHERE a.e > p.start AND NOT list_contains(p.ring, a.e) AND len(p.ring) < 6) "
+    "SELECT p.frame, array_to_string(p.ring, '-') AS ring FROM path p JOIN adj a ON a.frame = p.frame AND a.c = p.tip AND a.e = p.start WHERE len(p.ring) > 2 AND p.ring[2] < p.tip"
 )
 def rings(spark, d):
     found = topology.cycles(_staged_bonds(spark, d), 6)
@@ -594,9 +594,9 @@ def _through(spark, d, ext: str) -> DataFrame:
     return trajectories.load(spark, [names, path]).where("frame > 0").withColumn("frame", F.col("frame") - 1)
 
 
-@register(f"WITH {ATOMS} SELECT frame, atom_index, type, round(round(x, 6), 4) AS x, round(round(y, 6), 4) AS y, round(round(z, 6), 4) AS z FROM atoms")
+@register(f"WITH {ATOMS} SELECT frame, atom_index, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM atoms")
 def io_xyz(spark, d):
-    return _rounded(_through(spark, d, "xyz").select("frame", "atom_index", "type", "x", "y", "z"), 4)
+    return _nearest_source(spark, d, _through(spark, d, "xyz").select("frame", "atom_index", "type", "x", "y", "z"), 4)
 
 
 @register(f"WITH {ATOMS} SELECT frame, atom_index, type, 10.0 AS a, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM atoms")

@@ -153,7 +153,7 @@ def pdb_lines(atoms: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
     out = frames.select("frame", F.lit(1).alias("part"), zero.alias("atom_index"), F.format_string("MODEL %8d", F.col("frame") + 1).alias("value"))
     if "cell" in has:
         c = [F.col(f"cell.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
-        out = frames.where("cell is not null").select("frame", F.lit(0), zero, F.format_string("CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1", *c)).union(out)
+        out = out.union(frames.where("cell is not null").select("frame", F.lit(0), zero, F.format_string("CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1", *c)))
     out = out.union(atoms.select("frame", F.lit(2), F.col("atom_index").cast("long"), line)).union(frames.select("frame", F.lit(3), zero, F.lit("ENDMDL")))
     if bonds is not None:
         last = atoms.agg(F.max("frame")).first()[0]
