@@ -4,19 +4,22 @@ A document is the set of its distinct word shingles. Documents with equal sets c
 representative first. A representative has a signature of minima under independent hash functions,
 and stands in ``TREES`` sorted orders, each of which starts at another place of the signature. Two
 documents are candidates in an order where they share a prefix of at least ``DEPTHS[0]`` minima.
-The depth adapts to the region: a prefix that at most ``SMALL`` documents share yields all their
-pairs; one shared by more yields each document's link to a few pivots of it and is divided by longer
-prefixes, down to the last depth. Candidates are confirmed on full sets, best-supported first, and
-confirmed links form components; whatever is still apart but shares a crowded prefix is compared
-outright, so a crowded region loses no link that a sparse one would find.
+The depth adapts to the region: while more than ``SMALL`` documents share a prefix, longer prefixes
+divide them, down to the last depth, and every depth proposes each document's link to the first
+document of its prefix. The deepest and best-supported proposal of each document is confirmed on
+full sets, which joins most of every region into components. What then shares a prefix of the first
+depth and is still apart is compared outright, so a crowded region loses no link that a sparse one
+would find: a one-bit MinHash sketch, compared inside the join, lets only pairs near the threshold
+on to full sets.
 
 At similarity 0.8 two documents miss each other in all 24 orders with probability 7e-5, at 0.85
-with 8e-7.
+with 8e-7; the sketch loses a pair at the threshold with probability 4e-6.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,8 +33,9 @@ from framelake.runtime import small_batches, staged
 
 TREES = 24
 DEPTHS = (5, 8, 12, 20)  #: lengths of prefixes, in minima
-SMALL = 16  #: documents up to which a prefix yields all pairs
-PIVOTS = 3
+SMALL = 16  #: documents up to which a prefix is not divided further
+SKETCH = 1024  #: one-bit minima of a sketch
+SPREADS = 4.5  #: standard deviations by which a sketch may fall short of the threshold
 BROADCAST_IDS = 1_000_000  #: candidates up to which their ids are broadcast to the scan of the texts
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -42,6 +46,10 @@ _FACTORS = (_random.integers(0, 1 << 63, HASHES, np.uint64) << np.uint64(1)) | n
 _SHIFTS = _random.integers(0, 1 << 63, HASHES, np.uint64)
 
 
+_SKETCH_FACTORS = (_random.integers(0, 1 << 63, SKETCH, np.uint64) << np.uint64(1)) | np.uint64(1)
+_SKETCH_SHIFTS = _random.integers(0, 1 << 63, SKETCH, np.uint64)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     h = (h ^ (h >> np.uint64(29))) * _NEXT
@@ -84,6 +92,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of the least value of each of ``SKETCH`` further hash functions, as longs."""
+    bits = np.empty(SKETCH, np.uint8)
+    step = max(8, min(SKETCH, 200_000 // max(1, len(shingles))))
+    with np.errstate(over="ignore"):
+        for at in range(0, SKETCH, step):
+            least = ((shingles[None, :] ^ _SKETCH_SHIFTS[at : at + step, None]) * _SKETCH_FACTORS[at : at + step, None]).min(1)
+            bits[at : at + step] = _mixed(least) >> np.uint64(40) & np.uint64(1)
+    return np.packbits(bits).view("<i8")
+
+
 def prefixes(signatures: np.ndarray) -> np.ndarray:
     """Hashes (documents x trees x depths) of the prefixes in every order."""
     n = len(signatures)
@@ -98,8 +117,8 @@ def prefixes(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame, size: int, sketch: bool) -> DataFrame:
-    """``(id, n, digest[, marks])`` from (id, text); or ``(id, n, shingles)`` without ``sketch``.
+def shingle_sets(docs: DataFrame, size: int, whole: bool) -> DataFrame:
+    """``(id, n, digest, marks)`` from (id, text); or ``(id, n, sketch, shingles)`` with ``whole``.
 
     ``marks`` is one binary of all prefix hashes; ``digest`` names the set.
     """
@@ -109,7 +128,7 @@ def shingle_sets(docs: DataFrame, size: int, sketch: bool) -> DataFrame:
         for batch in batches:
             made = [shingler(t) for t in batch["text"]]
             frame = {"id": batch["id"], "n": [len(s) for s in made]}
-            if sketch:
+            if not whole:
                 frame["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made]
                 full = [i for i, s in enumerate(made) if len(s)]
                 marks: list[bytes | None] = [None] * len(made)
@@ -118,10 +137,11 @@ def shingle_sets(docs: DataFrame, size: int, sketch: bool) -> DataFrame:
                         marks[i] = p.tobytes()
                 frame["marks"] = marks
             else:
+                frame["sketch"] = [sketch(s) for s in made]
                 frame["shingles"] = [s.tobytes() for s in made]
             yield pd.DataFrame(frame)
 
-    return docs.select("id", "text").mapInPandas(sets, "id long, n long, digest binary, marks binary" if sketch else "id long, n long, shingles binary")
+    return docs.select("id", "text").mapInPandas(sets, "id long, n long, sketch array<long>, shingles binary" if whole else "id long, n long, digest binary, marks binary")
 
 
 def _entries(representatives: DataFrame) -> DataFrame:
@@ -140,32 +160,21 @@ def _entries(representatives: DataFrame) -> DataFrame:
     return representatives.select("id", "n", "marks").mapInPandas(spread, "id long, n long, " + ", ".join(f"{p} long" for p in names))
 
 
-def _near_in_size(threshold: int) -> str:
-    return f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
-
-
-def candidates(entries: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs ``a < b`` with the number of orders that propose them, entries of crowded last prefixes)."""
-    pairs, crowded = [], []
-    rest = entries
+def proposals(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links ``id -> first`` with depth and number of orders, entries ``prefix, id, n`` of shared first prefixes)."""
+    links, shared, rest = [], None, entries
     for level in range(len(DEPTHS)):
         p = f"p{level}"
-        salt = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-        pivots = [F.min(F.when(salt == i, F.col("id"))).alias(f"v{i}") for i in range(PIVOTS)]
-        groups = staged(rest.groupBy(p).agg(F.count("*").alias("m"), *pivots).where("m > 1"))
-        # only entries whose prefix is shared go on; a small group is gathered, at most SMALL rows
-        few = rest.join(groups.where(f"m <= {SMALL}").select(p), p).groupBy(p).agg(F.collect_list(F.struct("id", "n")).alias("g"))
-        each = few.select(F.explode("g").alias("x"), "g").select(F.col("x.id").alias("a"), F.col("x.n").alias("n_a"), F.explode("g").alias("y"))
-        pairs.append(each.select("a", "n_a", F.col("y.id").alias("b"), F.col("y.n").alias("n_b")).where("a < b").where(_near_in_size(threshold)).select("a", "b"))
-        many = staged(rest.join(groups.where(f"m > {SMALL}"), p))
-        if not many.limit(1).count():
+        groups = rest.groupBy(p).agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1")
+        together = staged(rest.join(groups, p))
+        if level == 0:
+            shared = together.select(F.col(p).alias("prefix"), "id", "n")
+        links.append(together.where("id <> first").select("id", "first", F.lit(level).alias("level")))
+        rest = together.where(f"m > {SMALL}").drop("m", "first")
+        if not rest.limit(1).count():
             break
-        star = many.select("id", F.explode(F.array_distinct(F.array(*[f"v{i}" for i in range(PIVOTS)]))).alias("v")).where("v is not null and v <> id")
-        pairs.append(star.select(F.least("id", "v").alias("a"), F.greatest("id", "v").alias("b")))
-        crowded.append(many.select(F.col(p).alias("prefix"), "id", "n"))
-        rest = many.drop("m", *[f"v{i}" for i in range(PIVOTS)])
-    found = reduce(DataFrame.unionByName, pairs).groupBy("a", "b").agg(F.count("*").alias("orders"))
-    return found, reduce(DataFrame.unionByName, crowded) if crowded else None
+    counted = reduce(DataFrame.unionByName, links).groupBy("id", "first", "level").agg(F.count("*").alias("orders"))
+    return counted, shared
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -182,11 +191,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 ok.append(100 * both >= threshold * (len(x) + len(y) - both) and both > 0)
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": ok})
 
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}"))
-    # sizes first, on narrow rows, so that sets travel only for pairs that can be linked
-    sizes = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
-    fit = pairs.select("a", "b").join(sizes("a"), "a").join(sizes("b"), "b").where(_near_in_size(threshold)).select("a", "b")
-    both = fit.join(side("b").drop("n_b"), "b").join(side("a").drop("n_a"), "a")
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s_{s}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     return both.select("a", "b", "s_a", "s_b").mapInPandas(check, "a long, b long, linked boolean")
 
 
@@ -203,58 +209,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     spark = docs.sparkSession
     small_batches(spark, 500)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = staged(shingle_sets(texts, shingle, sketch=True))
+    sketched = staged(shingle_sets(texts, shingle, whole=False))
     classes = staged(sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = sketched.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    pairs, crowded = candidates(staged(_entries(reps)), threshold)
-    pairs = staged(pairs)
-    members = staged(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    links, shared = proposals(staged(_entries(reps)))
+    members = staged(shared.select("id").distinct())
     n_members = members.count()
     chosen = texts.join(F.broadcast(members) if n_members <= BROADCAST_IDS else members, "id", "left_semi")
-    sets = staged(shingle_sets(chosen, shingle, sketch=False))
-    # first the best-supported pair of each document, then only what is still apart
-    choice = lambda s, o: pairs.select(F.col(s).alias("x"), "orders", F.col(o).alias("o"), "a", "b")
-    best = choice("a", "b").union(choice("b", "a")).groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("orders", -F.col("o"))).alias("p")).select("p.a", "p.b").distinct()
-    checked = staged(confirmed(best, sets, threshold))
-    links = checked.where("linked").select("a", "b")
-    parts = _parts(links)
-    apart = _apart(pairs.select("a", "b"), parts).join(checked, ["a", "b"], "left_anti")
-    second = staged(confirmed(apart, sets, threshold))
-    links, checked = links.union(second.where("linked").select("a", "b")), checked.union(second)
-    parts = _parts(links)
-    if crowded is not None:
-        third = staged(confirmed(_remaining(crowded, parts, threshold).join(checked, ["a", "b"], "left_anti"), sets, threshold))
-        if third.where("linked").limit(1).count():
-            links = links.union(third.where("linked").select("a", "b"))
-            parts = _parts(links)
+    sets = staged(shingle_sets(chosen, shingle, whole=True))
+    best = links.groupBy("id").agg(F.max_by("first", F.struct("level", "orders", -F.col("first"))).alias("first"))
+    checked = staged(confirmed(best.select(F.col("first").alias("a"), F.col("id").alias("b")), sets, threshold))
+    joined = checked.where("linked").select("a", "b")
+    apart = _apart(shared, staged(connected_components(joined, "a", "b")), sets, threshold)
+    second = staged(confirmed(apart.join(checked, ["a", "b"], "left_anti"), sets, threshold).where("linked"))
+    parts = staged(connected_components(joined.union(second.select("a", "b")), "a", "b"))
     whole = staged(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")))
     out = sketched.select("id", "n", "digest").join(whole, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _parts(links: DataFrame) -> DataFrame:
-    return staged(connected_components(links, "a", "b"))
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    named = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
-    both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    return both.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-
-
-def _remaining(crowded: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one crowded prefix that are still in different components.
+def _apart(shared: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``a < b`` that share a first prefix, are in different components and near enough by sketch.
 
     The component most of a prefix's documents belong to is not paired with itself: only documents
-    outside of it are paired with all others.
+    outside of it meet the others, and the join condition compares sizes and sketches, so only
+    pairs near the threshold are ever made.
     """
-    named = staged(crowded.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    named = staged(shared.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     sizes = named.groupBy("prefix", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("prefix").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = staged(named.join(main, "prefix"))
-    few = mixed.where("component <> main").select("prefix", F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-    both = few.join(mixed.select("prefix", F.col("id").alias("y"), F.col("n").alias("n_b"), "component"), "prefix")
-    return both.where("c <> component").where(_near_in_size(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    words = [F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH // 64)]
+    mixed = staged(named.join(main, "prefix").join(sets.select("id", *words), "id"))
+    t = threshold / 100
+    short = t - SPREADS * 2 * math.sqrt((1 + t) / 2 * (1 - t) / 2 / SKETCH)
+    few, many = mixed.where("component <> main").alias("f"), mixed.alias("g")
+    differ = sum((F.bit_count(F.col(f"f.k{i}").bitwiseXOR(F.col(f"g.k{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col("f.k0").bitwiseXOR(F.col("g.k0"))))
+    n_a, n_b = F.col("f.n"), F.col("g.n")
+    # a pair of two documents outside comes from one side only
+    once = (F.col("g.component") == F.col("g.main")) | (F.col("f.id") < F.col("g.id"))
+    near = (F.col("f.prefix") == F.col("g.prefix")) & (F.col("f.component") != F.col("g.component")) & once & (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)) & (differ <= int(SKETCH * (1 - short) / 2))
+    return few.join(many, near).select(F.least("f.id", "g.id").alias("a"), F.greatest("f.id", "g.id").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
