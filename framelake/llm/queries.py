@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, near_dedup, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc
+from framelake.llm import mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc
 from framelake.runtime import small_batches, table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
