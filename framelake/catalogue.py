@@ -487,7 +487,11 @@ def gridspread_potential(spark, d):
     return _rounded(grids.gridspread_potential(workload.atoms(spark, d), (10, 10, 10), 4, 2), 4)
 
 
-@register()
+@register(
+    f"WITH {ATOMS}, r AS (SELECT CAST(i AS INT) - 2 AS v FROM range(5) t(i)), w AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c WHERE (a.v, b.v, c.v) <> (0, 0, 0)), "
+    "s AS (SELECT frame, h, k, l, sum(charge * cos(2 * pi() * (h * x + k * y + l * z) / 10.0)) AS re, sum(charge * sin(2 * pi() * (h * x + k * y + l * z) / 10.0)) AS im FROM atoms, w GROUP BY ALL), "
+    "t AS (SELECT *, (h * h + k * k + l * l) * pow(2 * pi() / 10.0, 2) AS k2 FROM s) SELECT frame, round(sum(2 * pi() / 1000.0 * exp(-k2 / (4 * 0.16)) / k2 * (re * re + im * im)), 4) AS energy FROM t GROUP BY ALL"
+)
 def ewald_energy(spark, d):
     return _rounded(grids.ewald_reciprocal(workload.atoms(spark, d), 0.4, 2), 4)
 
@@ -637,11 +641,13 @@ def io_dx(spark, d):
 
 @register()
 def solvate_invariants(spark, d):
-    """Frames of the atoms filled with water, and the least distance between different molecules."""
+    """Frames filled with water around their atoms: copies, and pairs nearer than allowed (none)."""
     water = [("O", 0.0, 0.0, 0.0), ("H", 0.96, 0.0, 0.0), ("H", -0.24, 0.927, 0.0)]
-    placed = staged(generate.solvate(workload.atoms(spark, d), water, [workload.EDGE], number=12))
-    points = placed.withColumns({"id": F.col("copy") * 10 + F.col("site"), "cell": workload.CELL.column()})
-    near = pairs.neighbour_pairs(points, None, 2.5, ident=("id",), keep=("copy",)).where("copy_1 <> copy_2 and r2 < 6.25 - 1e-9")
+    a = workload.atoms(spark, d)
+    placed = staged(generate.solvate(a, water, [workload.EDGE], number=12, min_distance=0.5, around_existing=True))
+    points = placed.select("frame", "copy", "x", "y", "z", (F.col("copy") * 10 + F.col("site")).cast("long").alias("id"), workload.CELL.column().alias("cell"))
+    points = points.union(a.select("frame", (-F.col("atom_index") - 1).cast("int"), "x", "y", "z", -F.col("atom_index") - 1, "cell"))
+    near = pairs.neighbour_pairs(points, None, 0.5, ident=("id",), keep=("copy",)).where("copy_1 <> copy_2 and id_2 >= 0 and r2 < 0.25 - 1e-9")
     counts = placed.groupBy("frame").agg(F.countDistinct("copy").alias("copies"), F.count("*").alias("atoms"))
     return counts.join(near.groupBy("frame").agg(F.count("*").alias("clashes")), "frame", "left").fillna(0)
 

@@ -75,12 +75,14 @@ def solvate(
     min_distance: float = 2.5,
     max_attempts: int = 200,
     seed: int = 42,
+    around_existing: bool = False,
 ) -> DataFrame:
     """``frame, copy, site, element, x, y, z``: copies of a template put at random into each frame's box.
 
     Exactly one of ``number`` and ``density`` (with ``molar_mass``) says how many. A place is tried
     ``max_attempts`` times; a copy that finds none is left out. Atoms of different copies are at
-    least ``min_distance`` apart, across the box's faces too. Insertion depends on what is there
+    least ``min_distance`` apart, across the box's faces too; with ``around_existing`` they keep
+    away from the frame's own atoms as well, of which ``frames`` then has ``x, y, z``. Insertion depends on what is there
     already, so a frame is one task; every frame starts from the same seed, so reruns agree.
     """
     if (number is None) == (density is None):
@@ -96,6 +98,8 @@ def solvate(
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         rng, placed, out = np.random.default_rng(seed), PlacedPoints(low, high, min_distance), []
+        if around_existing:
+            placed.add(group.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float))
         for copy in range(number):
             for _ in range(max_attempts):
                 points = shape @ random_rotations(rng, 1)[0].T + low + rng.random(3) * (high - low)
@@ -105,7 +109,8 @@ def solvate(
                     break
         return pd.DataFrame(out, columns=["frame", "copy", "site", "element", "x", "y", "z"])
 
-    return frames.select("frame").distinct().groupBy("frame").applyInPandas(fill, "frame long, copy int, site int, element string, x double, y double, z double")
+    rows = frames.select("frame", "x", "y", "z") if around_existing else frames.select("frame").distinct()
+    return rows.groupBy("frame").applyInPandas(fill, "frame long, copy int, site int, element string, x double, y double, z double")
 
 
 def surface_basis(cell: Cell, hkl: tuple[int, int, int]) -> tuple[np.ndarray, float]:
