@@ -566,6 +566,33 @@ def perm_distance(spark, d):
     return _rounded(orientation.permuted_distances(whole, _references(spark, d)), 5)
 
 
+@register(
+    f"WITH {QUAT}, ff AS (SELECT frame FROM qs GROUP BY frame HAVING count(*) = 3), q AS (SELECT * FROM qs SEMI JOIN ff USING (frame)), dd AS (SELECT frame, ref, sqrt(avg(({_ANGLE}) ** 2)) AS distance FROM q JOIN refs USING (slot) GROUP BY ALL), "
+    "b AS (SELECT frame, min(struct_pack(d := distance, r := ref)) AS b FROM dd GROUP BY ALL), "
+    "m AS (SELECT refs.ref, refs.slot, q.*, CASE WHEN w * w_r + x * x_r + y * y_r + z * z_r < 0 THEN -1.0 ELSE 1.0 END AS side FROM q JOIN b USING (frame) JOIN refs ON refs.ref = b.b.r AND refs.slot = q.slot), "
+    "t AS (SELECT ref, slot, sum(side * w) AS w, sum(side * x) AS x, sum(side * y) AS y, sum(side * z) AS z FROM (SELECT ref, slot, side, w, x, y, z FROM m) GROUP BY ALL) "
+    "SELECT ref, slot, " + ", ".join(f"round({k} / sqrt(w * w + x * x + y * y + z * z), 5) AS {k}" for k in "wxyz") + " FROM t"
+)
+def quat_kmeans_step(spark, d):
+    q = workload.quaternions(spark, d)
+    whole = q.join(q.groupBy("frame").count().where("count = 3").select("frame"), "frame", "left_semi")
+    refs = _references(spark, d)
+    return _rounded(orientation.update_centroids(whole, orientation.nearest_state(whole, refs), refs), 5)
+
+
+@register(
+    "SELECT l_orderkey AS frame, round(2 * (max(l_quantity) * max(l_extendedprice) / 1000 + max(l_quantity) * (1.0 + max(l_linenumber)) + max(l_extendedprice) / 1000 * (1.0 + max(l_linenumber))), 5) AS surface_area, "
+    "CASE WHEN abs(max(l_quantity) - max(l_extendedprice) / 1000) < 1e-6 AND abs(max(l_extendedprice) / 1000 - 1.0 - max(l_linenumber)) < 1e-6 THEN 'cubic' WHEN abs(max(l_quantity) - max(l_extendedprice) / 1000) < 1e-6 THEN 'tetragonal' ELSE 'orthorhombic' END AS cell_type FROM lineitem GROUP BY ALL"
+)
+def cell_geometry(spark, d):
+    from framelake.functions.geometry import cell_from_parameters
+
+    right = F.lit(90.0)
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("frame")).agg(F.max("l_quantity").alias("a"), (F.max("l_extendedprice") / 1000).alias("b"), (1.0 + F.max("l_linenumber")).alias("c"))
+    cells = li.select("frame", cell_from_parameters(F.col("a"), F.col("b"), F.col("c"), right, right, right).alias("cell"))
+    return _rounded(aggregates.cell_geometry(cells).select("frame", "surface_area", "cell_type"), 5)
+
+
 @register()
 def quat_kmeans(spark, d):
     q = workload.quaternions(spark, d)
