@@ -482,9 +482,12 @@ def realspace_potential(spark, d):
     return _rounded(grids.realspace_potential(workload.atoms(spark, d), (6, 6, 6), 2.5), 4)
 
 
-@register()
+@register(
+    f"WITH {ATOMS}, pt AS (SELECT * FROM atoms), {_spread_sql(10, 'sum(charge * mka * mkb * mkc) AS q', False, '')}, r AS (SELECT CAST(i AS INT) - 2 AS v FROM range(5) t(i)), o AS (SELECT a.v AS da, b.v AS db, c.v AS dc FROM r a, r b, r c WHERE (a.v, b.v, c.v) <> (0, 0, 0)) "
+    "SELECT CAST((ia + da + 10) % 10 AS INT) AS ia, CAST((ib + db + 10) % 10 AS INT) AS ib, CAST((ic + dc + 10) % 10 AS INT) AS ic, round(sum(14.3996 * q / sqrt(da * da + db * db + dc * dc) / 4), 4) AS value FROM gr, o GROUP BY ALL"
+)
 def gridspread_potential(spark, d):
-    return _rounded(grids.gridspread_potential(workload.atoms(spark, d), (10, 10, 10), 4, 2), 4)
+    return _rounded(grids.gridspread_potential(workload.atoms(spark, d), (10, 10, 10), 2, 2), 4)
 
 
 @register(
