@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 # --- pieces of SQL -------------------------------------------------------------------------------
 
-ATOMS = """atoms AS (SELECT CAST(vec_id % 4 AS BIGINT) AS frame, CAST(vec_id // 4 AS BIGINT) AS atom_index,
+ATOMS = """atoms AS MATERIALIZED (SELECT CAST(vec_id % 4 AS BIGINT) AS frame, CAST(vec_id // 4 AS BIGINT) AS atom_index,
   'T' || CAST(label AS VARCHAR) AS type, CAST(label AS DOUBLE) - 4.5 AS charge, CAST(label AS DOUBLE) + 1.0 AS mass,
   CAST(label AS DOUBLE) * 0.01 + 0.2 AS radius, label,
   (CAST(embedding[1] AS DOUBLE) + 0.5) * 10.0 AS x, (CAST(embedding[2] AS DOUBLE) + 0.5) * 10.0 AS y,
@@ -32,8 +32,8 @@ def _pairs_sql(left: str = "atoms", right: str = "atoms", where: str = "a.atom_i
     return f"SELECT a.frame AS frame, a.atom_index AS i, b.atom_index AS j, {r2} AS r2{extra} FROM {left} a JOIN {right} b ON a.frame = b.frame AND {where} WHERE {r2} <= {cutoff * cutoff}"
 
 
-BONDS = f"""{ATOMS}, cand AS ({_pairs_sql(cutoff=0.65, extra=', a.radius + b.radius + 0.05 AS reach, a.type AS ti, b.type AS tj')}),
-bonds AS (SELECT frame, i, j, sqrt(r2) AS length FROM cand WHERE sqrt(r2) <= reach),
+BONDS = f"""{ATOMS}, cand AS MATERIALIZED ({_pairs_sql(cutoff=0.65, extra=', a.radius + b.radius + 0.05 AS reach, a.type AS ti, b.type AS tj')}),
+bonds AS MATERIALIZED (SELECT frame, i, j, sqrt(r2) AS length FROM cand WHERE sqrt(r2) <= reach),
 adj AS (SELECT frame, i AS c, j AS e FROM bonds UNION ALL SELECT frame, j, i FROM bonds)"""
 COMPONENTS = f"""{BONDS}, reach(frame, atom, other) AS (SELECT frame, atom_index, atom_index FROM atoms UNION
   SELECT r.frame, r.atom, a.e FROM reach r JOIN adj a ON a.frame = r.frame AND a.c = r.other),
@@ -302,7 +302,7 @@ def _diff(a: str, b: str) -> str:
 @register(
     f"WITH {BONDS}, an AS (SELECT p.frame, p.e AS i, p.c AS centre, q.e AS k FROM adj p JOIN adj q ON p.frame = q.frame AND p.c = q.c AND p.e < q.e), "
     + "v AS (SELECT an.*, " + ", ".join(IMAGE.format(f"(c.{k} - a.{k})") + f" AS u{k}, " + IMAGE.format(f"(c.{k} - b.{k})") + f" AS v{k}" for k in "xyz")
-    + " FROM an JOIN atoms a ON a.frame = an.frame AND a.atom_index = an.i JOIN atoms c ON c.frame = an.frame AND c.atom_index = an.centre JOIN atoms b ON b.frame = an.frame AND b.atom_index = an.k) "
+    + " FROM an JOIN atoms a ON a.frame + 10 * a.atom_index = an.frame + 10 * an.i JOIN atoms c ON c.frame + 10 * c.atom_index = an.frame + 10 * an.centre JOIN atoms b ON b.frame + 10 * b.atom_index = an.frame + 10 * an.k) "
     "SELECT frame, i, centre, k, round(acos(greatest(-1.0, least(1.0, (ux * vx + uy * vy + uz * vz) / (sqrt(ux * ux + uy * uy + uz * uz) * sqrt(vx * vx + vy * vy + vz * vz))))), 4) AS theta FROM v"
 )
 def angle_values(spark, d):
@@ -310,13 +310,13 @@ def angle_values(spark, d):
     return _rounded(topology.angle_values(topology.angles(b), workload.atoms(spark, d)), 4)
 
 
-_JOIN4 = " ".join(f"JOIN atoms {n} ON {n}.frame = q.frame AND {n}.atom_index = q.{c}" for n, c in (("ai", "i"), ("aj", "j"), ("ak", "k"), ("al", "l")))
+_JOIN4 = " ".join(f"JOIN atoms {n} ON {n}.frame + 10 * {n}.atom_index = q.frame + 10 * q.{c}" for n, c in (("ai", "i"), ("aj", "j"), ("ak", "k"), ("al", "l")))
 _B = ", ".join(f"{IMAGE.format(f'({a}.{k} - {b}.{k})')} AS {n}{k}" for n, a, b in (("p", "ai", "aj"), ("r", "aj", "ak"), ("s", "ak", "al")) for k in "xyz")
 _CROSS = lambda n, u, v: f"{u}y * {v}z - {u}z * {v}y AS {n}x, {u}z * {v}x - {u}x * {v}z AS {n}y, {u}x * {v}y - {u}y * {v}x AS {n}z"
 
 
 @register(
-    f"WITH {BONDS}, q AS ({PROPERS}), v AS (SELECT q.*, {_B} FROM q {_JOIN4} WHERE q.i <> q.l), n AS (SELECT *, {_CROSS('m', 'p', 'r')}, {_CROSS('n', 'r', 's')} FROM v), c AS (SELECT *, {_CROSS('c', 'm', 'n')} FROM n) "
+    f"WITH {BONDS}, q AS MATERIALIZED ({PROPERS}), v AS MATERIALIZED (SELECT q.*, {_B} FROM q {_JOIN4} WHERE q.i <> q.l), n AS MATERIALIZED (SELECT *, {_CROSS('m', 'p', 'r')}, {_CROSS('n', 'r', 's')} FROM v), c AS MATERIALIZED (SELECT *, {_CROSS('c', 'm', 'n')} FROM n) "
     "SELECT frame, i, j, k, l, round(abs(atan2((rx * cx + ry * cy + rz * cz) / sqrt(rx * rx + ry * ry + rz * rz), mx * nx + my * ny + mz * nz)), 4) AS phi FROM c"
 )
 def dihedral_values(spark, d):
@@ -329,7 +329,7 @@ _BI = ", ".join(f"{IMAGE.format(f'({a}.{k} - {b}.{k})')} AS {n}{k}" for n, a, b
 
 
 @register(
-    f"WITH {BONDS}, q AS ({IMPROPERS}), v0 AS (SELECT q.*, {_BI} FROM q {_JOIN4}), v AS (SELECT *, rx - px AS ux, ry - py AS uy, rz - pz AS uz, sx - px AS wx, sy - py AS wy, sz - pz AS wz FROM v0), n AS (SELECT *, {_CROSS('n', 'u', 'w')} FROM v) "
+    f"WITH {BONDS}, q AS MATERIALIZED ({IMPROPERS}), v0 AS MATERIALIZED (SELECT q.*, {_BI} FROM q {_JOIN4}), v AS MATERIALIZED (SELECT *, rx - px AS ux, ry - py AS uy, rz - pz AS uz, sx - px AS wx, sy - py AS wy, sz - pz AS wz FROM v0), n AS MATERIALIZED (SELECT *, {_CROSS('n', 'u', 'w')} FROM v) "
     "SELECT frame, i, j, k, l, round(abs(px * nx + py * ny + pz * nz) / sqrt(nx * nx + ny * ny + nz * nz), 4) AS distance FROM n"
 )
 def improper_values(spark, d):
