@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators.components import connected_components
@@ -34,12 +34,13 @@ from framelake.runtime import small_batches, staged
 TREES = 24
 DEPTHS = (5, 8, 12, 20)  #: lengths of prefixes, in minima
 SMALL = 16  #: documents up to which a prefix is not divided further
+CROWD = 64  #: documents beyond which a prefix's pairs are confirmed inside their join
 SKETCH = 1024  #: one-bit minima of a sketch
 SPREADS = 4.5  #: standard deviations by which a sketch may fall short of the threshold
 BROADCAST_IDS = 1_000_000  #: candidates up to which their ids are broadcast to the scan of the texts
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-WORD_MEMO = 1 << 18
+WORD_MEMO = 1 << 17
 HASHES = TREES * DEPTHS[0]
 _random = np.random.default_rng(20)
 _FACTORS = (_random.integers(0, 1 << 63, HASHES, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -138,10 +139,10 @@ def shingle_sets(docs: DataFrame, size: int, whole: bool) -> DataFrame:
                 frame["marks"] = marks
             else:
                 frame["sketch"] = [sketch(s) for s in made]
-                frame["shingles"] = [s.tobytes() for s in made]
+                frame["shingles"] = [s.view("<i8") for s in made]
             yield pd.DataFrame(frame)
 
-    return docs.select("id", "text").mapInPandas(sets, "id long, n long, sketch array<long>, shingles binary" if whole else "id long, n long, digest binary, marks binary")
+    return docs.select("id", "text").mapInPandas(sets, "id long, n long, sketch array<long>, shingles array<long>" if whole else "id long, n long, digest binary, marks binary")
 
 
 def _entries(representatives: DataFrame) -> DataFrame:
@@ -177,23 +178,17 @@ def proposals(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counted, shared
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """``(a, b, linked)``: whether 100 * intersection >= threshold * union, on full sets."""
+def similar(x: Column, y: Column, threshold: int) -> Column:
+    """Whether 100 * intersection >= threshold * union, on full sets (arrays of distinct shingles)."""
+    both = F.size(F.array_intersect(x, y))
+    return (100 * both >= threshold * (F.size(x) + F.size(y) - both)) & (both > 0)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["s_a"], batch["s_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum()) if len(x) else 0
-                ok.append(100 * both >= threshold * (len(x) + len(y) - both) and both > 0)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": ok})
 
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b, linked)`` of pairs of ids, on full sets."""
     side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s_{s}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "s_a", "s_b").mapInPandas(check, "a long, b long, linked boolean")
+    return both.select("a", "b", similar(F.col("s_a"), F.col("s_b"), threshold).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
@@ -220,26 +215,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     best = links.groupBy("id").agg(F.max_by("first", F.struct("level", "orders", -F.col("first"))).alias("first"))
     checked = staged(confirmed(best.select(F.col("first").alias("a"), F.col("id").alias("b")), sets, threshold))
     joined = checked.where("linked").select("a", "b")
-    apart = _apart(shared, staged(connected_components(joined, "a", "b")), sets, threshold)
-    second = staged(confirmed(apart.join(checked, ["a", "b"], "left_anti"), sets, threshold).where("linked"))
-    parts = staged(connected_components(joined.union(second.select("a", "b")), "a", "b"))
+    rest = _apart(shared, staged(connected_components(joined, "a", "b")))
+    near = _near_pairs(rest.where(f"m <= {CROWD}"), sets, threshold)
+    near = confirmed(near.join(checked, ["a", "b"], "left_anti"), sets, threshold).where("linked").select("a", "b")
+    crowded = _near_pairs(rest.where(f"m > {CROWD}"), sets, threshold, whole=True)
+    joined = joined.union(staged(near.union(crowded)))
+    parts = staged(connected_components(joined, "a", "b"))
     whole = staged(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")))
     out = sketched.select("id", "n", "digest").join(whole, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _apart(shared: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``a < b`` that share a first prefix, are in different components and near enough by sketch.
+def _apart(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """``prefix, id, n, component, main, m``: entries of first prefixes that several components share.
 
-    The component most of a prefix's documents belong to is not paired with itself: only documents
-    outside of it meet the others, and the join condition compares sizes and sketches, so only
-    pairs near the threshold are ever made.
+    ``main`` is the component most of the prefix's ``m`` documents belong to.
     """
     named = staged(shared.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    sizes = named.groupBy("prefix", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("prefix").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = named.groupBy("prefix", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("prefix").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    return staged(named.join(main.drop("parts"), "prefix"))
+
+
+def _near_pairs(rest: DataFrame, sets: DataFrame, threshold: int, whole: bool = False) -> DataFrame:
+    """Pairs ``a < b`` that share a first prefix, are in different components and near enough by sketch.
+
+    The main component is not paired with itself: only documents outside of it meet the others. The
+    join condition compares sizes and sketches, so only pairs near the threshold are made; with
+    ``whole`` it compares full sets as well, and only true links are.
+    """
     words = [F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH // 64)]
-    mixed = staged(named.join(main, "prefix").join(sets.select("id", *words), "id"))
+    mixed = rest.join(sets.select("id", *words, *(["shingles"] if whole else [])), "id")
     t = threshold / 100
     short = t - SPREADS * 2 * math.sqrt((1 + t) / 2 * (1 - t) / 2 / SKETCH)
     few, many = mixed.where("component <> main").alias("f"), mixed.alias("g")
@@ -248,6 +254,8 @@ def _apart(shared: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int)
     # a pair of two documents outside comes from one side only
     once = (F.col("g.component") == F.col("g.main")) | (F.col("f.id") < F.col("g.id"))
     near = (F.col("f.prefix") == F.col("g.prefix")) & (F.col("f.component") != F.col("g.component")) & once & (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)) & (differ <= int(SKETCH * (1 - short) / 2))
+    if whole:
+        near = near & similar(F.col("f.shingles"), F.col("g.shingles"), threshold)
     return few.join(many, near).select(F.least("f.id", "g.id").alias("a"), F.greatest("f.id", "g.id").alias("b")).distinct()
 
 
