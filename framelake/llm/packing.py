@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from framelake.runtime import small_batches
 
 WINDOW = 1024
-BLOCK_TOKENS = 8_000_000  #: tokens packed at a time (32 MB)
+BLOCK_TOKENS = 4_000_000  #: tokens packed at a time (16 MB)
 
 
 class RoomTree:

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from framelake.runtime import small_batches
 
 BITS = 18
-SAMPLE = 6_000  #: labelled rows that the chain is fitted on, at most
+SAMPLE = 4_000  #: labelled rows that the chain is fitted on, at most
 FOLDS = 3
 TELLING = 600  #: features of a model, at most
 ODDS = 8.0  #: bound of the log odds that a later model is given
-WORD_MEMO = 1 << 17
+WORD_MEMO = 1 << 16
 PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(r"\w+")
 
