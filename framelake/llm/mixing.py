@@ -87,16 +87,19 @@ def solve(histogram: DataFrame, wanted: DataFrame, most: int = MAX_COPIES) -> Da
     return state.select("source", "target", "cap", "scale", "tilt")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, row: str | None = None) -> DataFrame:
     """``(key, source, size, source_size, target, rate, copies, taken)``, one row per row of ``docs``.
 
+    With ``row``, a column of ``docs`` that differs in every row, that column comes first.
+
     ``copies`` (0 to ``most``) is how often the mix takes the document and ``taken`` its words then.
     A null or empty text has size 0 and takes no words; it keeps one copy. Null sources are one
     source, last in order. Rows with equal keys are documents of their own, told apart by a hash of
     their text; fully repeated rows may swap their copies. One source: its target is its size. No
     rows: none. The source of a third of all rows spreads over many buckets in every step.
     """
-    rows = staged(docs.select(F.col(key), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.lit(7), F.col(text)).alias("h")))
+    own = [row] if row else []
+    rows = staged(docs.select(*own, F.col(key), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.lit(7), F.col(text)).alias("h")))
     histogram = staged(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = staged(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")))
     wanted = staged(targets(per_source, weights, most))
@@ -123,14 +126,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sizes = sizes.withColumn("_mid", before("_t", Window.partitionBy("_s", "_level").orderBy("size"))).drop("_t")
     inner = buckets.withColumn("_in", before("_sum", Window.partitionBy("_s", "size").orderBy("_cut")))
     firsts = inner.join(sizes, ["_s", "_level", "size"]).join(levels, ["_s", "_level"]).select("_s", *order, (F.col("_low") + F.col("_mid") + F.col("_in")).alias("_first"))
-    run = F.col("_first") + before("part", Window.partitionBy("_s", *order).orderBy("h", key))
+    run = F.col("_first") + before("part", Window.partitionBy("_s", *order).orderBy("h", key, *own))
     placed = rated.join(firsts, ["_s", *order]).withColumn("_run", run)
     one = 1_000_000_000
     up = F.floor((F.col("_run") + F.col("part") + one // 2) / one) - F.floor((F.col("_run") + one // 2) / one)
     rounded = staged(placed.withColumn("copies", (F.floor("rate") + up).cast("int")).drop("_run", "_first", "part"))
     changes = staged(_repair(rounded, spread, most))
     fixed = join_lookup(rounded, changes, ["_s", "size", "h"]).withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-    return fixed.select(key, "source", F.col("size").cast("long").alias("size"), "source_size", "target", "rate", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return fixed.select(*own, key, "source", F.col("size").cast("long").alias("size"), "source_size", "target", "rate", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def _repair(rounded: DataFrame, spread: DataFrame, most: int) -> DataFrame:
@@ -162,7 +165,12 @@ def _repair(rounded: DataFrame, spread: DataFrame, most: int) -> DataFrame:
     return rows.join(single, ["_s", "size", "h"], "left_semi")
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` (keys unique) as often as ``mixed`` takes them."""
-    often = mixed.where("copies > 0").select(key, "copies")
-    return docs.join(often, key).withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
+def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them.
+
+    Rows get a number, staged with them, by which their copies come back; so null and repeated keys
+    and fully repeated rows are documents of their own.
+    """
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    often = mix(numbered, key, text, source, weights, most, row="_row").where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return numbered.join(often, "_row").withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)

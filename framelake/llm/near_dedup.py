@@ -260,8 +260,27 @@ def _near_pairs(rest: DataFrame, sets: DataFrame, threshold: int, whole: bool =
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which ``near_duplicates`` keeps one for each component; rows with a null key stay."""
-    found = staged(near_duplicates(docs.where(F.col(key).isNotNull()), key, text, shingle, threshold))
-    gone = staged(found.where("not kept").select(F.col(key)))
+    """The rows of ``docs`` of which ``near_duplicates`` keeps one for each component, that of the least key.
+
+    Rows with a null key stay. Where keys repeat, rows are told apart by a number staged with them:
+    rows of one key and different texts are documents of their own, and of fully repeated rows one
+    stays, without words too.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    known = docs.where(F.col(key).isNotNull())
+    if known.groupBy(key).count().where("count > 1").limit(1).count():
+        docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+        known = docs.where(F.col(key).isNotNull())
+        found = staged(near_duplicates(known, "_row", text, shingle, threshold))
+        same = staged(known.select("_row", F.col(key).alias("_key"), F.xxhash64(*columns).alias("_hash")))
+        # a document without words is linked with nothing, but with its repeated rows
+        wordless = F.col("n_shingles") == 0
+        group = [F.when(~wordless, F.col("component_id")).alias("_c"), F.when(wordless, F.col("_key")).alias("_k"), F.when(wordless, F.col("_hash")).alias("_h")]
+        kept = found.join(same, "_row").groupBy(*group).agg(F.min(F.struct("_key", "_row")).alias("_least")).select("_least._row")
+        gone = staged(found.select("_row").join(kept, "_row", "left_anti"))
+        on = "_row"
+    else:
+        found = staged(near_duplicates(known, key, text, shingle, threshold))
+        gone, on = staged(found.where("not kept").select(F.col(key))), key
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, on, "left_anti").select(*columns)

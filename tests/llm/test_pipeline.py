@@ -45,3 +45,27 @@ def test_stages(spark, tmp_path):
     assert tokens.max() <= 1024 and np.sum(tokens) == docs.agg(F.sum("length")).first()[0]
     starts = docs.where("start = 0").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in starts} == {i: kept[3].count(i) for i in set(kept[3])}
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    again, changed = prose(80), prose(90)
+    rows = [(i, prose(rng.randrange(60, 120)), "en", f"src{i % 3}", 0) for i in range(60)]
+    rows += [(100, again, "en", "src0", 0)] * 30 + [(101, "", "en", "src1", 0)] * 4 + [(102, changed, "en", "src1", 0), (102, prose(70), "en", "src2", 0), (103, changed, "en", "src1", 0)]
+    rows += [(None, prose(100), "en", f"src{i % 3}", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = staged(corpus_pipeline.near_dedup_stage(spark, docs, ""))
+    assert left.columns == docs.columns
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, {r for r in docs.collect() if r.doc_id != 103}))
+    # m equal rows are m documents, of at most three copies each; rows without an id are mixed as well
+    docs, mixed = staged(docs), corpus_pipeline.mixing_stage(spark, docs, "")
+    out = mixed.collect()
+    assert mixed.columns == docs.columns and set(out) <= set(map(tuple, rows))
+    assert all(out.count(r) <= 3 * rows.count(tuple(r)) for r in set(out))
+    words = lambda rs: sum(len((r[1] or "").split()) for r in rs)
+    assert abs(words(out) - words(rows)) <= 0.05 * words(rows)
+    assert sum(r.doc_id == 101 for r in out) == 4
+    # sources whose documents are taken at the full rate give every row back
+    one = spark.createDataFrame([r for r in rows if r[3] == "src0"], docs.schema)
+    assert sorted(map(repr, corpus_pipeline.mixing_stage(spark, one, "").collect())) == sorted(map(repr, one.collect()))
