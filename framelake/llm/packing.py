@@ -87,7 +87,8 @@ def _encoder(path: str):
     """Encode texts to numpy ids as the tokenizer file ``path`` (byte-level BPE) does.
 
     A ``.tiktoken`` file of the same vocabulary beside it is used where there is one, being faster;
-    it is given the special tokens of the ``.json`` file.
+    it is given the special tokens of the ``.json`` file. Its pattern fails on very long runs of
+    blanks; such a text is left to the ``.json`` file.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
@@ -105,7 +106,14 @@ def _encoder(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
         special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
         fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        _encoders[path] = lambda texts: [np.asarray(fast.encode(t, allowed_special="all"), np.uint32) for t in texts]
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return np.asarray(fast.encode(text, allowed_special="all"), np.uint32)
+            except ValueError:
+                return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _encoders[path] = lambda texts: [encode(t) for t in texts]
     return _encoders[path]
 
 

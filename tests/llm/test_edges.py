@@ -53,6 +53,17 @@ def test_packing(docs, odd_texts):
         assert at <= 1024
 
 
+def test_packing_of_very_long_blanks(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a b", "x" + " " * 2_000_000 + "y", "\n" * 1_100_000]
+    slow = Tokenizer.from_file(BYTES)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES).orderBy("doc_id", "start").collect()
+    for i, t in enumerate(texts):
+        got = np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows if r.doc_id == i])
+        assert np.array_equal(got, [*slow.encode(t, add_special_tokens=False).ids, 0])
+
+
 def test_tightest_window():
     rng = np.random.default_rng(1)
     tree, rooms = packing.RoomTree(100), []
