@@ -600,7 +600,7 @@ def cell_geometry(spark, d):
 def quat_kmeans(spark, d):
     q = workload.quaternions(spark, d)
     whole = staged(q.join(q.groupBy("frame").count().where("count = 3").select("frame"), "frame", "left_semi"))
-    return _rounded(orientation.k_means(whole, 3, 20)[1], 5)
+    return _rounded(orientation.k_means(whole, 3)[1], 5)
 
 
 # --- files and structures ------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -155,16 +156,26 @@ def update_centroids(states: DataFrame, assigned: DataFrame, centroids: DataFram
 
 
 def k_means(states: DataFrame, k: int = 3, steps: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(centroids ``ref, slot, w, x, y, z``; assignment ``frame, state, distance``) when assignments no longer change."""
+    """(centroids ``ref, slot, w, x, y, z``; assignment ``frame, state, distance``) when one more step changes nothing.
+
+    Equal assignments alone are not enough, as members may still turn to the other side of a centroid
+    and move it. What still changes after ``steps`` steps is an error.
+    """
     centroids, seen = staged(initial_centroids(states, k)), None
-    for _ in range(steps):
+    for _ in range(steps + 1):
         assigned = staged(nearest_state(states, centroids))
         mark = assigned.agg(F.sum(F.xxhash64("frame", "state").cast("decimal(20,0)"))).first()[0]
-        if mark == seen:
-            break
-        seen = mark
-        centroids = staged(update_centroids(states, assigned, centroids))
-    return centroids, assigned
+        new = staged(update_centroids(states, assigned, centroids))
+        if mark == seen and not _moved(centroids, new):
+            return centroids, assigned
+        seen, centroids = mark, new
+    raise RuntimeError(f"k-means still changes after {steps} steps")
+
+
+def _moved(old: DataFrame, new: DataFrame) -> bool:
+    """Whether a centroid differs by more than sums in another order do."""
+    far = reduce(lambda a, b: a | b, (F.abs(F.col(f"o.{c}") - F.col(f"n.{c}")) > 1e-9 for c in "wxyz"))
+    return bool(old.alias("o").join(F.broadcast(new.alias("n")), ["ref", "slot"]).where(far).limit(1).count())
 
 
 def carbonate_orientations(atoms: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelake import catalogue
 from framelake.functions.geometry import Cell
 from framelake.operators import generate, orientation
 
@@ -69,3 +70,15 @@ def test_k_means_finds_two_groups(spark):
     assert len({groups[f] for f in range(10)}) == len({groups[f] for f in range(10, 20)}) == 1 and groups[0] != groups[19]
     far = orientation.nearest_state(states, states.where("frame = 0").select(F.lit(0).alias("ref"), "slot", "w", "x", "y", "z"), 0.3)
     assert {r.state for r in far.where("frame >= 10").collect()} == {0}
+
+
+def test_k_means_query_is_stable(spark, monkeypatch):
+    """One more step of the registered parameters changes nothing, where 20 steps are too few."""
+    made, k_means = [], orientation.k_means
+    monkeypatch.setattr(orientation, "k_means", lambda states, *a: made.append((states, *k_means(states, *a))) or made[0][1:])
+    catalogue.queries()["quat_kmeans"](spark, "/root/testdata/sf0.1")
+    states, centroids, assigned = made[0]
+    again = orientation.nearest_state(states, orientation.update_centroids(states, assigned, centroids))
+    assert assigned.count() > 600 and assigned.join(again, ["frame", "state"], "left_anti").count() == 0
+    with pytest.raises(RuntimeError):
+        k_means(states, 3, 2)
