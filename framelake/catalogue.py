@@ -96,6 +96,13 @@ def slice_frames(spark, d):
     return transforms.slice_frames(ev, *transforms.parse_slice("10:9000:7"))
 
 
+@register("SELECT event_id AS frame, user_id, event_type FROM events WHERE event_id >= 10 AND (event_id - 10) % 7 = 0")
+def slice_frames_open(spark, d):
+    """The slice without an end, so that it grows with the table."""
+    ev = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("frame"), "user_id", "event_type")
+    return transforms.slice_frames(ev, *transforms.parse_slice("10::7"))
+
+
 @register(f"WITH {ATOMS} SELECT frame, atom_index, type FROM atoms WHERE type IN ('T0', 'T3') OR atom_index BETWEEN 5 AND 20 OR atom_index = 2")
 def sel_type_union(spark, d):
     return select(workload.atoms(spark, d), "aT0,T3,i2,5-20", strict=True).select("frame", "atom_index", "type")

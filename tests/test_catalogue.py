@@ -23,3 +23,11 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     got, want = catalogue.queries()[name](spark, DATA).toPandas(), con.sql(catalogue.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
+
+
+def test_open_slice_reaches_the_end(spark):
+    """Of 100 000 events the slice without an end gives every seventh from 10 on, and the rows of its SQL."""
+    con, big = duckdb.connect(), DATA.replace("sf0.001", "sf0.1")
+    con.sql(f"create view events as select * from '{big}/events.parquet'")
+    got, want = catalogue.queries()["slice_frames_open"](spark, big).toPandas(), con.sql(catalogue.oracle_sql()["slice_frames_open"]).df()
+    assert rows_of(got) == rows_of(want) and got["frame"].max() > 99_990
