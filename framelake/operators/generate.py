@@ -157,12 +157,19 @@ def slab(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float =
 
 
 def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap: float = 0.1) -> list[float]:
-    """Shifts (in plane spacings) in the middle of every gap between atomic layers of one spacing."""
-    rows = slab(atoms, cell, hkl).select(F.round(F.pmod("depth", F.lit(1.0)), 6).alias("d")).distinct()
-    layers = sorted(r[0] for r in rows.limit(10_000).collect())
+    """Shifts (in plane spacings) in the middle of every gap between atomic layers of one spacing.
+
+    Layers are gathered as the least and greatest depth of bins no wider than half a gap, so a gap
+    lies between bins and at most ``2 * spacing / gap + 1`` of them come to the driver, exactly.
+    """
+    if gap <= 0:
+        raise ValueError("a gap is wider than 0")
     _, spacing = surface_basis(cell, hkl)
-    ends = layers[1:] + [layers[0] + 1.0] if layers else []
-    return [(a + b) / 2 % 1.0 for a, b in zip(layers, ends, strict=True) if (b - a) * spacing >= gap]
+    bins = math.ceil(2 * spacing / gap)
+    rows = slab(atoms, cell, hkl).select(F.round(F.pmod("depth", F.lit(1.0)), 6).alias("d"))
+    layers = sorted((r[1], r[2]) for r in rows.groupBy(F.floor(F.col("d") * bins)).agg(F.min("d"), F.max("d")).collect())
+    ends = [low for low, _ in layers[1:]] + [layers[0][0] + 1.0] if layers else []
+    return [(a + b) / 2 % 1.0 for (_, a), b in zip(layers, ends, strict=True) if (b - a) * spacing >= gap]
 
 
 def align_x(atoms: DataFrame, basis: np.ndarray, direction: np.ndarray) -> DataFrame:

@@ -39,6 +39,16 @@ def test_slab_has_whole_layers(spark, hkl):
     assert len(generate.possible_cuts(atoms, cell, hkl)) in (1, 2)
 
 
+def test_cuts_between_many_layers(spark):
+    """40 000 depths of their own from 0 to 8.5 of 10: the one gap is above them, and none is lost."""
+    cell = Cell.of_lengths(10, 10, 10)
+    atoms = spark.range(40_000).select(F.lit(0).cast("long").alias("frame"), F.col("id").alias("atom_index"), F.lit("A").alias("type"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), (F.col("id") * 8.5 / 39_999).alias("z"))
+    assert generate.possible_cuts(atoms, cell, (0, 0, 1), 0.002) == pytest.approx([0.925], abs=1e-6)
+    for z, cut in ((2.0, 0.7), (9.5, 0.45)):
+        one = atoms.limit(1).withColumn("z", F.lit(z))
+        assert generate.possible_cuts(one, cell, (0, 0, 1)) == pytest.approx([cut])
+
+
 def test_assignment():
     cost = np.random.default_rng(0).random((5, 5))
     import itertools
