@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.runtime import staged
+from framelake.runtime import Scratch, staged
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -20,22 +20,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     outgrow the input, and a node with very many neighbours is only ever aggregated, not collected.
     """
     k = list(keys)
-    pairs = edges.select(*k, F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    nodes = pairs.select(*k, "a").union(pairs.select(*k, "b")).distinct()
-    current = staged(pairs.where("a <> b").select(*k, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = staged(nodes)
-    seen = None
-    while True:
-        # large star: every neighbour above v points to the least node around v
-        both = current.union(current.select(*k, F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(*k, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, [*k, "a"]).where("b > a").select(*k, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: v and its neighbours below it point to the least of them
-        low = large.groupBy(*k, "a").agg(F.min("b").alias("m"))
-        hooked = large.join(low, [*k, "a"]).select(*k, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        current = staged(hooked.union(low.select(*k, "a", F.col("m").alias("b"))).distinct())
-        state = current.agg(F.count("*"), F.sum(F.xxhash64(*k, "a", "b").cast("decimal(20,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return nodes.join(current, [*k, "a"], "left").select(*k, F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
+    with Scratch(edges.sparkSession) as scratch:
+        pairs = edges.select(*k, F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+        pairs = scratch.staged(pairs.select(*k, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        nodes = pairs.select(*k, "a").union(pairs.select(*k, "b")).distinct()
+        current, seen = pairs.where("a <> b"), None
+        while True:
+            # large star: every neighbour above v points to the least node around v
+            both = current.union(current.select(*k, F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy(*k, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+            large = both.join(low, [*k, "a"]).where("b > a").select(*k, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # small star: v and its neighbours below it point to the least of them
+            low = large.groupBy(*k, "a").agg(F.min("b").alias("m"))
+            hooked = large.join(low, [*k, "a"]).select(*k, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+            current = scratch.staged(hooked.union(low.select(*k, "a", F.col("m").alias("b"))).distinct(), slot="edges")
+            state = current.agg(F.count("*"), F.sum(F.xxhash64(*k, "a", "b").cast("decimal(20,0)"))).first()
+            if state == seen:
+                break
+            seen = state
+        found = nodes.join(current, [*k, "a"], "left").select(*k, F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
+        return staged(found)

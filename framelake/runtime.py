@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor sees.
 
-    Where the session names none (tests, one machine) a temporary folder is set once.
+    Where the session names none and all tasks run in the driver's own process (tests), a temporary
+    folder is set once; on a cluster that is an error, as executors could not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/framelake-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of staged data, by the file system it lives on."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -39,15 +52,54 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
-    """Join a lookup with unique keys: broadcast when its counted rows are few, else a shuffle join that AQE can split.
+class Scratch:
+    """Staged steps of one operator, deleted when it is left; what it returns must not read them.
+
+    ``slot`` names a step that replaces an earlier one, which is deleted once the new one is written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.count, self.slots = spark, shared_dir(spark), 0, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        discard(self.spark, self.base)
+
+    def staged(self, df: DataFrame, slot: str | None = None) -> DataFrame:
+        self.count += 1
+        path = f"{self.base}/{self.count}"
+        out = staged(df, path=path)
+        if slot:
+            before = self.slots.get(slot)
+            self.slots[slot] = path
+            if before:
+                discard(self.spark, before)
+        return out
+
+
+def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """Join a lookup with unique keys: broadcast when its counted rows are at most ``most``, else a shuffle join that AQE can split.
 
     ``lookup`` should be staged or cheap, as it is counted unless ``rows`` is given.
     """
-    n = lookup.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return big.join(F.broadcast(lookup) if n <= BROADCAST_ROWS else lookup, on, how)
+    n = lookup.limit(most + 1).count() if rows is None else rows
+    return big.join(F.broadcast(lookup) if n <= most else lookup, on, how)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand at most so many rows at a time to Python, as one text may be very long."""
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand at most so many rows at a time to Python from now on, as one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """As ``small_batches`` for what is run (not only planned) inside; the setting before holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
