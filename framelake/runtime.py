@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has, for columns that an operator adds and takes away again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
