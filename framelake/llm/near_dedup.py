@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.operators.components import connected_components
-from framelake.runtime import Scratch, batches_of, join_lookup, staged
+from framelake.runtime import Scratch, batches_of, fresh, join_lookup, staged
 
 TREES = 24
 LEAST, DEPTH = 5, 20  #: minima of the shortest common prefix of candidates, and of a key in an order
@@ -412,21 +412,20 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     staged with them: rows of one key and different texts are documents of their own, and of fully
     repeated rows one stays, without words too. Columns may have any names.
     """
-    whole, names = docs, list(docs.columns)
-    docs = whole.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"))
-    known = docs.where("key is not null")
-    integers = isinstance(whole.schema[key].dataType, T.IntegralType)
-    if integers and not known.groupBy("key").count().where("count > 1").limit(1).count():
-        found = near_duplicates(known, "key", "text", shingle, threshold)
-        gone = staged(found.where("not kept").select("key"))
-        return join_lookup(whole, gone.withColumnRenamed("key", key), [key], "left_anti", BROADCAST_IDS).select(*whole.columns)
-    docs = staged(docs.withColumn("row", F.monotonically_increasing_id()))
-    known = docs.where("key is not null")
-    found = near_duplicates(known.select("row", "text"), "row", "text", shingle, threshold)
-    same = known.select("row", "key", F.xxhash64("all").alias("hash"))
+    columns = docs.columns
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
+    integers = isinstance(docs.schema[key].dataType, T.IntegralType)
+    if integers and not narrow.groupBy("key").count().where("count > 1").limit(1).count():
+        found = near_duplicates(narrow, "key", "text", shingle, threshold)
+        gone = staged(found.where("not kept").select(F.col("key").alias(key)))
+        return join_lookup(docs, gone, [key], "left_anti", BROADCAST_IDS).select(*columns)
+    (row,) = fresh(docs, "row")
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    known = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(*columns).alias("hash")).where("key is not null")
+    found = near_duplicates(known, "row", "text", shingle, threshold)
     # a document without words is linked with nothing, but with its repeated rows
     wordless = F.col("n_shingles") == 0
     group = [F.when(~wordless, F.col("component_id")).alias("c"), F.when(wordless, F.col("key")).alias("k"), F.when(wordless, F.col("hash")).alias("h")]
-    kept = found.join(same, "row").groupBy(*group).agg(F.min(F.struct("key", "row")).alias("least")).select("least.row")
-    gone = staged(found.select("row").join(kept, "row", "left_anti"))
-    return join_lookup(docs, gone, ["row"], "left_anti", BROADCAST_IDS).select("all.*")
+    kept = found.join(known.select("row", "key", "hash"), "row").groupBy(*group).agg(F.min(F.struct("key", "row")).alias("least")).select("least.row")
+    gone = staged(found.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row))
+    return join_lookup(docs, gone, [row], "left_anti", BROADCAST_IDS).select(*columns)

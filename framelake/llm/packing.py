@@ -5,14 +5,22 @@ window. Pieces are taken in order of decreasing length, and each goes into the o
 free room is least but enough. A segment tree indexed by free room finds that window: a leaf holds
 the open windows with just that much room, an inner node says whether any leaf below has one.
 
-Each task packs the documents of its own partition, in blocks of a bounded number of tokens, so no
-token is ever shuffled and memory does not depend on the input. Only the last windows of a block
-can stay partly empty; windows that a block leaves open are offered to the next block of the task.
+Each task packs the documents of its own partition, in blocks of a bounded number of tokens, so
+memory does not depend on the input; windows that a block leaves open are offered to the next block
+of the task. What a task leaves far from full at its end goes to a second pass: the pieces of such
+windows, as rows of three numbers without their ids, are gathered from all tasks, dealt to as few
+tasks as bounded blocks allow, and packed by best fit again. So padding does not depend on how the
+input is partitioned.
+
+Ids come from ``tokenizers``. A pre-token of byte-level BPE never reaches over a blank that stands
+before a character other than white space, so a text is cut there, and the ids of each such word are
+asked of the tokenizer once and kept in a bounded table. Texts with special tokens are encoded whole.
 """
 
 from __future__ import annotations
 
-import base64
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.runtime import small_batches
+from framelake.runtime import batches_of, join_lookup, staged
 
 WINDOW = 1024
 BLOCK_TOKENS = 4_000_000  #: tokens packed at a time (16 MB)
+LOOSE = 1 / 32  #: share of a window that may stay empty before it goes to the second pass
+BLOCK_PIECES = 500_000  #: pieces of the second pass packed at a time
+WORD_MEMO, WORD_CHARS = 1 << 20, 64  #: words kept, and their characters at most
+_GAP, _WIDE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
+#: Letters and then signs, on one line or two: each group is a pre-token of its own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?)?")
 
 
 class RoomTree:
@@ -80,40 +94,62 @@ def best_fit(lengths: np.ndarray, capacity: int, tree: RoomTree, next_window: in
     return window, offset, next_window
 
 
-_encoders: dict[str, object] = {}
+class WordEncoder:
+    """Ids of texts, as bytes of little-endian unsigned 32-bit, under a byte-level BPE ``tokenizers`` file."""
 
-
-def _encoder(path: str):
-    """Encode texts to numpy ids as the tokenizer file ``path`` (byte-level BPE) does.
-
-    A ``.tiktoken`` file of the same vocabulary beside it is used where there is one, being faster;
-    it is given the special tokens of the ``.json`` file. Its pattern fails on very long runs of
-    blanks; such a text is left to the ``.json`` file.
-    """
-    if path not in _encoders:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(path)
-        _encoders[path] = lambda texts: [np.asarray(e.ids, np.uint32) for e in slow.encode_batch(texts, add_special_tokens=False)]
-        ranks_path = path.removesuffix(".json") + ".tiktoken"
-        try:
-            lines = open(ranks_path, "rb").read().split(b"\n")  # noqa: SIM115
-        except FileNotFoundError:
-            return _encoders[path]
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
-        fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-        def encode(text: str) -> np.ndarray:
-            try:
-                return np.asarray(fast.encode(text, allowed_special="all"), np.uint32)
-            except ValueError:
-                return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-
-        _encoders[path] = lambda texts: [encode(t) for t in texts]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.unsplit = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.unsplit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # for single pre-tokens
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}  # words that stand behind a blank
+        self.pieces: dict[str, bytes] = {}  # single pre-tokens
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words behind a blank: by their pre-tokens where those are plain, else as the library splits them."""
+        plain, odd = {}, []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                first, *rest = (g for g in m.groups() if g)
+                plain[w] = [" " + first, *rest]
+            else:
+                odd.append(w)
+        if len(self.pieces) > WORD_MEMO:
+            self.pieces.clear()
+        new = list({x for parts in plain.values() for x in parts if x not in self.pieces})
+        for x, e in zip(new, self.unsplit.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.pieces[x] = array("I", e.ids).tobytes()
+        made = {w: b"".join([self.pieces[x] for x in parts]) for w, parts in plain.items()}
+        made.update(zip(odd, self.ids([" " + w for w in odd]), strict=True))
+        if len(self.words) + len(made) > WORD_MEMO:
+            self.words.clear()
+        self.words.update({w: x for w, x in made.items() if len(w) <= WORD_CHARS})
+        return made
+
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.ids([text])[0]
+        first, *rest = _GAP.split(text) if _WIDE.search(text) else text.split(" ")
+        found = list(map(self.words.get, rest))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            made = self.learn(list({rest[i] for i in missing}))
+            for i in missing:
+                found[i] = made[rest[i]]
+        return self.ids([first])[0] + b"".join(found)
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
@@ -131,21 +167,28 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     text is ``end_id`` alone. Special strings in texts are the tokenizer's special tokens. Every id
     is in one piece. Equal keys, null keys and repeated rows are documents of their own. An empty
     table gives an empty one; other columns are not read. Sequence numbers start at the number of
-    the task times 2**36, so they are unique, and a task that is run again gives the same ones.
+    the task times 2**36 (those of the second pass are negative), so they are unique, and a task that
+    is run again gives the same ones.
     """
-    small_batches(docs.sparkSession, 500)
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(path)
+        end = np.uint32(end_id).astype("<u4").tobytes()
         tree, next_window = RoomTree(window), TaskContext.get().partitionId() << 36
+        used: dict[int, int] = {}  # of windows that are not full
         keys, ids, held = [], [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal next_window, held
-            pieces = [(i, at, min(window, len(x) - at)) for i, x in enumerate(ids) for at in range(0, len(x), window)]
+            pieces = [(i, at, min(window, len(x) // 4 - at)) for i, x in enumerate(ids) for at in range(0, len(x) // 4, window)]
             lengths = np.array([p[2] for p in pieces], np.int64)
             to, offset, next_window = best_fit(lengths, window, tree, next_window)
+            for w, top in zip(to.tolist(), (offset + lengths).tolist(), strict=True):
+                used[w] = max(used.get(w, 0), top)
+            for w in [w for w, n in used.items() if n >= window * (1 - LOOSE)]:
+                del used[w]
             for lo in range(0, len(pieces), 2000):
                 part = pieces[lo : lo + 2000]
                 yield pd.DataFrame(
@@ -153,10 +196,11 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
                         "key": pd.Series([keys[i] for i, _, _ in part], dtype=object),
                         "start": [at for _, at, _ in part],
                         "length": [n for _, _, n in part],
-                        "ids": [ids[i][at : at + n].astype("<u4").tobytes() for i, at, n in part],
-                        "doc_tokens": [len(ids[i]) for i, _, _ in part],
+                        "ids": [ids[i][4 * at : 4 * (at + n)] for i, at, n in part],
+                        "doc_tokens": [len(ids[i]) // 4 for i, _, _ in part],
                         "sequence_id": to[lo : lo + 2000],
                         "offset": offset[lo : lo + 2000],
+                        "used": None,
                     }
                 )
             keys.clear()
@@ -164,14 +208,42 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
             held = 0
 
         for batch in batches:
-            for k, x in zip(batch["key"].tolist(), encode(batch["text"].tolist()), strict=True):
+            for k, t in zip(batch["key"].tolist(), batch["text"].tolist(), strict=True):
                 keys.append(None if pd.isna(k) else k)
-                ids.append(np.append(x, np.uint32(end_id)))
-                held += len(x) + 1
+                ids.append(encode(t) + end)
+                held += len(ids[-1]) // 4
             if held >= block_tokens:
                 yield from flush()
         if ids:
             yield from flush()
+        if used:  # rows of another kind: what this task leaves far from full
+            names = ["key", "start", "length", "ids", "doc_tokens"]
+            yield pd.DataFrame({**dict.fromkeys(names), "sequence_id": list(used), "offset": 0, "used": pd.Series(list(used.values()), dtype="Int64")})
 
-    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *PIECE.fields])
-    return rows.mapInPandas(packed, schema).withColumnRenamed("key", key)
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *PIECE.fields, T.StructField("used", T.LongType())])
+    with batches_of(spark, 500):
+        made = staged(rows.mapInPandas(packed, schema))
+    pieces, loose = made.where("used is null").drop("used"), made.where("used is not null").select("sequence_id")
+    opened = join_lookup(pieces.select("sequence_id", "offset", "length"), loose, ["sequence_id"], "left_semi")
+    moves = staged(_second_pass(staged(opened), window))
+    found = join_lookup(pieces, moves, ["sequence_id", "offset"])
+    moved = found.withColumns({"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.coalesce("at", "offset")})
+    return moved.select(F.col("key").alias(key), *PIECE.names)
+
+
+def _second_pass(pieces: DataFrame, window: int) -> DataFrame:
+    """``(sequence_id, offset, into, at)``: the new places of pieces, which are told apart by their old ones.
+
+    New sequences have negative numbers, which the first pass does not use.
+    """
+    parts = -(-pieces.count() // BLOCK_PIECES) or 1
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = -(TaskContext.get().partitionId() << 36) - 1
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("sequence_id", "offset", "length")})
+        whole = pd.concat([empty, *batches], ignore_index=True).sort_values(["sequence_id", "offset"], kind="stable")
+        to, at, _ = best_fit(whole["length"].to_numpy(np.int64), window, RoomTree(window), 0)
+        yield pd.DataFrame({"sequence_id": whole["sequence_id"], "offset": whole["offset"], "into": first - to, "at": at})
+
+    dealt = pieces.repartition(parts, F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(parts)))
+    return dealt.mapInPandas(packed, "sequence_id long, offset long, into long, at long")

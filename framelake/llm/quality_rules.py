@@ -8,6 +8,7 @@ shrunken rate for any rule passes the limit loses all its documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.runtime import join_lookup, small_batches, staged
+from framelake.runtime import fresh, join_lookup, small_batches, staged
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"[#*$%&|<>]"
@@ -67,22 +68,15 @@ def measured(text: Column) -> Column:
     return measures(text)
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add a struct column ``q`` with the measures and one boolean per rule (and ``base_failed``)."""
+def with_measures(df: DataFrame, text: str = "text", name: str = "q") -> DataFrame:
+    """Add a struct column ``name`` with the measures and one boolean per rule (and ``base_failed``)."""
     small_batches(df.sparkSession)
-    out = df.withColumn("q", measured(F.col(text)))
-    inner = out.select("q.*").columns
-    rules = {n: F.expr(_inside(e, inner)) for n, e in RULES.items()}
+    out = df.withColumn(name, measured(F.col(text)))
+    rules = {n: F.expr(re.sub(r"\bn_\w+", lambda m: f"`{name}`.{m[0]}", e)) for n, e in RULES.items()}
     failed = F.lit(False)
     for c in rules.values():
         failed = failed | c
-    return out.withColumn("q", F.struct("q.*", *[c.alias(n) for n, c in rules.items()], failed.alias("base_failed")))
-
-
-def _inside(expression: str, names: list[str]) -> str:
-    for n in names:
-        expression = expression.replace(n, f"q.{n}")
-    return expression
+    return out.withColumn(name, F.struct(F.col(f"`{name}`.*"), *[c.alias(n) for n, c in rules.items()], failed.alias("base_failed")))
 
 
 def host_verdicts(failures: DataFrame, host: str, rules: list[str], limit: float = 0.5, prior_hosts: int = 2) -> DataFrame:
@@ -112,21 +106,24 @@ def host_verdicts(failures: DataFrame, host: str, rules: list[str], limit: float
     return out.select(host, "documents", F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0)).__gt__(limit).alias("host_failed"), *rates)
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5, keep: list[str] | None = None, names: tuple[str, str] = ("q", "kept")) -> DataFrame:
     """Rows of ``df`` (or only the columns ``keep``) with ``q`` (measures and failed rules) and ``kept``.
 
-    A null or empty text has no words and fails as too short. Texts are measured whole. Rows with
-    equal ids or texts are judged each on its own. The host of a third of all documents costs no
-    more than others: counts are combined before the shuffle and verdicts come back by a
-    size-checked lookup. An empty table gives an empty one. Columns named ``q`` or ``kept`` are
-    replaced.
+    A null or empty text has no words and fails as too short. Texts are measured whole and once: the
+    measured rows are staged. Rows with equal ids or texts are judged each on its own. The host of a
+    third of all documents costs no more than others: counts are combined before the shuffle and
+    verdicts come back by a size-checked lookup. An empty table gives an empty one. Columns with one
+    of the two ``names`` are replaced; other columns may have any names.
     """
-    work = df.drop("q", "kept")
-    measured_rows = with_measures(work.select(text, host, *[c for c in keep or [] if c not in (text, host)]) if keep is not None else work, text)
-    if keep is not None:  # narrow rows: measure once and keep the figures
-        measured_rows = staged(measured_rows.drop(*({text, host} - {host, *keep})))
+    q, kept = names
+    work = df.drop(q, kept)
+    if keep is not None:
+        work = work.select(text, host, *[c for c in keep if c not in (text, host)])
+    place, failed = fresh(work.withColumns({q: F.lit(0), kept: F.lit(0)}), "host", "host_failed")
+    rows = with_measures(work, text, q).withColumn(place, F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")))
+    rows = staged(rows if keep is None else rows.drop(*({text, host} - set(keep))))
     rules = list(RULES)
-    hosts = host_verdicts(measured_rows.select(F.col(host).alias("_host"), *[f"q.{r}" for r in rules]), "_host", rules, limit)
-    bad = staged(hosts.where("host_failed").select(F.coalesce(F.concat(F.lit("="), "_host"), F.lit("")).alias("_host"), "host_failed"))
-    out = join_lookup(measured_rows.withColumn("_host", F.coalesce(F.concat(F.lit("="), host), F.lit(""))), bad, ["_host"])
-    return out.withColumn("kept", ~F.col("q.base_failed") & ~F.coalesce("host_failed", F.lit(False))).drop("_host", "host_failed")
+    hosts = host_verdicts(rows.select(place, *[F.col(f"`{q}`.{r}").alias(r) for r in rules]), place, rules, limit)
+    bad = staged(hosts.where("host_failed").select(place, F.col("host_failed").alias(failed)))
+    out = join_lookup(rows, bad, [place])
+    return out.withColumn(kept, ~F.col(f"`{q}`.base_failed") & ~F.coalesce(failed, F.lit(False))).drop(place, failed)

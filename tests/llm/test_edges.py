@@ -279,3 +279,29 @@ def test_digests_without_python(spark):
     texts = ["", "a", "é", "x" * 999]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.sha1_base32(F.col("t"))).collect()]
     assert got == [base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts]
+
+
+def test_padding_does_not_depend_on_partitions(spark):
+    import random
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(1, 500))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 200):
+        rows = packing.pack(docs.repartition(parts), BYTES).select("doc_id", "start", "length", "sequence_id", "offset").toPandas()
+        total, sequences = rows["length"].sum(), rows["sequence_id"].nunique()
+        assert sequences <= 1.02 * total / 1024 + 2
+        ordered = rows.sort_values(["sequence_id", "offset"])
+        ends = ordered.groupby("sequence_id")["length"].cumsum()
+        assert (ends - ordered["length"] == ordered["offset"]).all() and ends.max() <= 1024
+
+
+def test_ids_are_the_librarys():
+    import random
+
+    rng, encode, tokenizer = random.Random(1), packing.WordEncoder(BYTES), Tokenizer.from_file(BYTES)
+    signs = [*"ab'sl 1!é\n\t<|\x1c\x85  ½Ⅷ²ก็日A,.", "  ", " ", " ", "<|endoftext|>", " \n", "\r\n", "'re", "́"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), 32, 32, rng.randrange(0x10000, 0x1FBFF)])) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [encode(t) for t in texts] == want == [encode(t) for t in texts]
