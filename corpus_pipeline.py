@@ -9,25 +9,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.llm import mixing, near_dedup, packing, quality_rules, toxicity
-from framelake.runtime import staged, table
+from framelake.runtime import fresh, staged, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go; it is fitted on ``labels`` of these documents."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.label_columns())
-    return toxicity.score(docs, chain).where("not toxic").select(*docs.columns)
+    odds, verdict = fresh(docs, "toxicity", "toxic")
+    return toxicity.score(docs, chain, names=(odds, verdict)).where(f"not `{verdict}`").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, and all documents of failed hosts, go."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    measures, verdict = fresh(docs, "q", "kept")
+    return quality_rules.judge(docs, names=(measures, verdict)).where(F.col(verdict)).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays."""
-    return near_dedup.drop_near_duplicates(docs).select(*docs.columns)
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
