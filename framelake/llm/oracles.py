@@ -20,22 +20,22 @@ def _url_filters() -> str:
     bare = lambda u: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({u}, '#.*$', ''), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '([?&])&+', '\1', 'g')"
 
     def address(cols: str, table: str, u: str, name: str) -> str:
-        return f"SELECT {cols}, regexp_replace({host('b')} || regexp_extract({behind('b')}, '^[^/?#]*(.*)$', 1), '/+$', '') AS {name} FROM (SELECT *, {bare(u)} AS b FROM {table})"
+        return rf"SELECT {cols}, regexp_replace(regexp_replace({host('b')}, '^(?:www|m)\.', '') || regexp_extract({behind('b')}, '^[^/?#]*(.*)$', 1), '/+$', '') AS {name} FROM (SELECT *, {bare(u)} AS b FROM {table})"
 
     return rf"""WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 hp AS (SELECT page_id, url, html, {host("url")} AS host, {path("url")} AS path FROM p), r AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM hp),
 n AS ({address("*", "r", "url", "node")}),
-raw AS (SELECT node, url, host, path, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+raw AS (SELECT url, host, path, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
   regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS t FROM n WHERE host <> ''),
-ab AS (SELECT node AS src, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*):', 1) || ':' || t
+ab AS (SELECT url AS src, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*):', 1) || ':' || t
   WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]*):', 1) || '://' || host || t ELSE regexp_extract(url, '^([^:/?#]*):', 1) || '://' || host || regexp_replace(path, '[^/]*$', '') || t END AS url FROM raw WHERE t <> ''),
-lk AS ({address("*", "ab", "url", "dst")}), lr AS (SELECT *, {verdict} AS ruled FROM (SELECT *, {host("url")} AS host, {path("url")} AS path FROM lk)),
-nd AS (SELECT node, ruled FROM n WHERE host <> '' UNION ALL SELECT dst, ruled FROM lr),
-e AS (SELECT src AS a, dst AS b FROM lk UNION SELECT dst, src FROM lk), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
-near AS (SELECT a, b FROM reach UNION SELECT node, node FROM nd),
-told AS (SELECT near.a AS node, max(ruled = 'allow') AS allowed, max(ruled = 'block') AS blocked FROM near JOIN nd ON nd.node = near.b GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict,
-  ruled IS NULL AND coalesce(blocked, false) AND NOT coalesce(allowed, false) AS by_alias FROM n LEFT JOIN told ON told.node = n.node AND n.host <> ''"""
+lk AS (SELECT * FROM ({address("*", "ab", "url", "dst")}) WHERE {host("url")} <> ''), lr AS (SELECT *, {verdict} AS ruled FROM (SELECT *, {host("url")} AS host, {path("url")} AS path FROM lk)),
+nd AS (SELECT url, ruled FROM n WHERE host <> '' UNION ALL SELECT url, ruled FROM lr),
+e0 AS (SELECT url AS a, 'address ' || node AS b FROM n WHERE host <> '' UNION SELECT src, url FROM lk UNION SELECT url, 'address ' || dst FROM lk),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+told AS (SELECT reach.a AS url, max(ruled = 'allow') AS allowed, max(ruled = 'block') AS blocked FROM reach JOIN nd ON nd.url = reach.b GROUP BY ALL)
+SELECT page_id, n.host, path, rule, coalesce(ruled, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict,
+  ruled IS NULL AND coalesce(blocked, false) AND NOT coalesce(allowed, false) AS by_alias FROM n LEFT JOIN told ON told.url = n.url AND n.host <> ''"""
 
 
 def _quality_rules() -> str:

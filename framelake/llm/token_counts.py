@@ -1,21 +1,30 @@
-"""Token counts by a finite-state transducer compiled from a BPE tokenizer.
+"""Token counts by finite-state transducers compiled from a BPE tokenizer.
 
-The tokenizer (a ``tokenizers`` file with word ends, as ``word_bpe_49k.json``) is compiled into a
-deterministic machine of seven states over classes of normalised characters. Its transitions say
-where pre-tokens open and close; a transition that closes one emits that pre-token's number of
-tokens. Byte-pair merges of words of any length are not finite-state, so these annotations are
-compiled when a pre-token is first closed and kept in a bounded table under its 64-bit hash.
+Two machines are compiled from the tokenizer's file (a ``tokenizers`` file with word ends, as
+``word_bpe_49k.json``), and the library counts no token.
+
+The first splits text into pre-tokens: seven states over classes of normalised characters, whose
+transitions say where pre-tokens open and close. The second counts the tokens of a pre-token. BPE has
+a local test: two neighbouring tokens stand as they are unless some merge joins a right part of the
+one to a left part of the other before these parts are merged inwards. So the last token of every
+prefix follows from the last tokens of the shorter prefixes within reach of the longest token, and
+its count is theirs plus one. A state is the longest end of what was read that begins a token, with
+the last tokens and the relative counts of the prefixes that end in it; a transition emits by how much
+the count changes, and a closing transition what the last letter with its word end adds. States and
+transitions are determinised when a text first takes them.
 
 A text is cut into chunks that run side by side. A chunk does not know the state it is entered in,
 so the first pass computes its whole state map (exit state for each entry state). A parallel prefix
 scan, in as many rounds as the logarithm of the number of chunks, composes the maps and so gives
-every chunk its entry state; the second pass then marks the closing transitions of all chunks.
+every chunk its entry state; the second pass marks the closing transitions of all chunks. The counting
+machine is back in its start state at every pre-token, so what it emits is added up over chunks as it
+is. Counts of pre-tokens are kept in a bounded table; a hash finds an entry, all characters confirm it.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +42,7 @@ CLASSES = 12
 #: Classes of characters: the four kinds, the apostrophe, and letters that end or continue a contraction.
 _SPECIAL = {"'": 4, "s": 5, "t": 5, "m": 5, "d": 5, "r": 6, "v": 7, "l": 8, "e": 9}
 _KIND = [SPACE, LETTER, NUMBER, SYMBOL, SYMBOL, *[LETTER] * 5]
+MAX_STATES = 1 << 18  #: states of the counting machine kept; four times as many transitions
 OPENS, OPENED_BEFORE = 1, 2  #: outputs: a pre-token opens here; one opened at the character before
 
 
@@ -70,14 +80,106 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+class BpeCounter:
+    """The counting machine: tokens of a pre-token, given as a string of the byte alphabet."""
+
+    def __init__(self, path: str):
+        model = json.load(open(path, encoding="utf-8"))["model"]  # noqa: SIM115
+        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout"):
+            raise ValueError(f"{path} is no plain BPE model")
+        self.end = model.get("end_of_word_suffix") or ""
+        self.vocabulary: dict[str, int] = model["vocab"]
+        self.rank: dict[tuple[str, str], int] = {}
+        self.parts: dict[str, tuple[str, str, int]] = {}  # of a token: the merge that makes it
+        for i, pair in enumerate(model["merges"]):
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            self.rank.setdefault((left, right), i)
+            self.parts.setdefault(left + right, (left, right, i))
+        self.begins = {t[:n] for t in (t.removesuffix(self.end) for t in self.vocabulary) for n in range(len(t) + 1)}
+        self.stand: dict[tuple[str, str], bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        # the start: nothing read, no last token, count 0
+        self.states: dict[tuple, int] = {("", ("",), (0,)): 0}
+        self.known: list[tuple] = list(self.states)
+        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
+        self.closings: dict[tuple[int, str], int] = {}
+
+    def edge(self, token: str, right: bool) -> list[tuple[str, float]]:
+        """The parts on one side of a token, outermost first, each with the rank at which it is merged inwards."""
+        out, until = [], float("inf")
+        while token:
+            out.append((token, until))
+            left, other, until = self.parts.get(token, ("", "", 0))
+            token = other if right else left
+        return out
+
+    def stands(self, a: str, b: str) -> bool:
+        """Whether token ``b`` may follow token ``a``: no merge joins them earlier than their own parts are joined."""
+        if not a:
+            return True
+        found = self.stand.get((a, b))
+        if found is None:
+            rank, left_side = self.rank.get, self.edge(b, False)
+            found = True
+            for x, x_until in self.edge(a, True):
+                for y, y_until in left_side:
+                    r = rank((x, y))
+                    if r is not None and r < x_until and r <= y_until:  # of one rank the merge farther left comes first
+                        found = False
+            if len(self.stand) > MAX_STATES:
+                self.stand.clear()
+            self.stand[a, b] = found
+        return found
+
+    def last(self, state: tuple, symbol: str, end: str) -> tuple[str, int]:
+        """The last token of what was read and ``symbol``, and its count less that of what was read."""
+        read, lasts, counts = state
+        for at in range(len(read) + 1):  # the longest token first
+            token = read[at:] + symbol + end
+            if token in self.vocabulary and self.stands(lasts[at], token):
+                return token, counts[at] + 1
+        raise ValueError(f"no token ends in {symbol!r}")
+
+    def step(self, state: int, symbol: str) -> tuple[int, int]:
+        read, lasts, counts = self.known[state]
+        token, more = self.last(self.known[state], symbol, "")
+        read, lasts, counts = read + symbol, (*lasts, token), (*(c - more for c in counts), 0)
+        cut = 0
+        while read[cut:] not in self.begins:
+            cut += 1
+        after = read[cut:], lasts[cut:], counts[cut:]
+        number = self.states.setdefault(after, len(self.states))
+        if number == len(self.known):
+            self.known.append(after)
+        self.steps[state, symbol] = number, more
+        return number, more
+
+    def count(self, word: str) -> int:
+        if len(self.known) > MAX_STATES or len(self.steps) + len(self.closings) > 4 * MAX_STATES:
+            self.forget()
+        state, total, steps = 0, 0, self.steps
+        for symbol in word[:-1]:
+            found = steps.get((state, symbol)) or self.step(state, symbol)
+            state, more = found
+            total += more
+        key = state, word[-1]
+        more = self.closings.get(key)
+        if more is None:
+            more = self.closings[key] = self.last(self.known[state], word[-1], self.end)[1]
+        return total + more
+
+
 class CountingTransducer:
-    """The compiled machine; ``counts(texts)`` gives the tokens of each text."""
+    """The compiled machines; ``counts(texts)`` gives the tokens of each text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+        self.split, self.normal = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.normalizer.normalize_str
+        self.machine = BpeCounter(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.alphabet = _byte_alphabet()
@@ -87,10 +189,11 @@ class CountingTransducer:
         random = np.random.default_rng(49_000)
         self.value = random.integers(1, 1 << 63, END + 1, np.uint64)
         self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.words: dict[int, int] = {}
+        self.words: dict[int, tuple[bytes, int]] = {}
 
-    def tokens(self, word: str) -> int:
-        return len(self.model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])))
+    def tokens(self, word: bytes) -> int:
+        """Tokens of a pre-token in UTF-32."""
+        return self.machine.count("".join([self.alphabet[b] for b in word.decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")]))
 
     def learn(self, code: int) -> None:
         """The class of a character, asked of the tokenizer's own splitter."""
@@ -104,9 +207,7 @@ class CountingTransducer:
         parts = self.special.split(text) if self.special and "<|" in text else [text]
         made = []
         for p in parts:
-            if not p.isascii():
-                p = unicodedata.normalize("NFC", p).replace("Σ", "σ")  # no final-sigma rule
-            made.append(p.lower())
+            made.append(p.lower() if p.isascii() else self.normal(p))
         return len(parts) - 1, made
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
@@ -178,28 +279,40 @@ class CountingTransducer:
         return total[cuts[1:]] - total[cuts[:-1]]
 
     def annotations(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens that the closing transition of each pre-token emits."""
+        """Tokens of each pre-token, by the counting machine."""
         size = ends - starts
         hashes = size.astype(np.uint64)
+        widest = min(int(size.max()), 24)
+        live = [np.flatnonzero(size > i) if i else slice(None) for i in range(widest)]
         with np.errstate(over="ignore"):
-            for i in range(min(int(size.max()), 24)):  # short ones, a character of all at a time
-                live = np.flatnonzero(size > i) if i else slice(None)
-                hashes[live] = (hashes[live] ^ self.value[flat[starts[live] + i]]) * self.base
-                hashes[live] ^= hashes[live] >> np.uint64(29)
+            for i in range(widest):  # short ones, a character of all at a time
+                hashes[live[i]] = (hashes[live[i]] ^ self.value[flat[starts[live[i]] + i]]) * self.base
+                hashes[live[i]] ^= hashes[live[i]] >> np.uint64(29)
             for j in np.flatnonzero(size > 24).tolist():
                 hashes[j] ^= np.uint64(hash(flat[starts[j] : ends[j]].tobytes()) & (1 << 63) - 1)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        word = lambda j: flat[starts[j] : ends[j]].tobytes()
+        # pre-tokens that share a hash share all characters, or else are counted one by one
+        like = where[inverse]
+        same = size == size[like]
+        for i in range(widest):
+            rows = live[i]
+            same[rows] &= flat[starts[rows] + i] == flat[starts[like[rows]] + i if i else starts[like] + i]
+        for j in np.flatnonzero((size > 24) & (like != np.arange(len(size)))).tolist():
+            same[j] &= word(j) == word(like[j])
         known, out = self.words, np.empty(len(distinct), np.int64)
-        for k, h in enumerate(distinct.tolist()):
-            n = known.get(h)
-            if n is None:
-                j = where[k]
-                n = self.tokens(flat[starts[j] : ends[j]].tobytes().decode("utf-32-le", "surrogatepass"))
+        for k, (h, j) in enumerate(zip(distinct.tolist(), where.tolist(), strict=True)):
+            w = word(j)
+            found = known.get(h)
+            if found is None or found[0] != w:
                 if len(known) >= MAX_WORDS:
                     known.clear()
-                known[h] = n
-            out[k] = n
-        return out[inverse]
+                found = known[h] = w, self.tokens(w)
+            out[k] = found[1]
+        total = out[inverse]
+        for j in np.flatnonzero(~same).tolist():
+            total[j] = self.tokens(word(j))
+        return total
 
 
 _machines: dict[str, CountingTransducer] = {}

@@ -22,16 +22,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.runtime import small_batches, staged
+from framelake.runtime import batches_of, join_lookup, staged
 
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 256
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
-    """Components ``floor(scale * x)`` in double precision; null for vectors that take no part."""
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**40))
+    """Components ``floor(scale * x)`` in double precision; null for vectors that take no part.
+
+    Those are null vectors and vectors with a null or non-finite component. A finite component whose
+    product passes 62 bits is an error, as no score could hold it.
+    """
+    value = lambda x: F.floor(x.cast("double") * scale)
+    fits = lambda x: F.abs(x.cast("double") * scale) < 2.0**62
+    whole = F.transform(vector, lambda x: F.when(fits(x), value(x)).otherwise(F.raise_error(F.lit("a component passes 62 bits"))).cast("long"))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(finite, whole)
 
 
@@ -111,48 +117,46 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
     ids = group["id"].to_numpy("<i8")
     order = np.argsort(ids, kind="stable")
     values = np.stack(group["v"].to_numpy()).astype("<i8")[order]
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "ids": [ids[order].tobytes()], "vectors": [values.tobytes()]})
+    return pd.DataFrame({"width": [group["width"].iloc[0]], "block": [group["block"].iloc[0]], "ids": [ids[order].tobytes()], "vectors": [values.tobytes()]})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its k rows of highest integer inner product.
 
-    Both inputs have (id long, v array<long>) with vectors of one length. A row is never its own
-    query's result (same id). Ties go to the smaller id; rows that share an id and a score are in
-    any order. Fewer than k rows give all there are. Null vectors take no part, nor do vectors
-    shorter than the longest; no rows or no queries: no result. Sums must fit 62 bits.
+    Both inputs have (id long, v array<long>). A query meets the rows of its own length, as an inner
+    product needs; tables of mixed lengths are searched length by length, side by side. A row is
+    never its own query's result (same id). Ties go to the smaller id; rows that share an id and a
+    score are in any order. Fewer than k rows give all there are. Null vectors and null ids take no
+    part; no rows or no queries: no result. Sums that might pass 62 bits are an error.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
-    rows = staged(vectors.where("v is not null and id is not null").select("id", "v"))
-    asked = staged(queries.where("v is not null and id is not null").select("id", "v"))
-    stats = rows.agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.min(F.size("v")).alias("short"), F.max(F.size("v")).alias("wide")).first()
-    n_queries = asked.count()
+    width = F.size("v").alias("width")
+    rows = staged(vectors.where("v is not null and id is not null").select("id", "v", width))
+    asked = staged(queries.where("v is not null and id is not null").select("id", "v", width))
+    stats = rows.agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.max("width").alias("wide")).first()
+    largest = asked.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
     schema = "query_id long, rank int, vec_id long, score long"
-    if not stats["n"] or not n_queries or not stats["wide"]:
+    if not stats["wide"] or largest is None:
         return spark.createDataFrame([], schema)
-    if stats["short"] != stats["wide"]:
-        keep = F.size("v") == stats["wide"]
-        return top_k(rows.where(keep), asked.where(keep), k, block_rows, block_queries)
-    low, bits, wide = stats["low"], max(1, int(stats["high"] - stats["low"]).bit_length()), stats["wide"]
-    row_blocks, query_blocks = -(-stats["n"] // block_rows), -(-n_queries // block_queries)
-    block = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
-    packed = "block int, ids binary, vectors binary"
-    index = staged(block(rows, row_blocks).groupBy("block").applyInPandas(_packed, packed))
-    asks = staged(block(asked, query_blocks).groupBy("block").applyInPandas(_packed, packed))
-    pairs = (
-        asks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("block"))
-        .join(index, "block")
-        .repartition(max(1, min(row_blocks * query_blocks, 4096)), F.xxhash64("block", "q_ids"))
-    )
+    low, bits = stats["low"], max(1, int(stats["high"] - stats["low"]).bit_length())
+    if max(abs(low), abs(stats["high"]), stats["high"] - low) * largest * stats["wide"] >= 1 << 62:
+        raise OverflowError("scores may pass 62 bits")
+
+    def packed(df: DataFrame, size: int) -> DataFrame:
+        cuts = staged(df.groupBy("width").agg(F.ceil(F.count("*") / size).alias("cuts")))
+        block = join_lookup(df, cuts, ["width"]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("cuts")).cast("int"))
+        return staged(block.groupBy("width", "block").applyInPandas(_packed, "width int, block int, ids binary, vectors binary"))
+
+    index, asks = packed(rows, block_rows), packed(asked, block_queries)
+    pairs = asks.select("width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(index, "width")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for pair in batch.itertuples(index=False):
                 ids = np.frombuffer(pair.ids, "<i8")
-                values = np.frombuffer(pair.vectors, "<i8").reshape(len(ids), wide)
+                values = np.frombuffer(pair.vectors, "<i8").reshape(len(ids), pair.width)
                 q_ids = np.frombuffer(pair.q_ids, "<i8")
-                q_vectors = np.frombuffer(pair.q_vectors, "<i8").reshape(len(q_ids), -1)
+                q_vectors = np.frombuffer(pair.q_vectors, "<i8").reshape(len(q_ids), pair.width)
                 slices = BitSlices(ids, values, low, bits)
                 out = []
                 for q, weights in zip(q_ids.tolist(), q_vectors, strict=True):
@@ -160,7 +164,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
                     out.append((np.full(len(at), q), slices.ids[at], values[at] @ weights))
                 yield pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    small_batches(spark, 4)
-    found = pairs.select("ids", "vectors", "q_ids", "q_vectors").mapInPandas(search, "query_id long, vec_id long, score long")
+    n = index.count() * asks.count()
+    dealt = pairs.select("width", "ids", "vectors", "q_ids", "q_vectors").repartition(max(1, min(n, 4096)), F.xxhash64("ids", "q_ids"))
+    with batches_of(spark, 4):
+        found = staged(dealt.mapInPandas(search, "query_id long, vec_id long, score long"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,19 +1,19 @@
 """URL filters: host and path rules, and verdicts that reach every alias of a page.
 
-Two addresses are aliases when a redirect or a canonical link joins them. Aliases form connected
-components, found by distributed rounds; a block decision on any member holds for the whole
-component unless a member is explicitly allowed. Only DataFrame functions are used.
+Two URLs are aliases when a redirect or a canonical link joins them. The redirects that sites do as a
+matter of course (to another scheme, without ``www.`` or ``m.``, without a tracking query, a fragment
+or the last slash) are edges as well, from each URL to its bare address. Aliases form connected
+components, found by distributed rounds; a block decision on any member holds for the whole component
+unless a member is explicitly allowed. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators.components import connected_components
-from framelake.runtime import staged
+from framelake.runtime import Scratch, join_lookup, staged
 
 #: Rules of the registered query: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -65,12 +65,13 @@ def match_rules(df: DataFrame, rules: DataFrame, key: str, host: str = "host", p
 
 
 def address(url: Column) -> Column:
-    """The form of a URL under which trivial redirects meet: no scheme, fragment, tracking query, trailing slash."""
+    """The form of a URL under which trivial redirects meet: no scheme, www, fragment, tracking query, trailing slash."""
     bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"#.*$", "")
     bare = F.regexp_replace(bare, r"([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*", "$1")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[?&]+$", ""), r"([?&])&+", "$1")
     rest = _behind_scheme(bare)
-    return F.regexp_replace(F.concat(host_of(bare), F.regexp_extract(rest, r"^[^/?#]*(.*)$", 1)), r"/+$", "")
+    host = F.regexp_replace(host_of(bare), r"^(?:www|m)\.", "")
+    return F.regexp_replace(F.concat(host, F.regexp_extract(rest, r"^[^/?#]*(.*)$", 1)), r"/+$", "")
 
 
 def html_targets(url: Column, html: Column) -> Column:
@@ -104,28 +105,27 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     count, as their address may fit a rule. No pages: no rows. Other columns are not read.
     """
     u = F.col(url)
-    judged = pages.select(F.col(key), u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"), address(u).alias("node"), *([html_targets(u, F.col(html)).alias("to")] if html else []))
+    judged = pages.select(F.col(key), u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"), *([html_targets(u, F.col(html)).alias("to")] if html else []))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = staged(judged.withColumns({"rule": rule, "ruled": verdict}))
-    links = []
-    if html:
-        links.append(judged.where("size(to) > 0 and host <> ''").select(F.col("node").alias("src"), F.explode("to").alias("dst")).select("src", "dst", address(F.col("dst")).alias("b")))
-    if redirects is not None:
-        links.append(redirects.select(address(F.col("src")).alias("src"), "dst", address(F.col("dst")).alias("b")))
-    flags = lambda v: (F.max(v == "allow").alias("allowed"), F.max(v == "block").alias("blocked"))
-    nodes = judged.where("host <> ''").groupBy("node").agg(*flags(F.col("ruled")))
-    if links:
-        known = staged(reduce(DataFrame.union, links))
-        named = known.select("b", *(c.alias(n) for c, n in zip(rule_columns(host_of(F.col("dst")), path_of(F.col("dst")), rules), ("rule", "ruled"), strict=True)))
-        nodes = nodes.union(named.groupBy(F.col("b").alias("node")).agg(*flags(F.col("ruled")))).groupBy("node").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
-        if known.limit(1).count():
-            parts = connected_components(known.select("src", F.col("b").alias("dst")))
-            nodes = staged(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-            whole = nodes.groupBy("component").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
-            nodes = nodes.select("node", "component").join(whole, "component").drop("component")
-    decided = nodes.where("blocked and not coalesce(allowed, false)").select("node", F.lit(True).alias("blocked"))
-    # only pages without a rule ask their aliases; the rest need no join
-    asking = judged.where("ruled is null and host <> ''").join(decided, "node", "left")
-    told = judged.where("ruled is not null or host = ''").withColumn("blocked", F.lit(None).cast("boolean"))
-    out = asking.unionByName(told)
-    return out.select(key, "url", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), F.coalesce("blocked", F.lit(False)).alias("by_alias"))
+    named = judged.where("host <> ''")
+    with Scratch(pages.sparkSession) as scratch:
+        links = pages.sparkSession.createDataFrame([], "src string, dst string")
+        if html:
+            links = links.union(named.where("size(to) > 0").select("url", F.explode("to")))
+        if redirects is not None:
+            links = links.union(redirects.select("src", "dst"))
+        links = scratch.staged(links.where((host_of(F.col("src")) != "") & (host_of(F.col("dst")) != "")))
+        ends = links.select(F.explode(F.array("src", "dst")).alias("url"))
+        ends = ends.select("url", rule_columns(host_of(F.col("url")), path_of(F.col("url")), rules)[1].alias("ruled"))
+        seen = named.select("url", "ruled").union(ends)
+        nodes = scratch.staged(seen.groupBy("url").agg(F.max(F.col("ruled") == "allow").alias("allowed"), F.max(F.col("ruled") == "block").alias("blocked")))
+        bare = nodes.select(F.col("url").alias("src"), F.concat(F.lit("address "), address(F.col("url"))).alias("dst"))
+        parts = scratch.staged(connected_components(links.union(bare)))
+        whole = nodes.join(parts.withColumnRenamed("node", "url"), "url")
+        blocked = whole.groupBy("component").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")).where("blocked and not coalesce(allowed, false)")
+        # only URLs without a rule ask their aliases
+        decided = whole.where("allowed is null and blocked is null").join(blocked.select("component"), "component", "left_semi")
+        decided = staged(decided.select("url", F.lit(True).alias("by_alias")))
+    out = join_lookup(judged, decided, ["url"]).withColumn("by_alias", F.coalesce("by_alias", F.lit(False)))
+    return out.select(key, "url", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("by_alias"), "block").otherwise("allow")).alias("verdict"), "by_alias")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.runtime import shared_dir, small_batches, staged
+from framelake.runtime import batches_of, shared_dir, staged
 
 EOL = "\r\n"
 RECORDS_A_FILE = 2_000
@@ -57,11 +57,11 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
 
     Of pages whose payloads (UTF-8 of ``html``; null: empty) are equal and have at least
     ``smallest`` bytes, the one with the least key is a response and the others are revisits of
-    it; pages with smaller payloads are all responses. A null url gives an empty target. Rows
-    that share key and payload are archived once; rows that share a key only are archived each. A
-    row with a null key has no identifier and is left out. Control characters in a url are written
-    percent-encoded, as a header line cannot hold them. An empty table writes an archive of no
-    records. Other columns are not read.
+    it; pages with smaller payloads are all responses. Every row has a record of its own, repeated
+    rows and rows that share a key too (of them the least url goes first); a null key comes after all
+    others, and its record has no key field. A null url gives an empty target. Control characters in
+    a url are written percent-encoded, as a header line cannot hold them. An empty table writes an
+    archive of no records. Other columns are not read.
 
     The address of a payload is its SHA-256 with its length. Whether two different payloads ever
     share one is checked by a second digest of another family (SHA-1) and reported as an error.
@@ -69,17 +69,17 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     spark = pages.sparkSession
     path = path or shared_dir(spark)
     payload = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload")).where("key is not null")
-    narrow = staged(rows.select("key", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha256"), sha1_base32(F.col("payload")).alias("sha1")))
-    repeats = narrow.count() != narrow.select("key", "sha256").distinct().count()
-    if repeats:
-        narrow = narrow.dropDuplicates(["key", "sha256"])
-    stored = staged(narrow.groupBy("sha256", "bytes").agg(F.min("key").alias("first"), F.min("sha1").alias("low"), F.max("sha1").alias("high")))
+    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
+    figures = rows.select("key", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha256"), sha1_base32(F.col("payload")).alias("sha1"))
+    narrow = staged(figures.withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "url", "row")
+    stored = staged(narrow.groupBy("sha256", "bytes").agg(F.min(order).alias("first"), F.min("sha1").alias("low"), F.max("sha1").alias("high")))
     if stored.where("low <> high").limit(1).count():
         raise ValueError("two payloads share an address")
-    winners = stored.select(F.col("first").alias("key"), "sha256", F.col("low").alias("sha1"), "bytes")
-    kept = rows.withColumn("sha256", F.sha2("payload", 256)).join(winners, ["key", "sha256"])
-    if repeats:
+    winners = stored.select(F.col("first.key").alias("key"), F.col("first.url").alias("url"), "sha256", F.col("low").alias("sha1"), "bytes")
+    found = rows.withColumn("sha256", F.sha2("payload", 256)).alias("r").join(winners.alias("w"), (F.col("r.sha256") == F.col("w.sha256")) & (F.col("r.url") == F.col("w.url")) & F.col("r.key").eqNullSafe(F.col("w.key")))
+    kept = found.select("r.payload", "w.sha256", "w.sha1", "w.bytes")
+    if narrow.count() != narrow.select("key", "url", "sha256").distinct().count():
         kept = kept.dropDuplicates(["sha256"])
     resource = F.concat(
         _lines("WARC/1.1", "WARC-Type: resource", _field("WARC-Record-ID", F.concat(F.lit("<urn:sha256:"), "sha256", F.lit(">"))), f"WARC-Date: {DATE}"),
@@ -88,18 +88,21 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     )
     _text(kept.select(resource.alias("value")), f"{path}/payloads")
     named = narrow.join(stored.select("sha256", "bytes", "first"), ["sha256", "bytes"])
-    is_revisit = (F.col("bytes") >= smallest) & (F.col("key") != F.col("first"))
+    is_revisit = (F.col("bytes") >= smallest) & (F.col("row") != F.col("first.row"))
     safe = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    record_id = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
+    record_id = lambda c: F.concat(F.lit("<urn:record:"), F.col(c).cast("string"), F.lit(">"))
+    optional = lambda name, c: F.when(F.col(c).isNotNull(), _lines(_field(name, F.col(c)))).otherwise(F.lit(""))
+    profile = _lines("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", _field("WARC-Refers-To", record_id("first.row")))
     header = F.concat(
-        _lines("WARC/1.1", _field("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")), _field("WARC-Record-ID", record_id("key"))),
+        _lines("WARC/1.1", _field("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")), _field("WARC-Record-ID", record_id("row"))),
         _lines(f"WARC-Date: {DATE}", _field("WARC-Target-URI", safe), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1"))),
-        F.when(is_revisit, _lines("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", _field("WARC-Refers-To", record_id("first")))).otherwise(F.lit("")),
+        optional("X-Page-Key", "key"),
+        F.when(is_revisit, F.concat(profile, optional("X-Refers-To-Key", "first.key"))).otherwise(F.lit("")),
         _lines(_field("X-Payload-Address", F.concat(F.lit("sha256:"), "sha256")), _field("Content-Length", F.when(is_revisit, 0).otherwise(F.col("bytes"))), ""),
     )
     # a record of its own that carries the exact header block of the original record
-    block = F.concat(_lines("WARC/1.1", "WARC-Type: metadata", _field("WARC-Record-ID", F.concat(F.lit("<urn:header:"), F.col("key").cast("string"), F.lit(">"))), f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", _field("Content-Length", F.octet_length("h")), ""), F.col("h"))
-    _text(named.select("key", header.alias("h")).select(block.alias("value")), f"{path}/headers")
+    block = F.concat(_lines("WARC/1.1", "WARC-Type: metadata", _field("WARC-Record-ID", F.concat(F.lit("<urn:header:"), F.col("row").cast("string"), F.lit(">"))), f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", _field("Content-Length", F.octet_length("h")), ""), F.col("h"))
+    _text(named.select("row", header.alias("h")).select(block.alias("value")), f"{path}/headers")
     return path
 
 
@@ -169,9 +172,9 @@ def _read(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
                     yield pd.DataFrame(out, columns=names)
 
     names = [x.split()[0] for x in schema.split(",")]
-    small_batches(spark, 1)  # a row is a whole file of at most RECORDS_A_FILE records
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(parsed, schema)
+    with batches_of(spark, 1):  # a row is a whole file of at most RECORDS_A_FILE records
+        return staged(files.mapInPandas(parsed, schema))
 
 
 def _stored_payload(fields: dict, head: bytes, content: bytes) -> tuple:
@@ -192,8 +195,7 @@ def read_payloads(spark: SparkSession, path: str, content: bool = True) -> DataF
 def _stored_header(fields: dict, head: bytes, content: bytes) -> tuple:
     lines = content.decode("utf-8").split("\r\n")[1:]
     inner = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines if x)}
-    page = lambda v: v.removeprefix("<urn:page:").removesuffix(">") if v else None
-    return page(inner["warc-record-id"]), inner["warc-type"], page(inner.get("warc-refers-to")), inner["warc-payload-digest"].removeprefix("sha1:"), inner["x-payload-address"].removeprefix("sha256:"), content
+    return inner.get("x-page-key"), inner["warc-type"], inner.get("x-refers-to-key"), inner["warc-payload-digest"].removeprefix("sha1:"), inner["x-payload-address"].removeprefix("sha256:"), content
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -217,5 +219,5 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_archive`` without the record bytes; every header must find its payload under both digests."""
     stored = read_payloads(spark, path, content=False)
     found = read_headers(spark, path).drop("header").join(stored.withColumnRenamed("sha1", "stored"), "sha256", "left")
-    checked = F.when(F.col("sha1") == F.col("stored"), F.col("stored")).otherwise(F.raise_error(F.concat(F.lit("no payload of record "), "key")))
+    checked = F.when(F.col("sha1") == F.col("stored"), F.col("stored")).otherwise(F.raise_error(F.concat(F.lit("no payload of record "), F.coalesce("key", F.lit("without a key")))))
     return found.select("key", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), checked.alias("payload_digest"))

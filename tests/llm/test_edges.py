@@ -29,6 +29,11 @@ def test_token_counts_of_random_characters():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("ab'sterlvmd 1!é\n<|Σ"), rng.integers(0, 1600))) for _ in range(150)]
     tokenizer, machine = Tokenizer.from_file(BPE), token_counts.CountingTransducer(BPE)
+    signs = list("abcdehilnorst'slrvmd 1!é\n<|Σİßǆÿ") + ["<|endoftext|>", "́", "\u1ac0", "'l\u1ac0\u0301"]
+    texts += ["".join(rng.choice(signs, rng.integers(0, 80))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in np.where(rng.random(60) < 0.5, rng.integers(97, 123, 60), rng.integers(32, 0x3000, 60))) for _ in range(3000)]
+    vocabulary = [t.removesuffix("</w>") for t in machine.machine.vocabulary if t.isascii()]
+    texts += [" ".join(rng.choice(vocabulary) + rng.choice(vocabulary) for _ in range(8000))]
     assert machine.counts(texts).tolist() == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -178,7 +183,7 @@ def test_curve_is_a_path(spark, dimensions, bits):
 def test_warc(spark):
     html = ["<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "<p>a</p>", "é" * 70_000, "<p>a</p>", "y\r\n"]
     rows = [(i + 10, f"http://h/{i}\r\nX: 1" if i else None, h, i) for i, h in enumerate(html)]
-    pages = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, key long")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key long")
     path = warc.write_archive(pages)
     raw = [(h or "").encode() for h in html]
     first = {h: i for i, h in reversed(list(enumerate(raw)))}
@@ -192,6 +197,13 @@ def test_warc(spark):
         fields, _, content = next(warc.parse_records([records[i + 10] + b"\r\n\r\n"]))
         assert content == (h if first[h] == i else b"") and fields["warc-payload-digest"] == f"sha1:{r.payload_digest}"
     assert warc.read_payloads(spark, path).count() == len(set(raw))
+    # repeated rows, rows that share a key only and rows without a key have records of their own
+    more = [rows[0], (10, "http://g", "<p>a</p>", 0), (None, "http://n", "<p>a</p>", 0), (None, None, "only here", 0), (None, None, "only here", 0)]
+    path = warc.write_archive(spark.createDataFrame(rows + more, pages.schema))
+    again = warc.read_records(spark, path).collect()
+    assert len(again) == len(rows) + len(more) and warc.read_archive(spark, path).count() == len(again)
+    assert sum(r.record_type == "response" for r in again) == len(set(raw)) + 1 == warc.read_payloads(spark, path).count()
+    assert sorted(str(r.refers_to) for r in again if r.key is None) == ["10", "None", "None"]
 
 
 def links_of(texts, shingle):

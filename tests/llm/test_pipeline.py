@@ -69,3 +69,21 @@ def test_null_and_repeated_ids(spark):
     # sources whose documents are taken at the full rate give every row back
     one = spark.createDataFrame([r for r in rows if r[3] == "src0"], docs.schema)
     assert sorted(map(repr, corpus_pipeline.mixing_stage(spark, one, "").collect())) == sorted(map(repr, one.collect()))
+
+
+def test_columns_of_any_names_and_empty_tables(spark, tmp_path):
+    """No stage replaces a column of the documents or fails on its name, and all take an empty table."""
+    rng = random.Random(4)
+    names = ["q", "kept", "toxic", "toxicity", "host", "host_failed", "copies", "row", "key", "component_id", "size"]
+    rows = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(80)), "en", f"src{i % 3}", 0, *[f"{n}{i}" for n in names]) for i in range(60)] + [(60, None, None, None, None, *[None] * len(names))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema).repartition(2)
+        by_id = {r[0]: tuple(r) for r in given}
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = staged(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+            assert all(tuple(r) == by_id[r.doc_id] for r in docs.collect())
+        assert corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).where("start = 0").count() == docs.count()
+        assert not given or docs.count()
