@@ -324,12 +324,12 @@ _CROSS = lambda n, u, v: f"{u}y * {v}z - {u}z * {v}y AS {n}x, {u}z * {v}x - {u}x
 
 @register(
     f"WITH {BONDS}, q AS MATERIALIZED ({PROPERS}), v AS MATERIALIZED (SELECT q.*, {_B} FROM q {_JOIN4} WHERE q.i <> q.l), n AS MATERIALIZED (SELECT *, {_CROSS('m', 'p', 'r')}, {_CROSS('n', 'r', 's')} FROM v), c AS MATERIALIZED (SELECT *, {_CROSS('c', 'm', 'n')} FROM n) "
-    "SELECT frame, i, j, k, l, round(abs(atan2((rx * cx + ry * cy + rz * cz) / sqrt(rx * rx + ry * ry + rz * rz), mx * nx + my * ny + mz * nz)), 4) AS phi FROM c"
+    "SELECT frame, i, j, k, l, round(atan2((rx * cx + ry * cy + rz * cz) / sqrt(rx * rx + ry * ry + rz * rz), mx * nx + my * ny + mz * nz), 4) AS phi FROM c"
 )
 def dihedral_values(spark, d):
     b = _staged_bonds(spark, d)
     v = topology.dihedral_values(topology.proper_dihedrals(b).where("i <> l"), workload.atoms(spark, d))
-    return _rounded(v.withColumn("phi", F.abs("phi")), 4)
+    return _rounded(v, 4)
 
 
 _BI = ", ".join(f"{IMAGE.format(f'({a}.{k} - {b}.{k})')} AS {n}{k}" for n, a, b in (("p", "ai", "aj"), ("r", "ai", "ak"), ("s", "ai", "al")) for k in "xyz")
@@ -613,10 +613,6 @@ def quat_kmeans(spark, d):
 # --- files and structures ------------------------------------------------------------------------
 
 
-def _round_trip(ext: str, digits: int) -> str:
-    return f"WITH {ATOMS} SELECT frame, atom_index, " + ", ".join(f"round({k}, {digits}) AS {k}" for k in "xyz") + " FROM atoms"
-
-
 def _file_atoms(spark, d) -> DataFrame:
     return workload.atoms(spark, d)
 
@@ -635,36 +631,30 @@ def _through(spark, d, ext: str) -> DataFrame:
     return trajectories.load(spark, [names, path]).where("frame > 0").withColumn("frame", F.col("frame") - 1)
 
 
-@register(f"WITH {ATOMS} SELECT frame, atom_index, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM atoms")
-def io_xyz(spark, d):
-    return _nearest_source(spark, d, _through(spark, d, "xyz").select("frame", "atom_index", "type", "x", "y", "z"), 4)
+# Positions as each format holds them: decimals as printed, single precision, thousandths of a nanometre.
 
 
-@register(f"WITH {ATOMS} SELECT frame, atom_index, type, 10.0 AS a, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM atoms")
-def io_pdb(spark, d):
-    out = _through(spark, d, "pdb").select("frame", "atom_index", "type", F.col("cell.a").alias("a"), "x", "y", "z")
-    return _nearest_source(spark, d, out, 2)
+@register(f"WITH {ATOMS} SELECT frame, atom_index, type, " + ", ".join(f"CAST(printf('%.6f', {k}) AS DOUBLE) AS {k}" for k in "xyz") + " FROM atoms")
+def io_xyz(spark, d):
+    return _through(spark, d, "xyz").select("frame", "atom_index", "type", "x", "y", "z")
 
 
-def _nearest_source(spark, d, out: DataFrame, digits: int) -> DataFrame:
-    """Positions rounded to ``digits`` where the file's are as near to the source's as its format can be."""
-    source = workload.atoms(spark, d).select("frame", "atom_index", *[F.col(k).alias(f"{k}_s") for k in "xyz"])
-    tolerance = 0.6 * 10.0 ** -(digits + 1)
-    both = out.join(source, ["frame", "atom_index"])
-    return both.withColumns({k: F.round(F.when(F.abs(F.col(k) - F.col(f"{k}_s")) <= tolerance, F.col(f"{k}_s")).otherwise(F.col(k)), digits) for k in "xyz"}).drop("x_s", "y_s", "z_s")
+@register(f"WITH {ATOMS} SELECT frame, atom_index, type, 10.0 AS a, " + ", ".join(f"CAST(printf('%.3f', {k}) AS DOUBLE) AS {k}" for k in "xyz") + " FROM atoms")
+def io_pdb(spark, d):
+    return _through(spark, d, "pdb").select("frame", "atom_index", "type", F.col("cell.a").alias("a"), "x", "y", "z")
 
 
-@register(_round_trip("dcd", 4))
+@register(f"WITH {ATOMS} SELECT frame, atom_index, " + ", ".join(f"CAST(CAST({k} AS FLOAT) AS DOUBLE) AS {k}" for k in "xyz") + " FROM atoms")
 def io_dcd(spark, d):
-    return _nearest_source(spark, d, _through(spark, d, "dcd").select("frame", "atom_index", "x", "y", "z"), 4)
+    return _through(spark, d, "dcd").select("frame", "atom_index", "x", "y", "z")
 
 
-@register(_round_trip("xtc", 1))
+@register(f"WITH {ATOMS} SELECT frame, atom_index, " + ", ".join(f"floor({k} / 10 * 1000.0 + 0.5) / 1000.0 * 10 AS {k}" for k in "xyz") + " FROM atoms")
 def io_xtc(spark, d):
-    return _nearest_source(spark, d, _through(spark, d, "xtc").select("frame", "atom_index", "x", "y", "z"), 1)
+    return _through(spark, d, "xtc").select("frame", "atom_index", "x", "y", "z")
 
 
-@register(f"WITH {_GRID}, g AS (SELECT ia, ib, ic, avg(value) AS value FROM gv GROUP BY ALL), f AS (SELECT CAST(i // 8 AS INT) AS ib, CAST(i % 8 AS INT) AS ic FROM range(400) t(i)) SELECT f.ib, f.ic, CAST(round(coalesce(value, 0.0), -2) AS BIGINT) AS value FROM f LEFT JOIN g ON g.ia = 0 AND g.ib = f.ib AND g.ic = f.ic")
+@register(f"WITH {_GRID}, g AS (SELECT ia, ib, ic, avg(value) AS value FROM gv GROUP BY ALL), f AS (SELECT CAST(i // 400 AS INT) AS ia, CAST(i // 8 % 50 AS INT) AS ib, CAST(i % 8 AS INT) AS ic FROM range(2800) t(i)) SELECT f.ia, f.ib, f.ic, CAST(round(coalesce(value, 0.0), -2) AS BIGINT) AS value FROM f LEFT JOIN g ON g.ia = f.ia AND g.ib = f.ib AND g.ic = f.ic")
 def io_dx(spark, d):
     from framelake.runtime import shared_dir
 
@@ -673,7 +663,7 @@ def io_dx(spark, d):
     path = f"{shared_dir(spark)}.dx"
     grid_files.write_dx(g, header, path)
     back = grid_files.read_dx(spark, path)[1]
-    return back.where("ia = 0").select("ib", "ic", F.round("value").cast("long").alias("value"))
+    return back.select("ia", "ib", "ic", F.round("value").cast("long").alias("value"))
 
 
 @register()
@@ -689,14 +679,18 @@ def solvate_invariants(spark, d):
     return counts.join(near.groupBy("frame").agg(F.count("*").alias("clashes")), "frame", "left").fillna(0)
 
 
-@register(f"WITH {ATOMS}, s AS (SELECT atom_index, t FROM atoms, range(2) r(t) WHERE frame = 0) SELECT s.atom_index, CAST(t AS BIGINT) AS layer FROM s")
+@register(
+    f"WITH {ATOMS}, s AS (SELECT atom_index, " + ", ".join(f"{k} / 10 - floor({k} / 10 + 1e-9) AS f{k}" for k in "xyz") + " FROM atoms WHERE frame = 0) "
+    "SELECT atom_index, CAST(t AS BIGINT) AS layer, round(fx + fy - floor(fx + fy + 1e-9) + t, 6) AS depth, " + ", ".join(f"round(f{k}, 6) AS f{k}" for k in "xyz") + " FROM s, range(2) r(t)"
+)
 def surface_slab(spark, d):
-    """Every atom of the unit cell comes once per spacing of the planes (1 1 0)."""
+    """Every atom of the unit cell comes once per spacing of the planes (1 1 0), a lattice translation from its place."""
     out = generate.slab(workload.atoms(spark, d), workload.CELL, (1, 1, 0), depth=2.0)
     from pyspark.sql import Window
 
     layer = (F.row_number().over(Window.partitionBy("atom_index").orderBy("depth")) - 1).cast("long")
-    return out.select("atom_index", layer.alias("layer"))
+    places = [(F.col(k) / workload.EDGE - F.floor(F.col(k) / workload.EDGE + 1e-9)).alias(f"f{k}") for k in "xyz"]
+    return _rounded(out.select("atom_index", layer.alias("layer"), "depth", *places), 6)
 
 
 def queries() -> dict:

@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Symbol, atomic number, standard atomic weight, covalent radius in angstrom
-# (published crystallographic radii).
-ELEMENTS = (
-    ("H", 1, 1.008, 0.23), ("He", 2, 4.0026, 1.50), ("Li", 3, 6.94, 1.28), ("Be", 4, 9.0122, 0.96),
-    ("B", 5, 10.81, 0.83), ("C", 6, 12.011, 0.68), ("N", 7, 14.007, 0.68), ("O", 8, 15.999, 0.68),
-    ("F", 9, 18.998, 0.64), ("Ne", 10, 20.180, 1.50), ("Na", 11, 22.990, 1.66), ("Mg", 12, 24.305, 1.41),
-    ("Al", 13, 26.982, 1.21), ("Si", 14, 28.085, 1.20), ("P", 15, 30.974, 1.05), ("S", 16, 32.06, 1.02),
-    ("Cl", 17, 35.45, 0.99), ("Ar", 18, 39.95, 1.51), ("K", 19, 39.098, 2.03), ("Ca", 20, 40.078, 1.76),
-    ("Sc", 21, 44.956, 1.70), ("Ti", 22, 47.867, 1.60), ("V", 23, 50.942, 1.53), ("Cr", 24, 51.996, 1.39),
-    ("Mn", 25, 54.938, 1.61), ("Fe", 26, 55.845, 1.52), ("Co", 27, 58.933, 1.26), ("Ni", 28, 58.693, 1.24),
-    ("Cu", 29, 63.546, 1.32), ("Zn", 30, 65.38, 1.22), ("Ga", 31, 69.723, 1.22), ("Ge", 32, 72.630, 1.17),
-    ("As", 33, 74.922, 1.21), ("Se", 34, 78.971, 1.22), ("Br", 35, 79.904, 1.21), ("Kr", 36, 83.798, 1.50),
-    ("Rb", 37, 85.468, 2.20), ("Sr", 38, 87.62, 1.95), ("Ag", 47, 107.87, 1.45), ("Cd", 48, 112.41, 1.44),
-    ("Sn", 50, 118.71, 1.39), ("I", 53, 126.90, 1.40), ("Xe", 54, 131.29, 1.50), ("Cs", 55, 132.91, 2.44),
-    ("Ba", 56, 137.33, 2.15), ("Pt", 78, 195.08, 1.36), ("Au", 79, 196.97, 1.36), ("Hg", 80, 200.59, 1.32),
-    ("Pb", 82, 207.2, 1.46), ("U", 92, 238.03, 1.96),
-)
+# Symbols in order of atomic number, standard atomic weights (of elements without stable
+# isotopes the mass number of the longest-lived one), covalent radii in angstrom (published
+# crystallographic radii, which have 1.54 from Bk on).
+_SYMBOLS = """
+H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr
+Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu
+Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr
+""".split()
+_MASSES = """
+1.008 4.0026 6.94 9.0122 10.81 12.011 14.007 15.999 18.998 20.180 22.990 24.305 26.982 28.085 30.974 32.06 35.45 39.95
+39.098 40.078 44.956 47.867 50.942 51.996 54.938 55.845 58.933 58.693 63.546 65.38 69.723 72.630 74.922 78.971 79.904 83.798
+85.468 87.62 88.906 91.224 92.906 95.95 98 101.07 102.91 106.42 107.87 112.41 114.82 118.71 121.76 127.60 126.90 131.29
+132.91 137.33 138.91 140.12 140.91 144.24 145 150.36 151.96 157.25 158.93 162.50 164.93 167.26 168.93 173.05 174.97
+178.49 180.95 183.84 186.21 190.23 192.22 195.08 196.97 200.59 204.38 207.2 208.98 209 210 222
+223 226 227 232.04 231.04 238.03 237 244 243 247 247 251 252 257 258 259 262
+""".split()
+_RADII = """
+0.23 1.50 1.28 0.96 0.83 0.68 0.68 0.68 0.64 1.50 1.66 1.41 1.21 1.20 1.05 1.02 0.99 1.51
+2.03 1.76 1.70 1.60 1.53 1.39 1.61 1.52 1.26 1.24 1.32 1.22 1.22 1.17 1.21 1.22 1.21 1.50
+2.20 1.95 1.90 1.75 1.64 1.54 1.47 1.46 1.42 1.39 1.45 1.44 1.42 1.39 1.39 1.47 1.40 1.50
+2.44 2.15 2.07 2.04 2.03 2.01 1.99 1.98 1.98 1.96 1.94 1.92 1.92 1.89 1.90 1.87 1.87
+1.75 1.70 1.62 1.51 1.44 1.41 1.36 1.36 1.32 1.45 1.46 1.48 1.40 1.21 1.50
+2.60 2.21 2.15 2.06 2.00 1.96 1.90 1.87 1.80 1.69 1.54 1.54 1.54 1.54 1.54 1.54 1.54
+""".split()
+ELEMENTS = tuple((s, z, float(m), float(r)) for z, (s, m, r) in enumerate(zip(_SYMBOLS, _MASSES, _RADII, strict=True), 1))
 UNKNOWN = "Xx"
 
 

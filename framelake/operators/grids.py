@@ -169,13 +169,17 @@ def realspace_potential(atoms: DataFrame, shape: tuple[int, int, int], cutoff: f
 def gridspread_potential(atoms: DataFrame, shape: tuple[int, int, int], order: int = 4, radius: int = 2) -> DataFrame:
     """``ia, ib, ic, value``: spread charges, then each point's sum of ``ke Q / distance`` over its stencil.
 
-    The stencil reaches ``radius`` points along every axis without the centre; all frames share one cell.
+    The stencil reaches ``radius`` points along every axis without the centre. Charges are summed over
+    the frames of each distinct cell, and distances are those of that cell; frames without one count
+    as empty.
     """
     n_frames = atoms.select("frame").distinct().count()
-    total = spread(atoms.where("charge <> 0"), {"q": F.col("charge")}, shape, order, keys=())
-    cell = atoms.where("cell is not null").select("cell").limit(1)
+    h = F.transform("cell.h", lambda v: F.round(v, 12))
+    periodic = atoms.where("charge <> 0 and cell is not null").withColumn("_h", F.array_join(h, " "))
+    total = spread(periodic, {"q": F.col("charge")}, shape, order, keys=("_h",))
+    cells = periodic.groupBy("_h").agg(F.min("cell").alias("cell"))
     offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("da", "db", "dc"), (i, j, k), strict=True)]) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) for k in range(-radius, radius + 1) if (i, j, k) != (0, 0, 0)])
-    rows = total.crossJoin(F.broadcast(cell)).withColumn("_o", F.explode(offsets))  # one row: the cell
+    rows = total.join(cells, "_h").withColumn("_o", F.explode(offsets))
     step = tuple(F.col(f"_o.{c}") / n for c, n in zip(("da", "db", "dc"), shape, strict=True))
     d = cartesian(step, F.col("cell"))
     to = [F.pmod(F.col(c) + F.col(f"_o.d{c[1]}"), F.lit(n)).cast("int").alias(c) for c, n in zip(("ia", "ib", "ic"), shape, strict=True)]

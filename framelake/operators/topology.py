@@ -251,26 +251,56 @@ def cycles(bonds: DataFrame, longest: int = 8) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-def uff_types(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """``frame, atom_index, uff``: force-field atom types from element, coordination and rings.
+# The published force-field type of elements that have one type only, behind the symbol.
+_UFF_SUFFIX = dict(
+    x.split(":")
+    for x in """
+He:4+4 Li: Be:3+2 F:_ Ne:4+4 Na: Mg:3+2 Al:3 Si:3 Cl: Ar:4+4 K:_ Ca:6+2 Sc:3+3 V:_3+5 Cr:6+3 Mn:6+2 Co:6+3 Ni:4+2 Cu:3+1 Zn:3+2
+Ga:3+3 Ge:3 As:3+3 Se:3+2 Br: Kr:4+4 Rb: Sr:6+2 Y:_3+3 Zr:3+4 Nb:3+5 Tc:6+5 Ru:6+2 Rh:6+3 Pd:4+2 Ag:1+1 Cd:3+2 In:3+3 Sn:3
+Sb:3+3 Te:3+2 I:_ Xe:4+4 Cs: Ba:6+2 La:3+3 Hf:3+4 Ta:3+5 Os:6+6 Ir:6+3 Pt:4+2 Au:4+3 Hg:1+2 Tl:3+3 Pb:3 Bi:3+3 Po:3+2 At:
+Rn:4+4 Fr: Ra:6+2 Ac:6+3 Th:6+4 Pa:6+4 U:_6+4 Np:6+4 Pu:6+4 Am:6+4
+""".split()
+)
+_SIX_THREE = "Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Cm Bk Cf Es Fm Md No".split()
+
 
-    C, N, O and S in a ring of at most eight bonds with planar coordination are resonant (``_R``);
-    the rest follow their number of neighbours. Other elements carry their usual geometry and
-    charge state. The published type names are used.
+def uff_types(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """``frame, atom_index, uff``: force-field atom types from element, neighbours and rings.
+
+    C, N, O and S in a ring of at most eight bonds are resonant (``_R``) at planar coordination (N at
+    three and four neighbours too). P and S count lone pairs: with v valence electrons and n up to
+    four neighbours the coordination is ``n + ceil((v - n) / 2)``, or ``n - 1`` if v and n differ by
+    more than two; S with three O neighbours counts as two. A bridging H between two B is ``H_b`` and
+    O with two neighbours, one of them Si, is ``O_3_z``. What the field has no type for is
+    ``UNKNOWN``. The published type names are used.
     """
     rings = cycles(bonds).select("frame", F.explode("atoms").alias("atom_index")).distinct().withColumn("in_ring", F.lit(True))
-    df = connectivity(atoms, bonds).join(atoms.select("frame", "atom_index", "element"), ["frame", "atom_index"]).join(rings, ["frame", "atom_index"], "left").withColumn("in_ring", F.coalesce("in_ring", F.lit(False)))
+    both = bonds.select("frame", F.col("i").alias("atom_index"), F.col("j").alias("other")).union(bonds.select("frame", "j", "i"))
+    beside = both.join(atoms.select("frame", F.col("atom_index").alias("other"), "element"), ["frame", "other"])
+    beside = beside.groupBy("frame", "atom_index").agg(*[F.sum((F.col("element") == e).cast("int")).alias(f"n_{e}") for e in ("B", "O", "Si")])
+    df = connectivity(atoms, bonds).join(atoms.select("frame", "atom_index", "element"), ["frame", "atom_index"]).join(rings, ["frame", "atom_index"], "left").join(beside, ["frame", "atom_index"], "left")
+    df = df.fillna(False, ["in_ring"]).fillna(0, ["n_B", "n_O", "n_Si"])
     e, n, ring = F.col("element"), F.col("degree"), F.col("in_ring")
-    pick = lambda top, *by_count: F.when(n >= top, by_count[0]).otherwise(by_count[-1])
-    fixed = {"H": "H_", "F": "F_", "Cl": "Cl", "Br": "Br", "I": "I_", "Li": "Li", "Na": "Na", "K": "K_", "Rb": "Rb", "Cs": "Cs", "Mg": "Mg3+2", "Ca": "Ca6+2", "Sr": "Sr6+2", "Ba": "Ba6+2", "Al": "Al3", "Si": "Si3", "Ge": "Ge3", "Sn": "Sn3", "Zn": "Zn3+2", "Cu": "Cu3+1", "Ag": "Ag1+1", "Ti": "Ti6+4", "V": "V_3+5", "Cr": "Cr6+3", "Mn": "Mn6+2", "Co": "Co6+3", "Ni": "Ni4+2", "He": "He4+4", "Ne": "Ne4+4", "Ar": "Ar4+4", "Kr": "Kr4+4", "Xe": "Xe4+4", "Pb": "Pb3", "Hg": "Hg1+2", "Au": "Au4+3", "Pt": "Pt4+2", "U": "U_6+4"}
-    kind = (
-        F.when((e == "C") & ring & (n == 3), "C_R").when(e == "C", F.when(n >= 4, "C_3").when(n == 3, "C_2").otherwise("C_1"))
-        .when((e == "N") & ring & n.isin(2, 3), "N_R").when(e == "N", F.when(n >= 3, "N_3").when(n == 2, "N_2").otherwise("N_1"))
-        .when((e == "O") & ring & (n == 2), "O_R").when(e == "O", F.when(n >= 2, "O_3").otherwise("O_2"))
-        .when((e == "S") & ring & (n == 2), "S_R").when(e == "S", F.when(n >= 4, "S_3+6").when(n == 3, "S_3+4").otherwise("S_3+2"))
-        .when(e == "P", pick(4, "P_3+5", "P_3+3")).when(e == "As", F.lit("As3+3")).when(e == "Se", F.lit("Se3+2"))
-        .when(e == "B", pick(4, "B_3", "B_2")).when(e == "Fe", pick(5, "Fe6+2", "Fe3+2"))
-    )
-    for symbol, name in fixed.items():
-        kind = kind.when(e == symbol, name)
-    return df.select("frame", "atom_index", kind.otherwise(e).alias("uff"))
+
+    def with_pairs(valence: int):
+        return F.when(n > 4, n).when(F.abs(valence - n) > 2, n - 1).otherwise(n + F.ceil((valence - n) / 2))
+
+    p, s = with_pairs(5), F.when(F.col("n_O") == 3, 2).otherwise(with_pairs(6))
+    resonant = lambda name: F.when(ring, f"{name}_R")
+    six = lambda at_six, otherwise: F.when(n == 6, at_six).otherwise(otherwise)
+    by_element = {
+        "H": F.when((n == 2) & (F.col("n_B") == 2), "H_b").otherwise("H_"),
+        "B": F.when(n == 3, "B_2").otherwise("B_3"),
+        "C": F.when(n == 2, "C_1").when(n == 3, resonant("C").otherwise("C_2")).when(n == 4, "C_3"),
+        "N": F.when(n == 1, "N_1").when(n == 2, resonant("N").otherwise("N_2")).when(n.isin(3, 4), resonant("N").otherwise("N_3")),
+        "O": F.when(n == 1, "O_2").when(n == 2, resonant("O").when(F.col("n_Si") > 0, "O_3_z").otherwise("O_3")),
+        "P": F.when(p == 5, "P_3+5").when(p == 4, "P_3+q").otherwise("P_3+3"),
+        "S": F.when(s == 1, "S_2").when((s == 2) & ring, "S_R").when(s == 4, "S_3+4").when(s == 6, "S_3+6").otherwise("S_3+2"),
+        "Ti": six("Ti6+4", "Ti3+4"), "Fe": six("Fe6+2", "Fe3+2"), "Mo": six("Mo6+6", "Mo3+6"), "Re": six("Re6+5", "Re3+7"),
+        "W": F.when(n == 6, "W_6+6").when(n == 4, "W_3+4").otherwise("W_3+6"),
+        "Lr": F.lit("Lw6+3"),
+        **{x: F.lit(f"{x}6+3") for x in _SIX_THREE},
+        **{x: F.lit(x + suffix) for x, suffix in _UFF_SUFFIX.items()},
+    }
+    kind = F.coalesce(*[F.when(e == x, t) for x, t in by_element.items()], F.lit("UNKNOWN"))
+    return df.select("frame", "atom_index", kind.alias("uff"))

@@ -7,6 +7,7 @@ file by itself.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -136,12 +137,12 @@ def xyz_lines(atoms: DataFrame) -> DataFrame:
 def pdb_lines(atoms: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
     """``frame, part, atom_index, value``: the lines of a PDB file with a model per frame.
 
-    Serials beyond 99999 are hybrid-36. CONECT lines of the bonds (of the first frame) come last.
+    Serials beyond 99999 are hybrid-36, in CONECT lines too. CONECT lines of the bonds (of the first frame) come last.
     """
     has = set(atoms.columns)
     n = F.col("atom_index") + 1
-    big = n + (10 * 36**4 - 100_000)
-    serial = F.when(n <= 99_999, F.lpad(n.cast("string"), 5, " ")).otherwise(F.conv(big.cast("string"), 10, 36))
+    number = lambda m: F.when(m <= 99_999, F.lpad(m.cast("string"), 5, " ")).otherwise(F.conv((m + (10 * 36**4 - 100_000)).cast("string"), 10, 36))
+    serial = number(n)
     text = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in has else F.lit(default)
     symbol = text("element", "Xx")
     line = F.concat(
@@ -158,7 +159,7 @@ def pdb_lines(atoms: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
     if bonds is not None:
         last = atoms.agg(F.max("frame")).first()[0]
         first = bonds.where(F.col("frame") == F.lit(bonds.agg(F.min("frame")).first()[0]))
-        out = out.union(first.select(F.lit(last), F.lit(4), F.col("i").cast("long"), F.format_string("CONECT%5d%5d", F.col("i") + 1, F.col("j") + 1)))
+        out = out.union(first.select(F.lit(last), F.lit(4), F.col("i").cast("long"), F.concat(F.lit("CONECT"), number(F.col("i") + 1), number(F.col("j") + 1))))
     return out
 
 
@@ -188,13 +189,14 @@ class _BinaryWriter(DataSourceWriter):
         if body:
             store, base = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
             store.create_dir(base, recursive=True)
-            name = f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.suffix}"
+            part = f"part-{context.partitionId():05d}.{self.suffix}"
+            name = f"{base}/_{context.taskAttemptId()}-{part}"  # readers pass over it until it is committed
             with store.open_output_stream(name) as out:
                 out.write(self.first(bytes(head), len(body)))
                 for b in body:
                     out.write(b)
-            return _Written(name)
-        return _Written(None)
+            return _Written(name, f"{base}/{part.replace('.', f'-{uuid.uuid4().hex}.')}")
+        return _Written(None, None)
 
     def first(self, head: bytes, n: int) -> bytes:
         """A DCD header gets the number of frames of its part."""
@@ -203,7 +205,13 @@ class _BinaryWriter(DataSourceWriter):
         return head[:8] + n.to_bytes(4, "little") + head[12:20] + n.to_bytes(4, "little") + head[24:]
 
     def commit(self, messages):
-        pass
+        """Of every part the file of the attempt that counts gets its final name; what failed attempts left stays unread."""
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+        for m in messages:
+            if m is not None and m.name:
+                store.move(m.name, m.final)
 
     def abort(self, messages):
         from pyarrow import fs
@@ -215,8 +223,8 @@ class _BinaryWriter(DataSourceWriter):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, name):
-        self.name = name
+    def __init__(self, name, final):
+        self.name, self.final = name, final
 
 
 def _binary_frames(atoms: DataFrame, ext: str) -> DataFrame:
