@@ -36,7 +36,7 @@ WINDOW = 1024
 BLOCK_TOKENS = 4_000_000  #: tokens packed at a time (16 MB)
 LOOSE = 1 / 32  #: share of a window that may stay empty before it goes to the second pass
 BLOCK_PIECES = 500_000  #: pieces of the second pass packed at a time
-WORD_MEMO, WORD_CHARS = 1 << 19, 64  #: words kept, and their characters at most
+WORD_MEMO, PIECE_MEMO, WORD_CHARS = 1 << 20, 1 << 19, 64  #: words and pre-tokens kept, and a word's characters at most
 _GAP, _WIDE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 #: Letters and then signs, on one line or two: each group is a pre-token of its own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?)?")
@@ -119,7 +119,7 @@ class WordEncoder:
                 plain[w] = [" " + first, *rest]
             else:
                 odd.append(w)
-        if len(self.pieces) > WORD_MEMO:
+        if len(self.pieces) > PIECE_MEMO:
             self.pieces.clear()
         new = list({x for parts in plain.values() for x in parts if x not in self.pieces})
         for x, e in zip(new, self.unsplit.encode_batch_fast(new, add_special_tokens=False), strict=True):
