@@ -36,7 +36,7 @@ WINDOW = 1024
 BLOCK_TOKENS = 4_000_000  #: tokens packed at a time (16 MB)
 LOOSE = 1 / 32  #: share of a window that may stay empty before it goes to the second pass
 BLOCK_PIECES = 500_000  #: pieces of the second pass packed at a time
-WORD_MEMO, PIECE_MEMO, WORD_CHARS = 1 << 20, 1 << 19, 64  #: words and pre-tokens kept, and a word's characters at most
+WORD_MEMO, WORD_CHARS = 1 << 20, 64  #: words (and pre-tokens) kept, about 400 MB of a worker with long texts, and a word's characters at most
 _GAP, _WIDE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 #: Letters and then signs, on one line or two: each group is a pre-token of its own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?)?")
@@ -97,13 +97,14 @@ def best_fit(lengths: np.ndarray, capacity: int, tree: RoomTree, next_window: in
 class WordEncoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit, under a byte-level BPE ``tokenizers`` file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = WORD_MEMO):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.unsplit = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.unsplit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # for single pre-tokens
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo = memo
         self.words: dict[str, bytes] = {}  # words that stand behind a blank
         self.pieces: dict[str, bytes] = {}  # single pre-tokens
 
@@ -119,14 +120,14 @@ class WordEncoder:
                 plain[w] = [" " + first, *rest]
             else:
                 odd.append(w)
-        if len(self.pieces) > PIECE_MEMO:
+        if len(self.pieces) > self.memo:
             self.pieces.clear()
         new = list({x for parts in plain.values() for x in parts if x not in self.pieces})
         for x, e in zip(new, self.unsplit.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.pieces[x] = array("I", e.ids).tobytes()
         made = {w: b"".join([self.pieces[x] for x in parts]) for w, parts in plain.items()}
         made.update(zip(odd, self.ids([" " + w for w in odd]), strict=True))
-        if len(self.words) + len(made) > WORD_MEMO:
+        if len(self.words) + len(made) > self.memo:
             self.words.clear()
         self.words.update({w: x for w, x in made.items() if len(w) <= WORD_CHARS})
         return made
@@ -144,13 +145,13 @@ class WordEncoder:
         return self.ids([first])[0] + b"".join(found)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, memo: int) -> WordEncoder:
+    if (path, memo) not in _encoders:
+        _encoders[path, memo] = WordEncoder(path, memo)
+    return _encoders[path, memo]
 
 
 PIECE = T.StructType(
@@ -158,7 +159,7 @@ PIECE = T.StructType(
 )
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0, block_tokens: int = BLOCK_TOKENS, memo: int = WORD_MEMO) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens; one row per piece.
 
     Columns: ``key``, ``start`` (the document's ids before the piece), ``length``, ``ids`` (binary,
@@ -168,13 +169,14 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     is in one piece. Equal keys, null keys and repeated rows are documents of their own. An empty
     table gives an empty one; other columns are not read. Sequence numbers start at the number of
     the task times 2**36 (those of the second pass are negative), so they are unique, and a task that
-    is run again gives the same ones.
+    is run again gives the same ones. ``memo`` words are kept by a worker: fewer take less memory and
+    more time, and give the same rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path)
+        encode = _encoder(path, memo)
         end = np.uint32(end_id).astype("<u4").tobytes()
         tree, next_window = RoomTree(window), TaskContext.get().partitionId() << 36
         used: dict[int, int] = {}  # of windows that are not full
