@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from framelake.llm import mixing, near_dedup, packing, quality_rules, toxicity
 from framelake.runtime import fresh, staged, table
 
+WORDS_KEPT = 1 << 18  #: of the packing stage, which shares its executors with workers of the stages before
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go; it is fitted on ``labels`` of these documents."""
@@ -40,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces with their token ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=WORDS_KEPT)
 
 
 STAGES = [
