@@ -14,11 +14,13 @@ input is partitioned.
 
 Ids come from ``tokenizers``. A pre-token of byte-level BPE never reaches over a blank that stands
 before a character other than white space, so a text is cut there, and the ids of each such word are
-asked of the tokenizer once and kept in a bounded table. Texts with special tokens are encoded whole.
+asked of the tokenizer once and kept in a bounded table: those of plain pre-tokens of its model, others
+of the whole tokenizer. Texts with special tokens are encoded whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.token_counts import byte_alphabet
 from framelake.runtime import batches_of, join_lookup, staged
 
 WINDOW = 1024
@@ -37,6 +40,7 @@ BLOCK_TOKENS = 4_000_000  #: tokens packed at a time (16 MB)
 LOOSE = 1 / 32  #: share of a window that may stay empty before it goes to the second pass
 BLOCK_PIECES = 500_000  #: pieces of the second pass packed at a time
 WORD_MEMO, WORD_CHARS = 1 << 20, 64  #: words (and pre-tokens) kept, about 400 MB of a worker with long texts, and a word's characters at most
+GROUP_CHARS = 1 << 18  #: characters of texts split at a time
 _GAP, _WIDE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 #: Letters and then signs, on one line or two: each group is a pre-token of its own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?)?")
@@ -99,56 +103,90 @@ class WordEncoder:
 
     def __init__(self, path: str, memo: int = WORD_MEMO):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.unsplit = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.unsplit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # for single pre-tokens
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.stand_ins = self.tokenizer.model, dict(enumerate(byte_alphabet()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = memo
         self.words: dict[str, bytes] = {}  # words that stand behind a blank
-        self.pieces: dict[str, bytes] = {}  # single pre-tokens
+        self.pieces: dict[str, bytes] = {}  # single pre-tokens without a blank
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words behind a blank: by their pre-tokens where those are plain, else as the library splits them."""
-        plain, odd = {}, []
+    def piece(self, x: str) -> bytes:
+        """Ids of a single pre-token, by the tokenizer's model alone."""
+        return self.spelt(x.encode().decode("latin-1").translate(self.stand_ins))
+
+    def spelt(self, x: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(x)]).tobytes()
+
+    def part(self, x: str) -> bytes:
+        found = self.pieces.get(x)
+        if found is None:
+            found = self.piece(x)
+            if len(x) <= WORD_CHARS:
+                self.pieces[x] = found
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Keep ids of new words behind a blank: by their pre-tokens where those are plain, else as the library splits them."""
+        known, odd, blank = self.words, [], self.stand_ins[ord(" ")]
         for w in words:
-            if m := _PLAIN.fullmatch(w):
-                first, *rest = (g for g in m.groups() if g)
-                plain[w] = [" " + first, *rest]
+            if w.isascii() and w.isalpha():
+                known[w] = self.spelt(blank + w)
+            elif m := _PLAIN.fullmatch(w):
+                head, *rest = filter(None, m.groups())
+                ids = known.get(head)
+                if ids is None:
+                    ids = self.piece(" " + head)
+                    if len(head) <= WORD_CHARS:
+                        known[head] = ids
+                known[w] = ids + b"".join(map(self.part, rest))
             else:
                 odd.append(w)
+        known.update(zip(odd, self.ids([" " + w for w in odd]), strict=True))
+
+    def group(self, texts: list[str]) -> list[bytes]:
+        words = [_GAP.split(t) if _WIDE.search(t) else t.split(" ") for t in texts]
+        firsts = self.ids([w.pop(0) for w in words])
+        found = [list(map(self.words.get, w)) for w in words]
+        missing = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {w[i] for w, m in zip(words, missing, strict=True) for i in m}
+        self.learn(new)
+        for w, f, m in zip(words, found, missing, strict=True):
+            for i in m:
+                f[i] = self.words[w[i]]
+        for w in [w for w in new if len(w) > WORD_CHARS]:
+            del self.words[w]
+        if len(self.words) > self.memo:
+            self.words.clear()
         if len(self.pieces) > self.memo:
             self.pieces.clear()
-        new = list({x for parts in plain.values() for x in parts if x not in self.pieces})
-        for x, e in zip(new, self.unsplit.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[x] = array("I", e.ids).tobytes()
-        made = {w: b"".join([self.pieces[x] for x in parts]) for w, parts in plain.items()}
-        made.update(zip(odd, self.ids([" " + w for w in odd]), strict=True))
-        if len(self.words) + len(made) > self.memo:
-            self.words.clear()
-        self.words.update({w: x for w, x in made.items() if len(w) <= WORD_CHARS})
-        return made
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.ids([text])[0]
-        first, *rest = _GAP.split(text) if _WIDE.search(text) else text.split(" ")
-        found = list(map(self.words.get, rest))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            made = self.learn(list({rest[i] for i in missing}))
-            for i in missing:
-                found[i] = made[rest[i]]
-        return self.ids([first])[0] + b"".join(found)
+        return [first + b"".join(f) for first, f in zip(firsts, found, strict=True)]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, worked out for a bounded number of characters (or one text) at a time."""
+        held, chars = [], 0
+        for text in texts:
+            if any(s in text for s in self.special):
+                yield from self.group(held)
+                yield from self.ids([text])
+                held, chars = [], 0
+                continue
+            held.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self.group(held)
+                held, chars = [], 0
+        yield from self.group(held)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def _encoder(path: str, memo: int) -> WordEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
     if (path, memo) not in _encoders:
         _encoders[path, memo] = WordEncoder(path, memo)
     return _encoders[path, memo]
@@ -210,9 +248,9 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
             held = 0
 
         for batch in batches:
-            for k, t in zip(batch["key"].tolist(), batch["text"].tolist(), strict=True):
+            for k, x in zip(batch["key"].tolist(), encode(batch["text"].tolist()), strict=True):
                 keys.append(None if pd.isna(k) else k)
-                ids.append(encode(t) + end)
+                ids.append(x + end)
                 held += len(ids[-1]) // 4
             if held >= block_tokens:
                 yield from flush()

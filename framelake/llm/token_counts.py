@@ -73,7 +73,7 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
     return after, output
 
 
-def _byte_alphabet() -> list[str]:
+def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level BPE."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     extra = iter(range(256, 512))
@@ -182,7 +182,7 @@ class CountingTransducer:
         self.machine = BpeCounter(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.alphabet = _byte_alphabet()
+        self.alphabet = byte_alphabet()
         self.after, self.output = _compile()
         self.cls = np.full(END + 1, -1, np.int8)
         self.cls[END] = CLASSES - 1
