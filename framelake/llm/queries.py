@@ -44,7 +44,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    dimensions = [sharding.quantised(F.col("source")), sharding.quantised(F.col("lang")), sharding.log_quantised(F.col("size"))]
+    names = [sharding.range_quantised(F.col(c), sharding.name_bounds(docs, c)) for c in ("source", "lang")]
+    dimensions = [*names, sharding.log_quantised(F.col("size"))]
     placed = sharding.shard(docs, dimensions, "doc_id")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 

@@ -158,7 +158,7 @@ def test_tilt_meets_its_targets(spark):
 
 def test_sharding(docs):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
-    rows = sharding.shard(docs.drop("component"), [sharding.quantised(F.col("source")), sharding.log_quantised(size)], "doc_id", shards=7).select("doc_id", "shard", "slot", "curve").collect()
+    rows = sharding.shard(docs.drop("component"), [sharding.range_quantised(F.col("source"), sharding.name_bounds(docs, "source")), sharding.log_quantised(size)], "doc_id", shards=7).select("doc_id", "shard", "slot", "curve").collect()
     by = {}
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
@@ -169,6 +169,30 @@ def test_sharding(docs):
     assert order == sorted(order)
 
 
+def test_names_are_cut_into_ranges(spark):
+    df = spark.createDataFrame([(n,) for n in ("b", "é", "a", None, "b", "z", "😀", "")], "name string")
+    bounds = sharding.name_bounds(df, "name")
+    got = {r.name: r.at for r in df.select("name", sharding.range_quantised(F.col("name"), bounds).alias("at")).collect()}
+    assert got == {None: 0, "": 0, "a": 1, "b": 2, "z": 3, "é": 4, "😀": 5}
+    many = spark.range(1000).select(F.format_string("n%04d", "id").alias("name"))
+    ranges = many.groupBy(sharding.range_quantised(F.col("name"), sharding.name_bounds(many, "name")).alias("at")).agg(F.count("*").alias("n"), F.min("name"), F.max("name")).orderBy("at").collect()
+    assert len(ranges) == 16 and max(r.n for r in ranges) < 150
+    assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert sharding.name_bounds(df.where("name is null"), "name") == []
+
+
+def test_written_shards_prune_in_every_dimension(spark):
+    df = spark.range(8000).select(F.col("id").alias("doc_id"), F.format_string("host%02d", F.pmod(F.xxhash64("id"), F.lit(64))).alias("source"), F.pow(2.0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(15))).cast("long").alias("size"))
+    axes = [sharding.range_quantised(F.col("source"), sharding.name_bounds(df, "source")), sharding.log_quantised(F.col("size"))]
+    path, stats = sharding.write_shards(sharding.shard(df, axes, "doc_id"))
+    stats = stats.collect()
+    assert spark.read.parquet(path).count() == 8000 == sum(r.rows for r in stats)
+    for source in ("host00", "host31", "host63"):
+        assert sum(r.min_source <= source <= r.max_source for r in stats) <= 14
+    for size in (1, 256, 16384):
+        assert sum(r.min_size <= size <= r.max_size for r in stats) <= 14
+
+
 @pytest.mark.parametrize("dimensions, bits", [(2, 4), (3, 3)])
 def test_curve_is_a_path(spark, dimensions, bits):
     """Every cell has a place of its own, and neighbours on the curve are neighbours in space."""
