@@ -7,22 +7,24 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.geometry import Cell, cartesian, fractional, vec
+from framelake.functions.elements import element_of, mass_of, radius_of
+from framelake.functions.geometry import Cell, cartesian, fractional, nearest_image, sub, vec
 from framelake.operators.aggregates import DENSITY
+from framelake.sources import trajectories
 
 
-def box_of(values: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-    """(low, high) corner from one edge, three edges, or both corners."""
+def box_of(values: Sequence[float]) -> np.ndarray:
+    """Edge vectors as rows, from one edge, three edges, or three edges and three angles in degrees."""
     v = [float(x) for x in values]
     if len(v) == 1:
-        return np.zeros(3), np.full(3, v[0])
+        return np.diag(v * 3)
     if len(v) == 3:
-        return np.zeros(3), np.array(v)
+        return np.diag(v)
     if len(v) == 6:
-        return np.array(v[:3]), np.array(v[3:])
+        return np.array(Cell.of_lengths(*v).vectors)
     raise ValueError("a box is one, three or six numbers")
 
 
@@ -33,15 +35,16 @@ def random_rotations(rng: np.random.Generator, n: int) -> np.ndarray:
 
 
 class PlacedPoints:
-    """Points in a grid of bins as wide as the cutoff, for clash tests in a periodic box."""
+    """Points in a grid of bins at least as wide as the cutoff, for clash tests in a periodic box."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, cutoff: float):
-        self.low, self.size, self.cutoff = low, high - low, cutoff
-        self.n = np.maximum(1, np.floor(self.size / max(cutoff, 1e-9))).astype(int)
+    def __init__(self, low: np.ndarray, box: np.ndarray, cutoff: float):
+        self.low, self.box, self.inverse, self.cutoff = low, box, np.linalg.inv(box), cutoff
+        heights = 1 / np.linalg.norm(self.inverse, axis=0)  # between opposite faces
+        self.n = np.maximum(1, np.floor(heights / max(cutoff, 1e-9))).astype(int)
         self.bins: dict[tuple, list[np.ndarray]] = {}
 
     def _bin(self, p: np.ndarray) -> tuple:
-        f = (p - self.low) / self.size
+        f = (p - self.low) @ self.inverse
         return tuple(np.minimum(((f - np.floor(f)) * self.n).astype(int), self.n - 1))
 
     def clash(self, points: np.ndarray) -> bool:
@@ -49,8 +52,8 @@ class PlacedPoints:
             b = self._bin(p)
             for key in {tuple((b[i] + d[i]) % self.n[i] for i in range(3)) for d in np.ndindex(3, 3, 3) for d in [np.array(d) - 1]}:
                 for q in self.bins.get(key, ()):
-                    d = p - q
-                    d -= self.size * np.floor(d / self.size + 0.5)
+                    f = (p - q) @ self.inverse
+                    d = (f - np.floor(f + 0.5)) @ self.box
                     if d @ d < self.cutoff * self.cutoff:
                         return True
         return False
@@ -76,8 +79,9 @@ def solvate(
     max_attempts: int = 200,
     seed: int = 42,
     around_existing: bool = False,
+    origin: Sequence[float] = (0.0, 0.0, 0.0),
 ) -> DataFrame:
-    """``frame, copy, site, element, x, y, z``: copies of a template put at random into each frame's box.
+    """``frame, copy, site, element, x, y, z``: copies of a template put at random into each frame's box (with a corner at ``origin``).
 
     Exactly one of ``number`` and ``density`` (with ``molar_mass``) says how many. A place is tried
     ``max_attempts`` times; a copy that finds none is left out. Atoms of different copies are at
@@ -87,22 +91,22 @@ def solvate(
     """
     if (number is None) == (density is None):
         raise ValueError("give either a number or a density")
-    low, high = box_of(box)
+    low, edges = np.array(origin, float), box_of(box)
     if number is None:
         if not molar_mass:
             raise ValueError("a density needs the molar mass")
-        number = target_count(density, float(np.prod(high - low)), molar_mass)
+        number = target_count(density, abs(float(np.linalg.det(edges))), molar_mass)
     shape = np.array([t[1:] for t in template], float)
     shape -= shape.mean(0)
     names = [t[0] for t in template]
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        rng, placed, out = np.random.default_rng(seed), PlacedPoints(low, high, min_distance), []
+        rng, placed, out = np.random.default_rng(seed), PlacedPoints(low, edges, min_distance), []
         if around_existing:
             placed.add(group.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float))
         for copy in range(number):
             for _ in range(max_attempts):
-                points = shape @ random_rotations(rng, 1)[0].T + low + rng.random(3) * (high - low)
+                points = shape @ random_rotations(rng, 1)[0].T + low + rng.random(3) @ edges
                 if not placed.clash(points):
                     placed.add(points)
                     out += [(int(group["frame"].iloc[0]), copy, s, names[s], *map(float, p)) for s, p in enumerate(points)]
@@ -156,7 +160,71 @@ def slab(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float =
     return df.drop("_t0", "_t1", "_t2")
 
 
-def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap: float = 0.1) -> list[float]:
+def slab_of_molecules(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """As ``slab``, of whole molecules: what lies inside is decided by the centroid of the atoms, made whole beside its first atom."""
+    points = _whole_molecules(atoms, cell)
+    centres = slab(points.groupBy("frame", "mol_index").agg(*[F.avg(k).alias(k) for k in "xyz"]), cell, hkl, depth, shift)
+    centres = centres.select("frame", "mol_index", *[F.col(k).alias(f"{k}_to") for k in "xyz"])
+    each = points.join(points.groupBy("frame", "mol_index").agg(*[F.avg(k).alias(f"{k}_from") for k in "xyz"]), ["frame", "mol_index"])
+    out = each.join(centres, ["frame", "mol_index"])
+    out = out.withColumns({k: F.col(k) - F.col(f"{k}_from") + F.col(f"{k}_to") for k in "xyz"}).drop(*[f"{k}_{e}" for k in "xyz" for e in ("from", "to")])
+    return out.withColumns(slab_coordinates(cell, hkl, shift))
+
+
+def _whole_molecules(atoms: DataFrame, cell: Cell) -> DataFrame:
+    """Atoms of the first frame, each at its image nearest to the first atom of its molecule."""
+    first = atoms.where(F.col("frame") == F.lit(atoms.agg(F.min("frame")).first()[0])).drop("cell")
+    heads = first.groupBy("frame", "mol_index").agg(F.min_by(F.struct("x", "y", "z"), "atom_index").alias("_head"))
+    both = first.join(heads, ["frame", "mol_index"])
+    head = tuple(F.col(f"_head.{k}") for k in "xyz")
+    near = nearest_image(sub(vec(), head), cell.column())
+    return both.withColumns({k: h + d for k, h, d in zip("xyz", head, near, strict=True)}).drop("_head")
+
+
+def slab_coordinates(cell: Cell, hkl: tuple[int, int, int], shift: float = 0.0) -> dict[str, Column]:
+    """``fa, fb, depth`` of a position in the basis of a slab."""
+    f = fractional(vec(), Cell(tuple(surface_basis(cell, hkl)[0].ravel())).column())
+    return {"fa": f[0], "fb": f[1], "depth": f[2] - shift}
+
+
+def stood_up(slab_atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float = 1.0, direction: Sequence[float] | None = None) -> DataFrame:
+    """A slab turned so that its first edge is x (or ``direction``, in lattice vectors, as far as it lies in the plane) and its plane x, y; with its cell."""
+    basis, _ = surface_basis(cell, hkl)
+    a, b, c = (float(np.linalg.norm(v)) for v in basis)
+    angle = lambda u, v: math.degrees(math.acos(float(u @ v) / float(np.linalg.norm(u) * np.linalg.norm(v))))
+    made = Cell.of_lengths(a, b, c, angle(basis[1], basis[2]), angle(basis[0], basis[2]), angle(basis[0], basis[1]))
+    moved = cartesian((F.col("fa"), F.col("fb"), F.col("depth")), made.column())
+    out = slab_atoms.withColumns(dict(zip("xyz", moved, strict=True)))
+    vectors = np.array(made.vectors)
+    if direction is not None:
+        along = np.array(direction, float) @ np.array(cell.vectors) @ np.linalg.inv(basis) @ vectors
+        if np.hypot(along[0], along[1]) < 1e-9:
+            raise ValueError("the direction is the normal of the plane")
+        out = align_x(out, vectors, along)
+    whole = Cell(tuple((vectors * np.array([[1], [1], [depth]])).ravel()))
+    return out.withColumn("cell", whole.column())
+
+
+def read_template(spark: SparkSession, path: str, most: int = 100_000) -> list[tuple[str, float, float, float]]:
+    """(type, x, y, z) of the first frame of a file of one molecule; more than ``most`` atoms are an error."""
+    atoms = trajectories.load(spark, [path])
+    rows = atoms.where(F.col("frame") == 0).orderBy("atom_index").select("type", "x", "y", "z").limit(most + 1).collect()
+    if not 0 < len(rows) <= most:
+        raise ValueError(f"{path!r} has no template of 1 to {most} atoms")
+    return [tuple(r) for r in rows]
+
+
+def with_copies(atoms: DataFrame, template: Sequence[tuple[str, float, float, float]], box: Sequence[float], **options) -> DataFrame:
+    """``atoms`` and, behind the last of each frame, the atoms of the copies that ``solvate`` puts there."""
+    new = solvate(atoms.select("frame"), template, box, **options)
+    ends = atoms.groupBy("frame").agg((F.max("atom_index") + 1).alias("_end"), *([F.first("cell").alias("cell")] if "cell" in atoms.columns else []))
+    place = (F.col("_end") + F.col("copy") * len(template) + F.col("site")).cast("long")
+    element = element_of(F.col("type"))
+    made = new.withColumnRenamed("element", "type").join(ends, "frame").withColumns({"atom_index": place, "name": F.col("type"), "element": element, "mass": mass_of(element), "radius": radius_of(element)})
+    return atoms.unionByName(made.select(*[c for c in made.columns if c in atoms.columns]), allowMissingColumns=True)
+
+
+def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap: float = 0.1, molecules: bool = False) -> list[float]:
     """Shifts (in plane spacings) in the middle of every gap between atomic layers of one spacing.
 
     Layers are gathered as the least and greatest depth of bins no wider than half a gap, so a gap
@@ -166,6 +234,8 @@ def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap:
         raise ValueError("a gap is wider than 0")
     _, spacing = surface_basis(cell, hkl)
     bins = math.ceil(2 * spacing / gap)
+    if molecules:  # a cut between molecules: their centroids are the layers
+        atoms = _whole_molecules(atoms, cell).groupBy("frame", "mol_index").agg(*[F.avg(k).alias(k) for k in "xyz"])
     rows = slab(atoms, cell, hkl).select(F.round(F.pmod("depth", F.lit(1.0)), 6).alias("d"))
     layers = sorted((r[1], r[2]) for r in rows.groupBy(F.floor(F.col("d") * bins)).agg(F.min("d"), F.max("d")).collect())
     ends = [low for low, _ in layers[1:]] + [layers[0][0] + 1.0] if layers else []

@@ -97,6 +97,15 @@ def compile_selection(text: str, allowed: str = "iajm") -> Selection:
     return Selection(text, (kinds or {"atom"}).pop(), sql, tuple(criteria))
 
 
+def summary(text: str) -> dict[str, list[str]]:
+    """What a selection names, by column: indices and ranges (``3``, ``4-9``) or types, in their order."""
+    out: dict[str, list[str]] = {c: [] for c in _COLUMN.values()}
+    for criterion in compile_selection(text).criteria:
+        column, value = re.split(r" = | BETWEEN ", criterion)
+        out[column].append(value.strip("'").replace(" AND ", "-"))
+    return out
+
+
 def check_matches(df: DataFrame, selection: Selection) -> None:
     """Raise where a single criterion matches nothing (one aggregate over ``df``)."""
     if selection.criteria:

@@ -99,6 +99,32 @@ def bonds_of(bonds: DataFrame, atom: int) -> DataFrame:
     return bonds.where((F.col("i") == atom) | (F.col("j") == atom))
 
 
+def add_terms(terms: DataFrame, more: DataFrame) -> DataFrame:
+    """Angles (``i, centre, k``) or proper dihedrals (``i, j, k, l``) and those of ``more`` that are not there yet, read either way round."""
+    new = _canonical_terms(more)
+    return terms.unionByName(new.join(_canonical_terms(terms), new.columns, "left_anti"), allowMissingColumns=True)
+
+
+def remove_terms(terms: DataFrame, gone: DataFrame) -> DataFrame:
+    """Angles or proper dihedrals without those of ``gone``, read either way round."""
+    names = [c for c in ("i", "centre", "j", "k", "l") if c in terms.columns]
+    back = _canonical_terms(gone)
+    turned = back.select("frame", *[F.col(b).alias(a) for a, b in zip(names, reversed(names), strict=True)])
+    return terms.join(back.union(turned).distinct(), ["frame", *names], "left_anti")
+
+
+def terms_of(terms: DataFrame, atom: int) -> DataFrame:
+    """Angles or dihedrals that involve an atom."""
+    return terms.where(reduce(lambda a, b: a | b, (F.col(c) == atom for c in ("i", "centre", "j", "k", "l") if c in terms.columns)))
+
+
+def _canonical_terms(terms: DataFrame) -> DataFrame:
+    """Each once, from its smaller end; inner atoms decide where the ends are equal."""
+    names = [c for c in ("i", "centre", "j", "k", "l") if c in terms.columns]
+    least = F.least(F.array(*names), F.array(*reversed(names)))
+    return terms.select("frame", *[least[n].alias(c) for n, c in enumerate(names)]).distinct()
+
+
 def adjacency(bonds: DataFrame) -> DataFrame:
     """``frame, centre, end``: every bond in both directions."""
     return bonds.select("frame", F.col("i").alias("centre"), F.col("j").alias("end")).union(bonds.select("frame", F.col("j"), F.col("i")))

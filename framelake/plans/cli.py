@@ -7,18 +7,23 @@ import logging
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from framelake.functions.elements import element_of, mass_of
+from framelake.operators import aggregates, generate, orientation
 from framelake.operators.grids import reduce_axes, smooth_size
+from framelake.operators.selection import compile_selection
 from framelake.operators.topology import BondCriterion
 from framelake.plans.session import Session
-from framelake.sources import grid_files
+from framelake.runtime import staged
+from framelake.sources import grid_files, trajectories
 
 LEVELS = [logging.CRITICAL, logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG]
-NEEDS_LOAD = {"modify", "pmepot", "wrap", "write", "rdf", "dipole", "info", "top"}
+NEEDS_LOAD = {"modify", "pmepot", "wrap", "write", "rdf", "dipole", "info", "top", "qc", "solvate", "surface"}
 
 
 def parsers() -> dict[str, argparse.ArgumentParser]:
-    p = {n: argparse.ArgumentParser(prog=n) for n in ("load", "modify", "wrap", "top", "rdf", "dipole", "pmepot", "dxreduce", "info", "write")}
+    p = {n: argparse.ArgumentParser(prog=n) for n in ("load", "modify", "wrap", "top", "rdf", "dipole", "pmepot", "dxreduce", "info", "write", "qc", "solvate", "surface")}
     p["load"].add_argument("files", nargs="+")
     p["load"].add_argument("--into-mem", action="store_true")
     p["load"].add_argument("--slice")
@@ -45,7 +50,38 @@ def parsers() -> dict[str, argparse.ArgumentParser]:
     r.add_argument("--nbins", type=int, default=100)
     r.add_argument("--mol-origin", choices=("com", "centroid"), default="com")
     r.add_argument("--out", default="gofr.out")
-    p["dipole"].add_argument("-o", "--out", default="dipole.out")
+    d = p["dipole"]
+    d.add_argument("-o", "--out")
+    d.add_argument("--sel")
+    d.add_argument("--grid-out")
+    d.add_argument("--grid", nargs=3, type=int)
+    d.add_argument("--spacing", type=float, default=1.0)
+    d.add_argument("--order", type=int, default=4)
+    q = p["qc"]
+    q.add_argument("--carbonates", required=True)
+    q.add_argument("--train", action="store_true")
+    q.add_argument("--c3-symmetry", action=argparse.BooleanOptionalAction, default=True)
+    q.add_argument("-k", "--clusters", type=int, default=3)
+    q.add_argument("--ref-config", default="surface_configs.json")
+    q.add_argument("-o", "--output")
+    q.add_argument("--distance-threshold", type=float, default=0.3)
+    v = p["solvate"]
+    v.add_argument("-m", "--molecule", required=True)
+    v.add_argument("--origin", nargs=3, type=float, default=(0.0, 0.0, 0.0))
+    v.add_argument("--box", nargs="+", type=float, required=True)
+    many = v.add_mutually_exclusive_group(required=True)
+    many.add_argument("-n", "--n-molecules", type=int)
+    many.add_argument("--density", type=float)
+    v.add_argument("--min-dist", type=float, default=2.5)
+    v.add_argument("--max-attempts", type=int, default=200)
+    v.add_argument("--seed", type=int, default=42)
+    c = p["surface"]
+    c.add_argument("hkl", nargs=3, type=int)
+    c.add_argument("-o", "--output", required=True)
+    c.add_argument("--shift", type=float)
+    c.add_argument("--depth", type=float, default=1.0)
+    c.add_argument("--atomic", action="store_true")
+    c.add_argument("--x-direction", nargs=3, type=float)
     e = p["pmepot"]
     e.add_argument("out")
     e.add_argument("--spacing", type=float, default=1.0)
@@ -101,15 +137,28 @@ def run(spark: SparkSession, argv: list[str]) -> Session:
         elif name == "rdf":
             grid_files.write_rdf(s.rdf(o.s1, o.s2, o.rcut, o.nbins, o.mol_origin), o.out)
         elif name == "dipole":
-            s.dipole().coalesce(1).write.csv(o.out, header=True)
+            s.dipole().show(truncate=False)
+            if o.out:
+                grid_files.write_dipoles(s.dipoles(), o.out)
+            if o.grid_out:
+                if not o.sel:
+                    raise ValueError("--grid-out needs --sel")
+                shape, vectors = _mesh(s, o)
+                field = staged(s.polarisation(o.sel, shape, o.order))
+                for suffix, value in (("Px", "mx"), ("Py", "my"), ("Pz", "mz"), ("Pmag", "magnitude")):
+                    grid_files.write_dx(field, grid_files.centred_header(shape, vectors), f"{o.grid_out}_{suffix}.dx", value)
         elif name == "pmepot":
-            cell = s._scan().where("cell is not null").select("cell").first()
-            if cell is None:
-                raise ValueError("pmepot needs a cell")
-            c = cell[0]
-            shape = tuple(o.grid) if o.grid else tuple(smooth_size(c[k], o.spacing) for k in "abc")
+            shape, vectors = _mesh(s, o)
             values = s.potential(shape, o.beta, o.order, o.real_space, o.cutoff, o.grid_spread, o.cell_radius)
-            grid_files.write_dx(values, grid_files.centred_header(shape, [c["h"][i : i + 3] for i in (0, 3, 6)]), o.out)
+            grid_files.write_dx(values, grid_files.centred_header(shape, vectors), o.out)
+        elif name == "qc":
+            _configurations(s, o)
+        elif name == "solvate":
+            template = generate.read_template(spark, o.molecule)
+            mass = None if o.density is None else spark.createDataFrame(template, "type string, x double, y double, z double").agg(F.sum(mass_of(element_of(F.col("type"))))).first()[0]
+            s.solvate(template, o.box, number=o.n_molecules, density=o.density, molar_mass=mass, min_distance=o.min_dist, max_attempts=o.max_attempts, seed=o.seed, origin=o.origin)
+        elif name == "surface":
+            trajectories.write(s.surface(tuple(o.hkl), o.shift, o.depth, o.atomic, o.x_direction), o.output)
         elif name == "dxreduce":
             header, grid = grid_files.read_dx(spark, o.file)
             reduced = reduce_axes(grid, header, o.average)
@@ -124,6 +173,32 @@ def run(spark: SparkSession, argv: list[str]) -> Session:
     return s
 
 
+def _mesh(s: Session, o: argparse.Namespace) -> tuple[tuple[int, int, int], list]:
+    """Numbers of grid points, as asked for or by spacing, and the cell's vectors."""
+    c = s.cell()
+    return tuple(o.grid) if o.grid else tuple(smooth_size(c[k], o.spacing) for k in "abc"), [c["h"][i : i + 3] for i in (0, 3, 6)]
+
+
+def _configurations(s: Session, o: argparse.Namespace) -> None:
+    """Learn the configurations of the selected carbonates, or name the one that each frame is in."""
+    if compile_selection(o.carbonates, "jm").kind != "molecule":
+        raise ValueError("carbonates are molecules: select them by j or m")
+    states = staged(s.states(o.carbonates, o.c3_symmetry))
+    if o.train:
+        centroids, _ = orientation.k_means(states, o.clusters)
+        orientation.describe(centroids).orderBy("ref", "slot").show(truncate=False)
+        grid_files.write_states(centroids, o.ref_config)
+        return
+    references = grid_files.read_states(s.spark, o.ref_config)
+    orientation.check_slots(states, references)
+    found = staged(orientation.nearest_state(states, references, o.distance_threshold, permute=True))
+    moves = aggregates.transitions(found.withColumn("traj", F.lit(0)))
+    for report in (aggregates.occupancy(found).orderBy("state"), aggregates.quality(found), moves.agg(F.count("*").alias("transitions"))):
+        report.show(truncate=False)
+    if o.output:
+        grid_files.write_assignments(found, o.output)
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if argv[:1] in (["--help"], ["-h"]):

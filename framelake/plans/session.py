@@ -7,11 +7,13 @@ Topology is always that of the scanned coordinates. ``info`` and ``surface`` loo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.elements import element_of, mass_of, radius_of
+from framelake.functions.geometry import Cell
 from framelake.operators import aggregates, generate, grids, orientation, topology, transforms
 from framelake.operators.selection import compile_selection, select, select_entities
 from framelake.runtime import staged
@@ -95,8 +97,19 @@ class Session:
         a = self._for(first, second)
         return aggregates.rdf(select_entities(a, first, origin), select_entities(a, second, origin), cutoff, bins)
 
+    def dipoles(self) -> DataFrame:
+        """Dipole of every frame."""
+        return aggregates.dipoles(self.atoms())
+
     def dipole(self) -> DataFrame:
-        return aggregates.mean_dipole(aggregates.dipoles(self.atoms()))
+        return aggregates.mean_dipole(self.dipoles())
+
+    def cell(self) -> dict:
+        """The first cell of the scan, as its fields."""
+        held = self._scan().where("cell is not null").select("cell").first()
+        if held is None:
+            raise ValueError("there is no cell")
+        return held[0].asDict()
 
     def polarisation(self, text: str, shape: tuple[int, int, int], order: int = 4) -> DataFrame:
         if compile_selection(text).kind != "molecule":
@@ -129,8 +142,29 @@ class Session:
             "molecules": aggregates.molecule_report(kinds, members, scan),
         }
 
-    def solvate(self, template: Sequence[tuple[str, float, float, float]], box: Sequence[float], **options) -> DataFrame:
-        return generate.solvate(self._scan().select("frame"), template, box, **options)
+    def solvate(self, template: Sequence[tuple[str, float, float, float]], box: Sequence[float], **options) -> Session:
+        """Add copies of a template to every frame, as a step of the chain; bonds are those of the scan."""
+        self.steps.append(lambda df: generate.with_copies(df, template, box, **options))
+        return self
+
+    def surface(self, hkl: tuple[int, int, int], shift: float | None = None, depth: float = 1.0, atomic: bool = False, direction: Sequence[float] | None = None) -> DataFrame:
+        """Slabs of the scan's first frame, a frame for each cut between layers (or the one at ``shift``)."""
+        scan = self._scan()
+        first = scan.where(F.col("frame") == F.lit(scan.agg(F.min("frame")).first()[0]))
+        held = first.where("cell is not null").select("cell.h").first()
+        if held is None:
+            raise ValueError("surface needs a cell")
+        cell = Cell(tuple(held[0]))
+        if not atomic:
+            first = staged(first.drop("mol_index").join(self.molecules()[0], ["frame", "atom_index"]))
+        shifts = generate.possible_cuts(first, cell, hkl, molecules=not atomic) if shift is None else [shift]
+        if not shifts:
+            raise ValueError("no gap between layers to cut at")
+        cut = generate.slab if atomic else generate.slab_of_molecules
+        slabs = [generate.stood_up(cut(first, cell, hkl, depth, s), cell, hkl, depth, direction).withColumn("frame", F.lit(n).cast("long")) for n, s in enumerate(shifts)]
+        out = reduce(DataFrame.unionByName, slabs)
+        part = Window.partitionBy("frame").orderBy("atom_index", "depth", "fa", "fb")  # one slab: a crystal's cell in a few layers
+        return out.withColumn("atom_index", (F.row_number().over(part) - 1).cast("long")).drop("fa", "fb", "depth")
 
     def write(self, path: str, parts: int = 1, original_ids: bool = False) -> None:
         trajectories.write(self.atoms(), path, self.input_bonds, parts, original_ids)

@@ -92,6 +92,24 @@ def write_rdf(rdf: DataFrame, path: str) -> None:
     head.union(rows).repartitionByRange(1, "bin").sortWithinPartitions("bin").select("value").write.text(path)
 
 
+def _write_ordered(rows: DataFrame, head: str, path: str) -> None:
+    """``frame, value`` as text in order of frames, behind a line of column names."""
+    first = rows.sparkSession.createDataFrame([(-1, head)], "frame long, value string")
+    first.union(rows).repartitionByRange(1, "frame").sortWithinPartitions("frame").select("value").write.text(path)
+
+
+def write_dipoles(dipoles: DataFrame, path: str) -> None:
+    """Frame, dipole along x, y, z and along the cell's vectors (without a cell: x, y, z again), in e angstrom."""
+    along = [f"m_{k}" if f"m_{k}" in dipoles.columns else m for k, m in zip("abc", ("mx", "my", "mz"), strict=True)]
+    value = F.format_string("%6d" + "  %12.6f" * 6, "frame", "mx", "my", "mz", *[F.coalesce(c, m) for c, m in zip(along, ("mx", "my", "mz"), strict=True)])
+    _write_ordered(dipoles.select("frame", value.alias("value")), "# frame  dx(e.A)  dy(e.A)  dz(e.A)  da(e.A)  db(e.A)  dc(e.A)", path)
+
+
+def write_assignments(states: DataFrame, path: str) -> None:
+    """Frame, configuration and distance."""
+    _write_ordered(states.select("frame", F.concat_ws(" ", "frame", "state", "distance").alias("value")), "# Frame Configuration Distance", path)
+
+
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """``ref, slot, w, x, y, z`` of a JSON file of reference configurations."""
     raw = spark.read.json(path, multiLine=True)

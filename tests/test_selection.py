@@ -1,6 +1,6 @@
 import pytest
 
-from framelake.operators.selection import check_matches, compile_selection, select
+from framelake.operators.selection import check_matches, compile_selection, select, summary
 
 WATER = [(0, 0, "O", 0.0, 0.0, 0.0), (0, 1, "H", 0.96, 0.0, 0.0), (0, 2, "H", -0.24, 0.927, 0.0)]
 
@@ -31,3 +31,7 @@ def test_counts(water, text, n):
 def test_no_match(water, text):
     with pytest.raises(ValueError, match="no entities"):
         check_matches(water, compile_selection(text))
+
+
+def test_summary():
+    assert summary("i3,5-9 or aC,H and x > 2") == {"atom_index": ["3", "5-9"], "type": ["C", "H"], "mol_index": [], "mol_type": []}
