@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.runtime import shared_dir, staged
+from framelake.runtime import fresh, join_lookup, shared_dir, staged
 
 BITS = 4  #: of each dimension
 
@@ -79,25 +79,30 @@ def shard(df: DataFrame, dimensions: list[Column], key: str, shards: int = 40, b
     too share their places in any order. Fewer rows than shards leave shards empty; no rows, none.
     Existing columns ``curve``, ``shard`` and ``slot`` are replaced.
 
-    A cell of any size is cut into buckets by the key's hash. Counts of cells and buckets, combined
-    before the shuffle, give each bucket its first rank, so no task sorts more than a bucket.
+    A cell of any size is cut into buckets by the key's hash, as many as its count asks for. Counts of
+    cells and buckets, combined before the shuffle, give each bucket its first rank, so no task sorts
+    more than a bucket, and there are at most ``2**(bits * dimensions)`` cells and that many buckets
+    and four a shuffle partition, whatever the rows.
     """
     spark = df.sparkSession
-    cuts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.drop("curve", "shard", "slot").withColumns({"curve": hilbert_index(dimensions, bits), "_cut": F.pmod(F.xxhash64(F.col(key)), F.lit(cuts))})
-    rows = staged(rows)
-    buckets = staged(rows.groupBy("curve", "_cut").agg(F.count("*").alias("_n")))
-    cells = buckets.groupBy("curve").agg(F.sum("_n").alias("_n"))  # at most 2 ** (bits * dimensions)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("curve", before.alias("_cell"))
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("curve").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = buckets.withColumn("_inside", inside).join(cells, "curve").select("curve", "_cut", (F.col("_cell") + F.col("_inside")).alias("_first"))
-    total = buckets.agg(F.sum("_n")).first()[0] or 0
-    rank = F.col("_first") + F.row_number().over(Window.partitionBy("curve", "_cut").orderBy(key)) - 1
-    ranked = rows.join(firsts, ["curve", "_cut"]).withColumn("_rank", rank)
-    number = F.expr(f"_rank * {shards} div {max(total, 1)}")
-    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", number.cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_cut", "_first", "_rank")
+    rows = staged(df.drop("curve", "shard", "slot").withColumn("curve", hilbert_index(dimensions, bits)))
+    counts = staged(rows.groupBy("curve").agg(F.count("*").alias("_n")))
+    total, n_cells = counts.agg(F.sum("_n"), F.count("*")).first()
+    total = total or 0
+    most = max(1, -(-total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    cuts, cut, first, rank = fresh(rows, "cuts", "cut", "first", "rank")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = counts.select("curve", before(Window.orderBy("curve")).alias("_cell"), F.expr(f"(_n + {most - 1}L) div {most}L").alias(cuts))
+    dealt = join_lookup(rows, cells.select("curve", cuts), ["curve"], "inner", rows=n_cells)
+    dealt = dealt.withColumn(cut, F.pmod(F.xxhash64(F.col(key)), F.col(cuts))).drop(cuts)
+    buckets = staged(dealt.groupBy("curve", cut).agg(F.count("*").alias("_n")))
+    inside = buckets.withColumn("_inside", before(Window.partitionBy("curve").orderBy(cut)))
+    firsts = inside.join(cells, "curve").select("curve", cut, (F.col("_cell") + F.col("_inside")).alias(first))
+    place = F.col(first) + F.row_number().over(Window.partitionBy("curve", cut).orderBy(key)) - 1
+    ranked = join_lookup(dealt, firsts, ["curve", cut], "inner").withColumn(rank, place)
+    number = F.expr(f"`{rank}` * {shards} div {max(total, 1)}")
+    start = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
+    return ranked.withColumn("shard", number.cast("int")).withColumn("slot", (F.col(rank) - start).cast("long")).drop(cut, first, rank)
 
 
 def write_shards(sharded: DataFrame, path: str | None = None) -> tuple[str, DataFrame]:

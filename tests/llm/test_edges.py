@@ -158,6 +158,7 @@ def test_tilt_meets_its_targets(spark):
 
 def test_sharding(docs):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
+    docs = docs.withColumnsRenamed({"n_tokens": "cut", "kept": "cuts", "q": "rank"})
     rows = sharding.shard(docs.drop("component"), [sharding.range_quantised(F.col("source"), sharding.name_bounds(docs, "source")), sharding.log_quantised(size)], "doc_id", shards=7).select("doc_id", "shard", "slot", "curve").collect()
     by = {}
     for r in rows:
