@@ -107,7 +107,7 @@ def _merkle_manifest(levels: int = 6) -> str:
         ends = f"e{j}"
     sides = ", ".join(f"{s}.l AS l{j}, {s}.r AS r{j}" for j, s in enumerate(steps))
     return f"""WITH c AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, {leaf("text")} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS other FROM documents),
-d0 AS (SELECT doc_id, leaf, CASE WHEN {crc} % 5 = 0 THEN other ELSE leaf END AS start, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM c),
+d0 AS (SELECT doc_id, leaf, CASE WHEN id IS NOT NULL AND {crc} % 5 = 0 THEN other ELSE leaf END AS start, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM c),
 t0 AS (SELECT g, i, leaf AS h FROM d0), {", ".join(tree("t", "t0", "g"))},
 g0 AS (SELECT 0 AS z, g AS i, h FROM t{levels}), {", ".join(tree("g", "g0", "z"))}, d AS (SELECT *, 0 AS z FROM d0),
 m AS (SELECT d.doc_id, d.leaf, d.start, d.g, {sides}, sha256({proof}) AS proof_sha256 FROM {climb(climb("d", "t", "g", "i"), "g", "z", "g")}),
