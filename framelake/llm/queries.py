@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import merkle, mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc
-from framelake.runtime import Scratch, small_batches, staged, table
+from framelake.llm import merkle, mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc, wavelet
+from framelake.runtime import Scratch, discard, small_batches, staged, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return staged(merkle.verified(table(spark, sf_dir, "documents"), scratch))
 
 
+def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    with Scratch(spark) as scratch:
+        found = staged(wavelet.read_documents(spark, path, scratch).withColumnRenamed("key", "doc_id"))
+    discard(spark, path)  # the query's answer is what the files held, not the files
+    return found
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_toxicity, op4_packing, op5_quality_rules, op6_mixing, op7_sharding, op8_warc, op9_topk_search, op10_near_dedup, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_toxicity, op4_packing, op5_quality_rules, op6_mixing, op7_sharding, op8_warc, op9_topk_search, op10_near_dedup, op11_merkle_manifest, op13_wavelet_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
