@@ -78,10 +78,10 @@ class Scratch:
     def __exit__(self, *error) -> None:
         discard(self.spark, self.base)
 
-    def staged(self, df: DataFrame, slot: str | None = None) -> DataFrame:
+    def staged(self, df: DataFrame, slot: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        out = staged(df, path=path)
+        out = staged(df, partition_by, path)
         if slot:
             before = self.slots.get(slot)
             self.slots[slot] = path
