@@ -115,5 +115,17 @@ m AS (SELECT d.doc_id, d.leaf, d.start, d.g, {sides}, sha256({proof}) AS proof_s
 SELECT doc_id, leaf, s.h AS subroot, r.h AS root, proof_sha256, {ends} AS folded_root, {ends} = r.h AS verified FROM f{len(steps) - 1} f JOIN t{levels} s ON s.g = f.g CROSS JOIN g{levels} r"""
 
 
+COLLOCATIONS = rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase FROM p, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+cuts AS (SELECT lang, phrase, a, w, m, k, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, m), ' ') AS y FROM c, (SELECT unnest(range(1, 4)) AS k) WHERE k < m),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, fx.a AS l, fy.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (fx.a + fy.a) AS BIGINT) AS score FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase, max(a) AS longer FROM c, (SELECT unnest(range(1, 4)) AS i), (SELECT unnest(range(2, 4)) AS s) WHERE s < m AND i + s - 1 <= m GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _url_filters(), "op5_quality_rules": _quality_rules(), "op8_warc": WARC, "op9_topk_search": TOP_K, "op10_near_dedup": NEAR_DUPLICATES, "op11_merkle_manifest": _merkle_manifest()}
+    return {"op2_url_filters": _url_filters(), "op5_quality_rules": _quality_rules(), "op8_warc": WARC, "op9_topk_search": TOP_K, "op10_near_dedup": NEAR_DUPLICATES, "op11_merkle_manifest": _merkle_manifest(), "op12_collocations": COLLOCATIONS}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import merkle, mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc, wavelet
+from framelake.llm import collocations, merkle, mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc, wavelet
 from framelake.runtime import Scratch, discard, small_batches, staged, table
 
 
@@ -69,6 +69,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return staged(merkle.verified(table(spark, sf_dir, "documents"), scratch))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return staged(collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), scratch))
+
+
 def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     with Scratch(spark) as scratch:
@@ -78,7 +83,7 @@ def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_toxicity, op4_packing, op5_quality_rules, op6_mixing, op7_sharding, op8_warc, op9_topk_search, op10_near_dedup, op11_merkle_manifest, op13_wavelet_shards)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_toxicity, op4_packing, op5_quality_rules, op6_mixing, op7_sharding, op8_warc, op9_topk_search, op10_near_dedup, op11_merkle_manifest, op12_collocations, op13_wavelet_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
