@@ -15,11 +15,13 @@ input is partitioned.
 Ids come from ``tokenizers``. A pre-token of byte-level BPE never reaches over a blank that stands
 before a character other than white space, so a text is cut there, and the ids of each such word are
 asked of the tokenizer once and kept in a bounded table: those of plain pre-tokens of its model, others
-of the whole tokenizer. Texts with special tokens are encoded whole.
+of the whole tokenizer. Texts with special tokens are encoded whole, and so are all texts under a file
+that normalises or splits them in another way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -107,6 +109,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.stand_ins = self.tokenizer.model, dict(enumerate(byte_alphabet()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False}
+        plain = not told.get("normalizer") and not told.get("truncation") and not told.get("padding") and told["model"]["type"] == "BPE"
+        #: whether words may be encoded apart: byte-level BPE by its own splitter, on texts as they are
+        self.apart = bool(plain and (told.get("pre_tokenizer") or {}).items() >= byte_level.items() and (told["pre_tokenizer"].get("use_regex", True)))
         self.memo = memo
         self.words: dict[str, bytes] = {}  # words that stand behind a blank
         self.pieces: dict[str, bytes] = {}  # single pre-tokens without a blank
@@ -169,7 +177,7 @@ class WordEncoder:
         """Ids of each text, worked out for a bounded number of characters (or one text) at a time."""
         held, chars = [], 0
         for text in texts:
-            if any(s in text for s in self.special):
+            if not self.apart or any(s in text for s in self.special):
                 yield from self.group(held)
                 yield from self.ids([text])
                 held, chars = [], 0

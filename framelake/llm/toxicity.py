@@ -12,7 +12,7 @@ learned the training rows by heart: on 4 000 labelled rows it found 65 of 100 ot
 this one 99.)
 
 The chain is fitted on a bounded sample of labelled texts (``SAMPLE`` rows, least hashes of their
-ids, each of at most ``2**BITS`` features); the folds of a category are fitted side by side, each in
+ids, of ``ENTRIES`` features together), however often an id is repeated; the folds of a category are fitted side by side, each in
 a task of its own. Every text is scored whole, by its distinct features, in tasks that share nothing.
 """
 
@@ -32,6 +32,7 @@ from framelake.runtime import batches_of, small_batches, staged
 
 BITS = 18
 SAMPLE = 4_000  #: labelled rows that the chain is fitted on, at most
+ENTRIES = 1 << 24  #: features of all these rows together, at most (64 MB in each task that fits)
 FOLDS = 3
 TELLING = 8.0  #: standard score from which a feature has its full scale
 STEPS, RIDGE = 80, 1e-4
@@ -158,12 +159,13 @@ def fit_category(rows: DataFrame, number: int, bits: int) -> tuple[DataFrame, tu
     return made.where("names is null").select("row", F.least(F.greatest("odds", F.lit(-ODDS)), F.lit(ODDS)).alias(f"o{number}")), (full, np.frombuffer(model["dense"]), model["odds"])
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS, entries: int = ENTRIES) -> Chain:
     """Fit a chain on labelled documents; ``categories`` gives, in chain order, a 0/1 column of ``labels`` each.
 
-    At most ``sample`` labelled rows are used: those with the least hashes of their keys, a sample
-    that reruns draw again. Rows without text have no features; rows with a null label or key are
-    not used; of repeated labels all count. Without any labelled row all probabilities are 0.5.
+    At most ``sample`` rows are used, in the order of the hashes of their keys and up to ``entries``
+    features together: a sample that reruns draw again. Where labels or documents repeat a key, every
+    pair of them is a row, and these are drawn from like others, so the bounds hold. Rows without text have no features; rows with a null label or key are
+    not used. Without any labelled row all probabilities are 0.5.
     """
     spark = docs.sparkSession
     names = [f"y{i}" for i in range(len(categories))]
@@ -173,11 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Features(bits)
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], **{n: batch[n] for n in names}, "features": [np.sort(make(t)).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"key": batch["key"], "draw": batch["draw"], **{n: batch[n] for n in names}, "features": [np.sort(make(t)).tobytes() for t in batch["text"]]})
 
-    joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key").select(F.col("key").cast("string").alias("key"), *names, "text")
+    joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key").select(F.col("key").cast("string").alias("key"), F.xxhash64("key").alias("draw"), *names, "text")
     with batches_of(spark, 500):
-        made = staged(joined.mapInPandas(featured, ", ".join(["key string", *(f"{n} int" for n in names), "features binary"])))
+        every = staged(joined.mapInPandas(featured, ", ".join(["key string", "draw long", *(f"{n} int" for n in names), "features binary"])).withColumn("at", F.monotonically_increasing_id()))
+        narrow = every.select("at", "key", "draw", *names, F.xxhash64("features").alias("tie"), (F.length("features") / 4).alias("size"))
+        order = ["draw", "key", *names, "tie", "at"]
+        first = narrow.orderBy(*order).limit(sample).withColumn("so_far", F.sum("size").over(Window.orderBy(*order)))  # a window over the sample alone
+        made = staged(every.join(F.broadcast(first.where(F.col("so_far") <= entries).select("at")), "at").drop("at", "draw"))
         # numbered in an order that does not depend on partitions, so that reruns agree; the sample is bounded
         number = F.row_number().over(Window.orderBy("key", "features", *names)).cast("long")
         rows = staged(made.withColumns({"row": number, "fold": F.crc32("key") % FOLDS}))

@@ -342,3 +342,27 @@ def test_ids_are_the_librarys():
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), 32, 32, rng.randrange(0x10000, 0x1FBFF)])) for _ in range(rng.randrange(60))) for _ in range(4000)]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert list(encode(texts)) == want == list(encode(texts))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids do not pass the bounds of the sample, in rows or in features."""
+    docs = spark.range(3000).selectExpr("id % 30 as doc_id", "concat('word', id, ' vile', id % 2, ' more of it') as text").unionByName(spark.range(2000).selectExpr("7L as doc_id", "'the same text of one id' as text"))
+    labels = spark.range(30).selectExpr("id as doc_id", "1 as quality", "cast(id % 2 as int) as toxic")
+    fitted, plain = [], toxicity.fit_category
+
+    def watched(rows, number, bits):
+        fitted.append(rows.selectExpr("count(*) as n", "sum(length(features)) div 4 as size").first())
+        return plain(rows, number, bits)
+
+    monkeypatch.setattr(toxicity, "fit_category", watched)
+    toxicity.train(docs, labels, toxicity.label_columns(), sample=100)
+    toxicity.train(docs, labels, toxicity.label_columns(), sample=100, entries=500)
+    assert [f.n for f in fitted[:2]] == [100, 100] and all(400 < f["size"] <= 500 for f in fitted[2:])
+
+
+def test_packing_encoder_minds_the_file(odd_texts):
+    texts = [t or "" for t in odd_texts[:12]] + ["Mixed CASE  don't ½ x1y2", "tab\tand\nline"]
+    for path, apart in ((BYTES, True), (BPE, False)):
+        encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+        assert encoder.apart is apart
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
