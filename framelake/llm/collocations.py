@@ -33,7 +33,7 @@ LONGEST = 4
 SUPPORT = 30
 SHARDS = 2
 TOP = 2_000
-SLOTS = 1 << 23  #: bytes of the table of what was reached, for each length
+SLOTS = 1 << 22  #: bytes of the table of what was reached, for each length
 PAGE = 1 << 16  #: slots sent to the driver together
 CHUNK = 1 << 21  #: words that a task counts at a time
 VOCABULARY = 1 << 19  #: words that a task keeps the numbers of
@@ -153,10 +153,11 @@ class Counter:
 
 def scanned(shard: DataFrame, scan: int, shards: int, tables: list, seed: int) -> DataFrame:
     """``len, w1..w4, lang, word, n``: counts of what may be active in a scan of ``shard`` (lang, text), summed by task."""
-    shared = shard.sparkSession.sparkContext.broadcast(tables)  # of fixed size
+    packed = [None if t is None else zlib.compress(t.tobytes(), 1) for t in tables]
+    shared = shard.sparkSession.sparkContext.broadcast(packed)  # of a fixed size at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(scan, shards, shared.value, seed)
+        counter = Counter(scan, shards, [None if t is None else np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value], seed)
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 counter.take(lang, bytes(text))
