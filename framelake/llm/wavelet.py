@@ -38,61 +38,112 @@ from framelake.runtime import Scratch, batches_of, join_lookup, shared_dir
 
 SHARD_TOKENS = 1 << 21  #: tokens after which a shard is closed
 BLOCK_BITS = 1 << 16  #: bits of a plane that are compressed together
-WORD_MEMO, WORD_BYTES = 1 << 19, 64  #: words kept by a worker, and a kept word's bytes at most
+WORD_MEMO, WORD_BYTES = 3 << 18, 64  #: words (and pre-tokens) kept by a worker, and a kept word's bytes at most
+GROUP_BYTES = 1 << 20  #: bytes of texts whose words are looked up together
 MAGIC = b"FLWM0001"
 #: What the file must say for words to be encoded apart (fixed values of the format).
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)?")  # letters, then signs: a pre-token each
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)?")  # letters (to U+00FF), then signs: a pre-token each
 
 
-class WordIds(dict):
-    """Ids (bytes of little-endian unsigned 32-bit) of words, worked out when first asked for."""
+class WordIds:
+    """Ids of texts, as bytes of little-endian unsigned 32-bit; those of words are kept once worked out."""
 
     def __init__(self, path: str, memo: int = WORD_MEMO):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
-        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        model, steps = told["model"], (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
-        self.apart = told.get("normalizer") == _NORMALIZER and len(steps) == 2 and steps[0] == _SPLIT and steps[1].items() >= byte_level.items() and told["model"]["type"] == "BPE" and not told.get("truncation") and not told.get("padding") and not any(set(s) & set(" \t\n\r\v\f") for s in self.special)
+        self.apart = told.get("normalizer") == _NORMALIZER and len(steps) == 2 and steps[0] == _SPLIT and steps[1].items() >= byte_level.items() and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        self.apart &= not told.get("truncation") and not told.get("padding") and not any(set(s) & set(" \t\n\r\v\f") or s != s.lower() for s in self.special)
+        self.marks = [s.lower().encode() for s in self.special]  # as texts that hold one are told after lower-casing
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a pre-token
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def part(self, x: bytes) -> bytes:
-        found = self.parts.get(x)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(x.decode())]).tobytes()
-            if len(x) <= WORD_BYTES:
-                self.parts[x] = found
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        m = _PLAIN.fullmatch(word)
-        if m:
-            ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
-        else:
-            ids = self.whole(word.decode())
-        if len(word) <= WORD_BYTES:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not self.apart or any(s in text for s in self.special):
-            return self.whole(text)
-        if len(self) > self.memo:
-            self.clear()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_parts(self, parts: list[bytes]) -> None:
+        """Ids of pre-tokens, many asked for in one text: each ends with the only token that ends one."""
+        asked = [b" ".join(parts[i : i + 64]).decode() for i in range(0, len(parts), 64)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)])
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(parts):
+            raise ValueError("a word is not one pre-token")
+        raw, at = ids.tobytes(), 0
+        for part, end in zip(parts, ends.tolist(), strict=True):
+            self.parts[part] = raw[at:end]
+            at = end
+
+    def learn(self, words: set[bytes]) -> None:
+        plain, odd = {}, []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain[w] = m.groups()
+            else:
+                odd.append(w)
+        known = self.parts
+        new = {p for both in plain.values() for p in both if p is not None and p not in known}
+        if new:
+            self.learn_parts(list(new))
+        for w, (head, tail) in plain.items():
+            self.words[w] = known[head] + known[tail] if tail else known[head]
+        self.words.update(zip(odd, self.whole([w.decode() for w in odd]), strict=True))
+
+    def group(self, texts: list[bytes]) -> list[bytes]:
+        words, ends = [], []
+        for t in texts:
+            words += t.split()
+            ends.append(len(words))
+        found = list(map(self.words.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = {words[i] for i in missing}
+        if new:
+            self.learn(new)
+            for i in missing:
+                found[i] = self.words[words[i]]
+        out, at = [], 0
+        for end in ends:
+            out.append(b"".join(found[at:end]))
+            at = end
+        for w in [w for w in new if len(w) > WORD_BYTES]:
+            del self.words[w]
+            self.parts.pop(w, None)
+        if len(self.words) > self.memo:
+            self.words.clear()
         if len(self.parts) > self.memo:
             self.parts.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        return out
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, for a bounded number of bytes (or one text) at a time.
+
+        A-Z are lower-cased first where no combining mark can join a letter before that.
+        """
+        held, size = [], 0
+        for text in texts:
+            raw = text.encode()
+            low = raw if b"\xcc" in raw else raw.lower()
+            if not self.apart or any(s in low for s in self.marks):
+                yield from self.group(held)
+                yield from self.whole([text])
+                held, size = [], 0
+                continue
+            held.append(low)
+            size += len(low)
+            if size >= GROUP_BYTES:
+                yield from self.group(held)
+                held, size = [], 0
+        yield from self.group(held)
 
 
 _words: dict[str, WordIds] = {}
@@ -108,9 +159,10 @@ def build(ids: np.ndarray, keys: list[str | None], lengths: list[int], number: i
     """The file of one shard: ``ids`` of documents of the given lengths, under the shard's number."""
     n = len(ids)
     planes = max(1, int(ids.max()).bit_length()) if n else 1
-    values, zeros, directory, body, at = ids.astype(np.uint32), [], [], [], 0
+    kind = np.uint16 if planes <= 16 else np.uint32
+    values, zeros, directory, body, at = ids.astype(kind), [], [], [], 0
     for p in range(planes - 1, -1, -1):
-        bit = (values >> np.uint32(p) & np.uint32(1)).astype(bool)
+        bit = (values & kind(1 << p)) != 0
         ones = 0
         for lo in range(0, n, BLOCK_BITS):
             part = bit[lo : lo + BLOCK_BITS]
@@ -210,14 +262,15 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes from the last one up, each time putting what was parted back together."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for p in range(self.planes - 1, -1, -1):
             bit = self.plane(p).astype(bool)
             back = np.empty_like(values)
             back[~bit] = values[: self.zeros[p]]
-            back[bit] = values[self.zeros[p] :] | np.uint32(1 << (self.planes - 1 - p))
+            back[bit] = values[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             values = back
-        return values
+        return values.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> str:
@@ -238,9 +291,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key:
         encoder, end = _encoder(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
         number, keys, ids, held = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
-            for k, t in zip(batch["key"], batch["text"], strict=True):
+            for k, x in zip(batch["key"], encoder(batch["text"].tolist()), strict=True):
                 keys.append(k)
-                ids.append(encoder.encode(t) + end)
+                ids.append(x + end)
                 held += len(ids[-1]) // 4
                 if held >= shard_tokens:
                     yield pd.DataFrame({"file": [build(np.frombuffer(b"".join(ids), "<u4"), keys, [len(x) // 4 for x in ids], number)]})

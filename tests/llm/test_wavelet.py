@@ -43,8 +43,9 @@ def test_ids_are_those_of_the_library(odd_texts, path):
     texts += ["".join(chr(c) for c in np.where(rng.random(50) < 0.6, rng.integers(32, 127, 50), rng.integers(32, 0x3000, 50))) for _ in range(2500)]
     encoder, tokenizer = wavelet.WordIds(path, memo=500), Tokenizer.from_file(path)
     assert encoder.apart == (path == BPE)
-    for t in texts:
-        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    texts += ["A <|ENDOFTEXT|> b", "Ab, ab, AB. H\u0331 h\u0331 A\u0301b", "ÀB,ÿ× ÷a à" * 30, "x" * 90 + " " + "x" * 90 + "!"]
+    for t, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_documents_of_shards(spark, docs, odd_texts, tmp_path):
