@@ -11,7 +11,7 @@ from framelake import workload
 from framelake.operators import aggregates, generate, grids, orientation, pairs, selection, topology, transforms
 from framelake.operators.selection import select, select_entities
 from framelake.runtime import staged
-from framelake.sources import grid_files, trajectories
+from framelake.sources import frame_index, grid_files, trajectories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -618,17 +618,19 @@ def _file_atoms(spark, d) -> DataFrame:
 
 
 def _through(spark, d, ext: str) -> DataFrame:
-    """Write the atoms in a format to the shared folder and read them back."""
+    """Write the atoms in a format as one file to the shared folder, and read it back in at least eight byte ranges."""
     from framelake.runtime import shared_dir
 
     a = staged(_file_atoms(spark, d))
     path = f"{shared_dir(spark)}.{ext}"
-    trajectories.write(a, path, parts=2)
+    trajectories.write(a, path)
+    size = sum(n for _, n in frame_index.files_of(spark, path))
+    ranges = min(frame_index.RANGE_BYTES, max(1, size // 8))
     if ext in ("xyz", "pdb"):
-        return trajectories.load(spark, [path])
+        return trajectories.load(spark, [path], range_bytes=ranges)
     names = f"{shared_dir(spark)}.xyz"
     trajectories.write(a.where("frame = 0"), names)
-    return trajectories.load(spark, [names, path]).where("frame > 0").withColumn("frame", F.col("frame") - 1)
+    return trajectories.load(spark, [names, path], range_bytes=ranges).where("frame > 0").withColumn("frame", F.col("frame") - 1)
 
 
 # Positions as each format holds them: decimals as printed, single precision, thousandths of a nanometre.

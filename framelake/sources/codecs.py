@@ -117,6 +117,20 @@ def _record(data: memoryview, at: int) -> tuple[memoryview, int]:
     return data[at + 4 : at + 4 + n], at + n + 8
 
 
+def dcd_layout(data: bytes) -> tuple[int, int, int]:
+    """(atoms, bytes before the first frame, bytes of a frame) from the first bytes of a DCD file; frames are alike."""
+    view = memoryview(data)
+    head, at = _record(view, 0)
+    if bytes(head[:4]) != b"CORD":
+        raise ValueError("not a DCD file")
+    flags = struct.unpack_from("<20i", head, 4)
+    _, at = _record(view, at)
+    natoms, at = _record(view, at)
+    (n,) = struct.unpack("<i", natoms)
+    cell, fourth = flags[19] != 0 and flags[10] != 0, flags[19] != 0 and flags[11] != 0
+    return n, at, (56 if cell else 0) + (4 if fourth else 3) * (4 * n + 8)
+
+
 def read_dcd(data: bytes) -> Iterator[dict]:
     """Frames of a little-endian DCD file, to its end whatever its header's count says."""
     view = memoryview(data)
@@ -227,6 +241,8 @@ def _unpack_coordinates(reader: BitReader, n: int, low, high, small: int) -> np.
     sizes = [h - l + 1 for l, h in zip(low, high, strict=True)]  # noqa: E741
     wide = any(s > 0xFFFFFF for s in sizes)
     each, joint = [s.bit_length() for s in sizes], 0 if wide else _bits_for(sizes)
+    if any(s < 1 for s in sizes):
+        raise ValueError("least and greatest coordinates are exchanged")
     out, i, run = np.empty((n, 3), np.int64), 0, 0
     while i < n:
         here = [reader.bits(b) for b in each] if wide else reader.triple(joint, sizes)
@@ -237,6 +253,8 @@ def _unpack_coordinates(reader: BitReader, n: int, low, high, small: int) -> np.
             change = run % 3
             run -= change
             change -= 1
+        if run // 3 > n - i - 1 or (run and not FIRST_SMALL <= small < len(MAGIC_INTS)):
+            raise ValueError("a run does not fit the frame")
         at = i
         out[at] = here
         i += 1

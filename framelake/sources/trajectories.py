@@ -1,7 +1,7 @@
 """Trajectory files as DataFrames, and DataFrames as trajectory files.
 
-Files are read by Spark's own readers, so any store that Spark reaches will do; each file is one
-task. Written trajectories are folders of parts: each part holds consecutive frames and is a valid
+A file is read by many tasks, each of which opens the bytes of its frames (``frame_index``), through
+any store that ``pyarrow`` opens. Written trajectories are folders of parts: each part holds consecutive frames and is a valid
 file by itself.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from framelake.functions.geometry import CELL_TYPE, Cell
 from framelake.operators.transforms import slice_frames
-from framelake.runtime import small_batches, staged
-from framelake.sources import codecs
+from framelake.runtime import staged
+from framelake.sources import codecs, frame_index
 
 ATOMS = f"file string, file_frame long, atom_index long, serial long, name string, type string, element string, mol_type string, chain string, umol_index long, charge double, x double, y double, z double, cell {CELL_TYPE}"
 ROWS = 20_000  #: atoms handed over at a time
@@ -39,86 +40,117 @@ def check_inputs(paths: Sequence[str]) -> None:
         raise ValueError("no files: a PDB, XYZ or DCD file is needed")
 
 
-def _decoded(ext: str):
+_CELL = [f"c{i}" for i in range(25)]  #: both triples of vectors, and lengths, angles and volume
+_RAW = [f.strip() for f in ATOMS.split(", cell")[0].split(",")]
+
+
+def _decoded(ext: str, carried: Sequence[str]):
+    """Atoms of the frames that an index names: their bytes alone are read."""
     reader = codecs.READERS[ext]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, dict]]:
+        sources: dict[str, frame_index.Source] = {}
+        heads: dict[str, bytes] = {}
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for number, f in enumerate(reader(content)):
-                    n = len(f["xyz"])
-                    cell = Cell(tuple(f["cell"])).row() if f["cell"] else None
-                    default = lambda key, value: f.get(key) or [value] * n  # noqa: B023, E731
-                    whole = pd.DataFrame(
-                        {
-                            "file": path, "file_frame": number, "atom_index": np.arange(n), "serial": default("serial", 0), "name": default("name", None), "type": default("name", None), "element": default("element", None),
-                            "mol_type": default("residue", "UNK" if ext == "xyz" else None), "chain": default("chain", None), "umol_index": default("res_id", 0), "charge": 0.0, "x": f["xyz"][:, 0], "y": f["xyz"][:, 1], "z": f["xyz"][:, 2],
-                        }
-                    )
-                    for at in range(0, n, ROWS):
-                        part = whole.iloc[at : at + ROWS].copy()
-                        part["cell"] = [cell] * len(part)
-                        yield part
+            for row in batch.itertuples(index=False):
+                if row.file not in sources:
+                    sources.clear()
+                    heads.clear()
+                    source = sources[row.file] = frame_index.Source(row.file)
+                    heads[row.file] = b""
+                    if ext == "dcd":
+                        start = source.read(0, 1 << 16)
+                        heads[row.file] = start[: codecs.dcd_layout(start)[1]]
+                for f in reader(heads[row.file] + sources[row.file].read(row.at, row.size)):
+                    if ext == "pdb":
+                        f["cell"] = tuple(row.cell) if row.cell is not None and len(row.cell) else None
+                    yield row, f
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for row, f in frames(batches):
+            n = len(f["xyz"])
+            default = lambda key, value: f.get(key) or [value] * n  # noqa: B023, E731
+            columns = {
+                "file": row.file, "file_frame": row.file_frame, "atom_index": np.arange(n), "serial": default("serial", 0), "name": default("name", None), "type": default("name", None), "element": default("element", None),
+                "mol_type": default("residue", "UNK" if ext == "xyz" else None), "chain": default("chain", None), "umol_index": default("res_id", 0), "charge": 0.0, "x": f["xyz"][:, 0], "y": f["xyz"][:, 1], "z": f["xyz"][:, 2],
+                **{c: getattr(row, c) for c in carried},
+            }
+            cell = Cell(tuple(f["cell"])).row() if f["cell"] else None
+            numbers = [*cell["h"], *cell["g"], *(cell[k] for k in ("a", "b", "c", "alpha", "beta", "gamma", "volume"))] if cell else [np.nan] * 25
+            whole = pd.DataFrame({**columns, "periodic": cell is not None, **dict(zip(_CELL, numbers, strict=True))}, index=range(n))
+            for at in range(0, n, ROWS):
+                held.append(whole.iloc[at : at + ROWS])
+                rows += len(held[-1])
+                if rows >= ROWS:
+                    yield pd.concat(held, ignore_index=True)
+                    held, rows = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     return decode
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of one file or folder of parts: ``ATOMS`` columns."""
-    small_batches(spark, 1)
+def read_frames(index: DataFrame, ext: str, carried: Sequence[str] = (), range_bytes: int = frame_index.RANGE_BYTES) -> DataFrame:
+    """``ATOMS`` columns of the frames in ``index``, and its further long columns ``carried``; neighbouring frames share a task."""
+    total = index.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, min(frame_index.MOST_TASKS, -(-total // range_bytes)))
+    near = F.expr(f"`at` div {range_bytes}")
+    asked = index.repartition(tasks, "file", near).sortWithinPartitions("file", "at")
+    schema = ", ".join([*_RAW, *(f"{c} long" for c in carried), "periodic boolean", *(f"{c} double" for c in _CELL)])
+    rows = asked.mapInPandas(_decoded(ext, carried), schema)
+    inner = [F.array(*_CELL[:9]).alias("h"), F.array(*_CELL[9:18]).alias("g"), *[F.col(c).alias(k) for c, k in zip(_CELL[18:], ("a", "b", "c", "alpha", "beta", "gamma", "volume"), strict=True)]]
+    cell = F.when(F.col("periodic"), F.struct(*inner)).cast(CELL_TYPE).alias("cell")
+    return rows.select(*[c.split()[0] for c in _RAW], cell, *carried)
+
+
+def read_file(spark: SparkSession, path: str, range_bytes: int = frame_index.RANGE_BYTES) -> DataFrame:
+    """Atoms of one file or folder of parts: ``ATOMS`` columns. A file is read by as many tasks as it has ranges."""
     ext = extension(path)
-    files = spark.read.format("binaryFile").load(path).where(~F.col("path").rlike(r"/[._][^/]*$")).select("path", "content")
-    return files.mapInPandas(_decoded(ext), ATOMS)
+    return read_frames(staged(frame_index.frame_index(spark, path, ext, range_bytes)), ext, (), range_bytes)
 
 
-def load(spark: SparkSession, paths: Sequence[str], cache: bool = False, frames: tuple[int, int, int] | None = None) -> DataFrame:
+def load(spark: SparkSession, paths: Sequence[str], cache: bool = False, frames: tuple[int, int, int] | None = None, range_bytes: int = frame_index.RANGE_BYTES) -> DataFrame:
     """Atoms of all files, in order: ``frame`` counts over files, a topology file being frame 0.
 
     DCD and XTC frames take names, types and residues from the first frame of the first PDB or XYZ
-    file. ``frames`` is a slice (begin, end, step).
+    file. ``frames`` is a slice (begin, end, step) of the index, so no byte of other frames is read.
     """
     check_inputs(paths)
     parts, offset, template = [], 0, None
     for path in paths:
-        df = staged(read_file(spark, path))
-        sizes = df.groupBy("file").agg((F.max("file_frame") + 1).alias("n"))
-        if sizes.limit(2).count() > 1:  # a folder: its parts follow one another by name
-            base = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            df = df.join(F.broadcast(sizes.select("file", base.alias("_base"))), "file")
-        else:
-            df = df.withColumn("_base", F.lit(0))
-        df = df.withColumn("frame", F.col("file_frame") + F.col("_base") + F.lit(offset)).drop("_base")
-        count = df.agg(F.max("frame")).first()[0]
-        offset = (count + 1) if count is not None else offset
-        if extension(path) in ("pdb", "xyz"):
-            if template is None and count is not None:
+        ext = extension(path)
+        index = staged(frame_index.frame_index(spark, path, ext, range_bytes))
+        sizes = index.groupBy("file").agg(F.count("*").alias("n"))  # a folder's parts follow one another by name
+        base = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        numbered = index.join(F.broadcast(sizes.select("file", base.alias("_base"))), "file").withColumn("frame", F.col("file_frame") + F.col("_base") + F.lit(offset)).drop("_base")
+        count = index.count()
+        if ext in ("pdb", "xyz"):
+            if template is None and count:
                 names = ("serial", "name", "type", "element", "mol_type", "chain", "umol_index")
-                first = df.agg(F.min("frame")).first()[0]
-                template = staged(df.where(F.col("frame") == first).select("atom_index", *names))
-        else:
-            if template is None:
-                raise ValueError(f"{path!r} needs a PDB or XYZ file before it")
+                template = staged(read_frames(numbered.where(F.col("frame") == offset), ext).select("atom_index", *names))
+        elif template is None:
+            raise ValueError(f"{path!r} needs a PDB or XYZ file before it")
+        offset += count
+        df = staged(read_frames(slice_frames(numbered, *frames) if frames else numbered, ext, ("frame",), range_bytes))
+        if ext not in ("pdb", "xyz"):
             df = df.drop(*[c for c in template.columns if c != "atom_index"]).join(template, "atom_index")
         parts.append(df.select("frame", *[c for c in ("file", "file_frame", "atom_index", "serial", "name", "type", "element", "mol_type", "chain", "umol_index", "charge", "x", "y", "z", "cell")]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if frames:
-        out = slice_frames(out, *frames)
+    out = reduce(DataFrame.unionByName, parts)
     return out.persist() if cache else out
 
 
 def read_bonds(spark: SparkSession, path: str) -> DataFrame:
-    """``file_frame, i, j`` of the CONECT records of a PDB file; unknown serials are left out."""
-    small_batches(spark, 1)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                for number, f in enumerate(codecs.read_pdb(content)):
-                    yield pd.DataFrame([(number, i, j) for i, j in f["bonds"]], columns=["frame", "i", "j"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "frame long, i long, j long")
+    """``frame, i, j`` of the CONECT records of a PDB file, in each of its frames; unknown serials are left out."""
+    atoms = read_file(spark, path).groupBy("file_frame", "serial").agg(F.max("atom_index").alias("atom_index"))
+    atoms = staged(atoms.withColumnRenamed("file_frame", "frame"))
+    lines = spark.read.text(path).where(F.trim(F.substring("value", 1, 6)) == "CONECT")
+    columns = [frame_index.serial_number(F.substring("value", a, 5)) for a in (7, 12, 17, 22, 27)]
+    pairs = lines.select(columns[0].alias("a"), F.explode(F.array(*columns[1:])).alias("b")).dropna().distinct()
+    first = atoms.select("frame", F.col("serial").alias("a"), F.col("atom_index").alias("p"))
+    second = atoms.select("frame", F.col("serial").alias("b"), F.col("atom_index").alias("q"))
+    found = pairs.join(first, "a").join(second, ["frame", "b"]).where("p <> q")
+    return found.select("frame", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).distinct()
 
 
 # --- writing -----------------------------------------------------------------------------------
