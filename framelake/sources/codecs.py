@@ -168,13 +168,15 @@ def dcd_header(frames: int, atoms: int, cell: bool) -> bytes:
     return b"".join(struct.pack("<i", len(r)) + r + struct.pack("<i", len(r)) for r in (head, title, struct.pack("<i", atoms)))
 
 
+def dcd_cell(cell: Cell) -> bytes:
+    """The record of a frame's cell."""
+    a, b, c, alpha, beta, gamma = cell.parameters
+    return struct.pack("<i6di", 48, a, gamma, b, beta, alpha, c, 48)
+
+
 def dcd_frame(xyz: np.ndarray, cell: Cell | None) -> bytes:
-    parts = []
-    if cell is not None:
-        a, b, c, alpha, beta, gamma = cell.parameters
-        parts.append(struct.pack("<6d", a, gamma, b, beta, alpha, c))
-    parts += [np.ascontiguousarray(xyz[:, k], "<f4").tobytes() for k in range(3)]
-    return b"".join(struct.pack("<i", len(r)) + r + struct.pack("<i", len(r)) for r in parts)
+    parts = [np.ascontiguousarray(xyz[:, k], "<f4").tobytes() for k in range(3)]
+    return (dcd_cell(cell) if cell else b"") + b"".join(struct.pack("<i", len(r)) + r + struct.pack("<i", len(r)) for r in parts)
 
 
 # --- XTC ---------------------------------------------------------------------------------------
@@ -301,27 +303,54 @@ def read_xtc(data: bytes) -> Iterator[dict]:
         yield {"xyz": xyz, "cell": tuple(box) if ok else None, "step": step, "time": time}
 
 
-def xtc_frame(xyz: np.ndarray, cell: Cell | None, step: int, time: float = 0.0, precision: float = 1000.0) -> bytes:
-    """One frame: raw up to nine atoms, else compressed without runs."""
-    n = len(xyz)
+def xtc_integers(xyz: np.ndarray, precision: float = 1000.0) -> np.ndarray:
+    """Positions in angstrom as the integers that a frame stores."""
+    return np.floor(xyz / 10 * precision + 0.5).astype(np.int64)
+
+
+def xtc_width(low, high) -> int:
+    """Bits of an atom in a frame without runs: its three numbers, and a bit that says that no run begins."""
+    sizes = [h - l + 1 for l, h in zip(low, high, strict=True)]  # noqa: E741
+    return (sum(s.bit_length() for s in sizes) if any(s > 0xFFFFFF for s in sizes) else _bits_for(sizes)) + 1
+
+
+def xtc_block(ints: np.ndarray, low, high) -> bytes:
+    """Consecutive atoms of a frame, all with as many bits: blocks of a multiple of eight atoms may be encoded apart and joined."""
+    sizes = [int(h - l + 1) for l, h in zip(low, high, strict=True)]  # noqa: E741
+    rest = ints - np.asarray(low, np.int64)
+    if any(s > 0xFFFFFF for s in sizes):
+        columns = [rest[:, k] >> b & 1 for k, s in enumerate(sizes) for b in range(s.bit_length() - 1, -1, -1)]
+        bits = np.stack(columns, 1).astype(np.uint8)
+    else:
+        n = _bits_for(sizes)
+        kind = np.int64 if n < 63 else object  # a joint number may pass 64 bits
+        x, y, z = (rest[:, k].astype(kind) for k in range(3))
+        whole = (x * sizes[1] + y) * sizes[2] + z
+        last = (n - 1) // 8  # low byte first; the last has what bits are left
+        each = np.stack([(whole >> 8 * j & 255).astype(np.uint8) for j in range(last + 1)], 1)
+        bits = np.unpackbits(each, axis=1)
+        bits = np.delete(bits, np.s_[8 * last : 8 * last + 8 - (n - 8 * last)], 1)
+    return np.packbits(np.pad(bits, ((0, 0), (0, 1)))).tobytes()
+
+
+def xtc_head(n: int, cell: Cell | None, step: int, low=(0, 0, 0), high=(0, 0, 0), time: float = 0.0, precision: float = 1000.0) -> tuple[bytes, bytes]:
+    """What stands before the coordinates of a frame, and behind them."""
     box = np.array(cell.h if cell else [0.0] * 9) / 10
     out = struct.pack(">3if", XTC_MAGIC, n, step, time) + box.astype(">f4").tobytes() + struct.pack(">i", n)
     if n <= 9:
-        return out + (xyz / 10).astype(">f4").tobytes()
-    ints = np.floor(xyz / 10 * precision + 0.5).astype(np.int64)
+        return out, b""
+    size = -(-n * xtc_width(low, high) // 8)
+    return out + struct.pack(">f8i", precision, *low, *high, FIRST_SMALL, size), b"\0" * (-size % 4)
+
+
+def xtc_frame(xyz: np.ndarray, cell: Cell | None, step: int, time: float = 0.0, precision: float = 1000.0) -> bytes:
+    """One frame: raw up to nine atoms, else compressed without runs."""
+    if len(xyz) <= 9:
+        return xtc_head(len(xyz), cell, step, time=time)[0] + (xyz / 10).astype(">f4").tobytes()
+    ints = xtc_integers(xyz, precision)
     low, high = ints.min(0).tolist(), ints.max(0).tolist()
-    sizes = [h - l + 1 for l, h in zip(low, high, strict=True)]  # noqa: E741
-    bits, wide = BitWriter(), any(s > 0xFFFFFF for s in sizes)
-    joint = _bits_for(sizes)
-    for row in (ints - low).tolist():
-        if wide:
-            for v, s in zip(row, sizes, strict=True):
-                bits.bits(v, s.bit_length())
-        else:
-            bits.triple(row, joint, sizes)
-        bits.bits(0, 1)
-    data = bits.done()
-    return out + struct.pack(">f8i", precision, *low, *high, FIRST_SMALL, len(data)) + data + b"\0" * (-len(data) % 4)
+    before, behind = xtc_head(len(xyz), cell, step, low, high, time, precision)
+    return before + xtc_block(ints, low, high) + behind
 
 
 READERS = {"xyz": read_xyz, "pdb": read_pdb, "dcd": read_dcd, "xtc": read_xtc}

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from framelake.functions.geometry import CELL_TYPE, Cell
 from framelake.operators.transforms import slice_frames
-from framelake.runtime import staged
+from framelake.runtime import batches_of, staged
 from framelake.sources import codecs, frame_index
 
 ATOMS = f"file string, file_frame long, atom_index long, serial long, name string, type string, element string, mol_type string, chain string, umol_index long, charge double, x double, y double, z double, cell {CELL_TYPE}"
@@ -196,7 +196,7 @@ def pdb_lines(atoms: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
 
 
 class BinaryParts(DataSource):
-    """Sink ``framelake-binary``: rows (head binary, body binary), in order, as one file per task."""
+    """Sink ``framelake-binary``: rows (part long, body binary), sorted by part and then in order, as one file a part."""
 
     @classmethod
     def name(cls) -> str:
@@ -207,74 +207,119 @@ class BinaryParts(DataSource):
 
 
 class _BinaryWriter(DataSourceWriter):
+    """Appends pieces as they come: a task holds one batch of them, not a frame and not a part."""
+
     def __init__(self, path: str, suffix: str):
         self.path, self.suffix = path, suffix
 
-    def write(self, rows):
+    def store(self):
         from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+
+    def write(self, rows):
         from pyspark import TaskContext
 
-        context, body, head = TaskContext.get(), [], None
+        store, base = self.store()
+        attempt, made, out, part = TaskContext.get().taskAttemptId(), [], None, None
         for r in rows:
-            head = r.head if head is None else head
-            body.append(bytes(r.body))
-        if body:
-            store, base = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
-            store.create_dir(base, recursive=True)
-            part = f"part-{context.partitionId():05d}.{self.suffix}"
-            name = f"{base}/_{context.taskAttemptId()}-{part}"  # readers pass over it until it is committed
-            with store.open_output_stream(name) as out:
-                out.write(self.first(bytes(head), len(body)))
-                for b in body:
-                    out.write(b)
-            return _Written(name, f"{base}/{part.replace('.', f'-{uuid.uuid4().hex}.')}")
-        return _Written(None, None)
-
-    def first(self, head: bytes, n: int) -> bytes:
-        """A DCD header gets the number of frames of its part."""
-        if self.suffix != "dcd":
-            return head
-        return head[:8] + n.to_bytes(4, "little") + head[12:20] + n.to_bytes(4, "little") + head[24:]
+            if r.part != part:
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                else:
+                    out.close()
+                part, name = r.part, f"part-{r.part:05d}"
+                made.append((f"{base}/_{attempt}-{name}.{self.suffix}", f"{base}/{name}-{uuid.uuid4().hex}.{self.suffix}"))
+                out = store.open_output_stream(made[-1][0])  # readers pass over it until it is committed
+            out.write(bytes(r.body))
+        if out is not None:
+            out.close()
+        return _Written(made)
 
     def commit(self, messages):
         """Of every part the file of the attempt that counts gets its final name; what failed attempts left stays unread."""
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
-        for m in messages:
-            if m is not None and m.name:
-                store.move(m.name, m.final)
+        store, _ = self.store()
+        for name, final in (pair for m in messages if m is not None for pair in m.names):
+            store.move(name, final)
 
     def abort(self, messages):
-        from pyarrow import fs
-
-        for m in messages:
-            if m is not None and m.name:
-                store, base = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
-                store.delete_file(m.name)
+        store, _ = self.store()
+        for name, _ in (pair for m in messages if m is not None for pair in m.names):
+            store.delete_file(name)
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, name, final):
-        self.name, self.final = name, final
+    def __init__(self, names):
+        self.names = names
 
 
-def _binary_frames(atoms: DataFrame, ext: str) -> DataFrame:
-    """``frame, head, body``: every frame encoded; a frame's atoms meet in one task."""
+BLOCK_ATOMS = 1 << 15  #: atoms encoded together, a multiple of eight
+_LAST = 1 << 60
+
+
+def _ranked(atoms: DataFrame) -> DataFrame:
+    """Atoms with their place in the order of their frame, by counts of ranges of atom indices."""
+    near = F.expr(f"atom_index div {BLOCK_ATOMS}").alias("_near")
+    sizes = atoms.groupBy("frame", near).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("frame").orderBy("_near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("frame", "_near", before.alias("_first"))
+    inner = F.row_number().over(Window.partitionBy("frame", "_near").orderBy("atom_index")) - 1
+    return atoms.withColumn("_near", near).join(firsts, ["frame", "_near"]).withColumn("rank", F.col("_first") + inner)
+
+
+def _binary_pieces(atoms: DataFrame, ext: str, parts: int) -> DataFrame:
+    """``part, frame, a, b, body``: pieces of the files of all parts, in the order of the first four columns.
+
+    A task encodes ``BLOCK_ATOMS`` atoms. What stands around them follows from a row a frame, with its size
+    and extremes: XTC atoms take equally many bits, so blocks join without a gap.
+    """
     periodic = "cell" in atoms.columns
+    stored = lambda k: F.floor(F.col(k) / 10 * 1000.0 + 0.5)
+    extremes = [f(stored(k)).alias(f"{n}_{k}") for n, f in (("low", F.min), ("high", F.max)) for k in "xyz"]
+    h = F.first("cell.h").alias("h") if periodic else F.lit(None).cast("array<double>").alias("h")
+    frames = staged(atoms.groupBy("frame").agg(F.count("*").alias("n"), h, *extremes).repartitionByRange(parts, "frame").withColumn("part", F.spark_partition_id().cast("long")))
+    files = frames.groupBy("part").agg(F.count("*").alias("frames"), F.min("frame").alias("frame"), F.max("n").alias("n"), F.min("n").alias("least"), F.max(F.col("h").isNotNull()).alias("cell"), F.min(F.col("h").isNotNull()).alias("cells"))
+    if ext == "dcd" and files.where("n <> least or cell <> cells").limit(1).count():
+        raise ValueError("frames of one DCD file have equally many atoms, and all of them a cell or none")
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                cell = Cell(tuple(r.h)) if r.h is not None else None
+                if ext == "dcd":
+                    mark = int(4 * r.n).to_bytes(4, "little")
+                    out += [(r.part, r.frame, -1, 0, codecs.dcd_cell(cell))] if cell else []
+                    out += [(r.part, r.frame, k, b, mark) for k in range(3) for b in (-1, _LAST)]
+                else:
+                    before, behind = codecs.xtc_head(r.n, cell, r.frame, (r.low_x, r.low_y, r.low_z), (r.high_x, r.high_y, r.high_z))
+                    out += [(r.part, r.frame, -1, 0, before), (r.part, r.frame, 0, _LAST, behind)]
+            yield pd.DataFrame(out, columns=["part", "frame", "a", "b", "body"])
 
     def encode(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("atom_index")
-        xyz = g[["x", "y", "z"]].to_numpy(float)
-        h = g["h"].iloc[0] if periodic else None
-        cell = Cell(tuple(h)) if h is not None else None
-        number = int(g["frame"].iloc[0])
-        head = codecs.dcd_header(0, len(g), cell is not None) if ext == "dcd" else b""
-        body = codecs.dcd_frame(xyz, cell) if ext == "dcd" else codecs.xtc_frame(xyz, cell, number)
-        return pd.DataFrame({"frame": [number], "head": [head], "body": [body]})
-
-    cols = ["frame", "atom_index", "x", "y", "z", *([F.col("cell.h").alias("h")] if periodic else [])]
-    return atoms.select(*cols).groupBy("frame").applyInPandas(encode, "frame long, head binary, body binary")
+        g = group.sort_values("rank")
+        first, xyz = g.iloc[0], g[["x", "y", "z"]].to_numpy(float)
+        head = (int(first["part"]), int(first["frame"]))
+        block = int(first["rank"]) // BLOCK_ATOMS
+        if ext == "dcd":
+            rows = [(*head, k, block, np.ascontiguousarray(xyz[:, k], "<f4").tobytes()) for k in range(3)]
+        elif first["n"] <= 9:
+            rows = [(*head, 0, block, (xyz / 10).astype(">f4").tobytes())]
+        else:
+            low, high = ([int(first[f"{n}_{k}"]) for k in "xyz"] for n in ("low", "high"))
+            rows = [(*head, 0, block, codecs.xtc_block(codecs.xtc_integers(xyz), low, high))]
+        return pd.DataFrame(rows, columns=["part", "frame", "a", "b", "body"])
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r.part, r.frame, -2, 0, codecs.dcd_header(r.frames, r.n, r.cell)) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["part", "frame", "a", "b", "body"])
+
+    schema = "part long, frame long, a int, b long, body binary"
+    blocks = _ranked(atoms.select("frame", "atom_index", "x", "y", "z")).join(frames.drop("h"), "frame")
+    made = blocks.groupBy("frame", F.expr(f"rank div {BLOCK_ATOMS}").alias("block")).applyInPandas(encode, schema)
+    out = made.unionByName(frames.mapInPandas(around, schema))
+    return out.unionByName(files.mapInPandas(opened, schema)) if ext == "dcd" else out
 
 
 def write(atoms: DataFrame, path: str, bonds: DataFrame | None = None, parts: int = 1, original_ids: bool = False) -> None:
@@ -294,6 +339,7 @@ def write(atoms: DataFrame, path: str, bonds: DataFrame | None = None, parts: in
         ordered.select("value").write.text(path)
     else:
         atoms.sparkSession.dataSource.register(BinaryParts)
-        frames = staged(_binary_frames(atoms, ext))
-        ordered = frames.repartitionByRange(parts, "frame").sortWithinPartitions("frame").select("head", "body")
-        ordered.write.format("framelake-binary").mode("append").options(path=path, suffix=ext).save()
+        pieces = staged(_binary_pieces(atoms, ext, parts))
+        ordered = pieces.repartition(parts, "part").sortWithinPartitions("part", "frame", "a", "b").select("part", "body")
+        with batches_of(atoms.sparkSession, 64):
+            ordered.write.format("framelake-binary").mode("append").options(path=path, suffix=ext).save()
