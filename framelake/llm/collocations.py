@@ -8,12 +8,14 @@ has been counted in every shard once. So lengths are not counted pass by pass, a
 phrase is active any more. What a subphrase reached, and in which scan, is all the state there is:
 ``reach``, and a phrase is active from the scan after the later of its two on, for one round.
 
-A task turns texts into word numbers and finds the phrases that may be active by a table of fixed size
-for each length, in which the hash of a phrase that reached the support marks a slot with its scan. Slots may be
-shared, so a joined look at the exact table of what was reached decides afterwards, on summed counts; no
-phrase is missed and none counted in error, whatever the size of the table. Counts are summed in the task before
-they are shuffled. Words are told apart by 64-bit hashes of language and word; two words that share one
-are found when words are summed, and are an error that another ``seed`` mends.
+Texts are turned into word numbers once, in chunks that are staged by shard with the hashes of their words;
+a scan reads these. A task finds the phrases that may be active by a table of fixed size for each length,
+in which the hash of a phrase that reached the support marks a slot with its scan. Slots may be shared, so
+counts are kept by scan until a phrase has the support, and a joined look at the exact table of what was
+reached then decides which of these scans count; no phrase is missed and none counted in error, whatever
+the size of the table. Counts are summed in the task before they are shuffled. Words are told apart by
+64-bit hashes of language and word; two words that share one are found when words are summed, and are an
+error that another ``seed`` mends.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,7 @@ SHARDS = 2
 TOP = 2_000
 SLOTS = 1 << 22  #: bytes of the table of what was reached, for each length
 PAGE = 1 << 16  #: slots sent to the driver together
-CHUNK = 1 << 21  #: words that a task counts at a time
-VOCABULARY = 1 << 19  #: words that a task keeps the numbers of
+CHUNK = 1 << 20  #: words numbered and counted together
 _SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")  # of pieces; a tab parts words
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -52,40 +54,27 @@ def slots_of(words: list[np.ndarray], size: int) -> np.ndarray:
 
 
 class Numbers(dict):
-    """Word numbers of one language; words that are new get the next ones of the task."""
+    """Word numbers of one language in a chunk; new words get the next ones."""
 
-    def __init__(self, lang: str, counter: Counter):
+    def __init__(self, lang: str, chunk: Chunk):
         super().__init__({b"": -2, b"\n": -1})
-        self.lang, self.counter = lang, counter
+        self.lang, self.chunk = lang, chunk
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.counter.add(self.lang, word)
+        self.chunk.words.append((self.lang, word))
+        n = self[word] = len(self.chunk.words) - 1
         return n
 
 
-class Counter:
-    """Counts the phrases of a scan that may be active."""
+class Chunk:
+    """Words of consecutive texts as numbers, -1 between pieces."""
 
-    def __init__(self, scan: int, shards: int, tables: list[np.ndarray | None], seed: int):
-        import xxhash
-
-        self.hash = xxhash.xxh3_64_intdigest
-        self.scan, self.shards, self.tables, self.seed = scan, shards, tables, seed
-        self.forget()
-
-    def forget(self) -> None:
+    def __init__(self):
         self.numbers: dict[str, Numbers] = {}
         self.words: list[tuple[str, bytes]] = []
-        self.hashes: list[int] = []
-        self.hashed, self.state = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         self.parts: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, lang: str, word: bytes) -> int:
-        self.words.append((lang, word))
-        self.hashes.append(self.hash(b"%d %b %b" % (len(lang), lang.encode(), word), self.seed))
-        return len(self.words) - 1
-
     def take(self, lang: str, text: bytes) -> None:
         numbers = self.numbers.get(lang)
         if numbers is None:
@@ -96,77 +85,79 @@ class Counter:
         self.parts.append(np.full(1, -1, np.int32))  # no phrase reaches over the end of a text
         self.held += len(found)
 
-    def flush(self) -> Iterator[pd.DataFrame]:
-        if self.parts:
-            ids = np.concatenate(self.parts)
-            self.parts, self.held = [], 0
-            new = np.array(self.hashes[len(self.hashed) :], np.uint64)
-            self.hashed = np.concatenate([self.hashed, new])
-            if self.tables[0] is not None:
-                self.state = np.concatenate([self.state, self.tables[0][slots_of([new], len(self.tables[0]))]])
-            yield from self.counted(ids)
-        if len(self.words) > VOCABULARY:
-            self.forget()
-
-    def rows(self, places: list[np.ndarray], counts: np.ndarray, text: bool = False) -> Iterator[pd.DataFrame]:
-        """Phrases, as word numbers for each place, with their counts."""
+    def rows(self, shard: int, seed: int) -> Iterator[pd.DataFrame]:
+        """The chunk as a row of kind 0, and its words with their counts as rows of kind 1."""
+        import xxhash
+
+        ids = np.concatenate(self.parts)
+        ids = ids[(ids >= 0) | np.append(False, ids[:-1] >= 0)]
+        counts = np.bincount(ids[ids >= 0], minlength=len(self.words))
+        hashes = np.array([xxhash.xxh3_64_intdigest(b"%d %b %b" % (len(lang), lang.encode(), word), seed) for lang, word in self.words], np.uint64)
+        columns = dict.fromkeys(("w1", "lang", "word", "n"))
+        yield pd.DataFrame({"kind": [0], "shard": [shard], **columns, "ids": [ids.tobytes()], "hashes": [hashes.tobytes()]})
         for lo in range(0, len(counts), 50_000):
             part = slice(lo, lo + 50_000)
-            out = {"len": np.full(len(counts[part]), len(places), np.int32)}
-            for i, w in enumerate(WORDS):
-                out[w] = self.hashed[places[i][part]].view(np.int64) if i < len(places) else np.zeros(len(counts[part]), np.int64)
-            named = [self.words[n] for n in places[0][part].tolist()] if text else []
-            out["lang"] = [lang for lang, _ in named] if text else None
-            out["word"] = [word.decode() for _, word in named] if text else None
-            out["n"] = counts[part]
-            yield pd.DataFrame(out)
-
-    def counted(self, ids: np.ndarray) -> Iterator[pd.DataFrame]:
-        if self.scan < self.shards:
-            counts = np.bincount(ids[ids >= 0], minlength=len(self.words))
-            seen = np.flatnonzero(counts)
-            yield from self.rows([seen], counts[seen], text=True)
-        if self.tables[0] is None or len(ids) < 2:
+            yield pd.DataFrame({"kind": 1, "shard": shard, "w1": hashes[part].view(np.int64), "lang": [x for x, _ in self.words[part]], "word": [w.decode() for _, w in self.words[part]], "n": counts[part], "ids": None, "hashes": None})
+
+
+def chunked(rows: DataFrame, shards: int, seed: int, chunk_words: int) -> DataFrame:
+    """``kind, shard, w1, lang, word, n, ids, hashes``: texts (lang, text) as chunks of word numbers, dealt to shards in turn."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, shard = Chunk(), TaskContext.get().partitionId()
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                chunk.take(lang, bytes(text))
+                if chunk.held >= chunk_words:
+                    yield from chunk.rows(shard % shards, seed)
+                    chunk, shard = Chunk(), shard + 1
+        if chunk.parts:
+            yield from chunk.rows(shard % shards, seed)
+
+    return rows.select("lang", F.col("text").cast("binary").alias("text")).mapInPandas(number, "kind int, shard int, w1 long, lang string, word string, n long, ids binary, hashes binary")
+
+
+def counted(ids: np.ndarray, hashes: np.ndarray, scan: int, shards: int, tables: list[np.ndarray | None]) -> Iterator[pd.DataFrame]:
+    """Counts of the phrases of a chunk that may be active: ``len, w1..w4, until, n``; none is needed after scan ``until``."""
+    recent = scan - shards + 1  # mark of the first scan whose phrases are still active
+    if tables[0] is None or len(ids) < 2:
+        return
+    state = np.append(tables[0][slots_of([hashes], len(tables[0]))], np.uint8(0))[ids]  # of the subphrase that begins at each place; the last entry is for breaks
+    for length in range(2, LONGEST + 1):
+        first, second = state[:-1], state[1:]
+        both, latest = (first > 0) & (second > 0), np.maximum(first, second)
+        at = np.flatnonzero(both & (latest >= recent))
+        if len(at):
+            key = ids[at].astype(np.int64)
+            for i in range(1, length):
+                if i > 1:
+                    _, key = np.unique(key, return_inverse=True)
+                key = key << 32 | ids[at + i]
+            _, where, counts = np.unique(key, return_index=True, return_counts=True)
+            where = at[where]
+            for lo in range(0, len(where), 100_000):
+                part = where[lo : lo + 100_000]
+                words = {w: hashes[ids[part + i]].view(np.int64) if i < length else np.zeros(len(part), np.int64) for i, w in enumerate(WORDS)}
+                yield pd.DataFrame({"len": np.full(len(part), length, np.int32), **words, "until": latest[part].astype(np.int32) + (shards - 1), "n": counts[lo : lo + 100_000]})
+        if length == LONGEST or tables[length - 1] is None:
             return
-        recent = self.scan - self.shards + 1  # mark of the first scan whose phrases are still active
-        state = np.append(self.state, np.uint8(0))[ids]  # of the subphrase that begins at each place; the last entry is for breaks
-        for length in range(2, LONGEST + 1):
-            first, second = state[:-1], state[1:]
-            both = (first > 0) & (second > 0)
-            at = np.flatnonzero(both & (np.maximum(first, second) >= recent))
-            if len(at):
-                key, places = ids[at].astype(np.int64), [ids[at]]
-                for i in range(1, length):
-                    more = ids[at + i]
-                    if i > 1:
-                        _, key = np.unique(key, return_inverse=True)
-                    key = key << 32 | more
-                    places.append(more)
-                _, where, counts = np.unique(key, return_index=True, return_counts=True)
-                yield from self.rows([p[where] for p in places], counts)
-            if length == LONGEST or self.tables[length - 1] is None:
-                return
-            table, reached = self.tables[length - 1], np.flatnonzero(both)
-            state = np.zeros(len(both), np.uint8)
-            state[reached] = table[slots_of([self.hashed[ids[reached + i]] for i in range(length)], len(table))]
-
-
-def scanned(shard: DataFrame, scan: int, shards: int, tables: list, seed: int) -> DataFrame:
-    """``len, w1..w4, lang, word, n``: counts of what may be active in a scan of ``shard`` (lang, text), summed by task."""
+        table, reached = tables[length - 1], np.flatnonzero(both)
+        state = np.zeros(len(both), np.uint8)
+        state[reached] = table[slots_of([hashes[ids[reached + i]] for i in range(length)], len(table))]
+
+
+def scanned(chunks: DataFrame, scan: int, shards: int, tables: list) -> DataFrame:
+    """``counted`` of all chunks of a scan's shard."""
     packed = [None if t is None else zlib.compress(t.tobytes(), 1) for t in tables]
-    shared = shard.sparkSession.sparkContext.broadcast(packed)  # of a fixed size at most
+    shared = chunks.sparkSession.sparkContext.broadcast(packed)  # of a fixed size at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(scan, shards, [None if t is None else np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value], seed)
+        marks = [None if t is None else np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value]
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                counter.take(lang, bytes(text))
-                if counter.held >= CHUNK:
-                    yield from counter.flush()
-        yield from counter.flush()
+            for ids, hashes in zip(batch["ids"], batch["hashes"], strict=True):
+                yield from counted(np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64), scan, shards, marks)
 
-    schema = ", ".join(["len int", *(f"{w} long" for w in WORDS), "lang string", "word string", "n long"])
-    return shard.select("lang", F.col("text").cast("binary").alias("text")).mapInPandas(count, schema)
+    return chunks.select("ids", "hashes").mapInPandas(count, ", ".join(["len int", *(f"{w} long" for w in WORDS), "until int", "n long"]))
 
 
 def _marks(reached: DataFrame, size: int) -> list:
@@ -212,40 +203,39 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
     if not 0 < shards <= 60:
         raise ValueError("marks of scans are bytes: 1 to 60 shards")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = scratch.staged(rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).where("length(text) > 0"), partition_by=["shard"])
-    word_parts, counts, done = [], {}, []
-    tables: list[np.ndarray | None] = [None] * (LONGEST - 1)
-    reached, n_reached, latest, scan = [], 0, -1, 0
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("length(text) > 0")
     with batches_of(spark, 500):
+        dealt = scratch.staged(chunked(rows, shards, seed, CHUNK), partition_by=["kind", "shard"])
+    chunks, found_words = dealt.where("kind = 0"), dealt.where("kind = 1").select("shard", "w1", "lang", "word", "n")
+    zero, done, reached, n_reached, latest, scan, state = F.lit(0).cast("long"), [], [], 0, -1, 0, None
+    by_scan = [f"n{i}" for i in range(shards)]  # counts of the scans of one round, each in the place of its shard
+    tables: list[np.ndarray | None] = [None] * (LONGEST - 1)
+    with batches_of(spark, 4):
         while scan < shards or latest >= scan - shards:
-            made = scanned(dealt.where(F.col("shard") == scan % shards), scan, shards, tables, seed)
-            summed = scratch.staged(made.groupBy("len", *WORDS, "lang", "word").agg(F.sum("n").alias("n")).withColumn("scan", F.lit(scan)), partition_by=["len"])
-            new = []
+            new, here = [], f"n{scan % shards}"
             if scan < shards:
-                word_parts.append(summed.where("len = 1").select("w1", "lang", "word", "n", "scan"))
-                now = _union(word_parts).groupBy("w1").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("scan") < scan, F.col("n")).otherwise(0)).alias("before"))
-                new.append(now.where((F.col("n") >= support) & (F.col("before") < support)).select(F.lit(1).alias("len"), "w1", *[F.lit(0).cast("long").alias(w) for w in WORDS[1:-1]]))
+                so_far = found_words.where(F.col("shard") <= scan).groupBy("w1").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("shard") < scan, F.col("n")).otherwise(0)).alias("before"))
+                new.append(so_far.where((F.col("n") >= support) & (F.col("before") < support)).select(F.lit(1).alias("len"), "w1", *[zero.alias(w) for w in WORDS[1:-1]]))
             if n_reached:
-                counts[scan] = scratch.staged(_active(summed.where("len > 1"), _union(reached), n_reached, scan, shards))
-            window = [counts[s] for s in range(scan - shards + 1, scan + 1) if s in counts]
-            if window:
-                own = _union(window).where(F.col("since") > scan - shards).groupBy("len", *WORDS, "since")
-                now = own.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("scan") < scan, F.col("n")).otherwise(0)).alias("before"))
-                frequent = scratch.staged(now.where(F.col("n") >= support))
+                made = scanned(chunks.where(F.col("shard") == scan % shards), scan, shards, tables)
+                parts = [made.select("len", *WORDS, "until", *[(F.col("n") if c == here else zero).alias(c) for c in by_scan])]
+                if state is not None:  # what the same shard gave a round ago no longer counts
+                    parts.append(state.where(F.col("until") >= scan).select("len", *WORDS, "until", *[(zero if c == here else F.col(c)).alias(c) for c in by_scan]))
+                summed = _union(parts).groupBy("len", *WORDS).agg(F.max("until").alias("until"), *[F.sum(c).alias(c) for c in by_scan])
+                state = scratch.staged(summed.where((F.col("until") > scan) | (sum(F.col(c) for c in by_scan) >= support)), slot="state")
+                frequent = scratch.staged(_active(state, _union(reached), n_reached, scan, shards, support))
                 done.append(frequent.where(F.col("since") == scan - shards + 1).select("len", *WORDS, "n"))
                 new.append(frequent.where((F.col("before") < support) & (F.col("len") < LONGEST)).select("len", *WORDS[:-1]))
-            if new:
-                fresh = scratch.staged(_union(new).withColumn("reach", F.lit(scan)))
-                if n := fresh.count():
-                    reached, n_reached, latest = [*reached, fresh], n_reached + n, scan
-                    tables = [None if t is None else t.copy() for t in tables]
-                    for r in _marks(fresh, slots):
-                        table = tables[r.len - 1] = np.zeros(slots, np.uint8) if tables[r.len - 1] is None else tables[r.len - 1]
-                        marks = np.frombuffer(zlib.decompress(r.marks), np.uint8)
-                        np.maximum(table[r.page : r.page + len(marks)], marks, out=table[r.page : r.page + len(marks)])
+            fresh = scratch.staged(_union(new).withColumn("reach", F.lit(scan))) if new else None
+            if fresh is not None and (n := fresh.count()):
+                reached, n_reached, latest = [*reached, fresh], n_reached + n, scan
+                tables = [None if t is None else t.copy() for t in tables]
+                for r in _marks(fresh, slots):
+                    table = tables[r.len - 1] = np.zeros(slots, np.uint8) if tables[r.len - 1] is None else tables[r.len - 1]
+                    marks = np.frombuffer(zlib.decompress(r.marks), np.uint8)
+                    np.maximum(table[r.page : r.page + len(marks)], marks, out=table[r.page : r.page + len(marks)])
             scan += 1
-    words = scratch.staged(_union(word_parts).groupBy("w1").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("first"), F.max(F.struct("lang", "word")).alias("last")))
+    words = scratch.staged(found_words.groupBy("w1").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("first"), F.max(F.struct("lang", "word")).alias("last")))
     if words.where("first <> last").limit(1).count():
         raise ValueError("two words share a hash; take another seed")
     words = words.select("w1", "first.lang", "first.word", "n")
@@ -254,14 +244,16 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
     return words.where(F.col("n") >= support), scratch.staged(_union([empty, *done])), totals
 
 
-def _active(summed: DataFrame, reached: DataFrame, n_reached: int, scan: int, shards: int) -> DataFrame:
-    """Counts of phrases that are active in this scan, with the scan ``since`` which they are."""
-    out, keys = summed.select("len", *WORDS, "n", "scan"), [f"k{i}" for i in range(1, LONGEST)]
+def _active(state: DataFrame, reached: DataFrame, n_reached: int, scan: int, shards: int, support: int) -> DataFrame:
+    """Active phrases with the support: the scan ``since`` which they are active, their counts ``n`` since then and ``before`` this scan."""
+    counts = {t: F.col(f"n{t % shards}") for t in range(max(0, scan - shards + 1), scan + 1)}
+    out, keys = state.where(sum(counts.values()) >= support).select("len", *WORDS, *[f"n{i}" for i in range(shards)]), [f"k{i}" for i in range(1, LONGEST)]
     for first, name in ((0, "r1"), (1, "r2")):
         side = reached.select((F.col("len") + 1).alias("len"), *[F.col(w).alias(k) for w, k in zip(WORDS, keys, strict=False)], F.col("reach").alias(name))
         out = join_lookup(out.select("*", *_places(F.col("len"), first)), side, ["len", *keys], "inner", rows=n_reached).drop(*keys)
-    since = F.greatest("r1", "r2") + 1
-    return out.where(since > scan - shards).select("len", *WORDS, "n", "scan", since.alias("since"))
+    out = out.withColumn("since", F.greatest("r1", "r2") + 1).where((F.col("since") > scan - shards) & (F.col("since") <= scan))
+    own = {t: F.when(F.col("since") <= t, c).otherwise(0) for t, c in counts.items()}
+    return out.select("len", *WORDS, "since", sum(own.values()).alias("n"), (sum(own.values()) - counts[scan]).alias("before")).where(F.col("n") >= support)
 
 
 def _key(places: list[str]) -> list[Column]:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from framelake.llm import collocations
@@ -69,13 +70,12 @@ def test_no_texts(spark):
             assert collocations.collocations(rows, scratch).collect() == []
 
 
-def test_task_forgets_words(spark, monkeypatch):
-    """Numbers of words are forgotten between chunks, and counts stay right."""
-    counter = collocations.Counter(0, 2, [None] * 3, 0)
-    monkeypatch.setattr(collocations, "VOCABULARY", 3)
-    seen = Counter()
-    for i in range(20):
-        counter.take("en", f"a b c d{i}, a".encode())
-        for part in counter.flush():
-            seen.update(dict(zip(part["word"], part["n"])))
-    assert seen["a"] == 40 and seen["d7"] == 1
+def test_rows_of_a_chunk():
+    chunk = collocations.Chunk()
+    chunk.take("en", b"A b. , a\tB c;;")
+    chunk.take("de", b"a")
+    first, words = chunk.rows(1, 0)
+    ids = np.frombuffer(first["ids"][0], np.int32).tolist()
+    assert ids == [0, 1, -1, 0, 1, 2, -1, 3, -1]
+    assert list(zip(words["lang"], words["word"], words["n"])) == [("en", "a", 2), ("en", "b", 2), ("en", "c", 1), ("de", "a", 1)]
+    assert len(set(words["w1"])) == 4
