@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake import workload
-from framelake.operators import aggregates, generate, grids, orientation, pairs, selection, topology, transforms
+from framelake.operators import aggregates, generate, grids, orientation, pairs, selection, spectral, topology, transforms
 from framelake.operators.selection import select, select_entities
 from framelake.runtime import staged
 from framelake.sources import frame_index, grid_files, trajectories
@@ -476,11 +477,41 @@ def polarisation_grid(spark, d):
     return out.select("ia", "ib", "ic", *[F.round(c, 4).alias(c) for c in ("mx", "my", "mz", "magnitude")])
 
 
-@register()
+def _pme_sql(n: int = 12, beta: float = 0.6) -> str:
+    """The potential of charges spread by cubic splines, by direct sums over wave numbers, an axis a step."""
+    spline = "CASE WHEN u < 1 THEN u * u * u / 6 WHEN u < 2 THEN (-3 * u * u * u + 12 * u * u - 12 * u + 4) / 6 WHEN u < 3 THEN (3 * u * u * u - 24 * u * u + 60 * u - 44) / 6 ELSE (4 - u) * (4 - u) * (4 - u) / 6 END"
+    axes = "".join(f", w{a} AS (SELECT frame, atom_index, ({k} / 10.0 - floor({k} / 10.0)) * {n} + {(n - 1) / 2!r} AS w FROM atoms), m{a} AS (SELECT frame, atom_index, CAST((floor(w) - j + {n}) % {n} AS INT) AS i{a}, {spline} AS m{a} FROM (SELECT *, w - floor(w) + j AS u FROM w{a}, j))" for a, k in zip("abc", "xyz"))
+    steps, at, cols = [], "mesh", ["ia", "ib", "ic"]
+    for sign, names in ((-1, ("kc", "kb", "ka")), (1, ("ic", "ib", "ia"))):
+        for new in names:
+            old = ("i" if new[0] == "k" else "k") + new[1]
+            rest = [c for c in cols if c != old]
+            turn = f"(2 * pi() * ({old} * t.v % {n}) / {n})"
+            kept = ", ".join([*rest, f"t.v AS {new}"])
+            steps.append(f"{new}s AS (SELECT {kept}, sum(re * cos{turn} - {sign} * im * sin{turn}) AS re, sum(im * cos{turn} + {sign} * re * sin{turn}) AS im FROM {at}, t GROUP BY ALL)")
+            at, cols = f"{new}s", [*rest, new]
+            if new == "ka":
+                factor = " * ".join(f"pow((4 + 2 * cos(2 * pi() * k{a} / {n})) / 6, -2)" for a in "abc")
+                steps.append(f"k2s AS (SELECT *, ({' + '.join(f'pow(k{a} - CASE WHEN 2 * k{a} >= {n} THEN {n} ELSE 0 END, 2)' for a in 'abc')}) * pow(2 * pi() / 10, 2) AS k2 FROM kas)")
+                green = f"CASE WHEN k2 = 0 THEN 0 ELSE 4 * pi() * {grids.KE} / 1000 * exp(-k2 / {4 * beta * beta!r}) / k2 * {factor} END"
+                steps.append(f"gs AS (SELECT ka, kb, kc, re * {green} AS re, im * {green} AS im FROM k2s)")
+                at = "gs"
+    return f"""WITH {ATOMS}, t AS (SELECT CAST(i AS INT) AS v FROM range({n}) r(i)), j AS (SELECT CAST(i AS INT) AS j FROM range(4) r(i)){axes},
+mesh AS (SELECT ia, ib, ic, sum(charge * ma * mb * mc) AS re, 0.0 AS im FROM atoms JOIN ma USING (frame, atom_index) JOIN mb USING (frame, atom_index) JOIN mc USING (frame, atom_index) GROUP BY ALL), {", ".join(steps)}
+SELECT ia, ib, ic, round(re / 4, 4) AS value FROM ias"""
+
+
+@register(_pme_sql())
 def pme_potential(spark, d):
     return _rounded(grids.pme_potential(workload.atoms(spark, d), (12, 12, 12), 0.6, 4), 4)
 
 
+@register(_pme_sql())
+def pme_pencils(spark, d):
+    """The same potential with no task that holds the mesh."""
+    return _rounded(grids.pme_potential(workload.atoms(spark, d), (12, 12, 12), 0.6, 4, dense=0), 4)
+
+
 @register(
     f"WITH {ATOMS}, g AS (SELECT CAST(i // 36 AS INT) AS ia, CAST(i // 6 % 6 AS INT) AS ib, CAST(i % 6 AS INT) AS ic FROM range(216) t(i)), p AS (SELECT ia, ib, ic, charge, " + ", ".join(IMAGE.format(f"(i{c} * 10.0 / 6 - {k})") + f" AS d{k}" for c, k in zip("abc", "xyz")) + " FROM g, atoms), "
     "s AS (SELECT ia, ib, ic, sum(14.3996 * charge / sqrt(dx * dx + dy * dy + dz * dz)) / 4 AS v FROM p WHERE dx * dx + dy * dy + dz * dz <= 6.25 AND dx * dx + dy * dy + dz * dz >= 1e-10 GROUP BY ALL) SELECT g.ia, g.ib, g.ic, round(coalesce(v, 0.0), 4) AS value FROM g LEFT JOIN s USING (ia, ib, ic)"
@@ -506,6 +537,29 @@ def ewald_energy(spark, d):
     return _rounded(grids.ewald_reciprocal(workload.atoms(spark, d), 0.4, 2), 4)
 
 
+_EWALD = (0.8, 5.0, 1e-7)  # beta, cutoff, tolerance
+
+
+def _ewald_sql(beta: float, cutoff: float, tolerance: float) -> str:
+    """Real part by the power series of the error function, reciprocal part over all wave vectors."""
+    largest = 2 * beta * math.sqrt(-math.log(tolerance))
+    most = int(largest * 10 / (2 * math.pi) + 1e-9)
+    series = "list_sum(list_transform(range(90), lambda n: pow(-1, n) * exp((2 * n + 1) * ln(b) - lgamma(n + 1)) / (2 * n + 1)))"
+    pairs = _pairs_sql(cutoff=cutoff, extra=", a.charge * b.charge AS qq")
+    return f"""WITH {ATOMS}, pr AS ({pairs}), br AS (SELECT frame, qq, sqrt(r2) AS r, {beta} * sqrt(r2) AS b FROM pr),
+re AS (SELECT frame, sum(qq * (1 - 2 / sqrt(pi()) * {series}) / r) AS real FROM br GROUP BY frame),
+v AS (SELECT CAST(i AS INT) - {most} AS v FROM range({2 * most + 1}) t(i)), w AS (SELECT a.v AS h, b.v AS k, c.v AS l, (a.v * a.v + b.v * b.v + c.v * c.v) * pow(2 * pi() / 10.0, 2) AS k2 FROM v a, v b, v c WHERE (a.v, b.v, c.v) <> (0, 0, 0)),
+s AS (SELECT frame, h, k, l, k2, sum(charge * cos(2 * pi() * (h * x + k * y + l * z) / 10.0)) AS re, sum(charge * sin(2 * pi() * (h * x + k * y + l * z) / 10.0)) AS im FROM atoms, w WHERE k2 <= {largest * largest!r}e0 GROUP BY ALL),
+rc AS (SELECT frame, sum(2 * pi() / 1000.0 * exp(-k2 / {4 * beta * beta!r}e0) / k2 * (re * re + im * im)) AS reciprocal FROM s GROUP BY frame),
+o AS (SELECT frame, -{beta} / sqrt(pi()) * sum(charge * charge) AS self, -pi() / ({2 * beta * beta!r}e0 * 1000.0) * pow(sum(charge), 2) AS background FROM atoms GROUP BY frame)
+SELECT frame, round(coalesce(real, 0.0), 3) AS real, round(reciprocal, 3) AS reciprocal, round(self, 3) AS self, round(background, 3) AS background, round(coalesce(real, 0.0) + reciprocal + self + background, 3) AS energy FROM o LEFT JOIN re USING (frame) LEFT JOIN rc USING (frame)"""
+
+
+@register(_ewald_sql(*_EWALD))
+def ewald_total(spark, d):
+    return _rounded(spectral.ewald_sum(workload.atoms(spark, d), *_EWALD), 3)
+
+
 _GRID = "gv AS (SELECT CAST(l_linenumber - 1 AS INT) AS ia, CAST(l_quantity AS INT) - 1 AS ib, CAST(l_suppkey % 8 AS INT) AS ic, l_extendedprice AS value FROM lineitem)"
 
 

@@ -1,8 +1,8 @@
 """Charges and dipoles on grids, electrostatic potentials, and averages of grids along axes.
 
 Grids are long: ``ia, ib, ic`` and a value. Spreading and averaging are DataFrame expressions; only
-the Fourier transform works on one frame's dense mesh, inside a grouped function whose input is
-already summed to grid points.
+the Fourier transform works on a cell's dense mesh or on slabs of it (``spectral``), inside a grouped
+function whose input is already summed to grid points.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import cartesian, dot, fractional, nearest_image, sub, vec
+from framelake.operators import spectral
 
 KE = 14.3996  #: volt angstrom per elementary charge
 
@@ -89,52 +90,67 @@ def polarisation_grid(molecules: DataFrame, shape: tuple[int, int, int], order:
     return means.withColumn("magnitude", F.sqrt(dot(vec("m"), vec("m"))))
 
 
-def _greens_function(h: np.ndarray, shape: tuple[int, int, int], beta: float, order: int) -> np.ndarray:
+def _spline_factor(order: int, n: int) -> np.ndarray:
+    """Of each wave number of an axis, what takes the spreading by splines back; zero where splines cannot see it."""
+    j = np.arange(order - 1)
+    s = (b_spline_np(order, j + 1)[None] * np.exp(2j * np.pi * np.arange(n)[:, None] * j[None] / n)).sum(1)
+    size = np.abs(s) ** 2
+    return np.where(size < 1e-20, 0.0, 1 / np.where(size < 1e-20, 1.0, size))
+
+
+def _greens_function(h: np.ndarray, shape: tuple[int, int, int], beta: float, order: int, places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Factors of the wave numbers at ``places`` along the axes (all of them where none are given)."""
     volume = abs(np.linalg.det(h))
     g = np.linalg.inv(h).T  # rows: reciprocal vectors without 2 pi, for lattice vectors in the rows of h
-    m = [np.fft.fftfreq(n, 1 / n) for n in shape]
+    places = places or tuple(np.arange(n) for n in shape)
+    m = [np.fft.fftfreq(n, 1 / n)[p] for n, p in zip(shape, places, strict=True)]
     k = 2 * np.pi * (m[0][:, None, None, None] * g[0] + m[1][None, :, None, None] * g[1] + m[2][None, None, :, None] * g[2])
     k2 = (k**2).sum(-1)
-    k2[0, 0, 0] = 1.0
-    out = 4 * np.pi * KE / volume * np.exp(-k2 / (4 * beta**2)) / k2
+    none = k2 == 0
+    out = 4 * np.pi * KE / volume * np.exp(-k2 / (4 * beta**2)) / np.where(none, 1.0, k2)
     for axis, n in enumerate(shape):
-        j = np.arange(order - 1)
-        s = (b_spline_np(order, j + 1)[None] * np.exp(2j * np.pi * np.arange(n)[:, None] * j[None] / n)).sum(1)
-        size = np.abs(s) ** 2
-        factor = np.where(size < 1e-20, 0.0, 1 / np.where(size < 1e-20, 1.0, size))
-        out *= factor.reshape([-1 if a == axis else 1 for a in range(3)])
-    out[0, 0, 0] = 0.0
-    return out
+        out *= _spline_factor(order, n)[places[axis]].reshape([-1 if a == axis else 1 for a in range(3)])
+    return np.where(none, 0.0, out)
+
 
+DENSE = 1 << 21  #: points of a mesh up to which a task transforms it whole (about 100 MB)
 
-def pme_potential(atoms: DataFrame, shape: tuple[int, int, int], beta: float = 0.25, order: int = 4) -> DataFrame:
+
+def pme_potential(atoms: DataFrame, shape: tuple[int, int, int], beta: float = 0.25, order: int = 4, dense: int = DENSE) -> DataFrame:
     """``ia, ib, ic, value``: mean smooth electrostatic potential in volts over the frames.
 
-    Charges are spread and summed per frame by DataFrame expressions; a task then transforms one
-    frame's mesh (its size is fixed by ``shape``, not by the atoms) and the mean is taken over frames.
+    Charges are spread by DataFrame expressions and summed over all frames of one cell, as the
+    transform of a sum is the sum of the transforms; so there is a mesh for each distinct cell. A mesh of
+    up to ``dense`` points is transformed in a task; a larger one by pencils, in which a task holds slabs.
     """
     if order < 2:
         raise ValueError("the order is 2 or more")
     n_frames = atoms.select("frame").distinct().count()
     if atoms.where("cell is null").limit(1).count() or not n_frames:
         raise ValueError("every frame needs a cell")
-    charges = spread(atoms.where("charge <> 0"), {"q": F.col("charge")}, shape, order, centred=True)
-    cells = atoms.groupBy("frame").agg(F.first("cell.h").alias("h"))
-    cache: dict = {}
+    key = F.array_join(F.transform("cell.h", lambda v: v.cast("string")), ",")
+    charges = spread(atoms.where("charge <> 0").withColumn("key", key), {"value": F.col("charge")}, shape, order, keys=("key",), centred=True)
+    size = shape[0] * shape[1] * shape[2]
+
+    def cell_of(name: str) -> np.ndarray:
+        return np.array([float(v) for v in name.split(",")]).reshape(3, 3)
 
     def transform(group: pd.DataFrame) -> pd.DataFrame:
-        h = tuple(group["h"].iloc[0])
-        if h not in cache:
-            cache.clear()
-            cache[h] = _greens_function(np.array(h).reshape(3, 3), shape, beta, order)
+        green = _greens_function(cell_of(group["key"].iloc[0]), shape, beta, order)
         mesh = np.zeros(shape)
-        mesh[group["ia"], group["ib"], group["ic"]] = group["q"]
-        value = np.fft.ifftn(np.fft.fftn(mesh) * cache[h]).real * mesh.size
+        mesh[group["ia"], group["ib"], group["ic"]] = group["value"]
+        value = np.fft.ifftn(np.fft.fftn(mesh) * green).real
         ia, ib, ic = (x.ravel() for x in np.indices(shape))
         return pd.DataFrame({"ia": ia, "ib": ib, "ic": ic, "value": value.ravel()})
 
-    each = charges.join(cells, "frame").groupBy("frame").applyInPandas(transform, "ia int, ib int, ic int, value double")
-    return each.groupBy("ia", "ib", "ic").agg((F.sum("value") / n_frames).alias("value"))
+    def factors(name: str, ka: np.ndarray, kb: int, kc: np.ndarray) -> np.ndarray:
+        return _greens_function(cell_of(name), shape, beta, order, (ka, np.array([kb]), kc))[:, 0]
+
+    if size <= dense:
+        each = charges.groupBy("key").applyInPandas(transform, "ia int, ib int, ic int, value double")
+    else:
+        each = spectral.convolve(charges, shape, factors)
+    return each.groupBy("ia", "ib", "ic").agg((F.sum("value") * (size / n_frames)).alias("value"))
 
 
 def grid_points(spark, shape: tuple[int, int, int]) -> DataFrame:
