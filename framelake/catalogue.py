@@ -366,7 +366,29 @@ def rings(spark, d):
     return found.select("frame", F.array_join(F.col("atoms").cast("array<string>"), "-").alias("ring"))
 
 
-@register()
+# Walks of up to seven bonds from one end of a bond to the other without that bond; the shortest has no detour.
+_RING_SIZES = f"""{BONDS}, walk(frame, i, j, node, d) AS (SELECT frame, i, j, i, 0 FROM bonds UNION
+  SELECT w.frame, w.i, w.j, a.e, w.d + 1 FROM walk w JOIN adj a ON a.frame = w.frame AND a.c = w.node WHERE w.d < 7 AND w.node <> w.j AND NOT (a.c = w.i AND a.e = w.j)),
+sizes AS (SELECT frame, i, j, CAST(min(d) + 1 AS INT) AS size FROM walk WHERE node = j GROUP BY ALL)"""
+
+
+@register(f"WITH RECURSIVE {_RING_SIZES} SELECT frame, i, j, size FROM sizes")
+def ring_sizes(spark, d):
+    return topology.ring_sizes(_staged_bonds(spark, d))
+
+
+@register(
+    f"""WITH RECURSIVE {_RING_SIZES}, el AS (SELECT frame, atom_index, list_extract(['C', 'C', 'C', 'N', 'O', 'H', 'S', 'P', 'Si', 'Fe'], label + 1) AS e FROM atoms),
+r AS (SELECT frame, i AS a FROM sizes UNION SELECT frame, j FROM sizes), nb AS (SELECT adj.frame, adj.c, count(*) AS n, count(*) FILTER (el.e = 'O') AS no, count(*) FILTER (el.e = 'Si') AS nsi FROM adj JOIN el ON el.frame = adj.frame AND el.atom_index = adj.e GROUP BY ALL),
+v AS (SELECT el.frame, el.atom_index, e, coalesce(n, 0) AS n, coalesce(no, 0) AS no, coalesce(nsi, 0) AS nsi, r.a IS NOT NULL AS ring FROM el LEFT JOIN nb ON nb.frame = el.frame AND nb.c = el.atom_index LEFT JOIN r ON r.frame = el.frame AND r.a = el.atom_index),
+p AS (SELECT *, CASE WHEN n > 4 THEN n WHEN abs(5 - n) > 2 THEN n - 1 ELSE n + ceil((5 - n) / 2) END AS p, CASE WHEN no = 3 THEN 2 WHEN n > 4 THEN n WHEN abs(6 - n) > 2 THEN n - 1 ELSE n + ceil((6 - n) / 2) END AS s FROM v)
+SELECT frame, atom_index, coalesce(CASE e WHEN 'H' THEN 'H_' WHEN 'C' THEN CASE n WHEN 2 THEN 'C_1' WHEN 3 THEN CASE WHEN ring THEN 'C_R' ELSE 'C_2' END WHEN 4 THEN 'C_3' END
+  WHEN 'N' THEN CASE WHEN n = 1 THEN 'N_1' WHEN n IN (2, 3, 4) AND ring THEN 'N_R' WHEN n = 2 THEN 'N_2' WHEN n IN (3, 4) THEN 'N_3' END
+  WHEN 'O' THEN CASE WHEN n = 1 THEN 'O_2' WHEN n = 2 AND ring THEN 'O_R' WHEN n = 2 AND nsi > 0 THEN 'O_3_z' WHEN n = 2 THEN 'O_3' END
+  WHEN 'P' THEN CASE p WHEN 5 THEN 'P_3+5' WHEN 4 THEN 'P_3+q' ELSE 'P_3+3' END
+  WHEN 'S' THEN CASE WHEN s = 1 THEN 'S_2' WHEN s = 2 AND ring THEN 'S_R' WHEN s = 4 THEN 'S_3+4' WHEN s = 6 THEN 'S_3+6' ELSE 'S_3+2' END
+  WHEN 'Si' THEN 'Si3' WHEN 'Fe' THEN CASE n WHEN 6 THEN 'Fe6+2' ELSE 'Fe3+2' END END, 'UNKNOWN') AS uff FROM p"""
+)
 def uff_types(spark, d):
     a = workload.atoms(spark, d).withColumn("element", F.element_at(F.array(*[F.lit(e) for e in ("C", "C", "C", "N", "O", "H", "S", "P", "Si", "Fe")]), F.substring("type", 2, 2).cast("int") + 1))
     return topology.uff_types(a, _staged_bonds(spark, d))

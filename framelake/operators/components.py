@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.runtime import Scratch, staged
@@ -40,3 +40,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
             seen = state
         found = nodes.join(current, [*k, "a"], "left").select(*k, F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
         return staged(found)
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, span: int = 1 << 16) -> DataFrame:
+    """``df`` with ``name``: the place of each row among those of its keys, from 0, by the whole number ``order``.
+
+    A task sees the rows of a span of numbers, or a count for each span of one key; rows of one number are in
+    any order.
+    """
+    near = F.expr(f"`{order}` div {span}").alias("_near")
+    sizes = df.groupBy(*keys, near).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(*keys, "_near", before.alias("_first"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_near").orderBy(order)) - 1
+    return df.withColumn("_near", near).join(firsts, [*keys, "_near"]).withColumn(name, (F.col("_first") + inner).cast("long")).drop("_near", "_first")

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import angle_between, dihedral_angle, nearest_image, plane_distance, sub, vec
-from framelake.operators.components import connected_components
+from framelake.operators.components import connected_components, numbered
 from framelake.operators.pairs import neighbour_pairs
 from framelake.operators.selection import compile_selection, select
-from framelake.runtime import staged
+from framelake.runtime import Scratch, staged
 
 
 @dataclass(frozen=True)
@@ -162,11 +162,18 @@ def neighbours_at(bonds: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return level
 
 
-def molecules(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """``frame, atom_index, mol_index``: connected components in order of their smallest atoms."""
-    found = connected_components(bonds, "i", "j", ("frame",))
-    labelled = atoms.select("frame", "atom_index").join(found.withColumnRenamed("node", "atom_index"), ["frame", "atom_index"], "left").withColumn("component", F.coalesce("component", "atom_index"))
-    roots = labelled.where("component = atom_index").select("frame", "component", (F.row_number().over(Window.partitionBy("frame").orderBy("component")) - 1).cast("long").alias("mol_index"))
+def molecules(bonds: DataFrame, atoms: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """``frame, atom_index, mol_index``: connected components in order of their smallest atoms.
+
+    With ``anchors`` (frame, anchor) the frames of ``bonds`` are anchors: components are found once for each
+    of them and hold for all frames that use it. No task sees a frame: components are numbered by
+    counts of ranges of atoms.
+    """
+    found = connected_components(bonds, "i", "j", ("frame",)).withColumnRenamed("node", "atom_index")
+    if anchors is not None:
+        found = anchors.join(found.withColumnRenamed("frame", "anchor"), "anchor").drop("anchor")
+    labelled = atoms.select("frame", "atom_index").join(found, ["frame", "atom_index"], "left").withColumn("component", F.coalesce("component", "atom_index"))
+    roots = numbered(labelled.where("component = atom_index").select("frame", "component"), ["frame"], "component", "mol_index")
     return labelled.join(roots, ["frame", "component"]).select("frame", "atom_index", "mol_index")
 
 
@@ -174,15 +181,17 @@ def molecule_types(members: DataFrame, atoms: DataFrame) -> DataFrame:
     """``frame, mol_index, mol_type, subindex, fingerprint, n_atoms, first_atom``.
 
     Molecules of the same sorted atom types share a type ``M1``, ``M2``, ... in the order of their
-    first molecules; ``subindex`` counts from 1 within a type.
+    first molecules; ``subindex`` counts from 1 within a type. Atoms are counted by type before a
+    molecule's types meet.
     """
-    kinds = members.join(atoms.select("frame", "atom_index", "type"), ["frame", "atom_index"]).groupBy("frame", "mol_index").agg(
-        F.array_join(F.array_sort(F.collect_list("type")), ",").alias("fingerprint"), F.count("*").alias("n_atoms"), F.min("atom_index").alias("first_atom")
-    )
+    by_type = members.join(atoms.select("frame", "atom_index", "type"), ["frame", "atom_index"]).groupBy("frame", "mol_index", "type").agg(F.count("*").alias("n"), F.min("atom_index").alias("first"))
+    counted = by_type.groupBy("frame", "mol_index").agg(F.array_sort(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "n")))).alias("types"), F.sum("n").alias("n_atoms"), F.min("first").alias("first_atom"))
+    each = F.flatten(F.transform("types", lambda t: F.array_repeat(t["type"], t["n"].cast("int"))))
+    kinds = counted.select("frame", "mol_index", F.array_join(each, ",").alias("fingerprint"), "n_atoms", "first_atom")
     first = kinds.groupBy("frame", "fingerprint").agg(F.min("mol_index").alias("_first"))
-    named = first.withColumn("mol_type", F.concat(F.lit("M"), F.dense_rank().over(Window.partitionBy("frame").orderBy("_first")).cast("string"))).drop("_first")
-    sub_index = F.row_number().over(Window.partitionBy("frame", "fingerprint").orderBy("mol_index"))
-    return kinds.withColumn("subindex", sub_index).join(named, ["frame", "fingerprint"]).select("frame", "mol_index", "mol_type", "subindex", "fingerprint", "n_atoms", "first_atom")
+    named = first.withColumn("mol_type", F.concat(F.lit("M"), F.dense_rank().over(Window.partitionBy("frame").orderBy("_first")).cast("string"))).drop("_first")  # a row a type
+    placed = numbered(kinds, ["frame", "fingerprint"], "mol_index", "subindex").withColumn("subindex", (F.col("subindex") + 1).cast("int"))
+    return placed.join(named, ["frame", "fingerprint"]).select("frame", "mol_index", "mol_type", "subindex", "fingerprint", "n_atoms", "first_atom")
 
 
 def mixed_residues(members: DataFrame, atoms: DataFrame, residue: str = "mol_type") -> DataFrame:
@@ -277,16 +286,57 @@ def cycles(bonds: DataFrame, longest: int = 8) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-# The published force-field type of elements that have one type only, behind the symbol.
-_UFF_SUFFIX = dict(
-    x.split(":")
-    for x in """
-He:4+4 Li: Be:3+2 F:_ Ne:4+4 Na: Mg:3+2 Al:3 Si:3 Cl: Ar:4+4 K:_ Ca:6+2 Sc:3+3 V:_3+5 Cr:6+3 Mn:6+2 Co:6+3 Ni:4+2 Cu:3+1 Zn:3+2
-Ga:3+3 Ge:3 As:3+3 Se:3+2 Br: Kr:4+4 Rb: Sr:6+2 Y:_3+3 Zr:3+4 Nb:3+5 Tc:6+5 Ru:6+2 Rh:6+3 Pd:4+2 Ag:1+1 Cd:3+2 In:3+3 Sn:3
-Sb:3+3 Te:3+2 I:_ Xe:4+4 Cs: Ba:6+2 La:3+3 Hf:3+4 Ta:3+5 Os:6+6 Ir:6+3 Pt:4+2 Au:4+3 Hg:1+2 Tl:3+3 Pb:3 Bi:3+3 Po:3+2 At:
-Rn:4+4 Fr: Ra:6+2 Ac:6+3 Th:6+4 Pa:6+4 U:_6+4 Np:6+4 Pu:6+4 Am:6+4
-""".split()
-)
+def ring_sizes(bonds: DataFrame, longest: int = 8) -> DataFrame:
+    """``frame, i, j, size``: of every bond (i < j) in a ring of at most ``longest`` bonds, the bonds of its shortest one.
+
+    Bonds to atoms with no other bond are taken off first, again and again for as many rounds as a ring may be
+    long. From both ends of each bond left, atoms are then reached step by step, in turn and without that
+    bond; where both sides first meet, the shortest ring is closed. What is kept are distinct atoms around a
+    bond, not paths, so rows do not grow with the number of ways between two atoms. Repeated bonds count once;
+    self bonds are in no ring; no bonds give no rows.
+    """
+    if longest < 3:
+        raise ValueError("a ring has three bonds or more")
+    spark = bonds.sparkSession
+    bond = ["frame", "i", "j"]
+    with Scratch(spark) as scratch:
+        left = scratch.staged(bonds.select("frame", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j").distinct())
+        for _ in range(longest):
+            degree = adjacency(left).groupBy("frame", "centre").agg(F.count("*").alias("n")).where("n = 1").select("frame", "centre")
+            lone = scratch.staged(degree, slot="ends")
+            if not lone.limit(1).count():
+                break
+            kept = left.join(lone.withColumnRenamed("centre", "i"), ["frame", "i"], "left_anti").join(lone.withColumnRenamed("centre", "j"), ["frame", "j"], "left_anti")
+            left = scratch.staged(kept.select(*bond), slot="bonds")
+        near = scratch.staged(adjacency(left).withColumnRenamed("centre", "node"))
+        none = F.lit(None).cast("int")
+        seen = left.select(*bond, F.col("i").alias("node"), F.lit(0).alias("a"), none.alias("b")).union(left.select(*bond, "j", none, F.lit(0)))
+        found, steps = [], {"a": 0, "b": 0}
+        for step in range(longest - 1):
+            side = "ab"[step % 2]
+            edge = seen.where(F.col(side) == steps[side]).select(*bond, "node").join(near, ["frame", "node"])
+            edge = edge.where("not (node = i and end = j) and not (node = j and end = i)")
+            steps[side] += 1
+            new = edge.select(*bond, F.col("end").alias("node"), *[F.lit(steps[side]).alias(s) if s == side else none.alias(s) for s in "ab"])
+            reached = scratch.staged(seen.union(new).groupBy(*bond, "node").agg(F.min("a").alias("a"), F.min("b").alias("b")), slot="reached")
+            met = scratch.staged(reached.where("a is not null and b is not null").select(*bond).distinct())
+            found.append(met.withColumn("size", F.lit(steps["a"] + steps["b"] + 1)))
+            seen = scratch.staged(reached.join(met, bond, "left_anti"), slot="seen")
+            if not seen.limit(1).count():
+                break
+        return staged(reduce(DataFrame.union, found))
+
+
+# Elements with one force-field type only, and its published name.
+_UFF_TYPE = """
+He He4+4, Li Li, Be Be3+2, F F_, Ne Ne4+4, Na Na, Mg Mg3+2, Al Al3, Si Si3, Cl Cl,
+Ar Ar4+4, K K_, Ca Ca6+2, Sc Sc3+3, V V_3+5, Cr Cr6+3, Mn Mn6+2, Co Co6+3, Ni Ni4+2, Cu Cu3+1,
+Zn Zn3+2, Ga Ga3+3, Ge Ge3, As As3+3, Se Se3+2, Br Br, Kr Kr4+4, Rb Rb, Sr Sr6+2, Y Y_3+3,
+Zr Zr3+4, Nb Nb3+5, Tc Tc6+5, Ru Ru6+2, Rh Rh6+3, Pd Pd4+2, Ag Ag1+1, Cd Cd3+2, In In3+3, Sn Sn3,
+Sb Sb3+3, Te Te3+2, I I_, Xe Xe4+4, Cs Cs, Ba Ba6+2, La La3+3, Hf Hf3+4, Ta Ta3+5, Os Os6+6,
+Ir Ir6+3, Pt Pt4+2, Au Au4+3, Hg Hg1+2, Tl Tl3+3, Pb Pb3, Bi Bi3+3, Po Po3+2, At At, Rn Rn4+4,
+Fr Fr, Ra Ra6+2, Ac Ac6+3, Th Th6+4, Pa Pa6+4, U U_6+4, Np Np6+4, Pu Pu6+4, Am Am6+4
+"""
 _SIX_THREE = "Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Cm Bk Cf Es Fm Md No".split()
 
 
@@ -300,7 +350,8 @@ def uff_types(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     O with two neighbours, one of them Si, is ``O_3_z``. What the field has no type for is
     ``UNKNOWN``. The published type names are used.
     """
-    rings = cycles(bonds).select("frame", F.explode("atoms").alias("atom_index")).distinct().withColumn("in_ring", F.lit(True))
+    ends = ring_sizes(bonds)
+    rings = ends.select("frame", F.col("i").alias("atom_index")).union(ends.select("frame", "j")).distinct().withColumn("in_ring", F.lit(True))
     both = bonds.select("frame", F.col("i").alias("atom_index"), F.col("j").alias("other")).union(bonds.select("frame", "j", "i"))
     beside = both.join(atoms.select("frame", F.col("atom_index").alias("other"), "element"), ["frame", "other"])
     beside = beside.groupBy("frame", "atom_index").agg(*[F.sum((F.col("element") == e).cast("int")).alias(f"n_{e}") for e in ("B", "O", "Si")])
@@ -326,7 +377,7 @@ def uff_types(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
         "W": F.when(n == 6, "W_6+6").when(n == 4, "W_3+4").otherwise("W_3+6"),
         "Lr": F.lit("Lw6+3"),
         **{x: F.lit(f"{x}6+3") for x in _SIX_THREE},
-        **{x: F.lit(x + suffix) for x, suffix in _UFF_SUFFIX.items()},
+        **{x: F.lit(t) for x, t in (row.split() for row in _UFF_TYPE.split(","))},
     }
     kind = F.coalesce(*[F.when(e == x, t) for x, t in by_element.items()], F.lit("UNKNOWN"))
     return df.select("frame", "atom_index", kind.alias("uff"))

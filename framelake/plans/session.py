@@ -60,23 +60,27 @@ class Session:
         self.steps.append(transforms.wrap_atoms() if atomic else transforms.wrap_molecules())
         return self
 
-    def bonds(self) -> DataFrame:
-        """Bonds of every frame: each frame uses the topology of its anchor frame."""
+    def _topology(self) -> tuple[DataFrame, DataFrame]:
+        """(``frame, anchor``; ``frame, i, j(, length)`` of the bonds of the anchors): which topology each frame uses."""
         scan = self._scan()
         frames = scan.select("frame").distinct()
         if self.input_bonds is not None and self.settings.from_input and not self.settings.compute:
-            first = self.input_bonds.where("frame = 0").select("i", "j")
-            return frames.crossJoin(first)  # every frame has the input's bonds
+            return frames.withColumn("anchor", F.lit(0).cast("long")), self.input_bonds.where("frame = 0").select("frame", "i", "j")  # every frame has the input's bonds
         if not self.settings.compute:
-            return frames.select("frame", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")).where("1 = 0")
+            return frames.withColumn("anchor", F.col("frame")), frames.select("frame", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")).where("1 = 0")
         anchors = staged(topology.anchor_frames(frames, self.settings.update_frequency))
         at = scan.join(anchors.select(F.col("anchor").alias("frame")).distinct(), "frame", "left_semi")
-        found = topology.detect_bonds(at, self.settings).withColumnRenamed("frame", "anchor")
-        return anchors.join(found, "anchor").select("frame", "i", "j", "length")
+        return anchors, staged(topology.detect_bonds(at, self.settings))
+
+    def bonds(self) -> DataFrame:
+        """Bonds of every frame: each frame uses the topology of its anchor frame."""
+        anchors, found = self._topology()
+        return anchors.join(found.withColumnRenamed("frame", "anchor"), "anchor").drop("anchor")
 
     def molecules(self) -> tuple[DataFrame, DataFrame]:
-        """(``frame, atom_index, mol_index``; molecule types)."""
-        members = staged(topology.molecules(staged(self.bonds().select("frame", "i", "j")), self._scan()))
+        """(``frame, atom_index, mol_index``; molecule types); components are found on anchor frames only."""
+        anchors, found = self._topology()
+        members = staged(topology.molecules(found.select("frame", "i", "j"), self._scan(), anchors))
         return members, staged(topology.molecule_types(members, self._scan()))
 
     def atoms(self, with_molecules: bool = False) -> DataFrame:

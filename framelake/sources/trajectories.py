@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from framelake.functions.geometry import CELL_TYPE, Cell
+from framelake.operators.components import numbered
 from framelake.operators.transforms import slice_frames
 from framelake.runtime import batches_of, staged
 from framelake.sources import codecs, frame_index
@@ -257,16 +258,6 @@ BLOCK_ATOMS = 1 << 15  #: atoms encoded together, a multiple of eight
 _LAST = 1 << 60
 
 
-def _ranked(atoms: DataFrame) -> DataFrame:
-    """Atoms with their place in the order of their frame, by counts of ranges of atom indices."""
-    near = F.expr(f"atom_index div {BLOCK_ATOMS}").alias("_near")
-    sizes = atoms.groupBy("frame", near).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("frame").orderBy("_near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = sizes.select("frame", "_near", before.alias("_first"))
-    inner = F.row_number().over(Window.partitionBy("frame", "_near").orderBy("atom_index")) - 1
-    return atoms.withColumn("_near", near).join(firsts, ["frame", "_near"]).withColumn("rank", F.col("_first") + inner)
-
-
 def _binary_pieces(atoms: DataFrame, ext: str, parts: int) -> DataFrame:
     """``part, frame, a, b, body``: pieces of the files of all parts, in the order of the first four columns.
 
@@ -316,7 +307,7 @@ def _binary_pieces(atoms: DataFrame, ext: str, parts: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["part", "frame", "a", "b", "body"])
 
     schema = "part long, frame long, a int, b long, body binary"
-    blocks = _ranked(atoms.select("frame", "atom_index", "x", "y", "z")).join(frames.drop("h"), "frame")
+    blocks = numbered(atoms.select("frame", "atom_index", "x", "y", "z"), ["frame"], "atom_index", "rank", BLOCK_ATOMS).join(frames.drop("h"), "frame")
     made = blocks.groupBy("frame", F.expr(f"rank div {BLOCK_ATOMS}").alias("block")).applyInPandas(encode, schema)
     out = made.unionByName(frames.mapInPandas(around, schema))
     return out.unionByName(files.mapInPandas(opened, schema)) if ext == "dcd" else out
