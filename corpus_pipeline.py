@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
 Parquet in the shared folder and reads it again as the next stage's documents. All stages but the
-last return the columns of documents.
+last return the columns of documents. What a stage staged on its way goes once its result is written, and so does
+the result before it, so the shared folder holds one stage's data at a time and the result at the end.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import mixing, near_dedup, packing, quality_rules, toxicity
-from framelake.runtime import fresh, staged, table
+from framelake.runtime import discard, fresh, shared_dir, staged, swept, table
 
 WORDS_KEPT = 1 << 18  #: of the packing stage, which shares its executors with workers of the stages before
 
@@ -58,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = shared_dir(spark)
+        with swept(spark):
+            docs = staged(stage(spark, docs, sf_dir), path=path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

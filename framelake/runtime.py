@@ -40,9 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/framelake-{uuid.uuid4().hex}"
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="framelake-"))
+        base = _own[0]
+    return f"{_scopes[-1] if _scopes else base.rstrip('/')}/framelake-{uuid.uuid4().hex}"
+
+
+_own: list[str] = []  #: the temporary folder of tests, which set none
+_scopes: list[str] = []  #: folders that take what is staged, innermost last
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes when this is left; what is to stay is written to a folder that was named before."""
+    base = shared_dir(spark)
+    _scopes.append(base)
+    try:
+        yield
+    finally:
+        _scopes.remove(base)
+        discard(spark, base)
 
 
 def discard(spark: SparkSession, path: str) -> None:
