@@ -87,3 +87,18 @@ def test_columns_of_any_names_and_empty_tables(spark, tmp_path):
             assert all(tuple(r) == by_id[r.doc_id] for r in docs.collect())
         assert corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).where("start = 0").count() == docs.count()
         assert not given or docs.count()
+
+
+def test_run_leaves_its_result_only(spark, tmp_path):
+    """The shared folder holds the packed pieces at the end, and nothing that stages wrote on their way."""
+    import os
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(70)), "en", f"src{i % 3}", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    (left,) = set(os.listdir(shared)) - before
+    assert out.count() > 0 and all(left in f for f in out.inputFiles())
