@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake import workload
-from framelake.operators import aggregates, generate, grids, orientation, pairs, selection, spectral, topology, transforms
+from framelake.operators import aggregates, generate, grids, orientation, pairs, selection, spectral, topology, transforms, unwrap
 from framelake.operators.selection import select, select_entities
 from framelake.runtime import staged
 from framelake.sources import frame_index, grid_files, trajectories
@@ -170,6 +170,20 @@ def wrap_molecular(spark, d):
     return _rounded(transforms.pipeline(named, [transforms.translate(7, 7, 7), transforms.wrap_molecules()]).select("frame", "atom_index", "x", "y", "z"))
 
 
+# Images of all atoms of a molecule that bonds lead to from its least atom, up to two cells away; a second image of one atom makes it endless.
+_IMAGES = f"""{COMPONENTS}, mv AS (SELECT b.frame, b.i, b.j, {", ".join(f"CAST(-floor((q.{k} - p.{k}) / 10.0 + 0.5) AS INT) AS d{k}" for k in "xyz")} FROM bonds b JOIN atoms p ON p.frame = b.frame AND p.atom_index = b.i JOIN atoms q ON q.frame = b.frame AND q.atom_index = b.j),
+bm AS (SELECT * FROM mv UNION ALL SELECT frame, j, i, -dx, -dy, -dz FROM mv), im(frame, root, atom, sx, sy, sz) AS (SELECT DISTINCT frame, component, component, 0, 0, 0 FROM comp UNION
+  SELECT im.frame, im.root, bm.j, im.sx + bm.dx, im.sy + bm.dy, im.sz + bm.dz FROM im JOIN bm ON bm.frame = im.frame AND bm.i = im.atom WHERE greatest(abs(im.sx + bm.dx), abs(im.sy + bm.dy), abs(im.sz + bm.dz)) <= 2),
+endless AS (SELECT frame, root, count(*) <> count(DISTINCT atom) AS infinite FROM im GROUP BY ALL),
+whole AS (SELECT a.frame, a.atom_index, a.mass, a.type, e.infinite, {", ".join(f"a.{k} + CASE WHEN e.infinite THEN 0 ELSE 10.0 * im.s{k} END AS {k}" for k in "xyz")} FROM atoms a JOIN im ON im.frame = a.frame AND im.atom = a.atom_index JOIN endless e ON e.frame = im.frame AND e.root = im.root WHERE NOT e.infinite OR (im.sx, im.sy, im.sz) = (0, 0, 0))"""
+
+
+@register(f"WITH RECURSIVE {_IMAGES} SELECT DISTINCT frame, atom_index, {POSITIONS}, infinite FROM whole")
+def whole_molecules(spark, d):
+    made = unwrap.whole_molecules(workload.atoms(spark, d), _staged_bonds(spark, d))
+    return _rounded(made.select("frame", "atom_index", "x", "y", "z", "infinite"))
+
+
 # --- pairs and radial distributions --------------------------------------------------------------
 
 

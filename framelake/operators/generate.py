@@ -160,9 +160,13 @@ def slab(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float =
     return df.drop("_t0", "_t1", "_t2")
 
 
-def slab_of_molecules(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float = 1.0, shift: float = 0.0) -> DataFrame:
-    """As ``slab``, of whole molecules: what lies inside is decided by the centroid of the atoms, made whole beside its first atom."""
-    points = _whole_molecules(atoms, cell)
+def slab_of_molecules(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], depth: float = 1.0, shift: float = 0.0, whole: bool = False) -> DataFrame:
+    """As ``slab``, of whole molecules: what lies inside is decided by the centroid of the atoms.
+
+    ``whole``: the molecules of the first frame are whole already (``unwrap``); else each atom is taken at its
+    image nearest to the first of its molecule, which is right for molecules up to half of the cell.
+    """
+    points = _whole_molecules(atoms, cell, whole)
     centres = slab(points.groupBy("frame", "mol_index").agg(*[F.avg(k).alias(k) for k in "xyz"]), cell, hkl, depth, shift)
     centres = centres.select("frame", "mol_index", *[F.col(k).alias(f"{k}_to") for k in "xyz"])
     each = points.join(points.groupBy("frame", "mol_index").agg(*[F.avg(k).alias(f"{k}_from") for k in "xyz"]), ["frame", "mol_index"])
@@ -171,9 +175,11 @@ def slab_of_molecules(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], d
     return out.withColumns(slab_coordinates(cell, hkl, shift))
 
 
-def _whole_molecules(atoms: DataFrame, cell: Cell) -> DataFrame:
-    """Atoms of the first frame, each at its image nearest to the first atom of its molecule."""
+def _whole_molecules(atoms: DataFrame, cell: Cell, whole: bool = False) -> DataFrame:
+    """Atoms of the first frame, each at its image nearest to the first atom of its molecule unless they are ``whole``."""
     first = atoms.where(F.col("frame") == F.lit(atoms.agg(F.min("frame")).first()[0])).drop("cell")
+    if whole:
+        return first
     heads = first.groupBy("frame", "mol_index").agg(F.min_by(F.struct("x", "y", "z"), "atom_index").alias("_head"))
     both = first.join(heads, ["frame", "mol_index"])
     head = tuple(F.col(f"_head.{k}") for k in "xyz")
@@ -224,7 +230,7 @@ def with_copies(atoms: DataFrame, template: Sequence[tuple[str, float, float, fl
     return atoms.unionByName(made.select(*[c for c in made.columns if c in atoms.columns]), allowMissingColumns=True)
 
 
-def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap: float = 0.1, molecules: bool = False) -> list[float]:
+def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap: float = 0.1, molecules: bool = False, whole: bool = False) -> list[float]:
     """Shifts (in plane spacings) in the middle of every gap between atomic layers of one spacing.
 
     Layers are gathered as the least and greatest depth of bins no wider than half a gap, so a gap
@@ -235,7 +241,7 @@ def possible_cuts(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], gap:
     _, spacing = surface_basis(cell, hkl)
     bins = math.ceil(2 * spacing / gap)
     if molecules:  # a cut between molecules: their centroids are the layers
-        atoms = _whole_molecules(atoms, cell).groupBy("frame", "mol_index").agg(*[F.avg(k).alias(k) for k in "xyz"])
+        atoms = _whole_molecules(atoms, cell, whole).groupBy("frame", "mol_index").agg(*[F.avg(k).alias(k) for k in "xyz"])
     rows = slab(atoms, cell, hkl).select(F.round(F.pmod("depth", F.lit(1.0)), 6).alias("d"))
     layers = sorted((r[1], r[2]) for r in rows.groupBy(F.floor(F.col("d") * bins)).agg(F.min("d"), F.max("d")).collect())
     ends = [low for low, _ in layers[1:]] + [layers[0][0] + 1.0] if layers else []

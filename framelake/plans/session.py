@@ -7,14 +7,14 @@ Topology is always that of the scanned coordinates. ``info`` and ``surface`` loo
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.elements import element_of, mass_of, radius_of
 from framelake.functions.geometry import Cell
-from framelake.operators import aggregates, generate, grids, orientation, topology, transforms
+from framelake.operators import aggregates, generate, grids, orientation, topology, transforms, unwrap
 from framelake.operators.selection import compile_selection, select, select_entities
 from framelake.runtime import staged
 from framelake.sources import trajectories
@@ -160,11 +160,13 @@ class Session:
             raise ValueError("surface needs a cell")
         cell = Cell(tuple(held[0]))
         if not atomic:
-            first = staged(first.drop("mol_index").join(self.molecules()[0], ["frame", "atom_index"]))
-        shifts = generate.possible_cuts(first, cell, hkl, molecules=not atomic) if shift is None else [shift]
+            bonds = self.bonds().join(first.select("frame").distinct(), "frame", "left_semi")
+            named = first.drop("mol_index").join(self.molecules()[0], ["frame", "atom_index"])
+            first = staged(unwrap.whole_molecules(named, bonds).drop("infinite"))
+        shifts = generate.possible_cuts(first, cell, hkl, molecules=not atomic, whole=True) if shift is None else [shift]
         if not shifts:
             raise ValueError("no gap between layers to cut at")
-        cut = generate.slab if atomic else generate.slab_of_molecules
+        cut = generate.slab if atomic else partial(generate.slab_of_molecules, whole=True)
         slabs = [generate.stood_up(cut(first, cell, hkl, depth, s), cell, hkl, depth, direction).withColumn("frame", F.lit(n).cast("long")) for n, s in enumerate(shifts)]
         out = reduce(DataFrame.unionByName, slabs)
         part = Window.partitionBy("frame").orderBy("atom_index", "depth", "fa", "fb")  # one slab: a crystal's cell in a few layers
