@@ -210,7 +210,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
     zero, done, reached, n_reached, latest, scan, state = F.lit(0).cast("long"), [], [], 0, -1, 0, None
     by_scan = [f"n{i}" for i in range(shards)]  # counts of the scans of one round, each in the place of its shard
     tables: list[np.ndarray | None] = [None] * (LONGEST - 1)
-    with batches_of(spark, 4):
+    with batches_of(spark, 10_000):
         while scan < shards or latest >= scan - shards:
             new, here = [], f"n{scan % shards}"
             if scan < shards:
@@ -222,7 +222,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
                 if state is not None:  # what the same shard gave a round ago no longer counts
                     parts.append(state.where(F.col("until") >= scan).select("len", *WORDS, "until", *[(zero if c == here else F.col(c)).alias(c) for c in by_scan]))
                 summed = _union(parts).groupBy("len", *WORDS).agg(F.max("until").alias("until"), *[F.sum(c).alias(c) for c in by_scan])
-                state = scratch.staged(summed.where((F.col("until") > scan) | (sum(F.col(c) for c in by_scan) >= support)), slot="state")
+                with batches_of(spark, 1):  # a row is a chunk
+                    state = scratch.staged(summed.where((F.col("until") > scan) | (sum(F.col(c) for c in by_scan) >= support)), slot="state")
                 frequent = scratch.staged(_active(state, _union(reached), n_reached, scan, shards, support))
                 done.append(frequent.where(F.col("since") == scan - shards + 1).select("len", *WORDS, "n"))
                 new.append(frequent.where((F.col("before") < support) & (F.col("len") < LONGEST)).select("len", *WORDS[:-1]))
