@@ -178,6 +178,25 @@ endless AS (SELECT frame, root, count(*) <> count(DISTINCT atom) AS infinite FRO
 whole AS (SELECT a.frame, a.atom_index, a.mass, a.type, e.infinite, {", ".join(f"a.{k} + CASE WHEN e.infinite THEN 0 ELSE 10.0 * im.s{k} END AS {k}" for k in "xyz")} FROM atoms a JOIN im ON im.frame = a.frame AND im.atom = a.atom_index JOIN endless e ON e.frame = im.frame AND e.root = im.root WHERE NOT e.infinite OR (im.sx, im.sy, im.sz) = (0, 0, 0))"""
 
 
+_MOMENTS = f"""{_IMAGES}, wm AS (SELECT w.frame, m.mol_index, w.mass AS m, w.x, w.y, w.z FROM (SELECT DISTINCT frame, atom_index, mass, x, y, z FROM whole) w JOIN members m USING (frame, atom_index)),
+cm AS (SELECT frame, mol_index, count(*) AS n_atoms, sum(m) AS mass, sum(m * x) / sum(m) AS cx, sum(m * y) / sum(m) AS cy, sum(m * z) / sum(m) AS cz FROM wm GROUP BY ALL),
+mm AS (SELECT frame, mol_index, n_atoms, mass, {", ".join(f"sum(m * ({p} - c{p}) * ({q} - c{q})) AS {p + q}" for p, q in ("xx", "yy", "zz", "xy", "xz", "yz"))} FROM wm JOIN cm USING (frame, mol_index) GROUP BY ALL)"""
+
+
+@register(
+    f"WITH RECURSIVE {_MOMENTS}, s AS (SELECT *, xx + yy + zz AS tr, (yy + zz) * (xx + zz) + (yy + zz) * (xx + yy) + (xx + zz) * (xx + yy) - xy * xy - xz * xz - yz * yz AS minors, "
+    "(yy + zz) * ((xx + zz) * (xx + yy) - yz * yz) - xy * (xy * (xx + yy) + yz * xz) - xz * (xy * yz + (xx + zz) * xz) AS det FROM mm) "
+    "SELECT frame, mol_index, n_atoms, mass, round(2 * tr, 4) AS trace, round(minors, 3) AS minors, round(det, 2) AS det FROM s"
+)
+def inertia_invariants(spark, d):
+    """Principal moments by the three invariants that they have in common with the tensor: sum, sum of products, product."""
+    a, b = workload.atoms(spark, d), _staged_bonds(spark, d)
+    named = unwrap.whole_molecules(a, b).join(staged(topology.molecules(b, a)), ["frame", "atom_index"])
+    m = aggregates.molecule_moments(named)
+    i, j, k = (F.col(f"i_{n}") for n in (1, 2, 3))
+    return m.select("frame", "mol_index", "n_atoms", "mass", F.round(i + j + k, 4).alias("trace"), F.round(i * j + i * k + j * k, 3).alias("minors"), F.round(i * j * k, 2).alias("det"))
+
+
 @register(f"WITH RECURSIVE {_IMAGES} SELECT DISTINCT frame, atom_index, {POSITIONS}, infinite FROM whole")
 def whole_molecules(spark, d):
     made = unwrap.whole_molecules(workload.atoms(spark, d), _staged_bonds(spark, d))
@@ -666,6 +685,22 @@ def perm_distance(spark, d):
     return _rounded(orientation.permuted_distances(whole, _references(spark, d)), 5)
 
 
+_SIX = QUAT.replace("// 3", "// 6").replace("% 3", "% 6")
+_STEPS = ["f0 AS (SELECT frame, ref, 1 << rs AS mask, v FROM m WHERE slot = 0)"] + [f"f{k} AS (SELECT frame, ref, mask | (1 << rs) AS mask, min(f.v + m.v) AS v FROM f{k - 1} f JOIN m USING (frame, ref) WHERE m.slot = {k} AND (mask >> rs) & 1 = 0 GROUP BY ALL)" for k in range(1, 6)]
+
+
+@register(
+    f"WITH {_SIX}, whole_frames AS (SELECT frame FROM qs GROUP BY frame HAVING count(*) = 6), m AS MATERIALIZED (SELECT q.frame, r.ref, q.slot, r.slot AS rs, ({_c3_angle('q', 'r')}) ** 2 AS v FROM qs q SEMI JOIN whole_frames USING (frame), refs r), "
+    + ", ".join(_STEPS) + " SELECT frame, ref, round(sqrt(v / 6), 5) AS distance FROM f5"
+)
+def assignment_distance(spark, d):
+    """States of six slots: the least distance over all orders, by assignment."""
+    q = workload.quaternions(spark, d, 6)
+    whole = q.join(q.groupBy("frame").count().where("count = 6").select("frame"), "frame", "left_semi")
+    refs = q.where("frame < 3").select(F.col("frame").cast("int").alias("ref"), "slot", "w", "x", "y", "z")
+    return _rounded(orientation.permuted_distances(whole, refs), 5)
+
+
 @register(
     f"WITH {QUAT}, ff AS (SELECT frame FROM qs GROUP BY frame HAVING count(*) = 3), q AS (SELECT * FROM qs SEMI JOIN ff USING (frame)), dd AS (SELECT frame, ref, sqrt(avg(({_ANGLE}) ** 2)) AS distance FROM q JOIN refs USING (slot) GROUP BY ALL), "
     "b AS (SELECT frame, min(struct_pack(d := distance, r := ref)) AS b FROM dd GROUP BY ALL), "

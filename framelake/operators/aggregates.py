@@ -103,6 +103,50 @@ def free_energies(mass: Column, inertia: tuple[Column, Column, Column], temperat
     return F.log(q_t) * scale, F.log(q_r) * scale
 
 
+def principal_moments(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric matrix, least first, in closed form (the angle of its scaled deviator)."""
+    third = (xx + yy + zz) / 3
+    a, b, c = xx - third, yy - third, zz - third
+    size = F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(size > 0, det / (2 * size * size * size)).otherwise(0.0)))) / 3
+    most, least = third + 2 * size * F.cos(turn), third + 2 * size * F.cos(turn + 2 * math.pi / 3)
+    return least, 3 * third - most - least, most
+
+
+def molecule_moments(atoms: DataFrame) -> DataFrame:
+    """``frame, mol_index, n_atoms, mass, i_1, i_2, i_3``: principal moments of inertia about the centre of mass, least first.
+
+    In dalton times square angstrom, of molecules that are whole (``unwrap``). A single atom has zeros, a
+    linear molecule a least moment of zero up to rounding, which is set to zero.
+    """
+    centres = atoms.groupBy("frame", "mol_index").agg(F.sum("mass").alias("mass"), F.count("*").alias("n_atoms"), *[(F.sum(F.col("mass") * F.col(k)) / F.sum("mass")).alias(f"{k}_c") for k in "xyz"])
+    d = {k: F.col(k) - F.col(f"{k}_c") for k in "xyz"}
+    each = atoms.select("frame", "mol_index", F.col("mass").alias("m"), "x", "y", "z").join(centres, ["frame", "mol_index"])
+    products = {p + q: F.sum(F.col("m") * d[p] * d[q]).alias(p + q) for p, q in ("xx", "yy", "zz", "xy", "xz", "yz")}
+    sums = each.groupBy("frame", "mol_index").agg(F.first("n_atoms").alias("n_atoms"), F.first("mass").alias("mass"), *products.values())
+    s = {n: F.col(n) for n in products}
+    moments = principal_moments(s["yy"] + s["zz"], s["xx"] + s["zz"], s["xx"] + s["yy"], -s["xy"], -s["xz"], -s["yz"])
+    out = sums.select("frame", "mol_index", "n_atoms", "mass", *[m.alias(f"i_{n}") for n, m in enumerate(moments, 1)])
+    flat = (F.col("n_atoms") < 3) | (F.col("i_1") < 1e-6 * F.col("i_3"))
+    return out.withColumns({"i_1": F.when(flat, 0.0).otherwise(F.col("i_1")), "i_2": F.when(F.col("n_atoms") < 2, 0.0).otherwise(F.col("i_2")), "i_3": F.when(F.col("n_atoms") < 2, 0.0).otherwise(F.col("i_3"))})
+
+
+def molecule_energies(kinds: DataFrame, moments: DataFrame, temperature: float = 300.0, pressure: float = 101325.0) -> DataFrame:
+    """``frame, mol_type, representative, mass, i_1, i_2, i_3, translational, rotational``: free energies in kJ/mol by molecule type.
+
+    They are those of the type's last molecule in the frame. A linear molecule turns about two axes, a
+    single atom about none (0).
+    """
+    rows = kinds.join(moments.drop("n_atoms"), ["frame", "mol_index"])
+    last = rows.groupBy("frame", "mol_type").agg(F.max(F.struct("mol_index", "n_atoms", "mass", "i_1", "i_2", "i_3")).alias("r")).select("frame", "mol_type", F.col("r.mol_index").alias("representative"), "r.n_atoms", "r.mass", "r.i_1", "r.i_2", "r.i_3")
+    translation, rotation = free_energies(F.col("mass"), tuple(F.col(f"i_{n}") for n in (1, 2, 3)), temperature, pressure)
+    k, h, n, u = 1.380649e-23, 6.62607015e-34, 6.02214076e23, 1.66053907e-27
+    linear = F.log(8 * math.pi**2 * k * temperature / h**2 * u * 1e-20 * F.col("i_3")) * (-k * temperature * n / 1000)
+    turning = F.when(F.col("n_atoms") == 1, 0.0).when(F.col("i_1") == 0, linear).otherwise(rotation)
+    return last.select("frame", "mol_type", "representative", "mass", "i_1", "i_2", "i_3", translation.alias("translational"), turning.alias("rotational"))
+
+
 def dipoles(atoms: DataFrame, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """``keys, mx, my, mz, charge`` and, with a cell, the projections on its unit vectors."""
     sums = [F.sum(F.col("charge") * F.col(k)).alias(f"m{k}") for k in "xyz"]

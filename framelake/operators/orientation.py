@@ -97,25 +97,59 @@ def permuted_distances(states: DataFrame, references: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def assigned(matrices: pd.Series) -> pd.Series:
-        return pd.Series([math.sqrt(least_assignment(np.asarray(x).reshape(n, n)) / n) for x in matrices])
+        out = np.empty(len(matrices))
+        for lo in range(0, len(out), 1000):
+            costs = np.stack([np.asarray(x, float).reshape(n, n) for x in matrices.iloc[lo : lo + 1000]])
+            out[lo : lo + 1000] = np.sqrt(least_assignments(costs)[0] / n)
+        return pd.Series(out)
 
     return m.select("frame", "ref", assigned("m").alias("distance"))
 
 
-def least_assignment(cost: np.ndarray) -> float:
-    """Least sum of one entry per row and column, by dynamic programming over the columns taken."""
-    n = len(cost)
-    best = {0: 0.0}
-    for i in range(n):
-        after: dict[int, float] = {}
-        for taken, value in best.items():
-            for j in range(n):
-                if not taken >> j & 1:
-                    key, v = taken | 1 << j, value + cost[i, j]
-                    if v < after.get(key, math.inf):
-                        after[key] = v
-        best = after
-    return best[(1 << n) - 1]
+def least_assignments(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least sums of one entry per row and column, the column of each row) of many square matrices at once.
+
+    Rows are taken in turn; the shortest augmenting path to a free column is found under reduced costs, which
+    stay non-negative. So a matrix takes n**3 steps, and each step runs over all matrices side by side.
+    """
+    many, n, _ = costs.shape
+    every = np.arange(many)
+    row_price, column_price = np.zeros((many, n + 1)), np.zeros((many, n + 1))
+    row_of = np.full((many, n + 1), n)  # of each column; n: free. The last column stands for the row to place
+    for row in range(n):
+        row_of[:, n] = row
+        at, nearest = np.full(many, n), np.full((many, n), np.inf)
+        before, taken = np.full((many, n), n), np.zeros((many, n + 1), bool)
+        busy = np.ones(many, bool)
+        while busy.any():
+            b = every[busy]
+            taken[b, at[b]] = True
+            own = row_of[b, at[b]]
+            reduced = costs[b, own] - row_price[b, own][:, None] - column_price[b, :n]
+            shorter = (reduced < nearest[b]) & ~taken[b, :n]
+            nearest[b] = np.where(shorter, reduced, nearest[b])
+            before[b] = np.where(shorter, at[b][:, None], before[b])
+            open_ = np.where(taken[b, :n], np.inf, nearest[b])
+            to = open_.argmin(1)
+            step = open_[np.arange(len(b)), to]
+            raised = np.zeros((len(b), n + 1))
+            np.put_along_axis(raised, row_of[b], np.where(taken[b], step[:, None], 0.0), 1)
+            raised[:, n] = 0.0
+            row_price[b] += raised
+            column_price[b] -= np.where(taken[b], step[:, None], 0.0)
+            nearest[b] -= np.where(taken[b, :n], 0.0, step[:, None])
+            at[b] = to
+            busy[b] = row_of[b, to] < n
+        back = np.ones(many, bool)
+        while back.any():
+            b = every[back]
+            come = before[b, at[b]]
+            row_of[b, at[b]] = row_of[b, come]
+            at[b] = come
+            back[b] = come < n
+    column = np.empty((many, n), np.int64)
+    np.put_along_axis(column, row_of[:, :n], np.broadcast_to(np.arange(n), (many, n)), 1)
+    return np.take_along_axis(costs, column[:, :, None], 2)[:, :, 0].sum(1), column
 
 
 def initial_centroids(states: DataFrame, k: int) -> DataFrame:

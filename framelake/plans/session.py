@@ -133,10 +133,11 @@ class Session:
         return orientation.canonical_c3(q) if c3 else q
 
     def info(self) -> dict[str, DataFrame]:
-        """Reports on the scan itself: composition, densities, cell, topology, molecule types."""
+        """Reports on the scan itself: composition, densities, cell, topology, molecule types and their free energies."""
         scan, bonds = self._scan(), staged(self.bonds().select("frame", "i", "j"))
         members, kinds = self.molecules()
         cells = scan.groupBy("frame").agg(F.first("cell").alias("cell"))
+        whole = unwrap.whole_molecules(scan, bonds)
         return {
             "composition": aggregates.composition(scan),
             "density": aggregates.densities(scan),
@@ -144,6 +145,7 @@ class Session:
             "cell_geometry": aggregates.cell_geometry(cells.where("cell is not null")),
             "topology": topology.counts(scan, bonds),
             "molecules": aggregates.molecule_report(kinds, members, scan),
+            "energies": aggregates.molecule_energies(kinds, aggregates.molecule_moments(whole.drop("mol_index").join(members, ["frame", "atom_index"]))),
         }
 
     def solvate(self, template: Sequence[tuple[str, float, float, float]], box: Sequence[float], **options) -> Session:

@@ -1,3 +1,5 @@
+import itertools
+
 import math
 
 import numpy as np
@@ -51,9 +53,8 @@ def test_cuts_between_many_layers(spark):
 
 def test_assignment():
     cost = np.random.default_rng(0).random((5, 5))
-    import itertools
 
-    assert orientation.least_assignment(cost) == pytest.approx(min(sum(cost[i, p[i]] for i in range(5)) for p in itertools.permutations(range(5))))
+    assert orientation.least_assignments(cost[None])[0][0] == pytest.approx(min(sum(cost[i, p[i]] for i in range(5)) for p in itertools.permutations(range(5))))
 
 
 def test_carbonate_frame(spark):
@@ -92,3 +93,27 @@ def test_k_means_query_is_stable(spark, monkeypatch):
     assert assigned.count() > 600 and assigned.join(again, ["frame", "state"], "left_anti").count() == 0
     with pytest.raises(RuntimeError):
         k_means(states, 3, 2)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 7])
+def test_assignments_equal_the_best_order(n):
+    rng = np.random.default_rng(n)
+    costs = np.concatenate([rng.normal(size=(30, n, n)), rng.integers(0, 3, (30, n, n))])
+    got, column = orientation.least_assignments(costs)
+    orders = list(itertools.permutations(range(n)))
+    for cost, value, c in zip(costs, got, column):
+        assert sorted(c) == list(range(n)) and value == pytest.approx(min(sum(cost[i, p[i]] for i in range(n)) for p in orders))
+
+
+def test_many_slots():
+    """At forty slots a hidden order is found, and no exchange of two or three columns betters a random matrix."""
+    rng = np.random.default_rng(1)
+    hidden = rng.permutation(40)
+    easy, hard = rng.uniform(1, 2, (40, 40)), rng.uniform(0, 1, (40, 40))
+    easy[np.arange(40), hidden] = 0.5
+    value, column = orientation.least_assignments(np.stack([easy, hard]))
+    assert column[0].tolist() == hidden.tolist() and value[0] == pytest.approx(20.0)
+    c = column[1]
+    for i, j, k in itertools.combinations(range(40), 3):
+        for p in itertools.permutations((i, j, k)):
+            assert hard[[i, j, k], c[[i, j, k]]].sum() <= hard[[i, j, k], c[list(p)]].sum() + 1e-12
