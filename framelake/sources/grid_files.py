@@ -11,13 +11,14 @@ from framelake.operators.grids import GridHeader
 def read_dx(spark: SparkSession, path: str) -> tuple[GridHeader, DataFrame]:
     """(header, ``ia, ib, ic, value``) of a DX file.
 
-    The few header lines come to the driver; values stay distributed. A value's place follows from
-    its line's place and its place in the line; fewer values than announced are an error.
+    The few header lines come to the driver; values stay distributed, and a large file is read by many
+    tasks. A value's place follows from the byte its split begins at, its line's place in the split, and its
+    place in the line; fewer values than announced are an error.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    words = lines.withColumn("word", F.split(F.trim("line"), r"\s+"))
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("byte")).alias("b"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    words = lines.withColumns({"word": F.split(F.trim("line"), r"\s+"), "at": F.struct("b", "row")})
     header = words.where(F.col("line").rlike(r"^\s*(object|origin|delta)")).orderBy("at").select("at", "word").limit(10).collect()
-    counts, origin, steps, items, start = None, None, [], 0, -1
+    counts, origin, steps, items, start = None, None, [], 0, None
     for at, w in header:
         if w[0] == "object" and "gridpositions" in w:
             counts = tuple(int(x) for x in w[-3:])
@@ -27,14 +28,15 @@ def read_dx(spark: SparkSession, path: str) -> tuple[GridHeader, DataFrame]:
             steps.append(tuple(float(x) for x in w[1:4]))
         elif w[0] == "object" and "items" in w:
             items, start = int(w[w.index("items") + 1]), at
-    if not counts or not origin or len(steps) != 3 or start < 0:
+    if not counts or not origin or len(steps) != 3 or start is None:
         raise ValueError(f"{path!r} has no grid header")
-    numbers = words.where((F.col("at") > start) & F.col("line").rlike(r"^\s*[-+.0-9]")).select("at", "word")
-    # a line's first value: counted in blocks of lines, so that no task sees all lines
-    sizes = numbers.select("at", F.size("word").alias("n"), F.floor(F.col("at") / 1000).alias("b"), "word")
+    behind = F.struct(F.struct(F.lit(start["b"]["file"]).alias("file"), F.lit(start["b"]["byte"]).alias("byte")).alias("b"), F.lit(start["row"]).alias("row"))
+    numbers = words.where((F.col("at") > behind) & F.col("line").rlike(r"^\s*[-+.0-9]"))
+    # a line's first value: values are summed by split, and then within it, so that no task sees all lines
+    sizes = numbers.select("b", "row", F.size("word").alias("n"), "word")
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = sizes.groupBy("b").agg(F.sum("n").alias("t")).select("b", before("t", Window.orderBy("b")).alias("first"))
-    placed = sizes.withColumn("inner", before("n", Window.partitionBy("b").orderBy("at"))).join(F.broadcast(blocks), "b")
+    placed = sizes.withColumn("inner", before("n", Window.partitionBy("b").orderBy("row"))).join(F.broadcast(blocks), "b")  # a row a split
     values = placed.select((F.col("first") + F.col("inner")).alias("base"), F.posexplode("word").alias("k", "v"))
     na, nb, nc = counts
     grid = values.where(F.col("base") + F.col("k") < items).select((F.col("base") + F.col("k")).alias("i"), F.col("v").cast("double").alias("value"))

@@ -64,6 +64,30 @@ def test_dx_round_trip(spark, tmp_path):
     assert grid.where("value <> ia * 100 + ib * 10 + ic").count() == 0 and grid.count() == 60
 
 
+def test_dx_by_many_tasks(spark, tmp_path):
+    """A file of many splits, with comments and uneven lines, gives its values in order."""
+    values = [i * 0.25 for i in range(6 * 7 * 8)]
+    lines, at = ["# a grid"], 0
+    lines += grid_files.header_lines(grids.GridHeader((6, 7, 8), (0.0, 0.0, 0.0), ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))))
+    while at < len(values):
+        n = 1 + at % 4
+        lines.append("  ".join(map(str, values[at : at + n])))
+        at += n
+    (tmp_path / "g.dx").write_text("\n".join([*lines, 'attribute "dep" string "positions"', ""]))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    try:
+        _, grid = grid_files.read_dx(spark, f"file://{tmp_path}/g.dx")
+        assert spark.read.text(f"file://{tmp_path}/g.dx").rdd.getNumPartitions() >= 4
+        assert [r.value for r in grid.orderBy("ia", "ib", "ic").collect()] == values
+    finally:
+        spark.conf.set(name, before)
+    (tmp_path / "few.dx").write_text("\n".join(lines[:-3]))
+    with pytest.raises(ValueError, match="fewer"):
+        grid_files.read_dx(spark, f"file://{tmp_path}/few.dx")
+
+
 def test_averages(spark):
     g = grids.grid_points(spark, (2, 3, 4)).withColumn("value", F.col("ic").cast("double"))
     assert {r.ic: r.value for r in grids.average(g, "ab").collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
