@@ -6,7 +6,7 @@ import pytest
 from framelake import catalogue
 
 DATA = "/root/testdata/sf0.001"
-FEW = ["slice_frames", "sel_bool_position", "sel_static_membership", "rotate_origin", "pairs_cross", "rdf", "bonds_criteria", "moltypes", "topo_epoch", "transitions", "quality", "polarisation_grid", "grid_rebin_x", "perm_distance", "io_dx"]
+FEW = ["slice_frames", "ring_sizes", "ewald_total", "assignment_distance", "sel_bool_position", "sel_static_membership", "rotate_origin", "pairs_cross", "rdf", "bonds_criteria", "moltypes", "topo_epoch", "transitions", "quality", "polarisation_grid", "grid_rebin_x", "perm_distance", "io_dx"]
 
 
 def rows_of(df):
