@@ -112,6 +112,8 @@ def least_assignments(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Rows are taken in turn; the shortest augmenting path to a free column is found under reduced costs, which
     stay non-negative. So a matrix takes n**3 steps, and each step runs over all matrices side by side.
     """
+    if not np.isfinite(costs).all():
+        raise ValueError("a matrix of costs has entries that are no finite numbers")
     many, n, _ = costs.shape
     every = np.arange(many)
     row_price, column_price = np.zeros((many, n + 1)), np.zeros((many, n + 1))
