@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.llm import oracles, topk_search, url_filters
+from framelake.runtime import Scratch
 
 
 @pytest.mark.parametrize("spread", [4, 3000])
@@ -23,6 +24,39 @@ def test_top_k(spark, spread):
         assert [found[k + 1] for k in range(7)] == [(i, score[q, i]) for i in order]
 
 
+def test_regions_and_stripes(spark, monkeypatch):
+    """Far apart crowds, more queries than rows of a region, ids that repeat, mixed lengths."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (600, 6)) + 100 * np.eye(6, dtype=int)[np.arange(600) % 6]
+    v[::7] = v[0]
+    rows = [(i // 2 if i > 500 else i, x.tolist()) for i, x in enumerate(v)] + [(1000, [5]), (1001, [-5]), (1002, []), (1003, [])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    monkeypatch.setattr(topk_search, "ROW_STRIPE", 2)
+    with Scratch(spark) as scratch:
+        index = topk_search.build_index(df, scratch, 32)
+        blocks = index.blocks.collect()
+        assert sum(len(b.ids) // 8 for b in blocks) == len(rows) and len(blocks) > 15
+        got = {}
+        for r in topk_search.search(index, df.where("id < 200 or id >= 1000").distinct(), scratch, 5, 16).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    ids = np.array([r[0] for r in rows[:600]])
+    score = v @ v.T
+    for q in range(200):
+        order = [i for i in np.lexsort((ids, -score[q])) if ids[i] != q][:5]
+        assert [got[q][n + 1] for n in range(5)] == [(ids[i], score[q, i]) for i in order]
+    assert got[1000] == {1: (1001, -25)} and got[1001] == {1: (1000, -25)} and got[1002] == {1: (1003, 0)}
+
+
+def test_slices_give_scores():
+    rng = np.random.default_rng(5)
+    for low, high in ((0, 1), (-64, 64), (7, 7), (-(1 << 40), 1 << 40)):
+        v, w = rng.integers(low, high + 1, (130, 5)), rng.integers(-9, 10, 5)
+        slices = topk_search.BitSlices.of(np.arange(130)[::-1].copy(), v)
+        at, score = slices.best(w, 9, None)
+        assert len(at) == 9 and score.tolist() == (v[129 - slices.ids[at]] @ w).tolist()
+        assert sorted(score.tolist()) == sorted((v @ w).tolist())[-9:]
+
+
 def test_few_rows_and_odd_vectors(spark):
     rows = [(0, [0.5, -0.26]), (1, [0.01, 0.02]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (20, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, e array<float>").select("id", topk_search.quantised(F.col("e")).alias("v"))
