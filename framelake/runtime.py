@@ -7,12 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of one key from which it is joined apart.
+HOT_ROWS = 50_000
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -116,6 +119,28 @@ def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "le
     return big.join(F.broadcast(lookup) if n <= most else lookup, on, how)
 
 
+def join_hot(big: DataFrame, lookup: DataFrame, on: list[str], least: int = HOT_ROWS) -> DataFrame:
+    """Left join of a lookup with unique keys and narrow rows, where some keys may hold a large part of ``big``.
+
+    Keys with more than ``least`` rows of ``big``, of which there can be at most half of
+    ``BROADCAST_ROWS`` as ``least`` grows with the table, meet their row of the lookup without a
+    shuffle; all other rows meet it by one. Null keys find nothing. ``big`` should be staged or cheap,
+    as it is counted.
+    """
+    least = max(least, big.count() // (BROADCAST_ROWS // 2))
+    (n,) = fresh(big.join(lookup, on), "n")
+    keys = big.groupBy(*on).agg(F.count("*").alias(n)).where(F.col(n) > least).select(*on)
+    rest = [c for c in lookup.columns if c not in on]
+    hot = staged(keys.join(lookup, on, "left").select(*on, *rest))
+    if not hot.limit(1).count():
+        return big.join(lookup, on, "left")
+    same = reduce(lambda x, y: x & y, [F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in on])
+    own = [c for c in big.columns if c not in on]
+    met = big.alias("b").join(F.broadcast(hot).alias("h"), same).select(*[f"b.{c}" for c in on + own], *[f"h.{c}" for c in rest])
+    others = big.alias("b").join(F.broadcast(hot.select(*on)).alias("h"), same, "left_anti").join(lookup, on, "left")
+    return others.select(*on, *own, *rest).unionByName(met)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand at most so many rows at a time to Python from now on, as one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

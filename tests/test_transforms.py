@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from framelake import runtime
 from framelake.functions.geometry import Cell
 from framelake.operators import transforms as t
 
@@ -51,3 +52,13 @@ def test_slices(spark):
 
 def test_no_shift_is_no_step(one):
     assert one.transform(t.translate(0, 0, 0)) is one
+
+
+def test_hot_keys_are_joined_apart(spark):
+    big = spark.createDataFrame([(i % 3 if i < 90 else 7, None if i % 11 == 0 else "a", i) for i in range(100)], "k int, t string, v int")
+    lookup = spark.createDataFrame([(0, "a", "zero"), (7, "a", "seven"), (2, "a", None), (9, None, "nine")], "k int, t string, name string")
+    plain = sorted(big.join(lookup, ["k", "t"], "left").select("k", "t", "v", "name").collect(), key=lambda r: r.v)
+    for least in (2, 9, 20, 1000):
+        out = runtime.join_hot(big, lookup, ["k", "t"], least)
+        assert out.columns == ["k", "t", "v", "name"] and sorted(out.collect(), key=lambda r: r.v) == plain
+    assert runtime.join_hot(big.limit(0), lookup, ["k", "t"]).count() == 0
