@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import collocations, merkle, mixing, near_dedup, oracles, packing, quality_rules, sharding, token_counts, topk_search, toxicity, url_filters, warc, wavelet
-from framelake.runtime import Scratch, discard, small_batches, staged, table
+from framelake.runtime import Scratch, discard, shared_dir, small_batches, staged, swept, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read_records(spark, warc.write_archive(table(spark, sf_dir, "pages")))
-    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    path = shared_dir(spark)
+    with swept(spark):  # the query's answer is what the archive held, not the archive
+        records = warc.read_records(spark, warc.write_archive(table(spark, sf_dir, "pages")))
+        return staged(records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")), path=path)
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

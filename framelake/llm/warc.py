@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.runtime import batches_of, shared_dir, staged
+from framelake.runtime import HOT_ROWS, batches_of, join_hot, shared_dir, staged
 
 EOL = "\r\n"
-RECORDS_A_FILE = 2_000
+FILE_BYTES = 32 << 20  #: of records, after which a file ends
 DATE = "2024-01-01T00:00:00Z"  #: of records that bring no date, so that reruns write the same bytes
 
 
@@ -52,7 +52,7 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"))
 
 
-def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", smallest: int = 0) -> str:
+def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", smallest: int = 0, file_bytes: int = FILE_BYTES, hot_rows: int = HOT_ROWS) -> str:
     """Write the archive of ``pages`` and return its folder (a fresh shared one, unless ``path`` is given).
 
     Of pages whose payloads (UTF-8 of ``html``; null: empty) are equal and have at least
@@ -61,7 +61,9 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     rows and rows that share a key too (of them the least url goes first); a null key comes after all
     others, and its record has no key field. A null url gives an empty target. Control characters in
     a url are written percent-encoded, as a header line cannot hold them. An empty table writes an
-    archive of no records. Other columns are not read.
+    archive of no records. Other columns are not read. A file ends with the record that brings it to
+    ``file_bytes``, so its size does not depend on how long pages are, but for one record. Payloads with more
+    than ``hot_rows`` copies are joined apart.
 
     The address of a payload is its SHA-256 with its length. Whether two different payloads ever
     share one is checked by a second digest of another family (SHA-1) and reported as an error.
@@ -86,8 +88,8 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
         _lines(_field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")), "Content-Type: text/html", _field("Content-Length", F.col("bytes")), ""),
         F.col("payload"),
     )
-    _text(kept.select(resource.alias("value")), f"{path}/payloads")
-    named = narrow.join(stored.select("sha256", "bytes", "first"), ["sha256", "bytes"])
+    _write(kept.select(resource.alias("value")), f"{path}/payloads", file_bytes)
+    named = join_hot(narrow, stored.select("sha256", "bytes", "first"), ["sha256", "bytes"], hot_rows)
     is_revisit = (F.col("bytes") >= smallest) & (F.col("row") != F.col("first.row"))
     safe = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     record_id = lambda c: F.concat(F.lit("<urn:record:"), F.col(c).cast("string"), F.lit(">"))
@@ -102,12 +104,29 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     )
     # a record of its own that carries the exact header block of the original record
     block = F.concat(_lines("WARC/1.1", "WARC-Type: metadata", _field("WARC-Record-ID", F.concat(F.lit("<urn:header:"), F.col("row").cast("string"), F.lit(">"))), f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", _field("Content-Length", F.octet_length("h")), ""), F.col("h"))
-    _text(named.select("row", header.alias("h")).select(block.alias("value")), f"{path}/headers")
+    _write(named.select("row", header.alias("h")).select(block.alias("value")), f"{path}/headers", file_bytes)
     return path
 
 
-def _text(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+def _write(records: DataFrame, path: str, file_bytes: int) -> None:
+    """Records as text files of a row each: as many records, with line separators between them, as reach ``file_bytes``."""
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, size = [], 0
+        for batch in batches:
+            for record in batch["value"]:
+                have.append(record)
+                size += len(record)
+                if size >= file_bytes:
+                    yield pd.DataFrame({"value": [(EOL * 2).encode().join(have)]})
+                    have, size = [], 0
+        if have:
+            yield pd.DataFrame({"value": [(EOL * 2).encode().join(have)]})
+
+    as_bytes = records.select(F.col("value").cast("binary").alias("value"))
+    with batches_of(records.sparkSession, 64):
+        whole = as_bytes.mapInPandas(files, "value binary").select(F.col("value").cast("string").alias("value"))
+        whole.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -173,7 +192,7 @@ def _read(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
 
     names = [x.split()[0] for x in schema.split(",")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    with batches_of(spark, 1):  # a row is a whole file of at most RECORDS_A_FILE records
+    with batches_of(spark, 1):  # a row is a whole file
         return staged(files.mapInPandas(parsed, schema))
 
 
@@ -210,14 +229,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     those of the full payload as it was found in the store, for revisits too. Where only narrow
     columns are used, select them from ``read_records``, which does not carry payloads.
     """
-    responses = read_headers(spark, path).join(read_payloads(spark, path).withColumnRenamed("sha1", "stored"), "sha256")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return responses.select("key", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), F.col("stored").alias("payload_digest"), F.concat("header", body).alias("record"))
+    headers, payloads = read_headers(spark, path), read_payloads(spark, path).withColumnRenamed("sha1", "stored")
+    # revisits, which may be many of one payload, need its figures only
+    revisits = join_hot(headers.where("record_type <> 'response'"), payloads.drop("payload"), ["sha256"]).withColumn("payload", F.lit(b""))
+    responses = headers.where("record_type = 'response'").join(payloads, "sha256")
+    return responses.unionByName(revisits).select("key", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), F.col("stored").alias("payload_digest"), F.concat("header", "payload").alias("record"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_archive`` without the record bytes; every header must find its payload under both digests."""
     stored = read_payloads(spark, path, content=False)
-    found = read_headers(spark, path).drop("header").join(stored.withColumnRenamed("sha1", "stored"), "sha256", "left")
+    found = join_hot(read_headers(spark, path).drop("header"), stored.withColumnRenamed("sha1", "stored"), ["sha256"])
     checked = F.when(F.col("sha1") == F.col("stored"), F.col("stored")).otherwise(F.raise_error(F.concat(F.lit("no payload of record "), F.coalesce("key", F.lit("without a key")))))
     return found.select("key", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), checked.alias("payload_digest"))

@@ -1,6 +1,7 @@
 """Results of the text operators against plain Python on odd rows, and on empty tables."""
 
 import base64
+import gzip
 import hashlib
 import re
 from collections import Counter
@@ -231,6 +232,21 @@ def test_warc(spark):
     assert sorted(str(r.refers_to) for r in again if r.key is None) == ["10", "None", "None"]
 
 
+def test_warc_files_and_hot_payloads(spark):
+    """Files end by bytes whatever the pages' lengths; a payload of many copies is joined apart, with the same records."""
+    rows = [(i, f"http://h/{i}", "x" * 5_000 + str(i) if i % 5 == 0 else "" if i % 2 else "same") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = warc.write_archive(pages, file_bytes=20_000, hot_rows=30)
+    files = spark.read.format("binaryFile").load(f"{path}/payloads").select("content").collect()
+    sizes = [len(gzip.decompress(bytes(f.content))) for f in files if len(f.content)]
+    assert max(sizes) < 20_000 + 6_000 and len(sizes) >= 200 // 5 * 5_000 // 26_000
+    plain = warc.write_archive(pages)
+    key = lambda r: int(r.key)
+    assert sorted(warc.read_records(spark, path).collect(), key=key) == sorted(warc.read_records(spark, plain).collect(), key=key)
+    got = {int(r.key): r for r in warc.read_records(spark, path).collect()}
+    assert len(got) == 200 and sum(r.record_type == "response" for r in got.values()) == 42 and got[3].refers_to == "1" and got[4].refers_to == "2"
+
+
 def links_of(texts, shingle):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
