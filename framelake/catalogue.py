@@ -793,17 +793,18 @@ def io_dx(spark, d):
     return back.select("ia", "ib", "ic", F.round("value").cast("long").alias("value"))
 
 
-@register()
+@register(f"WITH {ATOMS} SELECT frame, CAST(40 AS BIGINT) AS copies, CAST(120 AS BIGINT) AS atoms, CAST(0 AS BIGINT) AS clashes FROM atoms GROUP BY frame")
 def solvate_invariants(spark, d):
-    """Frames filled with water around their atoms: copies, and pairs nearer than allowed (none)."""
+    """Frames filled with water around their atoms, in domains of five copies: copies, and pairs nearer than allowed (none)."""
     water = [("O", 0.0, 0.0, 0.0), ("H", 0.96, 0.0, 0.0), ("H", -0.24, 0.927, 0.0)]
     a = workload.atoms(spark, d)
-    placed = staged(generate.solvate(a, water, [workload.EDGE], number=12, min_distance=0.5, around_existing=True))
+    placed = generate.solvate(a, water, [workload.EDGE], number=40, min_distance=0.5, around_existing=True, domain_copies=5)
     points = placed.select("frame", "copy", "x", "y", "z", (F.col("copy") * 10 + F.col("site")).cast("long").alias("id"), workload.CELL.column().alias("cell"))
     points = points.union(a.select("frame", (-F.col("atom_index") - 1).cast("int"), "x", "y", "z", -F.col("atom_index") - 1, "cell"))
     near = pairs.neighbour_pairs(points, None, 0.5, ident=("id",), keep=("copy",)).where("copy_1 <> copy_2 and id_2 >= 0 and r2 < 0.25 - 1e-9")
     counts = placed.groupBy("frame").agg(F.countDistinct("copy").alias("copies"), F.count("*").alias("atoms"))
-    return counts.join(near.groupBy("frame").agg(F.count("*").alias("clashes")), "frame", "left").fillna(0)
+    clashes = near.groupBy("frame").agg(F.count("*").alias("clashes"))
+    return a.select("frame").distinct().join(counts, "frame", "left").join(clashes, "frame", "left").fillna(0)
 
 
 @register(

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.elements import element_of, mass_of, radius_of
 from framelake.functions.geometry import Cell, cartesian, fractional, nearest_image, sub, vec
 from framelake.operators.aggregates import DENSITY
+from framelake.runtime import shared_dir, staged, swept
 from framelake.sources import trajectories
 
+DOMAIN_COPIES = 256  #: copies that a domain of a box is asked for, about
+
 
 def box_of(values: Sequence[float]) -> np.ndarray:
     """Edge vectors as rows, from one edge, three edges, or three edges and three angles in degrees."""
@@ -68,6 +72,45 @@ def target_count(density: float, volume: float, molar_mass: float) -> int:
     return round(density * volume / (molar_mass * DENSITY))
 
 
+class Domains:
+    """A box cut into domains that copies of a template fill side by side.
+
+    A domain is at least ``reach`` wide between its faces. Along an axis there are either one or
+    an even number, so domains of one colour (the parities of their places) have a whole domain
+    between them, and copies whose centres lie in them cannot clash.
+    """
+
+    def __init__(self, low: np.ndarray, box: np.ndarray, reach: float, wanted: int):
+        self.low, self.inverse = low, np.linalg.inv(box)
+        self.heights = 1 / np.linalg.norm(self.inverse, axis=0)
+        edge = (abs(float(np.linalg.det(box))) / max(wanted, 1)) ** (1 / 3)
+        n = np.floor(self.heights / max(reach, edge, 1e-9) + 1e-9).astype(int)
+        self.n = [int(m - m % 2) if m >= 2 else 1 for m in n]
+        self.count = math.prod(self.n)
+
+    def place(self, domain: int) -> tuple[int, ...]:
+        return tuple(int(i) for i in np.unravel_index(domain, self.n))
+
+    def colour(self, domain: Column) -> Column:
+        _, b, c = self.n
+        return (F.floor(domain / (b * c)) % 2 * 4 + F.floor(domain / c) % b % 2 * 2 + domain % c % 2).cast("int")
+
+    def near(self, points: DataFrame, within: float) -> DataFrame:
+        """A row ``frame, domain, x, y, z`` for each domain that a point lies in or nearer to than ``within``, at most ``reach``."""
+        out = points.select("frame", *"xyz", F.lit(0).cast("long").alias("domain"))
+        for i, n in enumerate(self.n):
+            if n == 1:
+                continue
+            f = sum(((F.col(k) - float(self.low[j])) * float(self.inverse[j, i]) for j, k in enumerate("xyz")), F.lit(0.0))
+            out = out.withColumn("g", (f - F.floor(f)) * n).withColumn("at", F.least(F.floor("g"), F.lit(n - 1)))
+            pad = within / float(self.heights[i]) * n + 1e-9
+            before = F.when(F.col("g") - F.col("at") <= pad, F.array(F.pmod(F.col("at") - 1, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+            behind = F.when(F.col("at") + 1 - F.col("g") <= pad, F.array(F.pmod(F.col("at") + 1, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+            out = out.withColumn("axis", F.explode(F.array_distinct(F.concat(F.array("at"), before, behind))))
+            out = out.withColumn("domain", F.col("domain") + F.col("axis") * math.prod(self.n[i + 1 :])).drop("g", "at", "axis")
+        return out.select("frame", "domain", *"xyz")
+
+
 def solvate(
     frames: DataFrame,
     template: Sequence[tuple[str, float, float, float]],
@@ -80,14 +123,20 @@ def solvate(
     seed: int = 42,
     around_existing: bool = False,
     origin: Sequence[float] = (0.0, 0.0, 0.0),
+    domain_copies: int = DOMAIN_COPIES,
 ) -> DataFrame:
     """``frame, copy, site, element, x, y, z``: copies of a template put at random into each frame's box (with a corner at ``origin``).
 
-    Exactly one of ``number`` and ``density`` (with ``molar_mass``) says how many. A place is tried
-    ``max_attempts`` times; a copy that finds none is left out. Atoms of different copies are at
+    Exactly one of ``number`` and ``density`` (with ``molar_mass``) says how many. Atoms of different copies are at
     least ``min_distance`` apart, across the box's faces too; with ``around_existing`` they keep
-    away from the frame's own atoms as well, of which ``frames`` then has ``x, y, z``. Insertion depends on what is there
-    already, so a frame is one task; every frame starts from the same seed, so reruns agree.
+    away from the frame's own atoms as well, of which ``frames`` then has ``x, y, z`` (rows without a place are in nobody's way).
+
+    The box is cut into domains of about ``domain_copies`` copies, each asked for its share. Domains of one colour are
+    filled side by side, each by a task that sees its own atoms and those within reach; the next colour
+    sees what was placed. Domains that met their share are then asked for what others had no room for, until no copy is missing or
+    none has room. A domain makes ``max_attempts`` attempts a copy, pooled over the copies asked of it. Random numbers
+    depend on seed, domain and sweep only, so results do not depend on partitions and reruns agree. A
+    frame without room has no rows. Repeated frames without own atoms count once; no frames give no rows.
     """
     if (number is None) == (density is None):
         raise ValueError("give either a number or a density")
@@ -96,25 +145,76 @@ def solvate(
         if not molar_mass:
             raise ValueError("a density needs the molar mass")
         number = target_count(density, abs(float(np.linalg.det(edges))), molar_mass)
+    spark = frames.sparkSession
+    path = shared_dir(spark)
+    with swept(spark):
+        return staged(_filled(frames, template, low, edges, number, min_distance, max_attempts, seed, around_existing, domain_copies), path=path)
+
+
+def _filled(frames: DataFrame, template: Sequence[tuple], low: np.ndarray, edges: np.ndarray, number: int, min_distance: float, max_attempts: int, seed: int, around_existing: bool, domain_copies: int) -> DataFrame:
+    spark = frames.sparkSession
     shape = np.array([t[1:] for t in template], float)
     shape -= shape.mean(0)
     names = [t[0] for t in template]
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        rng, placed, out = np.random.default_rng(seed), PlacedPoints(low, edges, min_distance), []
-        if around_existing:
-            placed.add(group.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float))
-        for copy in range(number):
-            for _ in range(max_attempts):
-                points = shape @ random_rotations(rng, 1)[0].T + low + rng.random(3) @ edges
-                if not placed.clash(points):
-                    placed.add(points)
-                    out += [(int(group["frame"].iloc[0]), copy, s, names[s], *map(float, p)) for s, p in enumerate(points)]
+    radius = float(np.linalg.norm(shape, axis=1).max())
+    own = staged(frames.select("frame", *"xyz")) if around_existing else None
+    crowd = own.groupBy("frame").count().agg(F.max("count")).first()[0] or 0 if around_existing else 0
+    wanted = max(number, crowd // len(template)) // domain_copies
+    domains = Domains(low, edges, 2 * radius + min_distance, wanted)
+    n = np.array(domains.n)
+
+    def fill(key: tuple, asked: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked):
+            domain, sweep, quota = int(key[1]), int(asked["sweep"].iloc[0]), int(asked["quota"].iloc[0])
+            rng, placed, made = np.random.default_rng([seed, sweep, domain]), PlacedPoints(low, edges, min_distance), 0
+            placed.add(points[["x", "y", "z"]].to_numpy(float))
+            corner = np.array(domains.place(domain))
+            for _ in range(quota * max_attempts):
+                if made == quota:
                     break
-        return pd.DataFrame(out, columns=["frame", "copy", "site", "element", "x", "y", "z"])
-
-    rows = frames.select("frame", "x", "y", "z") if around_existing else frames.select("frame").distinct()
-    return rows.groupBy("frame").applyInPandas(fill, "frame long, copy int, site int, element string, x double, y double, z double")
+                at = shape @ random_rotations(rng, 1)[0].T + low + (corner + rng.random(3)) / n @ edges
+                if not placed.clash(at):
+                    placed.add(at)
+                    out += [(int(key[0]), domain, sweep, made, s, names[s], *map(float, x)) for s, x in enumerate(at)]
+                    made += 1
+        return pd.DataFrame(out, columns=["frame", "domain", "sweep", "k", "site", "element", "x", "y", "z"])
+
+    schema = "frame long, domain long, sweep int, k long, site int, element string, x double, y double, z double"
+    share = lambda i: F.floor(i * number / domains.count)
+    every = frames.select("frame").distinct().withColumn("domain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(domains.count - 1).cast("long"))))
+    asked = staged(every.select("frame", "domain", F.lit(0).alias("sweep"), (share(F.col("domain") + 1) - share(F.col("domain"))).alias("quota"), F.lit(number).cast("long").alias("missing")))
+    standing = [own] if around_existing else []
+    made, tallies = [], []
+    by_domain = Window.partitionBy("frame").orderBy(F.xxhash64("domain"), "domain").rowsBetween(Window.unboundedPreceding, -1)  # a row a domain
+    while True:
+        here = []
+        colours = asked.where("quota > 0").select(domains.colour(F.col("domain"))).distinct().collect()  # at most eight
+        for colour in sorted(c[0] for c in colours):
+            turn = domains.colour(F.col("domain")) == colour
+            points = reduce(DataFrame.union, [x.select("frame", *"xyz") for x in standing + here], spark.createDataFrame([], "frame long, x double, y double, z double"))
+            seen = domains.near(points.dropna(), radius + min_distance).where(turn)
+            tasks = asked.where(turn & (F.col("quota") > 0)).groupBy("frame", "domain")
+            here.append(staged(tasks.cogroup(seen.groupBy("frame", "domain")).applyInPandas(fill, schema)))
+        now = reduce(DataFrame.union, here, spark.createDataFrame([], schema))
+        got = now.where("site = 0").groupBy("frame", "domain").agg(F.count("*").alias("got"))
+        tally = asked.join(got, ["frame", "domain"], "left").fillna(0, ["got"])
+        # the last sweep may find more than is missing: domains in the order of a hash keep theirs
+        left = F.col("missing") - F.coalesce(F.sum("got").over(by_domain), F.lit(0))
+        tally = staged(tally.withColumn("take", F.greatest(F.lit(0), F.least("got", left))))
+        tallies.append(tally.select("frame", "domain", "sweep", "take"))
+        standing += here
+        made += here
+        whole = Window.partitionBy("frame")
+        rest = tally.withColumn("missing", F.col("missing") - F.sum("take").over(whole)).where("missing > 0 and got = quota")
+        quota = F.ceil(F.col("missing") / F.count("*").over(whole))
+        asked = staged(rest.select("frame", "domain", (F.col("sweep") + 1).alias("sweep"), quota.alias("quota"), "missing"))
+        if not asked.limit(1).count():
+            break
+    first = F.coalesce(F.sum("take").over(Window.partitionBy("frame").orderBy("sweep", "domain").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = reduce(DataFrame.union, tallies).withColumn("first", first)
+    kept = reduce(DataFrame.union, made, spark.createDataFrame([], schema)).join(numbered, ["frame", "domain", "sweep"]).where("k < take")
+    return kept.select("frame", (F.col("first") + F.col("k")).cast("int").alias("copy"), "site", "element", *"xyz")
 
 
 def surface_basis(cell: Cell, hkl: tuple[int, int, int]) -> tuple[np.ndarray, float]:

@@ -27,6 +27,38 @@ def test_filled_box(spark):
         generate.solvate(frames, WATER, [14.0])
 
 
+def test_box_filled_by_domains(spark):
+    """A skewed box of many domains around own atoms: no clash, the number asked for, and the same rows for any partitions."""
+    box = (30.0, 26.0, 24.0, 80, 95, 100)
+    edges, inverse = generate.box_of(box), np.linalg.inv(generate.box_of(box))
+    rng = np.random.default_rng(1)
+    atoms = [(0, *map(float, p)) for p in rng.random((60, 3)) * 60 - 20] + [(1, 1.0, 1.0, 1.0), (1, None, None, None)]
+    frames = spark.createDataFrame(atoms, "frame long, x double, y double, z double")
+    fill = lambda df: sorted(map(tuple, generate.solvate(df, WATER, box, number=90, min_distance=2.0, around_existing=True, origin=(3, 2, 1), domain_copies=2).collect()))
+    got = fill(frames)
+    assert generate.Domains(np.zeros(3), edges, 3.5, 45).n == [2, 2, 2]
+    assert got == fill(frames.repartition(7, "x"))
+    for f in (0, 1):
+        xyz = np.array([r[4:] for r in got if r[0] == f])
+        assert [r[1:3] for r in got if r[0] == f] == [(c, s) for c in range(90) for s in range(3)]
+        there = np.array([a[1:] for a in atoms if a[0] == f and a[1] is not None])
+        points, owner = np.concatenate([xyz, there]), np.concatenate([np.arange(270) // 3, np.full(len(there), -1)])
+        d = (points[:, None] - points[None]) @ inverse
+        r = np.linalg.norm((d - np.floor(d + 0.5)) @ edges, axis=-1)
+        r[owner[:, None] == owner[None]] = 9
+        assert r.min() >= 2.0 - 1e-9
+
+
+def test_boxes_with_little_or_no_room(spark):
+    grid = [(1, float(x), float(y), float(z)) for x, y, z in itertools.product(range(12), repeat=3)]
+    half = [(2, float(x), float(y), float(z)) for x, y, z in itertools.product(range(12), range(12), range(7))]
+    frames = spark.createDataFrame(grid + half, "frame long, x double, y double, z double")
+    rows = generate.solvate(frames, WATER[:1], [12.0], number=16, min_distance=1.5, max_attempts=40, around_existing=True, domain_copies=2).collect()
+    # what the full half has no room for goes to the other half
+    assert {r.frame for r in rows} == {2} and sorted(r.copy for r in rows) == list(range(16)) and min(r.z for r in rows) >= 7
+    assert generate.solvate(frames.limit(0), WATER, [12.0], number=3).count() == 0 == generate.solvate(frames, WATER, [12.0], number=0).count()
+
+
 @pytest.mark.parametrize("hkl", [(1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 0)])
 def test_slab_has_whole_layers(spark, hkl):
     cell = Cell.of_lengths(4, 5, 6, 80, 95, 100)
