@@ -24,6 +24,7 @@ is. Counts of pre-tokens are kept in a bounded table; a hash finds an entry, all
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,10 @@ CLASSES = 12
 _SPECIAL = {"'": 4, "s": 5, "t": 5, "m": 5, "d": 5, "r": 6, "v": 7, "l": 8, "e": 9}
 _KIND = [SPACE, LETTER, NUMBER, SYMBOL, SYMBOL, *[LETTER] * 5]
 MAX_STATES = 1 << 18  #: states of the counting machine kept; four times as many transitions
+#: How a file must normalise and split texts for the machine compiled here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 OPENS, OPENED_BEFORE = 1, 2  #: outputs: a pre-token opens here; one opened at the character before
 
 
@@ -84,9 +89,14 @@ class BpeCounter:
     """The counting machine: tokens of a pre-token, given as a string of the byte alphabet."""
 
     def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]  # noqa: SIM115
-        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout"):
+        told = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
+        model, steps = told["model"], (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if model["type"] != "BPE" or any(model.get(x) for x in ("continuing_subword_prefix", "dropout", "ignore_merges", "byte_fallback")):
             raise ValueError(f"{path} is no plain BPE model")
+        if told.get("normalizer") != NORMALIZER or len(steps) != 2 or steps[0] != SPLIT or not steps[1].items() >= BYTES.items():
+            raise ValueError(f"{path} normalises or splits texts in another way than the compiled machine")
+        if any(t.get(x) for t in told.get("added_tokens") or [] for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that are not found as they stand")
         self.end = model.get("end_of_word_suffix") or ""
         self.vocabulary: dict[str, int] = model["vocab"]
         self.rank: dict[tuple[str, str], int] = {}
@@ -177,11 +187,12 @@ class CountingTransducer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.machine = BpeCounter(path)  # looks at the file first
         tokenizer = Tokenizer.from_file(path)
         self.split, self.normal = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.normalizer.normalize_str
-        self.machine = BpeCounter(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.mark = os.path.commonprefix(special)  # what a text with a special token holds
         self.alphabet = byte_alphabet()
         self.after, self.output = _compile()
         self.cls = np.full(END + 1, -1, np.int8)
@@ -204,7 +215,7 @@ class CountingTransducer:
 
     def segments(self, text: str) -> tuple[int, list[str]]:
         """Special tokens in a text, and the normalised stretches between them."""
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
+        parts = self.special.split(text) if self.special and self.mark in text else [text]
         made = []
         for p in parts:
             made.append(p.lower() if p.isascii() else self.normal(p))

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import re
 from collections import Counter
 
@@ -206,6 +207,37 @@ def test_curve_is_a_path(spark, dimensions, bits):
         assert sum(abs(a[k + 1] - b[k + 1]) for k in range(dimensions)) == 1
 
 
+def test_counting_machine_looks_at_the_file(tmp_path):
+    """A file that normalises, splits or finds added tokens otherwise is an error; special tokens of any names are counted."""
+    told = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    path = str(tmp_path / "t.json")
+
+    def counts(change, texts):
+        other = json.loads(json.dumps(told))
+        change(other)
+        (tmp_path / "t.json").write_text(json.dumps(other), encoding="utf-8")
+        library = Tokenizer.from_file(path)
+        return token_counts.CountingTransducer(path).counts(texts).tolist(), [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    def renamed(t):
+        for token, name in zip(t["added_tokens"], ("[BEGIN]", "~end~"), strict=True):
+            token["content"] = name
+        t["post_processor"] = None
+
+    got, want = counts(renamed, ["a [BEGIN] b~end~c", "plain words", "<|endoftext|>"])
+    assert got == want
+    for change in (
+        lambda t: t.update(normalizer=None),
+        lambda t: t["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated", invert=False),
+        lambda t: t["pre_tokenizer"]["pretokenizers"].pop(),
+        lambda t: t["added_tokens"][0].update(lstrip=True),
+    ):
+        with pytest.raises(ValueError):
+            counts(change, ["a"])
+    with pytest.raises(ValueError):
+        token_counts.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_warc(spark):
     html = ["<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "<p>a</p>", "é" * 70_000, "<p>a</p>", "y\r\n"]
     rows = [(i + 10, f"http://h/{i}\r\nX: 1" if i else None, h, i) for i, h in enumerate(html)]
