@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import Cell
+from framelake.operators import pairs
 from framelake.operators.pairs import neighbour_pairs
 
 
@@ -40,3 +41,19 @@ def test_one_frame_in_many_bins_has_no_repeats(spark):
     p = neighbour_pairs(atoms_of(spark, xyz, Cell.of_lengths(4, 4, 4)), None, 1.9)
     assert p.count() == p.select("atom_index_1", "atom_index_2").distinct().count()
     assert p.agg(F.max("r2")).first()[0] <= 1.9**2
+
+
+@pytest.mark.parametrize("edge", [None, 3.0])
+def test_few_rows_with_many_pairs_are_dealt_to_many_tasks(spark, monkeypatch, edge):
+    """All points in one bin: its rows meet block by block in several tasks, and every pair comes once."""
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 500)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 16)
+    rows = [(0, i, 0.01 * i, 0.005 * i, 0.0) for i in range(80)]
+    points = spark.createDataFrame(rows, "frame long, atom_index long, x double, y double, z double")
+    if edge:
+        points = points.withColumn("cell", Cell.of_lengths(edge, edge, edge).column())
+    near = pairs.neighbour_pairs(points, None, 1.0).withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.atom_index_1, r.atom_index_2) for r in near}) == len(near) == pairs.all_pairs(points, 1.0).count()
+    assert len({r.task for r in near}) > 3
+    both = pairs.neighbour_pairs(points, points.where("atom_index < 40"), 1.0).select("atom_index_1", "atom_index_2").collect()
+    assert len(set(both)) == len(both) == sum(1 for i in range(80) for j in range(40) if i != j and (i - j) ** 2 * 1.25e-4 <= 1.0)
