@@ -258,7 +258,18 @@ BLOCK_ATOMS = 1 << 15  #: atoms encoded together, a multiple of eight
 _LAST = 1 << 60
 
 
-def _binary_pieces(atoms: DataFrame, ext: str, parts: int) -> DataFrame:
+def _like_frames(frames: DataFrame) -> DataFrame:
+    """``frames`` with ``part`` numbered anew, in order: a part ends where the next frame has more or fewer atoms, or a cell where this has none."""
+    like = F.struct("n", F.col("h").isNotNull())
+    within = Window.partitionBy("part").orderBy("frame")
+    runs = frames.withColumn("_new", F.coalesce((like != F.lag(like).over(within)).cast("int"), F.lit(0)))
+    runs = runs.withColumn("_run", F.sum("_new").over(within)).drop("_new")
+    ends = runs.groupBy("part").agg((F.max("_run") + 1).alias("_runs"))  # a row a part
+    first = F.coalesce(F.sum("_runs").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return runs.join(F.broadcast(ends.select("part", first.alias("_first"))), "part").withColumn("part", (F.col("_first") + F.col("_run")).cast("long")).drop("_run", "_first")
+
+
+def _binary_pieces(atoms: DataFrame, ext: str, parts: int, by_size: bool = False) -> DataFrame:
     """``part, frame, a, b, body``: pieces of the files of all parts, in the order of the first four columns.
 
     A task encodes ``BLOCK_ATOMS`` atoms. What stands around them follows from a row a frame, with its size
@@ -269,6 +280,8 @@ def _binary_pieces(atoms: DataFrame, ext: str, parts: int) -> DataFrame:
     extremes = [f(stored(k)).alias(f"{n}_{k}") for n, f in (("low", F.min), ("high", F.max)) for k in "xyz"]
     h = F.first("cell.h").alias("h") if periodic else F.lit(None).cast("array<double>").alias("h")
     frames = staged(atoms.groupBy("frame").agg(F.count("*").alias("n"), h, *extremes).repartitionByRange(parts, "frame").withColumn("part", F.spark_partition_id().cast("long")))
+    if ext == "dcd" and by_size:
+        frames = staged(_like_frames(frames))
     files = frames.groupBy("part").agg(F.count("*").alias("frames"), F.min("frame").alias("frame"), F.max("n").alias("n"), F.min("n").alias("least"), F.max(F.col("h").isNotNull()).alias("cell"), F.min(F.col("h").isNotNull()).alias("cells"))
     if ext == "dcd" and files.where("n <> least or cell <> cells").limit(1).count():
         raise ValueError("frames of one DCD file have equally many atoms, and all of them a cell or none")
@@ -313,10 +326,11 @@ def _binary_pieces(atoms: DataFrame, ext: str, parts: int) -> DataFrame:
     return out.unionByName(files.mapInPandas(opened, schema)) if ext == "dcd" else out
 
 
-def write(atoms: DataFrame, path: str, bonds: DataFrame | None = None, parts: int = 1, original_ids: bool = False) -> None:
+def write(atoms: DataFrame, path: str, bonds: DataFrame | None = None, parts: int = 1, original_ids: bool = False, by_size: bool = False) -> None:
     """Write a trajectory; the format follows the extension and ``path`` is a folder of parts.
 
-    Frames are cut into ``parts`` ranges; with one part there is one file. Atoms are numbered anew in
+    Frames are cut into ``parts`` ranges; with one part there is one file. The frames of one DCD file have
+    equally many atoms, and all of them a cell or none; others are an error, or with ``by_size`` begin a further file. Atoms are numbered anew in
     order, or keep their serials with ``original_ids``. No atoms: an error.
     """
     ext = extension(path)
@@ -330,7 +344,7 @@ def write(atoms: DataFrame, path: str, bonds: DataFrame | None = None, parts: in
         ordered.select("value").write.text(path)
     else:
         atoms.sparkSession.dataSource.register(BinaryParts)
-        pieces = staged(_binary_pieces(atoms, ext, parts))
+        pieces = staged(_binary_pieces(atoms, ext, parts, by_size))
         ordered = pieces.repartition(parts, "part").sortWithinPartitions("part", "frame", "a", "b").select("part", "body")
         with batches_of(atoms.sparkSession, 64):
             ordered.write.format("framelake-binary").mode("append").options(path=path, suffix=ext).save()

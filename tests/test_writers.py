@@ -79,3 +79,14 @@ def test_dcd_frames_are_alike(spark, tmp_path):
     rows = [(0, 0, 1.0, 1.0, 1.0), (0, 1, 1.0, 1.0, 1.0), (1, 0, 1.0, 1.0, 1.0)]
     with pytest.raises(ValueError, match="equally many"):
         trajectories.write(spark.createDataFrame(rows, "frame long, atom_index long, x double, y double, z double"), f"{tmp_path}/t.dcd")
+
+
+def test_dcd_files_end_where_frames_change_size(spark, tmp_path):
+    """Frames of 3, 3, 2 and 3 atoms: three files, read back as they were."""
+    rows = [(f, i, f + 0.25 * i, 0.5, 1.0) for f, n in enumerate((3, 3, 2, 3)) for i in range(n)]
+    atoms = spark.createDataFrame(rows, "frame long, atom_index long, x double, y double, z double")
+    trajectories.write(atoms.where("frame = 0").withColumn("type", F.lit("C")), f"{tmp_path}/t.xyz")
+    trajectories.write(atoms, f"{tmp_path}/t.dcd", by_size=True)
+    assert len([p for p in (tmp_path / "t.dcd").iterdir() if p.name.startswith("part-")]) == 3
+    back = trajectories.load(spark, [f"{tmp_path}/t.xyz", f"{tmp_path}/t.dcd"]).where("frame > 0")
+    assert sorted((r.frame - 1, r.atom_index, r.x, r.y, r.z) for r in back.collect()) == rows
