@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -191,29 +190,31 @@ def update_centroids(states: DataFrame, assigned: DataFrame, centroids: DataFram
     return centroids.join(new, ["ref", "slot"], "left").select("ref", "slot", *[F.coalesce(f"{k}_n", k).alias(k) for k in "wxyz"])
 
 
-def k_means(states: DataFrame, k: int = 3, steps: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(centroids ``ref, slot, w, x, y, z``; assignment ``frame, state, distance``) when one more step changes nothing.
+def k_means(states: DataFrame, k: int = 3, steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(centroids ``ref, slot, w, x, y, z``; assignment ``frame, state, distance``) when one more step moves no centroid.
 
     Equal assignments alone are not enough, as members may still turn to the other side of a centroid
-    and move it. What still changes after ``steps`` steps is an error.
+    and move it. The number of steps grows with the states, so it has no bound unless ``steps`` sets
+    one; what still changes after those, or comes back to earlier centroids without settling, is an
+    error. Centroids, ``k`` rows a slot, pass through the driver; states do not.
     """
-    centroids, seen = staged(initial_centroids(states, k)), None
-    for _ in range(steps + 1):
-        assigned = staged(nearest_state(states, centroids))
-        mark = assigned.agg(F.sum(F.xxhash64("frame", "state").cast("decimal(20,0)"))).first()[0]
-        new = staged(update_centroids(states, assigned, centroids))
-        if mark == seen and not _moved(centroids, new):
-            return centroids, assigned
-        seen, centroids = mark, new
+    spark = states.sparkSession
+    centroids = initial_centroids(states, k)
+    schema, rows, seen = centroids.schema, centroids.collect(), set()
+    for _ in itertools.count() if steps is None else range(steps + 1):
+        centroids = spark.createDataFrame(rows, schema)
+        new = update_centroids(states, nearest_state(states, centroids), centroids).collect()
+        old = {(r.ref, r.slot): r[2:] for r in rows}
+        if all(abs(u - v) <= 1e-9 for r in new for u, v in zip(r[2:], old[r.ref, r.slot], strict=True)):  # sums in another order differ by less
+            return staged(centroids), staged(nearest_state(states, centroids))
+        mark = tuple(sorted((r.ref, r.slot, *(round(v, 12) for v in r[2:])) for r in new))
+        if mark in seen:
+            raise RuntimeError("k-means comes back to earlier centroids without settling")
+        seen.add(mark)
+        rows = new
     raise RuntimeError(f"k-means still changes after {steps} steps")
 
 
-def _moved(old: DataFrame, new: DataFrame) -> bool:
-    """Whether a centroid differs by more than sums in another order do."""
-    far = reduce(lambda a, b: a | b, (F.abs(F.col(f"o.{c}") - F.col(f"n.{c}")) > 1e-9 for c in "wxyz"))
-    return bool(old.alias("o").join(F.broadcast(new.alias("n")), ["ref", "slot"]).where(far).limit(1).count())
-
-
 def carbonate_orientations(atoms: DataFrame) -> DataFrame:
     """``frame, mol_index, w, x, y, z``: orientation of each group of one C and three O.
 

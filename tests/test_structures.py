@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from framelake import catalogue
@@ -148,3 +149,22 @@ def test_many_slots():
     for i, j, k in itertools.combinations(range(40), 3):
         for p in itertools.permutations((i, j, k)):
             assert hard[[i, j, k], c[[i, j, k]]].sum() <= hard[[i, j, k], c[list(p)]].sum() + 1e-12
+
+
+def test_k_means_takes_as_many_steps_as_it_needs(spark, monkeypatch):
+    """Centroids that settle in the 120th step only; once 100 steps were the most."""
+    states = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, 0.0)], "frame long, slot int, w double, x double, y double, z double")
+    turns = iter(range(1, 121))
+
+    class Moving:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def collect(self):
+            n = next(turns, None)
+            return self.rows if n is None else [Row(ref=r.ref, slot=r.slot, w=math.cos(n / 1000), x=math.sin(n / 1000), y=0.0, z=0.0) for r in self.rows]
+
+    monkeypatch.setattr(orientation, "nearest_state", lambda states, centroids: centroids)
+    monkeypatch.setattr(orientation, "update_centroids", lambda states, assigned, centroids: Moving(centroids.collect()))
+    centroids, _ = orientation.k_means(states, 1)
+    assert centroids.first().x == pytest.approx(math.sin(0.12)) and next(turns, None) is None
