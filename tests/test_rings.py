@@ -72,3 +72,16 @@ def test_molecules_of_later_epochs(spark):
         assert groups == {f: ({0: {0}, 1: {1, 2}, 2: {3}} if f in parted else {0: {0, 1, 2}, 1: {3}}) for f in range(8)}
         assert {r.frame for r in s.bonds().groupBy("frame").count().where("count = 1").collect()} == parted
         assert {(r.mol_type, r.subindex, r.fingerprint) for r in kinds.where("frame = 4").collect()} == ({("M1", 1, "C"), ("M2", 1, "C,C"), ("M1", 2, "C")} if parted else {("M1", 1, "C,C,C"), ("M2", 1, "C")})
+
+
+@pytest.mark.parametrize("longest", [8, 3])
+def test_shortest_rings_of_many_neighbours(spark, monkeypatch, longest):
+    """Rings of three by sets of bits in stripes, longer ones from what they leave."""
+    monkeypatch.setattr(topology, "STRIPE_ATOMS", 6)
+    n = 24
+    graph = [(i, j) for i in range(n) for j in range(i + 1, n) if (i * j + i + j) % 4] + [(n - 1, n), (n, n + 1), (n + 1, n + 2), (n + 2, 0), (n + 3, n + 4), (3, n + 5), (2, n + 6), (n + 5, n + 6)]
+    rows = [(f, *b) for f in (2, 5) for b in graph]
+    bonds = spark.createDataFrame(rows, "frame long, i long, j long")
+    assert topology._dense_stripes(bonds)
+    got = {(r.frame, r.i, r.j): r["size"] for r in topology.ring_sizes(bonds, longest).collect()}
+    assert got == {(f, *b): s for f in (2, 5) for b, s in shortest(graph, longest).items()}
