@@ -79,9 +79,9 @@ def _staged_bonds(spark, d) -> DataFrame:
     return staged(_bonds(spark, d))
 
 
-def _links(spark, d) -> DataFrame:
-    """Bonds from which the molecules of all bonds follow."""
-    return staged(links.linking_bonds(workload.atoms(spark, d), topology.TopologySettings(tolerance=0.05)))
+def _links(spark, d, images: bool = False) -> DataFrame:
+    """Bonds from which the molecules of all bonds follow, and with ``images`` their moves to whole molecules."""
+    return staged(links.linking_bonds(workload.atoms(spark, d), topology.TopologySettings(tolerance=0.05), images))
 
 
 def _impropers(spark, d) -> DataFrame:
@@ -208,7 +208,7 @@ def inertia_invariants(spark, d):
 
 @register(f"WITH RECURSIVE {_IMAGES} SELECT DISTINCT frame, atom_index, {POSITIONS}, infinite FROM whole")
 def whole_molecules(spark, d):
-    made = unwrap.whole_molecules(workload.atoms(spark, d), _staged_bonds(spark, d))
+    made = unwrap.whole_molecules(workload.atoms(spark, d), _links(spark, d, images=True))
     return _rounded(made.select("frame", "atom_index", "x", "y", "z", "infinite"))
 
 

@@ -38,3 +38,22 @@ def test_links_give_what_all_bonds_give(spark, monkeypatch):
     assert groups(rows(some, "frame", "i", "j")) == groups(rows(every, "frame", "i", "j"))
     found = rows(topology.impropers_of(links.few_neighbours(atoms, settings, 3)), *"ijkl")
     assert found == rows(topology.improper_dihedrals(every), *"ijkl") and found
+
+
+def test_whole_molecules_follow_from_links(spark, monkeypatch):
+    """Links move each atom as all bonds do, and the queries of whole molecules ask for no more bonds than these."""
+    from framelake import catalogue, workload
+    from framelake.operators import unwrap
+
+    monkeypatch.setattr(links, "CROWDED", 0.0)
+    rng = random.Random(4)
+    rows = [(0, n, *[rng.gauss(m, 0.3) for m in (0.0, 0.1, 9.9)]) for n in range(40)] + [(1, n, n * 0.1, 3.0 + rng.random() * 0.1, 1.0) for n in range(100)]
+    atoms = spark.createDataFrame(rows, "frame long, atom_index long, x double, y double, z double").withColumn("radius", 0.2 + F.col("atom_index") % 10 * 0.01).withColumn("cell", Cell.of_lengths(10.0, 10.0, 10.0).column()).cache()
+    used = []
+    monkeypatch.setattr(workload, "atoms", lambda *_: atoms)
+    monkeypatch.setattr(unwrap, "whole_molecules", lambda a, b: used.append(b) or a.limit(0).withColumn("infinite", F.lit(False)))
+    catalogue.whole_molecules(spark, "")
+    every = topology.detect_bonds(atoms, topology.TopologySettings(tolerance=0.05)).cache()
+    assert used[0].count() < every.count() and not used[0].join(every, ["frame", "i", "j"], "left_anti").count()
+    moves = [{tuple(r) for r in unwrap.image_moves(b, atoms).collect()} for b in (used[0], every)]
+    assert moves[0] == moves[1] and {r[-1] for r in moves[0]} == {False, True}
