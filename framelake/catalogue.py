@@ -199,7 +199,7 @@ mm AS (SELECT frame, mol_index, n_atoms, mass, {", ".join(f"sum(m * ({p} - c{p})
 )
 def inertia_invariants(spark, d):
     """Principal moments by the three invariants that they have in common with the tensor: sum, sum of products, product."""
-    a, b = workload.atoms(spark, d), _staged_bonds(spark, d)
+    a, b = workload.atoms(spark, d), _links(spark, d, images=True)
     named = unwrap.whole_molecules(a, b).join(staged(topology.molecules(b, a)), ["frame", "atom_index"])
     m = aggregates.molecule_moments(named)
     i, j, k = (F.col(f"i_{n}") for n in (1, 2, 3))
