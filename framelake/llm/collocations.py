@@ -16,6 +16,11 @@ reached then decides which of these scans count; no phrase is missed and none co
 the size of the table. Counts are summed in the task before they are shuffled. Words are told apart by
 64-bit hashes of language and word; two words that share one are found when words are summed, and are an
 error that another ``seed`` mends.
+
+Most phrases of frequent subphrases are rare, and there are more of them than of all else. So before the scans a
+pass for each length adds up how often phrases fall into each of many slots, as many as the table's words ask
+for; what is shuffled is about a byte a phrase. A phrase whose slot has less than the support cannot reach it
+itself and is never listed.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,9 @@ SHARDS = 2
 TOP = 2_000
 SLOTS = 1 << 22  #: bytes of the table of what was reached, for each length
 PAGE = 1 << 16  #: slots sent to the driver together
+SUM_SLOTS = 1 << 29  #: slots of sums at most, for each length; a task holds a bit of each
+SUM_PAGE = 1 << 18  #: slots that are added up together
+SUMS_HELD = 1 << 22  #: phrases whose slots a task sorts together
 CHUNK = 1 << 20  #: words numbered and counted together
 _SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")  # of pieces; a tab parts words
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -92,7 +100,9 @@ class Chunk:
         ids = np.concatenate(self.parts)
         ids = ids[(ids >= 0) | np.append(False, ids[:-1] >= 0)]
         counts = np.bincount(ids[ids >= 0], minlength=len(self.words))
-        hashes = np.array([xxhash.xxh3_64_intdigest(b"%d %b %b" % (len(lang), lang.encode(), word), seed) for lang, word in self.words], np.uint64)
+        first = xxhash.xxh64_intdigest(b"%d" % seed, 42)
+        starts = {lang: xxhash.xxh64_intdigest(lang.encode(), first) for lang in self.numbers}
+        hashes = np.array([xxhash.xxh64_intdigest(word, starts[lang]) for lang, word in self.words], np.uint64)  # as hash_of
         columns = dict.fromkeys(("w1", "lang", "word", "n"))
         yield pd.DataFrame({"kind": [0], "shard": [shard], **columns, "ids": [ids.tobytes()], "hashes": [hashes.tobytes()]})
         for lo in range(0, len(counts), 50_000):
@@ -100,6 +110,11 @@ class Chunk:
             yield pd.DataFrame({"kind": 1, "shard": shard, "w1": hashes[part].view(np.int64), "lang": [x for x, _ in self.words[part]], "word": [w.decode() for _, w in self.words[part]], "n": counts[part], "ids": None, "hashes": None})
 
 
+def hash_of(lang: Column, word: Column, seed: int) -> Column:
+    """The hash that a chunk gives a word."""
+    return F.xxhash64(F.lit(str(seed)), lang, word)
+
+
 def chunked(rows: DataFrame, shards: int, seed: int, chunk_words: int) -> DataFrame:
     """``kind, shard, w1, lang, word, n, ids, hashes``: texts (lang, text) as chunks of word numbers, dealt to shards in turn."""
 
@@ -117,8 +132,17 @@ def chunked(rows: DataFrame, shards: int, seed: int, chunk_words: int) -> DataFr
     return rows.select("lang", F.col("text").cast("binary").alias("text")).mapInPandas(number, "kind int, shard int, w1 long, lang string, word string, n long, ids binary, hashes binary")
 
 
-def counted(ids: np.ndarray, hashes: np.ndarray, scan: int, shards: int, tables: list[np.ndarray | None]) -> Iterator[pd.DataFrame]:
-    """Counts of the phrases of a chunk that may be active: ``len, w1..w4, until, n``; none is needed after scan ``until``."""
+def _has(bits: np.ndarray, ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether the slots of the phrases that begin at these places have their bit."""
+    slot = slots_of([hashes[ids[at + i]] for i in range(length)], 8 * len(bits))
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def counted(ids: np.ndarray, hashes: np.ndarray, scan: int, shards: int, tables: list[np.ndarray | None], likely: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Counts of the phrases of a chunk that may be active: ``len, w1..w4, until, n``; none is needed after scan ``until``.
+
+    ``likely`` has for each length from 2 on a bit for each slot whose phrases may reach the support.
+    """
     recent = scan - shards + 1  # mark of the first scan whose phrases are still active
     if tables[0] is None or len(ids) < 2:
         return
@@ -127,6 +151,7 @@ def counted(ids: np.ndarray, hashes: np.ndarray, scan: int, shards: int, tables:
         first, second = state[:-1], state[1:]
         both, latest = (first > 0) & (second > 0), np.maximum(first, second)
         at = np.flatnonzero(both & (latest >= recent))
+        at = at[_has(likely[length - 2], ids, hashes, at, length)]
         if len(at):
             key = ids[at].astype(np.int64)
             for i in range(1, length):
@@ -146,16 +171,17 @@ def counted(ids: np.ndarray, hashes: np.ndarray, scan: int, shards: int, tables:
         state[reached] = table[slots_of([hashes[ids[reached + i]] for i in range(length)], len(table))]
 
 
-def scanned(chunks: DataFrame, scan: int, shards: int, tables: list) -> DataFrame:
+def scanned(chunks: DataFrame, scan: int, shards: int, tables: list, sums: list[Broadcast]) -> DataFrame:
     """``counted`` of all chunks of a scan's shard."""
     packed = [None if t is None else zlib.compress(t.tobytes(), 1) for t in tables]
     shared = chunks.sparkSession.sparkContext.broadcast(packed)  # of a fixed size at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks = [None if t is None else np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value]
+        likely = [np.frombuffer(b.value, np.uint8) for b in sums]
         for batch in batches:
             for ids, hashes in zip(batch["ids"], batch["hashes"], strict=True):
-                yield from counted(np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64), scan, shards, marks)
+                yield from counted(np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64), scan, shards, marks, likely)
 
     return chunks.select("ids", "hashes").mapInPandas(count, ", ".join(["len int", *(f"{w} long" for w in WORDS), "until int", "n long"]))
 
@@ -183,6 +209,58 @@ def _marks(reached: DataFrame, size: int) -> list:
     return reached.mapInPandas(pages, schema).groupBy("len", "page").applyInPandas(merged, schema).collect()
 
 
+def _sums(chunks: DataFrame, often: np.ndarray, sums: list[Broadcast], size: int, support: int) -> bytes:
+    """A bit for each of ``size`` slots: whether ``support`` phrases, a word longer than the last of ``sums`` tells of, fall into it.
+
+    Both subphrases of these are likely by ``sums``, or marked words by ``often``.
+    """
+    target, shared = len(sums) + 2, chunks.sparkSession.sparkContext.broadcast(zlib.compress(often.tobytes(), 1))
+
+    def paged(held: list[np.ndarray]) -> pd.DataFrame:
+        slots, counts = np.unique(np.concatenate(held), return_counts=True)
+        slots = np.repeat(slots, np.minimum(counts, support))
+        pages, out = np.arange(0, size, SUM_PAGE), []
+        ends = np.append(np.searchsorted(slots, pages), len(slots)).tolist()
+        for page, lo, hi in zip(pages.tolist(), ends, ends[1:], strict=False):
+            if lo < hi:
+                gaps = np.diff(slots[lo:hi], prepend=np.uint32(page))
+                kind = np.min_scalar_type(gaps.max())
+                out.append((page, kind.itemsize, zlib.compress(gaps.astype(kind).tobytes(), 1)))
+        return pd.DataFrame(out, columns=["page", "width", "gaps"])
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, likely, held = np.frombuffer(zlib.decompress(shared.value), np.uint8), [np.frombuffer(b.value, np.uint8) for b in sums], []
+        for batch in batches:
+            for raw, hashed in zip(batch["ids"], batch["hashes"], strict=True):
+                ids, hashes = np.frombuffer(raw, np.int32), np.frombuffer(hashed, np.uint64)
+                state = np.append(marks[slots_of([hashes], len(marks))] > 0, False)[ids]
+                at = np.flatnonzero(state[:-1] & state[1:])
+                for length, bits in enumerate(likely, 2):
+                    state = np.zeros(max(len(state) - 1, 0), bool)
+                    state[at[_has(bits, ids, hashes, at, length)]] = True
+                    at = np.flatnonzero(state[:-1] & state[1:])
+                held.append(slots_of([hashes[ids[at + i]] for i in range(target)], size).astype(np.uint32))
+            if sum(map(len, held)) >= SUMS_HELD:
+                yield paged(held)
+                held = []
+        if any(map(len, held)):
+            yield paged(held)
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(SUM_PAGE, np.int64)
+        for width, gaps in zip(group["width"], group["gaps"], strict=True):
+            counts += np.bincount(np.cumsum(np.frombuffer(zlib.decompress(gaps), f"u{width}"), dtype=np.int64), minlength=SUM_PAGE)
+        bits = np.packbits(counts >= support, bitorder="little").tobytes()
+        return pd.DataFrame({"page": group["page"].iloc[:1], "bits": [zlib.compress(bits, 1)]})
+
+    with batches_of(chunks.sparkSession, 4):  # a row is a chunk
+        pages = chunks.select("ids", "hashes").mapInPandas(found, "page long, width int, gaps binary").groupBy("page").applyInPandas(added, "page long, bits binary").collect()
+    out = bytearray(size // 8)
+    for r in pages:
+        out[r.page // 8 : (r.page + SUM_PAGE) // 8] = zlib.decompress(r.bits)
+    return bytes(out)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -204,20 +282,32 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
         raise ValueError("marks of scans are bytes: 1 to 60 shards")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("length(text) > 0")
+    by_scan = [f"n{i}" for i in range(shards)]  # counts of the scans of one round, each in the place of its shard
     with batches_of(spark, 500):
-        dealt = scratch.staged(chunked(rows, shards, seed, CHUNK), partition_by=["kind", "shard"])
-    chunks, found_words = dealt.where("kind = 0"), dealt.where("kind = 1").select("shard", "w1", "lang", "word", "n")
+        dealt = scratch.staged(chunked(rows, shards, seed, CHUNK).drop("w1"), partition_by=["kind", "shard"], codec="zstd")
+    chunks, shares = dealt.where("kind = 0"), [F.sum(F.when(F.col("shard") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(by_scan)]
+    words = scratch.staged(dealt.where("kind = 1").groupBy("lang", "word").agg(*shares).withColumn("w1", hash_of(F.col("lang"), F.col("word"), seed)).withColumn("n", sum(F.col(c) for c in by_scan)))
+    told = words.agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
+    if words.select("w1").distinct().count() < told.words:
+        raise ValueError("two words share a hash; take another seed")
     zero, done, reached, n_reached, latest, scan, state = F.lit(0).cast("long"), [], [], 0, -1, 0, None
-    by_scan = [f"n{i}" for i in range(shards)]  # counts of the scans of one round, each in the place of its shard
     tables: list[np.ndarray | None] = [None] * (LONGEST - 1)
+    sum_slots, sums = min(SUM_SLOTS, max(SUM_PAGE, 1 << ((told.n or 0) // 8).bit_length())), []
+    often = np.zeros(slots, np.uint8)
+    with batches_of(spark, 10_000):
+        for r in _marks(words.where(F.col("n") >= support).select(F.lit(1).alias("len"), "w1", F.lit(0).alias("reach")), slots):
+            marks = np.frombuffer(zlib.decompress(r.marks), np.uint8)
+            often[r.page : r.page + len(marks)] = marks
+    for _ in range(2, LONGEST + 1):
+        sums.append(spark.sparkContext.broadcast(_sums(chunks, often, sums, sum_slots, support)))
     with batches_of(spark, 10_000):
         while scan < shards or latest >= scan - shards:
             new, here = [], f"n{scan % shards}"
             if scan < shards:
-                so_far = found_words.where(F.col("shard") <= scan).groupBy("w1").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("shard") < scan, F.col("n")).otherwise(0)).alias("before"))
-                new.append(so_far.where((F.col("n") >= support) & (F.col("before") < support)).select(F.lit(1).alias("len"), "w1", *[zero.alias(w) for w in WORDS[1:-1]]))
+                before = sum((F.col(c) for c in by_scan[:scan]), zero)
+                new.append(words.where((before + F.col(here) >= support) & (before < support)).select(F.lit(1).alias("len"), "w1", *[zero.alias(w) for w in WORDS[1:-1]]))
             if n_reached:
-                made = scanned(chunks.where(F.col("shard") == scan % shards), scan, shards, tables)
+                made = scanned(chunks.where(F.col("shard") == scan % shards), scan, shards, tables, sums)
                 parts = [made.select("len", *WORDS, "until", *[(F.col("n") if c == here else zero).alias(c) for c in by_scan])]
                 if state is not None:  # what the same shard gave a round ago no longer counts
                     parts.append(state.where(F.col("until") >= scan).select("len", *WORDS, "until", *[(zero if c == here else F.col(c)).alias(c) for c in by_scan]))
@@ -236,13 +326,9 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
                     marks = np.frombuffer(zlib.decompress(r.marks), np.uint8)
                     np.maximum(table[r.page : r.page + len(marks)], marks, out=table[r.page : r.page + len(marks)])
             scan += 1
-    words = scratch.staged(found_words.groupBy("w1").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("first"), F.max(F.struct("lang", "word")).alias("last")))
-    if words.where("first <> last").limit(1).count():
-        raise ValueError("two words share a hash; take another seed")
-    words = words.select("w1", "first.lang", "first.word", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     empty = spark.createDataFrame([], ", ".join(["len int", *(f"{w} long" for w in WORDS), "n long"]))
-    return words.where(F.col("n") >= support), scratch.staged(_union([empty, *done])), totals
+    return words.where(F.col("n") >= support).select("lang", "word", "w1", "n"), scratch.staged(_union([empty, *done])), totals
 
 
 def _active(state: DataFrame, reached: DataFrame, n_reached: int, scan: int, shards: int, support: int) -> DataFrame:

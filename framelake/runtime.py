@@ -72,11 +72,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def staged(df: DataFrame, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that survives lost executors."""
+def staged(df: DataFrame, partition_by: list[str] | None = None, path: str | None = None, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that survives lost executors.
+
+    ``codec`` compresses other than the session says.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    writer = df.write
+    writer = df.write.option("compression", codec) if codec else df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -98,10 +101,10 @@ class Scratch:
     def __exit__(self, *error) -> None:
         discard(self.spark, self.base)
 
-    def staged(self, df: DataFrame, slot: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    def staged(self, df: DataFrame, slot: str | None = None, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        out = staged(df, partition_by, path)
+        out = staged(df, partition_by, path, codec)
         if slot:
             before = self.slots.get(slot)
             self.slots[slot] = path

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import collocations
 from framelake.runtime import Scratch
@@ -79,3 +80,28 @@ def test_rows_of_a_chunk():
     assert ids == [0, 1, -1, 0, 1, 2, -1, 3, -1]
     assert list(zip(words["lang"], words["word"], words["n"])) == [("en", "a", 2), ("en", "b", 2), ("en", "c", 1), ("de", "a", 1)]
     assert len(set(words["w1"])) == 4
+
+
+def test_rare_pairs_of_frequent_words_are_not_listed(spark):
+    rng, made = random.Random(7), []
+    rows = [("en", " ".join([*(f"w{rng.randrange(200)}" for _ in range(40)), "two words"])) for _ in range(600)]
+
+    class Counting(Scratch):
+        def staged(self, df, slot=None, **options):
+            out = super().staged(df, slot, **options)
+            made.extend([out.count()] if slot == "state" else [])
+            return out
+
+    with Counting(spark) as scratch:
+        got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3), scratch, support=20).collect()
+    assert {(r.lang, r["rank"]): (r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got} == expected(rows, 20, 80, 2000) and got
+    assert made and max(made) < 600  # of 18,000 different pairs
+
+
+def test_hashes_of_spark_are_those_of_chunks(spark):
+    chunk = collocations.Chunk()
+    for lang, word in (("", "a"), ("und", "\u00c9\u65e5" * 40), ("de", "x\x1cy")):
+        chunk.take(lang, word.encode())
+    _, words = chunk.rows(0, 3)
+    got = spark.createDataFrame(list(zip(words["lang"], words["word"])), "lang string, word string").select(collocations.hash_of(F.col("lang"), F.col("word"), 3).alias("h")).collect()
+    assert [r.h for r in got] == words["w1"].tolist()
