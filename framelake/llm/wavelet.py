@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ from framelake.runtime import Scratch, batches_of, join_lookup, shared_dir
 
 SHARD_TOKENS = 1 << 21  #: tokens after which a shard is closed
 BLOCK_BITS = 1 << 16  #: bits of a plane that are compressed together
-WORD_MEMO, WORD_BYTES = 3 << 18, 64  #: words (and pre-tokens) kept by a worker, and a kept word's bytes at most
-GROUP_BYTES = 1 << 20  #: bytes of texts whose words are looked up together
+WORD_MEMO, WORD_BYTES = 3 << 18, 64  #: words (and pre-tokens) kept by a worker, of words as many again that were met before these, and a kept word's bytes at most
+GROUP_BYTES = 1 << 22  #: bytes of texts whose words are looked up together
 MAGIC = b"FLWM0001"
 #: What the file must say for words to be encoded apart (fixed values of the format).
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -66,6 +68,7 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a pre-token
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # words of before the last time that they were too many; those met again are kept
         self.parts: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -100,29 +103,40 @@ class WordIds:
         self.words.update(zip(odd, self.whole([w.decode() for w in odd]), strict=True))
 
     def group(self, texts: list[bytes]) -> list[bytes]:
-        words, ends = [], []
-        for t in texts:
-            words += t.split()
-            ends.append(len(words))
+        """Ids of lower-cased texts; each of their different words is looked up once."""
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        new = {words[i] for i in missing}
+        new = set()
+        for i in missing:
+            x = self.older.get(words[i])
+            if x is None:
+                new.add(words[i])
+            else:
+                self.words[words[i]] = x
         if new:
             self.learn(new)
-            for i in missing:
-                found[i] = self.words[words[i]]
-        out, at = [], 0
-        for end in ends:
-            out.append(b"".join(found[at:end]))
-            at = end
+        for i in missing:
+            found[i] = self.words[words[i]]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        first = (np.cumsum(sizes) - sizes)[codes]  # of each word's ids, among those of the different words
+        raw = ids[np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = 4 * np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
         for w in [w for w in new if len(w) > WORD_BYTES]:
             del self.words[w]
             self.parts.pop(w, None)
         if len(self.words) > self.memo:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         if len(self.parts) > self.memo:
             self.parts.clear()
-        return out
+        return [raw[lo:hi] for lo, hi in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, for a bounded number of bytes (or one text) at a time.

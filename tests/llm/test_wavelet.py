@@ -48,6 +48,22 @@ def test_ids_are_those_of_the_library(odd_texts, path):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_met_again_are_not_learnt_again():
+    class Learning(wavelet.WordIds):
+        def learn(self, words):
+            learnt.extend(words)
+            super().learn(words)
+
+    learnt, tokenizer = [], Tokenizer.from_file(BPE)
+    encoder = Learning(BPE, memo=20)
+    for i in range(12):
+        text = " ".join(["the same words  come again", *(f"new{chr(97 + i)}{chr(97 + j)}" for j in range(6))])
+        (ids,) = encoder([text])
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert learnt.count(b"again") == 1 and len(learnt) == 5 + 12 * 6
+    assert len(encoder.words) <= 20 + 11 and len(encoder.older) <= 20 + 11
+
+
 def test_documents_of_shards(spark, docs, odd_texts, tmp_path):
     extra = docs.limit(0).sparkSession.createDataFrame([(4, "a tie", None), (4, "a tie", None), (None, "no key", "s"), (10**17 + 1, "far", "s")], "doc_id long, text string, source string")
     table = docs.select("doc_id", "text", "source").unionByName(extra)
