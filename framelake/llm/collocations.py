@@ -35,7 +35,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.runtime import BROADCAST_ROWS, Scratch, batches_of, join_lookup
+from framelake.runtime import BROADCAST_ROWS, Scratch, batches_of, discard, join_lookup
 
 LONGEST = 4
 SUPPORT = 30
@@ -285,8 +285,10 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, lang: str = "lang", text
     by_scan = [f"n{i}" for i in range(shards)]  # counts of the scans of one round, each in the place of its shard
     with batches_of(spark, 500):
         dealt = scratch.staged(chunked(rows, shards, seed, CHUNK).drop("w1"), partition_by=["kind", "shard"], codec="zstd")
+    step = scratch.count
     chunks, shares = dealt.where("kind = 0"), [F.sum(F.when(F.col("shard") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(by_scan)]
     words = scratch.staged(dealt.where("kind = 1").groupBy("lang", "word").agg(*shares).withColumn("w1", hash_of(F.col("lang"), F.col("word"), seed)).withColumn("n", sum(F.col(c) for c in by_scan)))
+    discard(spark, f"{scratch.base}/{step}/kind=1")  # summed; the chunks beside them stay
     told = words.agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
     if words.select("w1").distinct().count() < told.words:
         raise ValueError("two words share a hash; take another seed")
