@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import cross, dot, nearest_image, sub, unit, vec
@@ -197,11 +198,15 @@ def k_means(states: DataFrame, k: int = 3, steps: int | None = None) -> tuple[Da
     and move it. The number of steps grows with the states, so it has no bound unless ``steps`` sets
     one; what still changes after those, or comes back to earlier centroids without settling, is an
     error. Centroids, ``k`` rows a slot, pass through the driver; states do not.
+
+    Steps are first taken over packed states, without a shuffle (``_settled``); those that decide come after.
     """
     spark = states.sparkSession
     centroids = initial_centroids(states, k)
-    schema, rows, seen = centroids.schema, centroids.collect(), set()
-    for _ in itertools.count() if steps is None else range(steps + 1):
+    schema = centroids.schema
+    rows, taken = _settled(states, centroids.collect(), steps)
+    seen = set()
+    for _ in itertools.count() if steps is None else range(steps + 1 - taken):
         centroids = spark.createDataFrame(rows, schema)
         new = update_centroids(states, nearest_state(states, centroids), centroids).collect()
         old = {(r.ref, r.slot): r[2:] for r in rows}
@@ -215,6 +220,71 @@ def k_means(states: DataFrame, k: int = 3, steps: int | None = None) -> tuple[Da
     raise RuntimeError(f"k-means still changes after {steps} steps")
 
 
+#: Rows of states in a block.
+PACKED_ROWS = 65_536
+
+
+def _packed(states: DataFrame, slots: list) -> DataFrame:
+    """States in blocks of some ``PACKED_ROWS`` rows, a frame in one block: numbers of frames and slots, and quaternions, as bytes."""
+    blocks = math.ceil(states.count() / PACKED_ROWS)
+    dealt = states.select(F.pmod(F.xxhash64("frame"), F.lit(max(1, blocks))).alias("_block"), "frame", "slot", *"wxyz")
+
+    def pack(df: pd.DataFrame) -> pd.DataFrame:
+        who = np.unique(df["frame"], return_inverse=True)[1]
+        return pd.DataFrame({"who": [who.astype(np.int32).tobytes()], "slot": [np.searchsorted(slots, df["slot"]).astype(np.int32).tobytes()], "q": [df[list("wxyz")].to_numpy(np.float64).tobytes()]})
+
+    return dealt.where(F.col("slot").isin(slots)).groupBy("_block").applyInPandas(pack, "who binary, slot binary, q binary")
+
+
+def _block_sums(who: np.ndarray, slot: np.ndarray, q: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Sums by centroid and slot of quaternions turned to the side of their frame's nearest centroid (``refs``: centroid, slot, component)."""
+    overlap = np.einsum("nc,rnc->rn", q, refs[:, slot])
+    angles = 2 * np.arccos(np.minimum(1.0, np.abs(overlap)))
+    away = np.stack([np.bincount(who, a * a) for a in angles]) / np.bincount(who)
+    state = np.sqrt(away).argmin(0)[who]
+    turned = q * np.where(overlap[state, np.arange(len(q))] < 0, -1.0, 1.0)[:, None]
+    cell = state * refs.shape[1] + slot
+    return np.stack([np.bincount(cell, t, refs.shape[0] * refs.shape[1]) for t in turned.T], axis=1)
+
+
+def _settled(states: DataFrame, rows: list, steps: int | None) -> tuple[list, int]:
+    """Centroids after at most ``steps`` steps, or where a step moves none (or leads back), and the number of steps.
+
+    A step is a pass over packed states, which sums in its tasks; a row a centroid and slot of each block meets in the driver.
+    Centroids that have not the same slots, or numbers that are none, are left to ``update_centroids``.
+    """
+    refs, slots = sorted({r.ref for r in rows}), sorted({r.slot for r in rows})
+    at = {(r.ref, r.slot): [r.w, r.x, r.y, r.z] for r in rows}
+    if not rows or len(at) < len(refs) * len(slots) or len(at) < len(rows) or any(v is None for q in at.values() for v in q):
+        return rows, 0
+    bad = " or ".join(f"{c} is null or isnan({c})" for c in "wxyz")
+    if states.where(f"frame is null or slot is null or {bad}").limit(1).count():
+        return rows, 0
+    held = staged(_packed(states, slots))
+    centroids, seen, taken = np.array([[at[r, s] for s in slots] for r in refs]), set(), 0
+    while steps is None or taken < steps:
+
+        def sums(blocks: Iterator[pd.DataFrame], refs: np.ndarray = centroids) -> Iterator[pd.DataFrame]:
+            for df in blocks:
+                for b in df.itertuples():
+                    found = _block_sums(np.frombuffer(b.who, np.int32), np.frombuffer(b.slot, np.int32), np.frombuffer(b.q).reshape(-1, 4), refs)
+                    yield pd.DataFrame({"at": np.arange(len(found)), **{k: found[:, i] for i, k in enumerate("wxyz")}})
+
+        made = held.mapInPandas(sums, "at int, w double, x double, y double, z double")
+        total = np.zeros((centroids.shape[0] * centroids.shape[1], 4))
+        for r in sorted(made.collect()):
+            total[r.at] += r[1:]
+        total, size = total.reshape(centroids.shape), np.linalg.norm(total, axis=1).reshape(centroids.shape[:2])[..., None]
+        new = np.where(size > 0, total / np.where(size > 0, size, 1.0), centroids)
+        still, mark = (np.abs(new - centroids) <= 1e-9).all(), np.round(new, 12).tobytes()
+        if still or mark in seen:
+            break
+        seen.add(mark)
+        centroids, taken = new, taken + 1
+    ends = {(r, s): centroids[i, j].tolist() for i, r in enumerate(refs) for j, s in enumerate(slots)}
+    return [Row(ref=r.ref, slot=r.slot, **dict(zip("wxyz", ends[r.ref, r.slot], strict=True))) for r in rows], taken
+
+
 def carbonate_orientations(atoms: DataFrame) -> DataFrame:
     """``frame, mol_index, w, x, y, z``: orientation of each group of one C and three O.
 

@@ -168,3 +168,24 @@ def test_k_means_takes_as_many_steps_as_it_needs(spark, monkeypatch):
     monkeypatch.setattr(orientation, "update_centroids", lambda states, assigned, centroids: Moving(centroids.collect()))
     centroids, _ = orientation.k_means(states, 1)
     assert centroids.first().x == pytest.approx(math.sin(0.12)) and next(turns, None) is None
+
+
+def test_k_means_steps_over_packed_states(spark, monkeypatch):
+    """Most steps pass over packed states: as many as before, to the same centroids, and one or two by joins; once each was a shuffle of all states."""
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=(400, 3, 4))
+    q /= np.linalg.norm(q, axis=2, keepdims=True)
+    rows = [(f, s, *map(float, q[f, s])) for f in range(400) for s in range(3) if (f, s) != (7, 1)]
+    states = spark.createDataFrame(rows, "frame long, slot int, w double, x double, y double, z double").cache()
+    monkeypatch.setattr(orientation, "PACKED_ROWS", 200)
+    calls, update = [], orientation.update_centroids
+    monkeypatch.setattr(orientation, "update_centroids", lambda *a: calls.append(1) or update(*a))
+    centroids, assigned = orientation.k_means(states, 3)
+    assert 0 < len(calls) <= 2 and assigned.count() == 400
+    start = orientation.initial_centroids(states, 3).collect()
+    rows, taken = orientation._settled(states, start, 2)
+    want = orientation.initial_centroids(states, 3)
+    for _ in range(2):
+        want = spark.createDataFrame(update(states, orientation.nearest_state(states, want), want).collect(), want.schema)
+    want = {(r.ref, r.slot): r[2:] for r in want.collect()}
+    assert taken == 2 and len(rows) == len(want) == 9 and all(r[2:] == pytest.approx(want[r.ref, r.slot]) for r in rows)
