@@ -85,3 +85,26 @@ def test_shortest_rings_of_many_neighbours(spark, monkeypatch, longest):
     assert topology._dense_stripes(bonds)
     got = {(r.frame, r.i, r.j): r["size"] for r in topology.ring_sizes(bonds, longest).collect()}
     assert got == {(f, *b): s for f in (2, 5) for b, s in shortest(graph, longest).items()}
+
+
+@pytest.mark.parametrize("longest", [7, 6, 3])
+def test_cycles_from_halves(spark, monkeypatch, longest):
+    """All cycles of graphs with many, none of them stored as a path of its own length."""
+    rng = random.Random(2)
+    graph = sorted({tuple(sorted(rng.sample(range(11), 2))) for _ in range(34)})
+    rows = [(f, *b) for f in (1, 4) for b in [*graph, graph[0][::-1], (3, 3)]]
+    near = {}
+    for i, j in graph:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    want, paths = [], [(a,) for a in near]
+    for _ in range(longest):
+        want += [p for p in paths if len(p) > 2 and p[0] in near[p[-1]] and p[1] < p[-1]]
+        paths = [(*p, x) for p in paths for x in near[p[-1]] if x > p[0] and x not in p]
+    stored, staged = [], topology.staged
+    monkeypatch.setattr(topology, "staged", lambda df: stored.append(df.columns) or staged(df))
+    got = [(r.frame, *r.atoms) for r in topology.cycles(spark.createDataFrame(rows, "frame long, i long, j long"), longest).collect()]
+    assert sorted(got) == sorted((f, *p) for f in (1, 4) for p in want) and len(want) > 5
+    texts = [tuple(map(int, (r.frame, *r.ring.split("-")))) for r in topology.cycles(spark.createDataFrame(rows, "frame long, i long, j long"), longest, text=True).collect()]
+    assert sorted(texts) == sorted(got)
+    assert max(map(len, stored)) <= 2 + (longest + 1) // 2
