@@ -1,5 +1,6 @@
 """What is made from the atoms around a bin, without bonds as rows, against the same from a table of bonds."""
 
+import math
 import random
 from collections import Counter
 
@@ -25,7 +26,7 @@ def crowd(request, spark, monkeypatch):
     atoms = spark.createDataFrame(rows, "frame long, atom_index long, type string, radius double, x double, y double, z double").repartition(3)
     atoms = staged(atoms.withColumn("cell", cell.column()) if cell else atoms)
     bonds = staged(topology.detect_bonds(atoms, settings))
-    for module, name, value in ((pairs, "TASK_PAIRS", 1_000), (crowds, "GROUPS", 12), (crowds, "BLOCK", 32), (crowds, "BATCH_ENDS", 2_000)):
+    for module, name, value in ((pairs, "TASK_PAIRS", 1_000), (crowds, "GROUPS", 12), (crowds, "BLOCK", 32), (crowds, "BATCH_ENDS", 2_000), (crowds, "LINKED_ENDS", 600)):
         monkeypatch.setattr(module, name, value)
 
     def rowwise(*_, **__):
@@ -56,3 +57,11 @@ def test_angles(crowd):
 def test_issues(crowd):
     atoms, settings, bonds = crowd
     assert spread(topology.detected_issues(atoms, settings)) == rows(topology.bond_issues(bonds))
+
+
+def test_dihedrals(crowd):
+    atoms, settings, bonds = crowd
+    assert spread(topology.detected_dihedrals(atoms, settings)) == rows(topology.proper_dihedrals(bonds))
+    got = {tuple(r)[:-1]: r.phi for r in topology.detected_dihedral_values(atoms, settings).collect()}
+    want = {tuple(r)[:-1]: r.phi for r in topology.bonded_dihedral_values(bonds, atoms).collect()}
+    assert got.keys() == want.keys() and all(math.cos(got[q] - want[q]) > 1 - 1e-9 for q in want)
