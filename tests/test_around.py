@@ -65,3 +65,23 @@ def test_dihedrals(crowd):
     got = {tuple(r)[:-1]: r.phi for r in topology.detected_dihedral_values(atoms, settings).collect()}
     want = {tuple(r)[:-1]: r.phi for r in topology.bonded_dihedral_values(bonds, atoms).collect()}
     assert got.keys() == want.keys() and all(math.cos(got[q] - want[q]) > 1 - 1e-9 for q in want)
+
+
+def test_second_neighbours(crowd, monkeypatch):
+    atoms, settings, bonds = crowd
+    monkeypatch.setattr(crowds, "STRIPE_BYTES", 3)
+    assert spread(topology.detected_second_neighbours(atoms, settings)) == rows(topology.neighbours_at(bonds, atoms, 2).select("frame", "start", "atom"))
+
+
+@pytest.mark.parametrize("longest", [8, 3])
+def test_ring_sizes(crowd, monkeypatch, longest):
+    atoms, settings, bonds = crowd
+    monkeypatch.setattr(topology, "TRIED", 2)
+    assert spread(topology.detected_ring_sizes(atoms, settings, longest)) == rows(topology.ring_sizes(bonds, longest))
+
+
+def test_force_field_types(crowd):
+    atoms, settings, bonds = crowd
+    atoms = atoms.withColumn("element", F.element_at(F.array(*map(F.lit, ("C", "N", "O", "B", "Si", "S"))), (F.col("atom_index") % 6 + 1).cast("int")))
+    got = rows(topology.detected_uff_types(atoms, settings))
+    assert got == rows(topology.uff_types(atoms, bonds)) and len({r[2] for r in got}) > 4
